@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, chat, sharding, url_rules
+from . import bpe, chat, decontaminate, html_text, secret_scan, sharding, url_rules
 from .common import table
 
 #: Where the public vocabulary file is; a parameter of the tokenizer operators.
@@ -85,5 +85,45 @@ SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.v, 'allow') AS verdict
 FROM p LEFT JOIN best b ON p.page_id IS NOT DISTINCT FROM b.page_id AND p.host = b.host AND p.path = b.path
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_bpe": op2_bpe, "op5_shard": op5_shard, "op8_url_filter": op8_url_filter}
-ORACLES = {"op1_chat_format": OP1_SQL, "op8_url_filter": OP8_SQL}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+b2 AS (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b2)),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b2) WHERE len(w) >= k)),
+hit AS (SELECT dw.doc_id, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(d.w), 0)) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    many = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    order = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    base = F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select("doc_id", many(0).alias("n_assign"), many(1).alias("n_access"), many(2).alias("n_hex"), F.sha2(secret_scan.named(base), 256).alias("base_sha256"), secret_scan.named(F.col("spans")).alias("spans"))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_bpe": op2_bpe,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_shard": op5_shard,
+    "op7_html_text": op7_html_text,
+    "op8_url_filter": op8_url_filter,
+    "op10_secret_scan": op10_secret_scan,
+}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
