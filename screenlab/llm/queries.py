@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, chat, decontaminate, html_text, secret_scan, sharding, url_rules
+from . import bpe, chat, decontaminate, html_text, quality, secret_scan, sharding, url_rules
 from .common import table
 
 #: Where the public vocabulary file is; a parameter of the tokenizer operators.
@@ -109,6 +109,13 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    done = quality.scored(docs, model)
+    return done.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     many = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -124,6 +131,7 @@ QUERIES = {
     "op5_shard": op5_shard,
     "op7_html_text": op7_html_text,
     "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}

@@ -105,9 +105,9 @@ def link(found: DataFrame, scope: int) -> DataFrame:
     spans = parts.where("role <> 'endpoint'").select("doc_id", "text_hash", "role", "p", F.explode(F.sequence("cell", "last")).alias("cell"))
     cells = spans.groupBy("doc_id", "text_hash", "cell", "role").agg(F.min("p.start").alias("low"), F.max("p.end").alias("high"))
     asks = need.select("doc_id", "text_hash", "p", F.col("role").alias("own"), F.explode(F.sequence(F.col("cell") - 1, F.col("last") + 1)).alias("cell"))
-    on = asks["doc_id"].eqNullSafe(cells["doc_id"]) & asks["text_hash"].eqNullSafe(cells["text_hash"]) & (asks["cell"] == cells["cell"])
-    near = asks.join(cells, on).where((F.col("low") < F.col("p.end") + scope) & (F.col("high") > F.col("p.start") - scope) & (F.col("role") != F.col("own")))
-    near = near.groupBy(asks["doc_id"], asks["text_hash"], "p", "own").agg(F.max((F.col("role") == "id").cast("int")).alias("i"), F.max((F.col("role") == "secret").cast("int")).alias("s"))
+    on = F.col("a.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("c.text_hash")) & (F.col("a.cell") == F.col("c.cell"))
+    near = asks.alias("a").join(cells.alias("c"), on).where((F.col("low") < F.col("p.end") + scope) & (F.col("high") > F.col("p.start") - scope) & (F.col("role") != F.col("own")))
+    near = near.groupBy("a.doc_id", "a.text_hash", "p", "own").agg(F.max((F.col("role") == "id").cast("int")).alias("i"), F.max((F.col("role") == "secret").cast("int")).alias("s"))
     ok = near.where(((F.col("own") == "id") & (F.col("s") == 1)) | ((F.col("own") == "secret") & (F.col("i") == 1)) | ((F.col("own") == "endpoint") & (F.col("i") + F.col("s") == 2)))
     return ok.groupBy("doc_id", "text_hash").agg(F.collect_list("p").alias("added"))
 
@@ -122,8 +122,9 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     """
     found = cut(find(docs))
     added = link(found, scope)
-    on = found["doc_id"].eqNullSafe(added["doc_id"]) & found["text_hash"].eqNullSafe(added["text_hash"])
-    some = found.where("size(weak) > 0").join(added, on, "left").select(found["doc_id"], found["text_hash"], "base", F.concat("base", F.coalesce("added", F.array().cast(PARTS))).alias("spans"))
+    on = F.col("f.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("f.text_hash").eqNullSafe(F.col("l.text_hash"))
+    some = found.where("size(weak) > 0").alias("f").join(added.alias("l"), on, "left")
+    some = some.select("f.doc_id", "f.text_hash", "f.base", F.concat("f.base", F.coalesce("l.added", F.array().cast(PARTS))).alias("spans"))
     done = some.union(found.where("size(weak) = 0").select("doc_id", "text_hash", "base", F.col("base").alias("spans")))
     by = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return done.withColumn("spans", F.transform(F.array_sort(by), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
