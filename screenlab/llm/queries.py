@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, chat, decontaminate, html_text, quality, secret_scan, sharding, url_rules
+from . import bpe, chat, decontaminate, html_text, quality, secret_scan, sharding, url_rules, vectors
 from .common import table
 
 #: Where the public vocabulary file is; a parameter of the tokenizer operators.
@@ -105,6 +105,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return done.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -129,6 +134,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_shard": op5_shard,
+    "op6_near_vectors": op6_near_vectors,
     "op7_html_text": op7_html_text,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
