@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,12 +21,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bytes_bound(df: DataFrame, column: str, most: int) -> tuple[int, bool]:
-    """Bytes in a string column, and whether they stay within ``most``: the check before a broadcast."""
-    n = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
-    return n, n <= most
-
-
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for each id that has an edge.
 
@@ -57,3 +52,24 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     found = e.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return found.union(e.select("a").distinct().select("a", "a"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder of spark.checkpoint.dir, read again."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, checkpointed, with a broadcast hint if it has at most ``rows`` narrow rows; else joins shuffle it."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def same_text(docs: str, found: str) -> Column:
+    """Rows of ``docs`` (doc_id, text) that ``found`` (doc_id, text_hash) names, nulls included; both are aliases."""
+    return F.col(f"{docs}.doc_id").eqNullSafe(F.col(f"{found}.doc_id")) & F.xxhash64(f"{docs}.text").eqNullSafe(F.col(f"{found}.text_hash"))
