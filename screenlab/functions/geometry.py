@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 #: Vertical reach of a line, and limits of the icons in the left gutter and the status bar.
 LINE_REACH = 12.0
 GUTTER = {"right": 45, "width": 35, "height": 24}
@@ -40,6 +42,10 @@ def corner_mean(boxes: Column) -> Column:
 
 def drop_gutter_icons(items: Column) -> Column:
     """Without small marks left of a text and status icons above one; another box is another index, not another value."""
+    return bind(items, _drop_gutter_icons)
+
+
+def _drop_gutter_icons(items: Column) -> Column:
     at = F.sequence(F.lit(0), F.size(items) - 1)
 
     def others(i: Column, test) -> Column:
@@ -94,8 +100,8 @@ def select_result(primary: Column, fallback: Column) -> Column:
 
 def boxes_to_text(boxes: Column) -> Column:
     """struct<text, mean_score>, icons dropped, midpoints as centres."""
-    kept = drop_gutter_icons(boxed(boxes))
-    return F.struct(text_of(lines(kept)).alias("text"), mean_score(kept).alias("mean_score"))
+    read = lambda kept: F.struct(text_of(lines(kept)).alias("text"), mean_score(kept).alias("mean_score"))
+    return bind(drop_gutter_icons(boxed(boxes)), read)
 
 
 def corners_to_text(boxes: Column) -> Column:

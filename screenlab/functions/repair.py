@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PRESS_KEY, START_SIGN
+from .text import PRESS_KEY, START_SIGN, bind
 
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -83,6 +83,10 @@ def known_line(line: Column) -> Column:
 
 def dry_time(lines: Column) -> Column:
     """Below a dry-time heading, letters for zeros and a lost digit before the next choice."""
+    return bind(lines, _dry_time)
+
+
+def _dry_time(lines: Column) -> Column:
     def one(line, i):
         after = F.get(lines, i + 1)
         clean = F.regexp_replace(F.translate(line, "Oo", "00"), r"(?iuU)\bnin\b", "min")
@@ -103,9 +107,8 @@ def known_tokens(text: Column) -> Column:
 
 def option_tail(text: Column) -> Column:
     """The last choice of an extra-rinse list."""
-    ls = full_lines(text)
-    hit = (F.size(ls) >= 3) & F.get(ls, F.lit(0)).rlike(RINSE) & last(ls).rlike(ZERO_LIKE)
-    return F.when(hit, joined(F.concat(but_last(ls), F.array(F.lit("0"))))).otherwise(text)
+    hit = lambda ls: (F.size(ls) >= 3) & F.get(ls, F.lit(0)).rlike(RINSE) & last(ls).rlike(ZERO_LIKE)
+    return bind(full_lines(text), lambda ls: F.when(hit(ls), joined(F.concat(but_last(ls), F.array(F.lit("0"))))).otherwise(text))
 
 
 def percent_line(line: Column) -> Column:
@@ -118,7 +121,10 @@ def percent_line(line: Column) -> Column:
 
 def progress(text: Column) -> Column:
     """A lone status, or a status and the first percentage after it."""
-    ls = full_lines(text)
+    return bind(full_lines(text), lambda ls: _progress(ls, text))
+
+
+def _progress(ls: Column, text: Column) -> Column:
     only = F.get(ls, F.lit(0))
     lone = F.when(F.lower(only).endswith("actualizar"), "Actualizar").when(F.lower(only).endswith("updating"), "Updating").otherwise(text)
     at = F.array_position(F.transform(ls, lambda l: F.lower(l).isin("updating", "actualizar", "restableciendo")), True)
@@ -139,18 +145,14 @@ def brand(text: Column) -> Column:
     return F.regexp_replace(text, r"(?iuU)\bLG\s+Thi(?:n[dgo0]|[o0])\b", "LG ThinQ")
 
 
-def repair(text: Column) -> Column:
-    """All rules in their order. Expressions nest, so long tables may prefer ``repaired``."""
-    for rule in RULES:
-        text = rule(text)
-    return text
-
-
 RULES = (start_keys, known_tokens, option_tail, progress, badge, brand)
 
 
 def repaired(df, column: str, out: str):
-    """``df`` with ``out``: all rules, one projection each, so that no rule's expression is copied into the next."""
+    """``df`` with ``out``, all rules in their order.
+
+    Each is a projection of its own: nested, every rule would copy the whole of those before.
+    """
     df = df.withColumn(out, F.col(column))
     for rule in RULES:
         df = df.withColumn(out, rule(F.col(out)))
@@ -168,12 +170,16 @@ def broken_timer_at(lines: Column) -> Column:
 
 
 def placed(lines: Column, at: Column, value: Column) -> Column:
-    return joined(F.transform(lines, lambda l, i: F.when(i == at - 1, value).otherwise(l)))
+    new = F.struct(at.alias("at"), value.alias("value"))
+    return bind(new, lambda n: joined(F.transform(lines, lambda l, i: F.when(i == n["at"] - 1, n["value"]).otherwise(l))))
 
 
 def repair_timer(primary: Column, compact: Column) -> Column:
     """The garbled timer from the second reading, or the placeholder."""
-    ls = full_lines(primary)
+    return bind(full_lines(primary), lambda ls: _repair_timer(ls, primary, compact))
+
+
+def _repair_timer(ls: Column, primary: Column, compact: Column) -> Column:
     at = broken_timer_at(ls)
     timer = F.get(F.filter(F.transform(F.transform(raw_lines(compact), strip), compact_timer), lambda t: t.isNotNull()), F.lit(0))
     mid = F.lower(F.get(ls, at - 1))
@@ -209,7 +215,10 @@ def delay_time(text: Column) -> Column:
 
 def merge_delay(primary: Column, compact: Column) -> Column:
     """The time beside a lone AM or PM; its style follows the input's case."""
-    ls = full_lines(primary)
+    return bind(full_lines(primary), lambda ls: _merge_delay(ls, primary, compact))
+
+
+def _merge_delay(ls: Column, primary: Column, compact: Column) -> Column:
     on = F.regexp_replace(joined(ls), DELAY_WORDS, "El Inicio").rlike(DELAY_ON)
     at = F.array_position(F.transform(ls, lambda l: l.rlike(HALF_DAY)), True).cast("int")
     line = F.get(ls, at - 1)

@@ -77,15 +77,23 @@ def cer_floor(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp) / F.greatest(F.lit(1), F.length(ref))
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` or a lambda in it uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of token arrays: each different token becomes one character.
 
     A private-use block holds 6,400 different tokens of a pair; pairs with more use a plane of 65,000.
     """
-    names = F.array_distinct(F.concat(a, b))
-    base = F.when(F.size(names) <= 6400, TOKEN_BASE - 1).otherwise(TOKEN_BASE_MANY - 1)
-    drawn = lambda ts: F.array_join(F.transform(ts, lambda t: F.format_string("%c", (base + F.array_position(names, t)).cast("int"))), "")
-    return F.levenshtein(drawn(a), drawn(b))
+
+    def distance(names: Column) -> Column:
+        base = F.when(F.size(names) <= 6400, TOKEN_BASE - 1).otherwise(TOKEN_BASE_MANY - 1)
+        drawn = lambda ts: F.array_join(F.transform(ts, lambda t: F.format_string("%c", (base + F.array_position(names, t)).cast("int"))), "")
+        return F.levenshtein(drawn(a), drawn(b))
+
+    return bind(F.array_distinct(F.concat(a, b)), distance)
 
 
 def wer(ref: Column, hyp: Column) -> Column:

@@ -165,6 +165,6 @@ def detection_list(labels: DataFrame) -> DataFrame:
 def language_rows(labels: DataFrame, language: str, known: Column, prefix: str = "") -> DataFrame:
     """Rows of a language with texts, raw text rebuilt, and the unknown characters."""
     rows = labels.where(F.col("language") == language).withColumn("texts", texts_of(F.col("elements"))).where(F.size("texts") > 0)
-    rows = rows.withColumn("raw_text", F.array_join("texts", "\n")).withColumn("bad", bad_chars(F.col("raw_text"), known))
+    rows = rows.withColumn("raw_text", F.array_join("texts", "\n")).withColumn("bad", bad_chars(F.col("raw_text"), F.array_union(known, F.array(F.lit(" "), F.lit("\n")))))
     path = F.concat_ws("/", F.lit(prefix), "image_path") if prefix else F.col("image_path")
     return rows.withColumn("image_path", path).withColumn("start_key", start_key(F.col("texts")))
