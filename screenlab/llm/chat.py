@@ -42,11 +42,10 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     while len(tables) < most and not (pointing := at.where("up is not null")).isEmpty():
         tables.append(pointing.select("id", "up"))
         above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("t2"), F.col("root").alias("r2"))
-        at = cut(
-            at.join(above, "up", "left").select(
-                "id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), F.coalesce("r2", "root").alias("root")
-            )
+        moved = pointing.join(above, "up", "left").select(
+            "id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), F.coalesce("r2", "root").alias("root")
         )
+        at = cut(moved.union(at.where("up is null")))  # what has reached its root joins no more
     return tables, at.where("up is null").select("id", "root", (F.col("n") - 1).alias("depth"), (F.col("total") / F.col("n")).alias("score"))
 
 
@@ -66,6 +65,7 @@ def format_trees(messages: DataFrame, best: int = 1, train_roles: tuple[str, ...
     """
     m = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = m.where("id is not null").groupBy("id").agg(F.min(F.struct("parent", "role", "text", "tree", "score")).alias("m")).select("id", "m.*")
+    m = cut(m)
     ids = m.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     nodes = m.select("id", "tree", "score", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent")).join(ids, "parent", "left")
     nodes = cut(nodes.select("id", "tree", "score", F.when(F.col("known"), F.col("parent")).alias("parent")))
@@ -75,7 +75,7 @@ def format_trees(messages: DataFrame, best: int = 1, train_roles: tuple[str, ...
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best).select(F.col("id").alias("leaf"), "branch", "depth")
     steps = cut(chosen.select("leaf", "branch", F.col("leaf").alias("id"), F.col("depth").alias("pos")))
     for k, up in enumerate(tables):
-        steps = steps.union(steps.join(up, "id").select("leaf", "branch", F.col("up").alias("id"), (F.col("pos") - (1 << k)).alias("pos")))
+        steps = cut(steps.union(steps.join(up, "id").select("leaf", "branch", F.col("up").alias("id"), (F.col("pos") - (1 << k)).alias("pos"))))
     body = escape(F.col("text"))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     pieces = F.array(
