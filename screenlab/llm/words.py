@@ -64,11 +64,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most BLOCK bytes each, or one row."""
+def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes each, or one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 
