@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import long_rows
+
 #: Fixed values of HTML: elements by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
@@ -29,6 +32,11 @@ START = re.compile(r"""start\s*=\s*["']?(\d+)""", re.I)
 SPACE = " \t\n\r\f"
 
 
+@cache
+def closing(tag: str) -> re.Pattern:
+    return re.compile("</" + re.escape(tag), re.I | re.A)
+
+
 class Page:
     """Lines of text being laid out: pending spacing is written before the next visible text."""
 
@@ -50,7 +58,7 @@ class Page:
         self.line, self.space = 0, False
 
     def text(self, s: str) -> None:
-        words = s.split()  if "\xa0" not in s else [w for w in re.split(r"[ \t\n\r\f]+", s) if w]
+        words = s.split() if "\xa0" not in s else [w for w in re.split(r"[ \t\n\r\f]+", s) if w]
         if not words:
             self.space = self.space or bool(s)
             return
@@ -170,7 +178,6 @@ def render(source: str) -> str:
             s = html.unescape(s) if "&" in s else s
             page.verbatim(s) if pre else page.text(s)
 
-    low = None
     while m := TOKEN.search(source, at):
         say(source[at : m.start()])
         at = m.end()
@@ -202,8 +209,6 @@ def render(source: str) -> str:
                     i -= 1
         elif tag in BLOCKS and stack and stack[-1][0] == "p":
             leave()
-        elif tag == "head" or tag == "html":
-            pass
         if stack and stack[-1][0] == "head" and tag not in RAW and tag not in VOID and tag != "head":
             leave()
         if tag == "br":
@@ -213,9 +218,8 @@ def render(source: str) -> str:
             if tag == "hr" and not hidden:
                 page.block(2)
         elif tag in RAW and not m[3].endswith("/"):
-            low = source.lower() if low is None else low
-            end = low.find("</" + tag, at) if len(low) == len(source) else -1
-            end = len(source) if end < 0 else end
+            end = closing(tag).search(source, at)
+            end = end.start() if end else len(source)
             at = len(source) if end == len(source) else (source.find(">", end) + 1 or len(source))
         else:
             enter(tag, m[3])
@@ -231,7 +235,7 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
     Null stays null, empty gives empty; text that is no HTML is laid out as it is. Unclosed
     and misnested tags are closed as a browser would. Other columns and repeated rows stay.
     """
-    base = pages.drop(out) if out != column else pages
+    base = long_rows(pages.drop(out) if out != column else pages)
     keep = [c for c in base.columns if c != column]
     schema = base.select(*keep).schema.add(out, "string") if keep else None
 
