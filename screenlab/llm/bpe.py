@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -12,18 +13,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import long_rows
+from .words import blocks, text_buffer
+
 #: The pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts within Latin-1 but for the white space on which the two libraries differ; twice as fast.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
-#: Characters of text indexed at a time, and words remembered between blocks.
-BLOCK_CHARS, CACHE_WORDS = 16_000_000, 800_000
+#: Bytes of text indexed at a time, and words remembered between blocks.
+BLOCK_BYTES, CACHE_WORDS = 4_000_000, 200_000
 
 
 class Vocabulary:
@@ -154,61 +158,72 @@ class Words(dict):
 _words: dict[str, Words] = {}
 
 
-def encode_texts(path: str, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each block of texts: the ids of all, and how many each text has."""
-    i = 0
-    while i < len(texts):
-        words = _words.get(path)
-        if words is None or len(words) > CACHE_WORDS:
-            words = _words[path] = Words(vocabulary(path))
-        seen, chars = [], 0
-        while i < len(texts) and (not seen or chars + len(texts[i]) <= BLOCK_CHARS):
-            chars += len(texts[i])
-            found = words.v.words(texts[i])
-            seen.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
-            i += 1
-        if words.fresh:
-            words.settle()
-        w = np.concatenate(seen)
-        count = words.count[w]
-        total = np.cumsum(count)
-        at = np.arange(total[-1] if len(total) else 0) + np.repeat(words.start[w] - total + count, count)
-        bounds = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum([len(x) for x in seen])))]
-        yield words.flat[at], np.diff(bounds)
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after another, and how many each has."""
+    words = _words.get(path)
+    if words is None or len(words) > CACHE_WORDS:
+        words = _words[path] = Words(vocabulary(path))
+    seen = []
+    for t in texts:
+        found = words.v.words(t)
+        seen.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+    if words.fresh:
+        words.settle()
+    w = np.concatenate(seen) if seen else np.zeros(0, np.int32)
+    count = words.count[w]
+    total = np.cumsum(count)
+    at = np.arange(total[-1] if len(total) else 0) + np.repeat(words.start[w] - total + count, count)
+    bounds = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum([len(x) for x in seen]))).astype(np.int64)]
+    return words.flat[at], np.diff(bounds)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with a column ``ids`` array<int>: what the tokenizer at ``path`` encodes.
 
+    Without ``keep_text`` the texts themselves do not travel back from the Python workers.
+
     Added tokens in a text become their ids; nothing is added, cut or padded. Null and empty
     texts have no ids. Any other columns stay, except one named ``ids``, which is replaced;
     repeated rows stay repeated. Memory holds a block of texts and a bounded cache of words.
     """
-    base = docs.drop(ids)
-    schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    base = long_rows(docs).drop(ids)
+    keep = [c for c in base.columns if keep_text or c != text]
+    schema = T.StructType([*(base.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            parts = list(encode_texts(path, texts))
-            offsets = np.concatenate([[0], *(n for _, n in parts)]).cumsum().astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in parts)]))
-            arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, ids])
+            for i, j in blocks(text_buffer(batch.column(text))[1], BLOCK_BYTES):
+                part = batch.slice(i, j - i)
+                flat, count = encode_texts(path, [x or "" for x in part.column(text).to_pylist()])
+                offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*keep, ids])
 
     return base.mapInArrow(run, schema)
 
 
+def decode_ids(v: Vocabulary, ids: list[int]) -> str:
+    return b"".join(map(v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def decoder(path: str):
     """A function of an ids column: the decoded text, added tokens included, broken UTF-8 as U+FFFD."""
 
     def run(ids: pd.Series) -> pd.Series:
-        get = vocabulary(path).bytes_of.__getitem__
-        return ids.map(lambda x: b"".join(map(get, x.tolist())).decode("utf-8", "replace") if x is not None else None)
+        v = vocabulary(path)
+        return ids.map(lambda x: decode_ids(v, x.tolist()), na_action="ignore")
 
     return F.pandas_udf(run, "string")
 
 
-def ids_digest(ids: Column) -> Column:
-    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+def digests(path: str):
+    """A function of an ids column: struct of n_tokens, and SHA-256 of the ids joined by commas and of the decoded text."""
+
+    def run(ids: pd.Series) -> pd.DataFrame:
+        v, out = vocabulary(path), []
+        for x in ids:
+            own = x.tolist()
+            out.append((len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(decode_ids(v, own).encode()).hexdigest()))
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in an Arrow batch: a worker holds one batch of texts at a time, and the executor a few.
+BATCH_ROWS = 2000
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """``df``, and Arrow batches of at most BATCH_ROWS in its session, as its rows hold whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder of spark.checkpoint.dir; only where that is unset (tests) in a folder of its own."""
     sc = df.sparkSession.sparkContext

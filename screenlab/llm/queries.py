@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from . import bpe, chat, decontaminate, html_text, jaccard, quality, secret_scan, sharding, url_rules, vectors
 from .common import table
 
-#: Where the public vocabulary file is; a parameter of the tokenizer operators.
 def tokenizer_path() -> str:
+    """Where the public vocabulary file is; a parameter of the tokenizer operators."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -54,8 +54,8 @@ FROM r GROUP BY conv_id
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(bpe.decoder(path)("ids"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
+    return coded.select("doc_id", bpe.digests(path)("ids").alias("d")).select("doc_id", "d.*")
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
