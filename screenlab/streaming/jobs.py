@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,6 +53,9 @@ def early_stops(rows: DataFrame, group: str, seq: str, value: str, target: float
 
 def run_available(rows: DataFrame, name: str, mode: str = "update") -> DataFrame:
     """All that is there now, into a memory table."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if shared := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
+    query = writer.start()
     query.awaitTermination()
     return rows.sparkSession.table(name).select(*[F.col(c) for c in rows.columns])
