@@ -58,7 +58,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document."""
-    coded = bpe.encode(docs.select("doc_id", "text"), tokenizer_path()).select("doc_id", "ids")
+    coded = bpe.encode(docs.select("doc_id", "text"), tokenizer_path(), keep_text=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import long_rows
 from .words import blocks, hash_words, text_buffer
 
 #: Bytes of benchmark text sent to the executors at once; a larger benchmark is taken in blocks.
@@ -223,7 +224,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-n_bytes // BENCHMARK_BYTES))
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    base = long_rows(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_words long, n_hit long, spans {SPANS}, items array<string>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     passes = []

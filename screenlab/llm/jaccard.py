@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, long_rows
 from .vectors import forest
 from .words import blocks, hash_words, mix, shingles, text_buffer
 
@@ -196,7 +196,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
                 offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * (HASHES // ROWS))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(c)), pa.array(np.concatenate(size).astype(np.int32)), pa.ListArray.from_arrays(offsets, flat), pa.array(mh, pa.binary())], names=["doc_id", "c", "size", "keys", "mh"])
 
-    base = docs.select("doc_id", "text")
+    base = long_rows(docs).select("doc_id", "text")
     signed = cut(base.mapInArrow(sign, f"doc_id {id_type}, c long, size int, keys array<long>, mh binary"))
     usable = (F.col("size") > 0) & F.col("doc_id").isNotNull()
     classes = cut(signed.where(usable).groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("mh").alias("mh")))

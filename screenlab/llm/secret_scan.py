@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, long_rows
 from .words import text_buffer
 
 #: Kinds in the order that ties in start take: base patterns, then what linking adds.
@@ -87,7 +87,7 @@ def find(docs: DataFrame) -> DataFrame:
             rows = lambda k: pa.array([[{"kind": a, "start": b, "end": c} for a, b, c in x[k]] for x in both], kind)  # noqa: B023,E731
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), rows(0), rows(1)], names=["doc_id", "text_hash", "base", "weak"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, base {PARTS}, weak {PARTS}")
+    return long_rows(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, base {PARTS}, weak {PARTS}")
 
 
 def link(found: DataFrame, scope: int) -> DataFrame:
