@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few splits dealt over all cores: such input is small, and its texts are much work.
+
+    For plain scans; to count the partitions of other plans could run parts of them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 #: Rows in an Arrow batch: a worker holds one batch of texts at a time, and the executor a few.
 BATCH_ROWS = 2000
 

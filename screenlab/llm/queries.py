@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe, chat, decontaminate, html_text, jaccard, quality, secret_scan, sharding, url_rules, vectors
-from .common import table
+from .common import spread, table
 
 def tokenizer_path() -> str:
     """Where the public vocabulary file is; a parameter of the tokenizer operators."""
@@ -54,7 +54,7 @@ FROM r GROUP BY conv_id
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
+    coded = bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), path, keep_text=False)
     return coded.select("doc_id", bpe.digests(path)("ids").alias("d")).select("doc_id", "d.*")
 
 
@@ -115,11 +115,11 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     done = quality.scored(docs, model)
     return done.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
