@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relate import fixed
+
 #: Ranges of code points by block, ends included.
 BLOCKS = {
     "ASCII": (0x20, 0x7E), "Latin-1 Supplement": (0xA0, 0xFF), "Latin Extended-A": (0x100, 0x17F),
@@ -51,7 +53,8 @@ def nearest_ranks(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5,
     # Values are dealt to ranges; each range's total gives the place at which it begins.
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("low", F.min("v").over(Window.partitionBy("part")))
+    # They are fixed before the totals are taken, which hold for no other ranges.
+    placed = fixed(placed.withColumn("low", F.min("v").over(Window.partitionBy("part"))))
     sums = placed.groupBy("low").agg(F.sum("k").alias("total"))
     starts = sums.withColumn("start", F.sum("total").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))).select("low", F.coalesce("start", F.lit(0)).alias("start"))
     run = F.sum("k").over(Window.partitionBy("low").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relate import fixed
+
 
 def first_per_group(rows: DataFrame, group: str, order: str, groups: int = 4) -> DataFrame:
     """The first row of each of the first ``groups`` groups."""
@@ -47,11 +49,15 @@ def view(rows: DataFrame, verdicts: list[str], by: str = "worst") -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str, tie: str) -> DataFrame:
-    """Report row numbers by lower-cased name. Each range of names is numbered by itself and shifted."""
+    """Report row numbers by lower-cased name. Each range of names is numbered by itself and shifted.
+
+    The ranges are fixed before their sizes are counted: planned twice, they could be cut at other names.
+    """
     key = F.lower(name)
     parts = rows.withColumn("_k", key).repartitionByRange("_k", tie).withColumn("_p", F.spark_partition_id())
     low = Window.partitionBy("_p")
     parts = parts.withColumn("_low", F.min(F.struct("_k", tie)).over(low)).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k", tie)))
+    parts = fixed(parts)
     sizes = parts.groupBy("_low").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return parts.join(F.broadcast(starts), "_low").withColumn("row", (F.col("_s") + F.col("_i")).cast("long")).drop("_k", "_p", "_low", "_i", "_s")

@@ -60,6 +60,27 @@ def test_quantiles_and_picks(spark):
     assert [r["filename"] for r in rank.view(shown, [], "name").collect()] == ["A", "b"] and rank.view(shown, ["PASS"]).count() == 1
 
 
+def test_numbers_keep_wide_rows(spark):
+    n = 200_000
+    rows = spark.range(0, n, 1, 8).select(F.sha1(F.col("id").cast("string")).alias("filename"), F.col("id").alias("stem"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("wide"))
+    got = rank.numbered(rows, "filename", "stem").agg(F.count("*"), F.count_distinct("row"), F.min("row"), F.max("row"), F.count_if(F.length("wide") == 256)).first()
+    assert tuple(got) == (n, n, 1, n, n)
+    order = rank.numbered(rows, "filename", "stem").orderBy("row").select("stem").limit(1000).collect()
+    assert [r["stem"] for r in order] == [r["stem"] for r in rows.orderBy("filename").select("stem").limit(1000).collect()]
+    split = dataset.split(rows, "stem", [("demo", 9), ("test", 150), ("train", None)], 42).where("wide is not null").groupBy("split").count()
+    assert {r["split"]: r["count"] for r in split.collect()} == {"demo": 9, "test": 150, "train": n - 159}
+
+
+def test_quantiles_without_exchange_reuse(spark):
+    rows = spark.range(0, 100_000, 1, 8).select(((F.col("id") * 7919) % 100_000).cast("double").alias("v"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        r = metrics.nearest_ranks(rows, "v").first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert (r["p50"], r["p90"], r["p95"], r["n"]) == (50_000, 90_000, 95_000, 100_000)
+
+
 def test_aggregates_of_nothing(spark):
     none = spark.createDataFrame([], "cer double, wer double, verdict string")
     assert tuple(metrics.overall(none, "cer", "wer").first()) == (0.0, 0.0)
