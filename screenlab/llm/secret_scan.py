@@ -23,7 +23,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts: named identifiers, long mixed tokens and service addresses prove nothing alone.
 WEAK_ID = re.compile(r"""(?:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{4,})""", re.I | re.A)
 WEAK_ID_WORDS = ("client", "access", "account", "user", "login")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}", re.A)
+#: A token begins where a run of its characters does, after '=' too: KEY=VALUE; padding goes to the token before it.
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}", re.A)
 ADDRESS = re.compile(r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+""", re.I | re.A)
 #: A run of these of at least RUN bytes is in every access, hex and weak secret match.
 RUN = 20

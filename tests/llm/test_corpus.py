@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from screenlab.llm import decontaminate, jaccard, quality, secret_scan, sharding, vectors
 from screenlab.llm.words import hash_string, hash_words, text_buffer
 
@@ -190,3 +191,20 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.where("false")).isEmpty()
     spans = [{"start": 2, "end": 5, "kind": 0}, {"start": 4, "end": 7, "kind": 2}, {"start": 8, "end": 9, "kind": 1}]
     assert secret_scan.redacted("0123456789", spans) == "01[assign]7[access]9" and secret_scan.redacted(None, spans) is None
+
+
+def test_secrets_after_equals_signs(spark):
+    token, padded = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "aB3" * 12 + "=="
+    pairs = [
+        ("aws_access_key_id=AKIA" + "B" * 16 + "\naws_secret_access_key=", token, "\n"), ("client_id=my-client client_secret_key=", token, "&x=1"),
+        ("export AWS_ACCESS_KEY_ID=AKIA" + "B" * 16 + ";X=", padded, ";"), ("login=somebody k=", padded, token),
+    ]
+    texts = ["".join(p) for p in pairs] + ["aws_secret_access_key=" + token]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    for i, (before, secret, _) in enumerate(pairs):
+        assert (secret_scan.SECRET, len(before), len(before) + len(secret)) in [tuple(s) for s in found[i]["spans"]]
+    assert len([s for s in found[3]["spans"] if s["kind"] == secret_scan.SECRET]) == 2 and found[4]["spans"] == []
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()}
+    assert masked[0] == "aws_access_key_id=[access]\naws_secret_access_key=[linked_secret]\n"
+    assert masked[1] == "client_id=[linked_id] client_secret_key=[linked_secret]&x=1" and masked[4] == texts[4]
