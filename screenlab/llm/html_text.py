@@ -20,9 +20,9 @@ BLOCKS = SPACED | frozenset("address article aside body center dd details dialog
 #: An opening tag closes these first, up to the nearest of the elements that bound it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "table"}), "dt": ({"dt", "dd"}, {"dl", "table"}), "dd": ({"dt", "dd"}, {"dl", "table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
+    "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 #: A closing tag does not reach beyond these.
 SCOPE = frozenset("table td th".split())
@@ -95,13 +95,19 @@ def render(source: str) -> str:
     Tags open and close elements on a stack, with those that HTML implies. Text in hidden
     elements is left out. Blocks begin on lines of their own, paragraphs, headings, lists,
     tables and quotes with an empty line between; list items carry "- " or their number,
-    indented by depth; the cells of a table stand in aligned columns.
+    indented by depth; the cells of a table stand in aligned columns. Text in a table but in
+    no cell stands before its rows, where browsers show it.
     """
     page, stack, at, hidden = Page(), [], 0, 0
     lists: list[list] = []  # [next number or None]
-    tables: list[tuple[Page, list[list[str]]]] = []  # the page around, rows
+    tables: list[tuple[Page, list[list[str]], list[str]]] = []  # the page around, rows, texts in no cell
     pre = 0
 
+    def stray() -> None:
+        """Keep what the current table has in no cell."""
+        if text := page.done().strip("\n"):
+            tables[-1][2].append(text)
+
     def leave() -> None:
         nonlocal page, hidden, pre
         tag, unseen = stack.pop()
@@ -117,8 +123,9 @@ def render(source: str) -> str:
                 tables[-1][1].append([])
             page = Page()
         elif tag == "table":
-            inner, (page, rows) = page.done(), tables.pop()
-            lines = ([inner] if inner else []) + grid(rows)
+            stray()
+            page, rows, lines = tables.pop()
+            lines += grid(rows)
             if lines:
                 page.block(2)
                 page.verbatim("\n".join(lines))
@@ -145,11 +152,12 @@ def render(source: str) -> str:
             return
         if tag == "table":
             page.block(2)
-            tables.append((page, []))
+            tables.append((page, [], []))
             page = Page()
         elif tag == "tr" and tables:
             tables[-1][1].append([])
         elif tag in ("td", "th", "caption") and tables:
+            stray()
             page = Page()
         elif tag in ("ul", "ol"):
             page.block(1 if lists else 2)

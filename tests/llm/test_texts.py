@@ -71,6 +71,18 @@ def test_html_layout(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table>Intro<tr><td>a</td>stray<td>b</td></tr></table>", "Intro\nstray\na  b"), ("<table><tr><td>a</td></tr>last</table>end", "last\na\n\nend"),
+        ("x<table><form><h2>Head</h2><tr><td>a<tr><td>b</form></table>", "x\n\nHead\na\nb"), ("<table><tr>one<table><tr>two<td>in</table><td>out</table>", "one\n\ntwo\nin\nout"),
+        ("<table><caption>cap<td>a</table>", "cap\na"), ("<table><tr><td>a<caption>cap</caption><td>b</table>", "a\ncap\nb"), ("<table> <tr>\n<td>a</td> <td>b</td></table>", "a  b"),
+    ],
+)
+def test_html_text_in_no_cell(source, text):
+    assert html_text.render(source) == text
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "<p>x", "u"), (2, "<p>x", "u"), (3, "<div>" * 3000 + "deep", "u")], "page_id int, html string, text string")
     got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect() if r["text"] is not None)
