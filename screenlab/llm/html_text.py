@@ -101,6 +101,7 @@ def render(source: str) -> str:
     page, stack, at, hidden = Page(), [], 0, 0
     lists: list[list] = []  # [next number or None]
     tables: list[tuple[Page, list[list[str]], list[str]]] = []  # the page around, rows, texts in no cell
+    cells: list[int] = []  # open cells of each table
     pre = 0
 
     def stray() -> None:
@@ -115,6 +116,7 @@ def render(source: str) -> str:
         if unseen or hidden:
             return
         if tag in ("td", "th", "caption") and tables:
+            cells[-1] -= 1
             text = page.done()
             if tag == "caption" or not tables[-1][1]:
                 tables[-1][1].append([])
@@ -124,6 +126,7 @@ def render(source: str) -> str:
             page = Page()
         elif tag == "table":
             stray()
+            cells.pop()
             page, rows, lines = tables.pop()
             lines += grid(rows)
             if lines:
@@ -153,10 +156,12 @@ def render(source: str) -> str:
         if tag == "table":
             page.block(2)
             tables.append((page, [], []))
+            cells.append(0)
             page = Page()
         elif tag == "tr" and tables:
             tables[-1][1].append([])
         elif tag in ("td", "th", "caption") and tables:
+            cells[-1] += 1
             stray()
             page = Page()
         elif tag in ("ul", "ol"):
@@ -181,7 +186,8 @@ def render(source: str) -> str:
 
     def say(s: str) -> None:
         if s and not hidden:
-            if tables and stack and not any(t in ("td", "th", "caption") for t, _ in reversed(stack[-8:])) and not s.strip():
+            if cells and not cells[-1] and not s.strip(SPACE):
+                page.space = page.space or bool(page.out)
                 return
             s = html.unescape(s) if "&" in s else s
             page.verbatim(s) if pre else page.text(s)

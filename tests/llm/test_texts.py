@@ -83,6 +83,14 @@ def test_html_text_in_no_cell(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize("depth", [0, 7, 8, 200])
+def test_html_blanks_deep_in_cells(depth):
+    cell = lambda s: "<table><tr><td>" + "<div>" * depth + s + "</div>" * depth + "</td></tr></table>"
+    assert html_text.render(cell("<b>one</b> <i>two</i>")) == "one two" and html_text.render(cell("<pre><b>a</b>  \n <b>b</b></pre>")) == "a\n b"
+    assert html_text.render(cell(cell("<b>one</b> <i>two</i>") + "<b>x</b>\n<b>y</b>")) == "one two\n\nx y"
+    assert html_text.render("<table><b>one</b> <i>two</i> <tr> <td>c</td> </tr></table>") == "one two\nc"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "<p>x", "u"), (2, "<p>x", "u"), (3, "<div>" * 3000 + "deep", "u")], "page_id int, html string, text string")
     got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect() if r["text"] is not None)
