@@ -13,8 +13,14 @@ from .common import long_rows
 
 #: Fixed values of HTML: elements by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist textarea select".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
+#: Of these, what browsers show.
+PLAIN = frozenset("textarea xmp".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist select".split())
+#: Within drawings and formulas: what is not drawn where it stands, and what stands apart from its neighbours.
+FOREIGN = frozenset("svg math".split())
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
+APART = frozenset("text mi mn mo ms mtext".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCKS = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav section summary tr caption thead tbody tfoot option".split())
 #: An opening tag closes these first, up to the nearest of the elements that bound it.
@@ -27,7 +33,12 @@ CLOSES = {
 #: A closing tag does not reach beyond these.
 SCOPE = frozenset("table td th".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-UNSEEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)|style\s*=\s*(?:"[^"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*["']?true|type\s*=\s*["']?hidden""", re.I)
+#: Attributes without any of these hide nothing.
+HIDING = re.compile("hidden|style", re.I)
+ATTR = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*("[^"]*"|'[^']*'|[^ \t\n\r\f>]+))?""")
+#: What separates no declarations of a style: comments, strings, arguments.
+ENCLOSED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
+SELF_CLOSED = re.compile(r"""(?:^|[ \t\n\r\f"']|=[ \t\n\r\f]*(?:"[^"]*"|'[^']*')|(?:^|[ \t\n\r\f/"'])[^ \t\n\r\f/>="']+)/$""")
 START = re.compile(r"""start\s*=\s*["']?(\d+)""", re.I)
 SPACE = " \t\n\r\f"
 
@@ -37,6 +48,32 @@ def closing(tag: str) -> re.Pattern:
     return re.compile("</" + re.escape(tag), re.I | re.A)
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Names in small letters and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(source):
+        value = m[2] or ""
+        value = value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value
+        out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return out
+
+
+def visibility(source: str) -> tuple[bool, bool | None]:
+    """Whether attributes take an element out of the layout, and whether they veil its text (None: as around it)."""
+    if not HIDING.search(source):
+        return False, None
+    named, style = attributes(source), {}
+    for part in ENCLOSED.sub("", named.get("style", "")).split(";"):
+        key, _, value = part.partition(":")
+        value, mark, _ = value.strip().lower().partition("!")
+        key = key.strip().lower()
+        if value and (mark or not style.get(key, ("", ""))[1]):
+            style[key] = (value.strip(), mark)
+    display, seen = style.get("display", ("", ""))[0], style.get("visibility", ("", ""))[0]
+    gone = display == "none" if display and not display.startswith("revert") else "hidden" in named
+    return gone, True if seen in ("hidden", "collapse") else False if seen in ("visible", "initial") else None
+
+
 class Page:
     """Lines of text being laid out: pending spacing is written before the next visible text."""
 
@@ -93,7 +130,7 @@ def render(source: str) -> str:
     """All visible text of a page.
 
     Tags open and close elements on a stack, with those that HTML implies. Text in hidden
-    elements is left out. Blocks begin on lines of their own, paragraphs, headings, lists,
+    elements is left out: by their kind, the attribute ``hidden`` or their own style. Blocks begin on lines of their own, paragraphs, headings, lists,
     tables and quotes with an empty line between; list items carry "- " or their number,
     indented by depth; the cells of a table stand in aligned columns. Text in a table but in
     no cell stands before its rows, where browsers show it.
@@ -102,7 +139,10 @@ def render(source: str) -> str:
     lists: list[list] = []  # [next number or None]
     tables: list[tuple[Page, list[list[str]], list[str]]] = []  # the page around, rows, texts in no cell
     cells: list[int] = []  # open cells of each table
-    pre = 0
+    pre = foreign = 0
+
+    def veil() -> bool:
+        return bool(stack) and stack[-1][2]
 
     def stray() -> None:
         """Keep what the current table has in no cell."""
@@ -110,8 +150,9 @@ def render(source: str) -> str:
             tables[-1][2].append(text)
 
     def leave() -> None:
-        nonlocal page, hidden, pre
-        tag, unseen = stack.pop()
+        nonlocal page, hidden, pre, foreign
+        tag, unseen, _ = stack.pop()
+        foreign -= tag in FOREIGN
         hidden -= unseen
         if unseen or hidden:
             return
@@ -143,13 +184,17 @@ def render(source: str) -> str:
         elif tag == "blockquote":
             page.indent = page.indent[:-2]
             page.block(2)
+        elif foreign and tag in APART:
+            page.space = True
         elif tag in BLOCKS:
             page.block(2 if tag in SPACED else 1)
 
     def enter(tag: str, attrs: str) -> None:
-        nonlocal page, hidden, pre
-        unseen = tag in HIDDEN or bool(attrs and UNSEEN.search(attrs))
-        stack.append((tag, unseen))
+        nonlocal page, hidden, pre, foreign
+        unseen, veiled = visibility(attrs)
+        unseen = unseen or tag in HIDDEN or (foreign > 0 and tag in UNDRAWN)
+        stack.append((tag, unseen, veil() if veiled is None else veiled))
+        foreign += tag in FOREIGN
         hidden += unseen
         if hidden:
             return
@@ -181,25 +226,49 @@ def render(source: str) -> str:
         elif tag == "blockquote":
             page.block(2)
             page.indent += "  "
+        elif foreign and tag in APART:
+            page.space = True
         elif tag in BLOCKS:
             page.block(2 if tag in SPACED else 1)
 
     def say(s: str) -> None:
-        if s and not hidden:
+        if s and not hidden and not veil():
             if cells and not cells[-1] and not s.strip(SPACE):
                 page.space = page.space or bool(page.out)
                 return
             s = html.unescape(s) if "&" in s else s
             page.verbatim(s) if pre else page.text(s)
 
+    def plain(tag: str, attrs: str, s: str) -> None:
+        """What a text field or an example holds: no tags, blanks as they are."""
+        unseen, veiled = visibility(attrs)
+        s = html.unescape(s) if tag == "textarea" else s
+        if s.strip() and not hidden and not unseen and not (veil() if veiled is None else veiled):
+            s = s.removeprefix("\r").removeprefix("\n") if tag == "textarea" else s
+            apart = tag == "xmp" or "\n" in s
+            if apart:
+                page.block(1)
+            else:
+                page.space = True
+            page.verbatim(s)
+            if apart:
+                page.block(1)
+            else:
+                page.space = True
+
     while m := TOKEN.search(source, at):
         say(source[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if foreign and m[0].startswith("<![CDATA["):
+                end = source.find("]]>", m.start())
+                end = len(source) if end < 0 else end
+                say(source[m.start() + 9 : end].replace("&", "&amp;"))
+                at = end + 3
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+            if tag in ("br", "p") and not any(t == tag for t, *_ in stack):
                 page.block(1 if tag == "br" else 2)
                 continue
             for i in range(len(stack) - 1, -1, -1):
@@ -223,7 +292,7 @@ def render(source: str) -> str:
                     i -= 1
         elif tag in BLOCKS and stack and stack[-1][0] == "p":
             leave()
-        if stack and stack[-1][0] == "head" and tag not in RAW and tag not in VOID and tag != "head":
+        if stack and stack[-1][0] == "head" and tag not in RAW - PLAIN and tag not in VOID and tag != "head":
             leave()
         if tag == "br":
             if not hidden:
@@ -231,9 +300,13 @@ def render(source: str) -> str:
         elif tag in VOID:
             if tag == "hr" and not hidden:
                 page.block(2)
-        elif tag in RAW and not m[3].endswith("/"):
+        elif (foreign or tag in FOREIGN) and m[3].endswith("/") and SELF_CLOSED.search(m[3]):
+            continue
+        elif tag in RAW and not (foreign and tag in UNDRAWN):
             end = closing(tag).search(source, at)
             end = end.start() if end else len(source)
+            if tag in PLAIN:
+                plain(tag, m[3], source[at:end])
             at = len(source) if end == len(source) else (source.find(">", end) + 1 or len(source))
         else:
             enter(tag, m[3])

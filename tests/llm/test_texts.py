@@ -83,6 +83,23 @@ def test_html_text_in_no_cell(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<p title="the hidden gem">a</p>', "a"), ('<p class="hidden md:block">a</p>', "a"), ("<p data-hidden=1 class=hidden>a", "a"), ('<b aria-hidden="true">a</b>', "a"),
+        ('<p title="style=display:none">a', "a"), ('<p data-style="display:none">a', "a"), ("<p style='background:url(x;display:none)'>a", "a"), ("<p style='--x:\"display:none\"'>a", "a"),
+        ("<p hidden=''>a</p>b", "b"), ("<p HIDDEN>a</p>b", "b"), ("<p style='color:red; DISPLAY : none !important; display:block'>a</p>b", "b"), ("<p style=display:none>a</p>b", "b"),
+        ("<p hidden style='display:block'>a</p>b", "a\n\nb"), ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"), ("<p style='display&#58;none'>a</p>b", "b"),
+        ("<svg><title>t</title><desc>d</desc><style>s{}</style><path d='M0'/><text x=1>a</text><text>b</text></svg>c", "a b c"), ("<div><svg viewBox='0 0 1 1'/>a<p>b</div>c", "a\n\nb\n\nc"),
+        ("<div><math/>a<b>b</b></div>", "ab"), ("<svg><title/><text>a</text></svg>b", "a b"), ("<math><mn>1</mn><mo>+</mo><mi>x</mi><annotation>1+x</annotation></math> is", "1 + x is"),
+        ("<svg hidden><text>a</text></svg>b", "b"), ("<svg width=10/><text>a</text></svg>b", "a b"), ("<svg><text><![CDATA[a<b>&amp;]]></text></svg>", "a<b>&amp;"),
+        ("in: <textarea name=q>x &amp; <b>y</textarea>!", "in: x & <b>y !"), ("<textarea>\na\n  b</textarea>c", "a\n  b\nc"), ("<textarea hidden>a</textarea>b", "b"), ("<xmp><p>a</xmp>b", "<p>a\nb"),
+    ],
+)
+def test_html_what_is_visible(source, text):
+    assert html_text.render(source) == text
+
+
 @pytest.mark.parametrize("depth", [0, 7, 8, 200])
 def test_html_blanks_deep_in_cells(depth):
     cell = lambda s: "<table><tr><td>" + "<div>" * depth + s + "</div>" * depth + "</td></tr></table>"
