@@ -49,6 +49,11 @@ def minhash(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def compared(m: np.ndarray) -> np.ndarray:
+    """A byte of each minimum: minima are small numbers, so they are spread first; different ones agree by 1 in 256."""
+    return (m * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
 def sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct shingles of each text in order, where each text's begin) for blocks of rows."""
     data, offsets = text_buffer(column)
@@ -189,7 +194,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
                 for r in range(ROWS):
                     k = mix(k * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
                 keys.append(k.astype(np.int64).ravel())
-                mh += [x.tobytes() for x in (m >> np.uint32(24)).astype(np.uint8)]
+                mh += [x.tobytes() for x in compared(m)]
             rows = len(mh)
             if rows:
                 flat = pa.array(np.concatenate(keys))

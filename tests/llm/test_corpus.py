@@ -208,3 +208,14 @@ def test_secrets_after_equals_signs(spark):
     masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()}
     assert masked[0] == "aws_access_key_id=[access]\naws_secret_access_key=[linked_secret]\n"
     assert masked[1] == "client_id=[linked_id] client_secret_key=[linked_secret]&x=1" and masked[4] == texts[4]
+
+
+def test_unrelated_long_texts_are_pruned():
+    rng, vocab = np.random.default_rng(4), np.array([f"w{i}" for i in range(5000)])
+    own = [rng.choice(vocab, 2000).tolist() for _ in range(40)]
+    near = [w[:1000] + ["x"] + w[1001:] for w in own[:10]]
+    mh = np.concatenate([jaccard.compared(jaccard.minhash(s, begins)) for _, s, begins in jaccard.sets_of(pa.array([" ".join(w) for w in own + near]), 5)])
+    p, q = np.triu_indices(50, 1)
+    first = (mh[p, : jaccard.STEP] == mh[q, : jaccard.STEP]).sum(1) >= jaccard.least_matches(0.8)[jaccard.STEP]
+    assert list(zip(p[first].tolist(), q[first].tolist(), strict=True)) == [(i, 40 + i) for i in range(10)]
+    assert [x.tolist() for x in jaccard.pruned(mh, p, q, 0.8)] == [list(range(10)), list(range(40, 50))]
