@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlab.llm import bpe, decontaminate, jaccard, quality, secret_scan
-from screenlab.llm.common import bounded, same_text, table, written
+from screenlab.llm.common import bounded, cut, same_text, table, written
 from screenlab.llm.queries import tokenizer_path
 
 #: No SQL: the quality model is fitted and the spans of secrets are linked by code.
@@ -21,13 +21,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id. Of repeated rows, one stays.
+    """One document of each group: that of the smallest doc_id, and of its texts that of the least hash. Of repeated rows, one stays.
 
     Texts without words and rows of a null doc_id stay.
     """
-    found = jaccard.join(docs.select("doc_id", "text"))
-    gone = bounded(found.where("doc_id <> class_id").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti")
+    found = jaccard.join(docs.select("doc_id", "text"), parts_of=True)
+    found = cut(found.where("part is not null and n_links > 0").select("doc_id", "text_hash", "part").distinct())
+    first = bounded(found.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    gone = bounded(found.join(first, "part").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash"))
+    left = docs.alias("d").join(gone.alias("g"), same_text("d", "g"), "left_anti")
     again = bounded(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return left.select(*docs.columns)

@@ -163,7 +163,7 @@ def verify_bucket(key: int, rows: list[dict], threshold: float) -> tuple[list, l
     return [*(ids[i] for i in some), *(ids[i] for i, _ in tree)], [*(ids[i] for i in some), *(ids[j] for _, j in tree)], [*(int(links[i]) for i in some), *[0] * len(tree)]
 
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, parts_of: bool = False) -> DataFrame:
     """(doc_id, class_id, n_links) for each row of ``docs`` (doc_id, text).
 
     Two documents are linked when the Jaccard similarity of their sets of ``n``-word
@@ -179,6 +179,17 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
 
     Null and empty texts, and texts without words, link with nothing, and so do rows of a
     null doc_id (class_id null). Other columns are ignored; repeated rows are copies.
+
+    With ``parts_of`` come text_hash and ``part``, a number for what is linked: classes of
+    different texts can have one class_id where a doc_id has several texts. It is null for
+    rows that link with nothing by nature.
+    """
+    found = _joined(docs, threshold, n)
+    return found if parts_of else found.select("doc_id", "class_id", "n_links")
+
+
+def _joined(docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """All columns of join().
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -199,10 +210,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
             if rows:
                 flat = pa.array(np.concatenate(keys))
                 offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * (HASHES // ROWS))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(c)), pa.array(np.concatenate(size).astype(np.int32)), pa.ListArray.from_arrays(offsets, flat), pa.array(mh, pa.binary())], names=["doc_id", "c", "size", "keys", "mh"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.concatenate(c)), pa.array(np.concatenate(size).astype(np.int32)), pa.ListArray.from_arrays(offsets, flat), pa.array(mh, pa.binary())], names=["doc_id", "text_hash", "c", "size", "keys", "mh"])
 
     base = long_rows(docs).select("doc_id", "text")
-    signed = cut(base.mapInArrow(sign, f"doc_id {id_type}, c long, size int, keys array<long>, mh binary"))
+    signed = cut(base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, f"doc_id {id_type}, text_hash long, c long, size int, keys array<long>, mh binary"))
     usable = (F.col("size") > 0) & F.col("doc_id").isNotNull()
     classes = cut(signed.where(usable).groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("mh").alias("mh")))
     banded = classes.select("c", "size", F.explode("keys").alias("key"))
@@ -265,8 +276,8 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     found = cut(dealt.mapInArrow(verify, "a long, b long, links long"))
     top = components(found.where("a <> b").select("a", "b"))
     named = top.join(classes.select(F.col("c").alias("id"), "rep"), "id")
-    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select(F.col("id").alias("c"), "class_id")
+    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select(F.col("id").alias("c"), "class_id", "component")
     links = found.where("links > 0").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
-    by_class = classes.select("c", "rep", "copies").join(links, "c", "left").join(named, "c", "left").select("c", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = signed.where(usable).select("doc_id", "c").join(by_class, "c").select("doc_id", "class_id", "n_links")
-    return linked.union(signed.where(~usable).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    by_class = classes.select("c", "rep", "copies").join(links, "c", "left").join(named, "c", "left").select("c", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("component", "c").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = signed.where(usable).select("doc_id", "text_hash", "c").join(by_class, "c").select("doc_id", "class_id", "n_links", "text_hash", "part")
+    return linked.union(signed.where(~usable).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("part")))

@@ -34,3 +34,13 @@ def test_stages(spark, tmp_path):
     assert seen["secrets"][303]["text"].endswith("[assign]") and seen["secrets"][303]["n_chars"] == len(seen["secrets"][303]["text"])
     assert seen["secrets"][1]["text"] == texts[1] and seen["secrets"][1]["text_hash"] == "own"
     assert set(seen["encoding"]) == set(seen["secrets"]) and seen["encoding"][1]["n_tokens"] == len(seen["encoding"][1]["ids"])
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(rng.choices([f"word{i}" for i in range(300)], k=80)) for _ in range(4))
+    rows = [(1, a), (5, a + " tail"), (5, b), (2, c), (2, c + " tail"), (1, d), (7, d + " tail"), (7, d + " tail"), (9, ""), (9, ""), (9, None), (None, a), (1, a)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert [x for x in got if x[0] is None] == [(None, a)] and {(1, a), (5, b), (1, d)} <= set(got)
+    assert len([x for x in got if x[0] == 2]) == 1 and sorted(x[0] for x in got if x[0]) == [1, 1, 2, 5, 9, 9]
