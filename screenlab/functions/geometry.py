@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bind
+from .text import bind, strip
 
 #: Vertical reach of a line, and limits of the icons in the left gutter and the status bar.
 LINE_REACH = 12.0
@@ -52,7 +52,7 @@ def _drop_gutter_icons(items: Column) -> Column:
         return F.exists(F.when(F.size(items) > 0, at).otherwise(F.array().cast("array<int>")), lambda j: (j != i) & test(F.get(items, j)))
 
     def stays(b: Column, i: Column) -> Column:
-        w, h, t = b["x2"] - b["x1"], b["y2"] - b["y1"], F.trim(b["text"])
+        w, h, t = b["x2"] - b["x1"], b["y2"] - b["y1"], strip(b["text"])
         small = (b["x2"] <= GUTTER["right"]) & (w <= GUTTER["width"]) & (h <= GUTTER["height"]) & t.rlike(GUTTER_TEXT)
         beside = others(i, lambda o: (F.abs(b["y"] - o["y"]) <= LINE_REACH) & (o["x1"] >= b["x1"]) & (o["x2"] > GUTTER["right"]) & has_word(o["text"]))
         high = (b["y1"] <= STATUS["top"]) & (b["y2"] <= STATUS["bottom"]) & (w <= STATUS["width"]) & (h <= STATUS["height"]) & F.lower(t).isin("p", "up")

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PRESS_KEY, START_SIGN, bind
+from .text import PRESS_KEY, START_SIGN, bind, strip
 
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 TIMER = r"(?iuU)^\s*(\d{1,2})\s*[il|]?\s*[.:]\s*(\d{2})\s*[.:]?\s*$"
 BROKEN_TIMER = r"(?iuU)^[\dilohmn\s.:|-]{1,16}$"
 PLACEHOLDER = r"(?iuU)^[\-\s1ilhmin]+$"
@@ -44,10 +43,6 @@ def raw_lines(text: Column) -> Column:
     return F.when(last(parts) == "", but_last(parts)).otherwise(parts)
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
-
-
 def full_lines(text: Column) -> Column:
     """Lines without white space at their ends, empty ones left out."""
     return F.filter(F.transform(raw_lines(text), strip), lambda l: l != "")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The white space of the input rules (Java's \s under (?U) lacks four of these), and marks that are deleted.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 MARKS = "‏‎"
 #: A press verb, a garbled play/pause sign and a preposition, and the sign itself.
 PRESS_KEY = r"(?iuU)\b(Press|Presione|Appuyez)\s+(?:▶\s*(?:[fIl1|Ⅱ]{1,2}|A\s*(?:Ⅱ|II)?\s*[lI1|]?)|A\s*[lI1|]|™\s*[lI1|]|[fIl1|Ⅱ]{1,2})\s+(?=(?:to|para|pour|or)\b)"
@@ -52,6 +53,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, STRIP, "")
+
+
 def normalize_nfc(text: Column) -> Column:
     """Null as empty, NFC, direction marks deleted, white space collapsed."""
     return collapse(F.translate(unicode_form("NFC")(F.coalesce(text, F.lit(""))), MARKS, ""))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.text import crop_name
+from ..functions.text import crop_name, strip, unicode_form
 from .rank import numbered
 from .relate import first_wins
 
@@ -148,10 +148,14 @@ def balanced(rows: DataFrame, key: str, items: list[str], seed: int) -> DataFram
 
 
 def recognition_list(labels: DataFrame, known: Column, folder: str = "crops") -> DataFrame:
-    """(crop_path, text, box, known) of every text element that is large enough."""
-    e = labels.select("image_path", F.get("canvas_size", F.lit(0)).alias("w"), F.get("canvas_size", F.lit(1)).alias("h"), F.posexplode(text_elements(F.col("elements"))).alias("i", "e"))
+    """(crop_path, text, box, known) of every text element that is large enough.
+
+    Crops are numbered by the element's place among all elements, icons too; texts are NFC without white
+    space at their ends.
+    """
+    e = labels.select("image_path", F.get("canvas_size", F.lit(0)).alias("w"), F.get("canvas_size", F.lit(1)).alias("h"), F.posexplode("elements").alias("i", "e")).where("e.type = 'text'")
     box = geometry.crop_box(F.col("e.bbox"), F.col("w"), F.col("h"))
-    rows = e.withColumn("text", F.trim("e.text")).withColumn("box", box).where("text <> '' and box is not null")
+    rows = e.withColumn("text", strip(unicode_form("NFC")(F.coalesce("e.text", F.lit(""))))).withColumn("box", box).where("text <> '' and box is not null")
     return rows.select(crop_name(F.lit(folder), F.col("image_path"), F.col("i")).alias("crop_path"), "text", "box", in_dictionary(F.col("text"), known).alias("known"))
 
 
