@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +35,43 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of spark.checkpoint.dir; only where that is unset (tests) in a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; an error where none is set but in local mode."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: checkpointed in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def join_frequent(rows: DataFrame, table: DataFrame, key: list[str], many: str, count: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and in ``many`` how many of ``rows`` have it.
+
+    ``count`` are all rows. Keys of more than a quarter of a partition's share of them are at
+    most four times as many as the partitions, so theirs are broadcast; the others are joined
+    by a shuffle. So no task meets all rows of a frequent key. No key is null.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(100, count // (4 * parts))
+    frequent = F.broadcast(table.where(F.col(many) > most).drop(many))
+    rest = rows.join(F.broadcast(frequent.select(*key)), key, "left_anti").join(table.where(F.col(many) <= most).drop(many), key)
+    return rows.join(frequent, key).unionByName(rest)
+
+
+def with_least(edges: DataFrame, key: str, value: str, count: int) -> DataFrame:
+    """``edges`` with ``m``, the least ``value`` of each ``key``."""
+    low = cut(edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n_")))
+    return join_frequent(edges, low, [key], "n_", count)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for each id that has an edge.
 
@@ -53,13 +83,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = cut(e)
     for _ in range(rounds):
+        if not (count := e.count()):
+            break
         # Large star: what is larger than a node hangs on the smallest of its neighbours and itself.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = with_least(both, "a", "b", 2 * count).where("b > a")
+        large = cut(large.select(F.least("a", "m").alias("a"), "b").where("a < b").distinct())
         # Small star: a node and its smaller neighbours hang on the smallest of these.
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select("a", "b", "m")
+        small = with_least(large, "b", "a", count)
         small = small.select(F.col("m").alias("x"), F.col("a").alias("y")).union(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
         new = cut(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         # A forest of stars stays as it is: no centre is a leaf and no leaf has two centres.
@@ -77,18 +108,33 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the folder of spark.checkpoint.dir, read again."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """``df``, checkpointed, with a broadcast hint if it has at most ``rows`` narrow rows; else joins shuffle it."""
+#: Bytes of values up to which a table is broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def bytes_of(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes the values of a column take."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        own = F.octet_length(column)
+    elif isinstance(kind, T.StructType):
+        own = sum((bytes_of(column[f.name], f.dataType) for f in kind), F.lit(8))
+    elif isinstance(kind, T.ArrayType):
+        own = F.aggregate(column, F.lit(8).cast("long"), lambda n, x: n + bytes_of(x, kind.elementType))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, checkpointed, with a broadcast hint if its values take at most ``most`` bytes; else joins shuffle it."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    size = df.agg(F.sum(sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
 
 
 def same_text(docs: str, found: str) -> Column:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import bounded, components, cut, join_frequent
 
-#: Rows of one cell compared at a time; a fuller cell is taken in pairs of such chunks.
-CHUNK = 2048
+#: Rows of a label or cell compared at a time; a fuller one is taken in pairs of such chunks.
+CHUNK = 4096
+#: Rows of a large label by which its selectivity is measured, and coordinates of a block that cells may use.
+SAMPLE, MOST_COORDINATES = 384, 3
+#: What it costs to send a row to a task, in differences of coordinates.
+ROW_COST = 20_000
+#: Budgets are wider than the share by this much, which covers the rounding of rotated single-precision values.
+SLACK, SLACK_ADDED = 1 + 1e-5, 1e-9
 
 
+@cache
 def rotation(dim: int) -> np.ndarray:
     """A fixed random rotation, which spreads the vectors' energy over all dimensions."""
     q, r = np.linalg.qr(np.random.default_rng(11).standard_normal((dim, dim)))
@@ -28,36 +38,49 @@ def units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def block_sizes(dim: int, width: int) -> list[int]:
+def subspaces(dim: int, width: int, threshold: float) -> tuple[list[slice], np.ndarray]:
+    """Blocks of about ``width`` dimensions, and the squared distance that each may use up."""
     n = max(1, dim // width)
-    return [dim // n + (k < dim % n) for k in range(n)]
-
-
-def meet(home: np.ndarray, away: np.ndarray | None, unit: np.ndarray, weight: np.ndarray, ids: np.ndarray, blocks: list[slice], budgets: np.ndarray, block: int, threshold: float, turned: np.ndarray):
-    """Links between rows of a cell, found in this block and no earlier one: (i, j) row numbers."""
-    other = home if away is None else away
-    found = []
-    b = blocks[block]
-    for s in range(0, len(home), 512):
-        i = home[s : s + 512]
-        x, y = turned[i, b], turned[other, b]
-        d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-        near = d <= budgets[block]
-        if away is None:
-            near &= ids[i][:, None] < ids[other][None, :]
-        p, q = np.nonzero(near)
-        p, q = i[p], other[q]
-        for e in range(block):  # a pair that an earlier block has met belongs to it
-            if len(p):
-                gap = ((turned[p, blocks[e]] - turned[q, blocks[e]]) ** 2).sum(1)
-                keep = gap > budgets[e]
-                p, q = p[keep], q[keep]
-        if len(p):
-            ok = (unit[p] * unit[q]).sum(1) >= threshold
-            found.append((p[ok], q[ok]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    sizes = [dim // n + (k < dim % n) for k in range(n)]
+    ends = np.cumsum(sizes)
+    budgets = np.array([(2 - 2 * threshold) * s / dim for s in sizes]) * SLACK + SLACK_ADDED
+    return [slice(e - s, e) for s, e in zip(sizes, ends, strict=True)], budgets
+
+
+def gaps(x: np.ndarray, p: np.ndarray, q: np.ndarray, block: slice) -> np.ndarray:
+    """Squared distances within a block: the one test of whether two rows meet in it."""
+    d = x[p, block] - x[q, block]
+    return (d * d).sum(1)
+
+
+def meet(x: np.ndarray, home: np.ndarray, other: np.ndarray | None, block: slice, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row numbers) of ``home`` and ``other``, or within ``home``, that are within the budget in a block.
+
+    Both sides are ordered by the block's first coordinate, so a slab of one is compared with
+    the band of the other that it can reach. Each pair comes once.
+    """
+    home = home[np.argsort(x[home, block.start])]
+    other, alone = (home, True) if other is None else (other[np.argsort(x[other, block.start])], False)
+    first, reach = x[other, block.start], np.sqrt(budget)
+    for s in range(0, len(home), 128):
+        i = home[s : s + 128]
+        low = s if alone else np.searchsorted(first, x[i[0], block.start] - reach)
+        j = other[low : np.searchsorted(first, x[i[-1], block.start] + reach, "right")]
+        a, b = x[i, block], x[j, block]
+        # The expanded square picks, with room for its rounding; the difference decides.
+        p, q = np.nonzero((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T) <= budget + 1e-9)
+        if alone:
+            p, q = p[p < q], q[p < q]
+        p, q = i[p], j[q]
+        near = gaps(x, p, q, block) <= budget
+        yield p[near], q[near]
+
+
+def verified(unit: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose cosine reaches the threshold, in double precision."""
+    keep = [np.zeros(0, bool)] + [np.einsum("ij,ij->i", unit[p[s : s + 32_768]], unit[q[s : s + 32_768]]) >= threshold for s in range(0, len(p), 32_768)]
+    keep = np.concatenate(keep)
+    return p[keep], q[keep]
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -75,91 +98,175 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(int(i), int(up[i])) for i in np.flatnonzero(up != np.arange(n))]
 
 
+def summary(ids: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+    """(a, b, links): the links of each row, weighted by copies, and edges of a spanning forest."""
+    links = np.bincount(p, n[q], len(ids)) + np.bincount(q, n[p], len(ids))
+    some, tree = np.flatnonzero(links), forest(p, q, len(ids))
+    a, b = np.array([i for i, _ in tree], int), np.array([j for _, j in tree], int)
+    return pd.DataFrame({"a": np.concatenate([ids[some], ids[a]]), "b": np.concatenate([ids[some], ids[b]]), "links": np.concatenate([links[some], np.zeros(len(tree))]).astype(np.int64)})
+
+
+def cells_of(x: np.ndarray, block: slice, budget: float, coordinates: int) -> np.ndarray:
+    """Cells with sides of the budget's radius on the first coordinates of a block."""
+    return np.floor(x[:, block.start : min(block.stop, block.start + coordinates)] / np.sqrt(budget)).astype(np.int64)
+
+
+def steps(coordinates: int) -> list[tuple[int, ...]]:
+    """Home, and the half of the neighbouring cells that a row visits: each two neighbours meet once."""
+    return [o for o in itertools.product((-1, 0, 1), repeat=coordinates) if o >= (0,) * coordinates]
+
+
+def cheapest(x: np.ndarray, n: int, width: int, threshold: float) -> int:
+    """On how many coordinates of each block a label of ``n`` rows, of which ``x`` is a sample, is best dealt to cells; 0: on none.
+
+    Dealt whole, every pair of rows meets once and a row is sent to as many tasks as there are
+    chunks. In cells, only rows of neighbouring cells are compared, block by block.
+    """
+    dim = x.shape[1]
+    blocks, budgets = subspaces(dim, width, threshold)
+    cost = [n * n / 2 * dim + n * -(-n // CHUNK) * ROW_COST]
+    p, q = np.triu_indices(len(x), 1)
+    for m in range(1, MOST_COORDINATES + 1):
+        work, copies = 0.0, 0
+        for b, budget in zip(blocks, budgets, strict=True):
+            c = cells_of(x, b, budget, m)
+            near = (np.abs(c[p] - c[q]) <= 1).all(1).mean() if len(p) else 1.0
+            work += near * (b.stop - b.start)
+            copies += len(steps(c.shape[1]))
+        cost.append(n * n / 2 * work + n * copies * ROW_COST)
+    return int(np.argmin(cost))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, width: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id) for each row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors of the same label are linked when their cosine is at least ``threshold``.
     Unit vectors that near are within a squared distance of 2 - 2 * threshold; rotated and
     split into blocks of about ``width`` dimensions, they keep within the proportional share
-    of it in some block. Each block is range-joined on its first coordinate in cells of the
-    budget's radius: a vector is at home in its cell and visits the next one. Cells of over
-    CHUNK vectors are dealt out as pairs of chunks. A pair is verified in double precision in
-    the first block that it meets in, and each task returns counts and a spanning forest, so
-    neither pairs nor a label's or cell's rows meet in one place.
+    of it in some block. So each block is range-joined under its budget, and the union of
+    the pairs is verified in double precision.
+
+    Labels of up to CHUNK different vectors are joined in one task, block after block, each as
+    a band join on the block's first coordinate. Of a larger label a sample tells what cells
+    on one to three coordinates of each block would spare: where that outweighs the copies,
+    a vector is at home in its cell of each block and visits half of the neighbours, and a pair
+    is verified in the first block that it meets in; else the label is dealt as pairs of
+    chunks, in which each pair of vectors meets once. Cells of over CHUNK vectors are dealt as
+    chunks too. Each task returns counts and a spanning forest, so neither pairs nor a label's
+    or cell's rows meet in one place.
 
     Equal vectors of a label are joined as one, with their number. Null, zero and non-finite
     vectors, and those of a null label, have no links and are components of their own. Rows
-    that repeat a vec_id are linked as copies. An empty table gives an empty result.
+    that repeat a vec_id are linked as copies. Ids and labels have any types that can be
+    ordered; further columns are ignored. An empty table gives an empty result.
     """
-    usable = (F.col("label").isNotNull()) & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", "embedding", "label", F.coalesce(usable & fine, F.lit(False)).alias("ok"))
-    good = rows.where("ok").select("vec_id", "label", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("double")).alias("v"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = np.dtype("float32" if single else "float64")  # as exact as they came
+    id_type, label_type = (vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+
+    def pack(batches):
+        for batch in batches:
+            column = batch.column("embedding")
+            at = column.offsets.to_numpy()
+            x = column.values.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)  # one zero only
+            bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
+            some = np.concatenate(([0], np.cumsum(x != 0)))
+            ok = (np.diff(bad[at]) == 0) & (np.diff(some[at]) > 0) & column.is_valid().to_numpy(zero_copy_only=False) & batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+            v = [x[a:b].tobytes() if o else None for a, b, o in zip(at[:-1], at[1:], ok, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(v, pa.binary())], names=["vec_id", "label", "v"])
+
+    packed = rows.mapInArrow(pack, f"vec_id {id_type}, label {label_type}, v binary")
     # One row for each different vector of a label: copies are counted, the smallest id stands for them.
-    key = F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256)
-    member = cut(good.select("vec_id", "label", key.alias("h"), "v"))
-    classes = member.groupBy("label", "h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = cut(classes)
-    kind = "float32" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "float64"  # as exact as they came
-    dims = [r[0] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
-
-    edges, counts = None, None
-    for dim in sorted(dims):
-        e, c = _joined(classes.where(F.size("v") == dim), dim, threshold, width, kind)
-        edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
-    base = classes.select("label", "h", "id", "n")
-    if edges is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    top = components(edges)
-    got = base.join(counts.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(top, "id", "left")
-    got = got.select("label", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = member.select("vec_id", "label", "h").join(got, ["label", "h"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone)
-
-
-def _joined(classes: DataFrame, dim: int, threshold: float, width: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) of a spanning forest, and (id, links) weighted by copies, of vectors of one dimension."""
-    sizes = block_sizes(dim, width)
-    ends = np.cumsum(sizes)
-    blocks = [slice(e - s, e) for s, e in zip(sizes, ends, strict=True)]
-    slack = 1 + 1e-9
-    budgets = np.array([(2 - 2 * threshold) * s / dim * slack + 1e-12 for s in sizes])
-    turn = rotation(dim)
+    classes = cut(packed.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", (F.octet_length("v") / kind.itemsize).cast("int")))
+    found = cut(_met(classes, kind, threshold, width, id_type, label_type))
+    top = components(found.where("a <> b").select("a", "b"))
+    links = found.where("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    got = classes.join(links, "id", "left").join(top, "id", "left")
+    got = cut(got.select("label", "v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    count = got.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    linked = join_frequent(packed.where("v is not null"), got, ["label", "v"], "n", count).select("vec_id", "n_links", "component_id")
+    return linked.union(packed.where("v is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+
+
+def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_type: str, label_type: str) -> DataFrame:
+    """(a, b, links) of all tasks: a = b with the links that a task found, and edges of spanning forests."""
+    groups = bounded(classes.groupBy("label", "dim").agg(F.count("*").alias("rows")).where("rows > 1"))
+    schema, key = f"a {id_type}, b {id_type}, links long", ["label", "dim"]
+
+    def vectors_of(pdf: pd.DataFrame) -> np.ndarray:
+        return units(np.frombuffer(b"".join(pdf["v"]), kind).reshape(len(pdf), -1))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = vectors_of(pdf)
+        x, chunk = unit @ rotation(unit.shape[1]), pdf["chunk"].to_numpy()
+        one, two = np.flatnonzero(chunk == pdf["one"].iloc[0]), np.flatnonzero(chunk == pdf["two"].iloc[0])
+        same, place = pdf["one"].iloc[0] == pdf["two"].iloc[0], np.empty(len(pdf), np.int64)
+        place[one] = np.arange(len(one))
+        place[two] = np.arange(len(two))
+        met = np.zeros((len(one), len(two)), bool)  # the union over the blocks
+        for b, budget in zip(*subspaces(x.shape[1], width, threshold), strict=True):
+            for p, q in meet(x, one, None if same else two, b, budget):
+                p, q = (np.minimum(p, q), np.maximum(p, q)) if same else (p, q)
+                met[place[p], place[q]] = True
+        p, q = np.nonzero(met)
+        return summary(pdf["id"].to_numpy(), pdf["n"].to_numpy(), *verified(unit, one[p], two[q], threshold))
+
+    plain = groups.where(F.col("rows") <= CHUNK)
+    large = groups.where(F.col("rows") > CHUNK)
+    if large.isEmpty():
+        return _in_pairs(classes.join(plain, key), key).groupBy("label", "dim", "one", "two").applyInPandas(whole, schema)
+
+    # Larger labels: their selectivity is measured on about SAMPLE rows of the least hashes.
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = vectors_of(pdf)
+        m = cheapest(unit @ rotation(unit.shape[1]), int(pdf["rows"].iloc[0]), width, threshold)
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "coordinates": [m]})
+
+    some = classes.join(large, key).where((F.xxhash64("v").cast("double") / F.lit(2.0**64) + 0.5) * F.col("rows") < SAMPLE)
+    chosen = some.groupBy(*key).applyInPandas(measure, f"label {label_type}, dim int, coordinates int")
+    dealt = bounded(groups.join(chosen, key, "left").select(*key, "rows", F.coalesce("coordinates", F.lit(0)).alias("coordinates")))
+    done = _in_pairs(classes.join(dealt.where("coordinates = 0"), key), key).groupBy("label", "dim", "one", "two").applyInPandas(whole, schema)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["v"].to_numpy())
-            turned = units(v) @ turn
-            for k, b in enumerate(blocks):
-                cell = np.floor(turned[:, b.start] / np.sqrt(budgets[k])).astype(np.int64)
-                for step in (0, 1):
-                    yield pd.DataFrame({"label": pdf["label"], "block": k, "cell": cell + step, "visit": step, "id": pdf["id"], "n": pdf["n"], "v": [x.tobytes() for x in v.astype(kind)]})
-
-    cells = classes.mapInPandas(place, "label long, block int, cell long, visit int, id long, n long, v binary")
-    full = cells.groupBy("label", "block", "cell").agg(F.count("*").alias("rows"), F.sum(1 - F.col("visit")).alias("homes")).where("homes > 0 and rows > 1")
-    full = full.select("label", "block", "cell", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    dealt = cells.join(full, ["label", "block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    # A row of chunk c is in the pairs (c, d) for all d, as first or as second.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, ids, n = units(np.frombuffer(b"".join(pdf["v"]), kind).reshape(len(pdf), dim)), pdf["id"].to_numpy(), pdf["n"].to_numpy()
-        block, one, two = int(pdf["block"].iloc[0]), int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
-        chunk, visit = pdf["chunk"].to_numpy(), pdf["visit"].to_numpy()
-        turned = unit @ turn
+            for (dim, m), part in pdf.groupby(["dim", "coordinates"]):
+                x = (vectors_of(part) @ rotation(dim)).astype(np.float32)
+                sent = part[["label", "dim", "id", "n", "v"]].assign(x=[r.tobytes() for r in x])
+                for k, (b, budget) in enumerate(zip(*subspaces(dim, width, threshold), strict=True)):
+                    cell = cells_of(x.astype(np.float64), b, budget, m)
+                    for step in steps(cell.shape[1]):
+                        yield sent.assign(block=k, cell=list(cell + np.array(step)), visit=int(any(step)))
+
+    cells = classes.join(dealt.where("coordinates > 0"), key).select(*key, "id", "n", "v", "coordinates")
+    cells = cells.mapInPandas(place, f"label {label_type}, dim int, id {id_type}, n long, v binary, x binary, block int, cell array<long>, visit int")
+    by = ["label", "dim", "block", "cell"]
+    full = cells.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(1 - F.col("visit")).alias("homes")).where("homes > 0 and rows > 1").drop("homes")
+
+    def in_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit, k = vectors_of(pdf), int(pdf["block"].iloc[0])
+        x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1).astype(np.float64)
+        blocks, budgets = subspaces(x.shape[1], width, threshold)
+        chunk, visit, one, two = pdf["chunk"].to_numpy(), pdf["visit"].to_numpy(), pdf["one"].iloc[0], pdf["two"].iloc[0]
         at = lambda c, v: np.flatnonzero((chunk == c) & (visit == v))
         jobs = [(at(one, 0), None), (at(one, 0), at(one, 1))] if one == two else [(at(one, 0), at(two, 0)), (at(one, 0), at(two, 1)), (at(two, 0), at(one, 1))]
-        got = [meet(h, a, unit, n, ids, blocks, budgets, block, threshold, turned) for h, a in jobs if len(h) and (a is None or len(a))]
-        p = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-        q = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-        links = np.bincount(p, n[q], len(ids)) + np.bincount(q, n[p], len(ids))
-        some = np.flatnonzero(links)
-        tree = forest(p, q, len(ids))
-        return pd.DataFrame({"a": np.concatenate([ids[some], ids[[x for x, _ in tree]]]), "b": np.concatenate([ids[some], ids[[y for _, y in tree]]]), "links": np.concatenate([links[some], np.zeros(len(tree))]).astype(np.int64)})
-
-    done = cut(dealt.groupBy("label", "block", "cell", "one", "two").applyInPandas(verify, "a long, b long, links long"))
-    return done.where("a <> b").select("a", "b"), done.where("links > 0").select(F.col("a").alias("id"), "links")
+        ps, qs = [], []
+        for i, j in jobs:
+            for p, q in meet(x, i, j, blocks[k], budgets[k]):
+                for e in range(k):  # a pair that meets in an earlier block belongs to it
+                    later = gaps(x, p, q, blocks[e]) > budgets[e]
+                    p, q = p[later], q[later]
+                p, q = verified(unit, p, q, threshold)
+                ps.append(p)
+                qs.append(q)
+        none = np.zeros(0, np.int64)
+        return summary(pdf["id"].to_numpy(), pdf["n"].to_numpy(), np.concatenate([none, *ps]), np.concatenate([none, *qs]))
+
+    return done.union(_in_pairs(cells.join(full, by), by).groupBy(*by, "one", "two").applyInPandas(in_cell, schema))
+
+
+def _in_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of groups of ``rows`` rows dealt to chunks, each as often as there are pairs of chunks with its own: (one, two)."""
+    chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other")).drop("rows", "other")

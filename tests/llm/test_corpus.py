@@ -128,17 +128,30 @@ def test_shards(spark):
     assert sorted(map(repr, again[key].values.tolist())) == sorted(map(repr, got[key].values.tolist()))
 
 
-def test_vector_links(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CHUNK", 16)
+def vector_links(rows, threshold=0.93):
+    ok = {i: np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max() for i, v, l, _ in rows if l is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    label = {r[0]: r[2] for r in rows}
+    return [(a, b) for a in ok for b in ok if a < b and label[a] == label[b] and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= threshold]
+
+
+@pytest.mark.parametrize(("chunk", "cost", "kind"), [(4096, 20_000, "long"), (16, 20_000, "long"), (16, 0, "string"), (4, 0, "long")])
+def test_vector_links(spark, monkeypatch, chunk, cost, kind):
+    monkeypatch.setattr(vectors, "CHUNK", chunk)  # in one task, in pairs of chunks, in cells, in chunks of cells
+    monkeypatch.setattr(vectors, "ROW_COST", cost)
     rng = np.random.default_rng(8)
-    base = rng.standard_normal((12, 24))
+    base = rng.standard_normal((12, 24)) * ([4.0] * 3 + [1.0] * 21 if not cost else 1.0)
     vs = [(base[i % 12] + rng.standard_normal(24) * rng.choice([0.0, 0.15, 0.25, 0.3])).tolist() for i in range(150)]
-    odd = [None, [], [0.0] * 24, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23, [1.0, 2.0]]
+    # Exactly at the share of every block, and beside the threshold on either side.
+    turn, step = vectors.rotation(24), np.tile([1.0] + [0.0] * 7, 3)
+    for c in (0.93 + 1e-12, 0.93 + 1e-7, 0.93 - 1e-7):
+        x = np.tile([0.0, 1.0] + [0.0] * 6, 3) / np.sqrt(3)
+        vs += [(turn @ x).tolist(), (turn @ (c * x + np.sqrt(1 - c * c) * step / np.sqrt(3))).tolist()] * 2
+    odd = [None, [], [0.0] * 24, [float("nan")] * 24, [float("inf")] + [1.0] * 23, [None] + [1.0] * 23, [1.0, 2.0], [-0.0, 1.0], [0.0, 3.0]]
     rows = [(i, v, i % 2 if i % 11 else None, "n") for i, v in enumerate(vs + odd + [vs[0], [1e200 * x for x in vs[2]]])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n string")
-    ok = {i: np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max() for i, v, l, _ in rows if l is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    label = {r[0]: r[2] for r in rows}
-    links = [(a, b) for a in ok for b in ok if a < b and label[a] == label[b] and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= 0.93]
+    name = (lambda i: f"{i:04d}") if kind == "string" else (lambda i: i)
+    rows = [(name(i), v, l if l is None else name(l), n) for i, v, l, n in rows]
+    table = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>, label {kind}, n string")
+    links = vector_links(rows)
     n = defaultdict(int)
     for pair in links:
         for x in pair:
@@ -150,6 +163,26 @@ def test_vector_links(spark, monkeypatch):
     assert vectors.near_duplicates(table.where("false")).isEmpty()
 
 
+def test_cells_where_they_pay():
+    rng = np.random.default_rng(3)
+    even = vectors.units(rng.standard_normal((500, 64)))
+    uneven = vectors.units(rng.standard_normal((500, 64)) * np.tile([9.0] + [1.0] * 7, 8))
+    for x in (even, uneven):
+        assert vectors.cheapest(x, 5000, 8, 0.93) == 0 and vectors.cheapest(x, 10_000_000, 8, 0.93) > 0
+
+
+def test_bands_spare_comparisons():
+    rng = np.random.default_rng(4)
+    x = vectors.units(rng.standard_normal((2000, 64)))
+    blocks, budgets = vectors.subspaces(64, 8, 0.93)
+    met = [{(min(p), max(p)) for i, j in vectors.meet(x, np.arange(2000), None, b, c) for p in zip(i.tolist(), j.tolist(), strict=True)} for b, c in zip(blocks, budgets, strict=True)]
+    assert sum(map(len, met)) < 0.01 * 2000 * 1999 / 2  # all that is left to verify
+    for b, c, pairs in zip(blocks, budgets, met, strict=True):
+        p, q = np.triu_indices(2000, 1)
+        near = vectors.gaps(x, p, q, b) <= c
+        assert pairs == set(zip(p[near].tolist(), q[near].tolist(), strict=True))
+
+
 def test_quality(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choices("the and of to in is water house over with".split(), k=60)) + "."
