@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,22 +19,23 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 #: Of these, what browsers show.
 PLAIN = frozenset("textarea xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist".split())
 #: Within drawings and formulas: what is not drawn where it stands, and what stands apart from its neighbours.
 FOREIGN = frozenset("svg math".split())
 UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
 APART = frozenset("text mi mn mo ms mtext".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
-BLOCKS = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav section summary tr caption thead tbody tfoot option".split())
+BLOCKS = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav section summary tr caption thead tbody tfoot select optgroup option".split())
 #: An opening tag closes these first, up to the nearest of the elements that bound it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "table"}), "dt": ({"dt", "dd"}, {"dl", "table"}), "dd": ({"dt", "dd"}, {"dl", "table"}),
     "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, set()),
 }
-#: A closing tag does not reach beyond these.
-SCOPE = frozenset("table td th".split())
+#: A closing tag does not reach beyond these; those of a table's rows reach beyond cells.
+SCOPE, ROWS = frozenset("table td th".split()), frozenset("tr tbody thead tfoot".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 #: Attributes without any of these hide nothing.
 HIDING = re.compile("hidden|style", re.I)
@@ -41,6 +45,8 @@ ENCLOSED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
 SELF_CLOSED = re.compile(r"""(?:^|[ \t\n\r\f"']|=[ \t\n\r\f]*(?:"[^"]*"|'[^']*')|(?:^|[ \t\n\r\f/"'])[^ \t\n\r\f/>="']+)/$""")
 START = re.compile(r"""start\s*=\s*["']?(\d+)""", re.I)
 SPACE = " \t\n\r\f"
+#: Greatest spans of cells; and characters up to which a column, and a line's columns together, are padded: one long cell widens no other row.
+MOST_COLUMNS, MOST_ROWS, PAD, LINE = 1000, 65534, 200, 1000
 
 
 @cache
@@ -114,15 +120,49 @@ class Page:
         return "".join(self.out)
 
 
-def grid(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines, each column as wide as its widest line."""
-    cells = [[c.split("\n") for c in r] for r in rows if r]
-    n = max((len(r) for r in cells), default=0)
-    width = [max((len(x) for r in cells if len(r) > i for x in r[i]), default=0) for i in range(n)]
+def span(value: str | None, most: int) -> int:
+    """A number of columns or rows that a cell takes; 0 is as many as there are."""
+    digits = re.match(r"\s*\+?(\d{1,9})", value or "1", re.A)
+    number = int(digits[1]) if digits else 1
+    return min(number or most, most)
+
+
+def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of cells (text, columns, rows) as lines, each column as wide as its widest line.
+
+    A cell of several columns begins with the first; one of several rows stands in the first
+    and keeps its place free in the others.
+    """
+    placed, below = [], []
+    for r in filter(None, rows):
+        taken, at, line, long = sorted((x, y) for x, y, _ in below), 0, [], []
+        i = 0
+        for text, wide, tall in r:
+            while i < len(taken) and taken[i][0] <= at:
+                at, i = max(at, taken[i][1]), i + 1
+            line.append((at, at + wide, text.split("\n")))
+            if tall > 1:
+                long.append((at, at + wide, tall))
+            at += wide
+        placed.append(line)
+        below = [(x, y, n - 1) for x, y, n in below + long if n > 1]
+    # Only columns in which some cell begins count.
+    begins = sorted({x for line in placed for x, _, _ in line})
+    placed = [[(bisect_left(begins, x), bisect_left(begins, y), c) for x, y, c in line] for line in placed]
+    width = [0] * len(begins)
+    for x, y, c in sorted((cell for line in placed for cell in line), key=lambda cell: cell[1] - cell[0]):
+        w = min(PAD, max(map(len, c)))
+        width[y - 1] += max(0, w - sum(width[x:y]) - 2 * (y - x - 1))
+    start = [0, *accumulate(w + 2 for w in width)]
     lines = []
-    for r in cells:
-        for k in range(max(len(c) for c in r)):
-            lines.append("  ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(r)).rstrip())
+    for line in placed:
+        for k in range(max(len(c) for _, _, c in line)):
+            s = ""
+            for x, _, c in line:
+                if t := c[k] if k < len(c) else "":
+                    at = min(LINE, start[x])
+                    s = (s + "  " if s and len(s) + 2 > at else s.ljust(at)) + t
+            lines.append(s.rstrip())
     return lines
 
 
@@ -132,15 +172,23 @@ def render(source: str) -> str:
     Tags open and close elements on a stack, with those that HTML implies. Text in hidden
     elements is left out: by their kind, the attribute ``hidden`` or their own style. Blocks begin on lines of their own, paragraphs, headings, lists,
     tables and quotes with an empty line between; list items carry "- " or their number,
-    indented by depth; the cells of a table stand in aligned columns. Text in a table but in
-    no cell stands before its rows, where browsers show it.
+    indented by depth; the cells of a table stand in aligned columns, spans counted. Text in a
+    table but in no cell stands before its rows, where browsers show it. The options of a
+    choice are lines of their own. Values of input fields are no text of the page. A tag costs
+    the same however deep it stands, and padding is bounded, so work and output grow in
+    proportion to the page.
     """
     page, stack, at, hidden = Page(), [], 0, 0
     lists: list[list] = []  # [next number or None]
-    tables: list[tuple[Page, list[list[str]], list[str]]] = []  # the page around, rows, texts in no cell
-    cells: list[int] = []  # open cells of each table
+    tables: list[tuple[Page, list[list[tuple[str, int, int]]], list[str]]] = []  # the page around, rows, texts in no cell
+    cells: list[list[tuple[int, int]]] = []  # spans of the open cells of each table
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
     pre = foreign = 0
 
+    def nearest(tags) -> int:
+        """The place of the last open one of these elements, or -1."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=-1)
+
     def veil() -> bool:
         return bool(stack) and stack[-1][2]
 
@@ -152,16 +200,17 @@ def render(source: str) -> str:
     def leave() -> None:
         nonlocal page, hidden, pre, foreign
         tag, unseen, _ = stack.pop()
+        opened[tag].pop()
         foreign -= tag in FOREIGN
         hidden -= unseen
         if unseen or hidden:
             return
         if tag in ("td", "th", "caption") and tables:
-            cells[-1] -= 1
+            spans = cells[-1].pop()
             text = page.done()
             if tag == "caption" or not tables[-1][1]:
                 tables[-1][1].append([])
-            tables[-1][1][-1].append(text)
+            tables[-1][1][-1].append((text, *spans))
             if tag == "caption":
                 tables[-1][1].append([])
             page = Page()
@@ -193,6 +242,7 @@ def render(source: str) -> str:
         nonlocal page, hidden, pre, foreign
         unseen, veiled = visibility(attrs)
         unseen = unseen or tag in HIDDEN or (foreign > 0 and tag in UNDRAWN)
+        opened[tag].append(len(stack))
         stack.append((tag, unseen, veil() if veiled is None else veiled))
         foreign += tag in FOREIGN
         hidden += unseen
@@ -201,12 +251,13 @@ def render(source: str) -> str:
         if tag == "table":
             page.block(2)
             tables.append((page, [], []))
-            cells.append(0)
+            cells.append([])
             page = Page()
         elif tag == "tr" and tables:
             tables[-1][1].append([])
         elif tag in ("td", "th", "caption") and tables:
-            cells[-1] += 1
+            named = attributes(attrs) if "span" in attrs.lower() else {}
+            cells[-1].append((MOST_COLUMNS, 1) if tag == "caption" else (min(MOST_COLUMNS, span(named.get("colspan"), MOST_COLUMNS)), span(named.get("rowspan"), MOST_ROWS)))
             stray()
             page = Page()
         elif tag in ("ul", "ol"):
@@ -268,28 +319,19 @@ def render(source: str) -> str:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, *_ in stack):
+            if tag in ("br", "p") and not opened[tag]:
                 page.block(1 if tag == "br" else 2)
                 continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    while len(stack) > i:
-                        leave()
-                    break
-                if stack[i][0] in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
+            i = nearest({tag})
+            if i > nearest(frozenset() if tag == "table" else {"table"} if tag in ROWS else SCOPE - {tag}):
+                while len(stack) > i:
+                    leave()
             continue
         if tag in CLOSES:
             closed, bound = CLOSES[tag]
-            i = len(stack) - 1
-            while i >= 0 and stack[i][0] not in bound and stack[i][0] not in closed:
-                i -= 1
-            while i >= 0 and stack[i][0] in closed:
+            while (i := nearest(closed)) > nearest(bound):
                 while len(stack) > i:
                     leave()
-                i -= 1
-                while i >= 0 and stack[i][0] not in bound and stack[i][0] not in closed:
-                    i -= 1
         elif tag in BLOCKS and stack and stack[-1][0] == "p":
             leave()
         if stack and stack[-1][0] == "head" and tag not in RAW - PLAIN and tag not in VOID and tag != "head":

@@ -28,6 +28,38 @@ def test_best_branches_and_odd_trees(spark):
     assert set(formatted(chat.format_trees(spark.createDataFrame(rows, MESSAGES), best=2))) == {"d", "b", "o", "s", "t"}
 
 
+def brute_paths(rows, best):
+    """{leaf: [ids from the root]} of the best branches, by walking up from every leaf."""
+    m = {}
+    for r in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[2] is not None, r[2] or "", r[3] or "")):
+        m.setdefault(r[1], r)
+    up = {i: r[2] if r[2] in m and r[2] != i else None for i, r in m.items()}
+    found = {}
+    for leaf in set(m) - set(up.values()):
+        path = [leaf]
+        while (p := up[path[-1]]) and p not in path:
+            path.append(p)
+        if up[path[-1]] is None:
+            found.setdefault(path[-1], []).append((-sum(m[i][5] or 0.0 for i in path) / len(path), leaf, path[::-1]))
+    return {leaf: path for all_ in found.values() for _, leaf, path in sorted(all_)[:best]}
+
+
+@pytest.mark.parametrize("best", [1, 3])
+def test_paths_of_random_trees(spark, best):
+    import random
+
+    rng, rows = random.Random(best), []
+    for t in range(40):
+        for k in range(rng.randrange(1, 18)):
+            parent = f"{t}-{rng.randrange(k) if t % 3 else k - 1}" if k else rng.choice([None, "gone"])
+            rows.append((t, f"{t}-{k}", parent, rng.choice(["user", "assistant"]), f"<|{t} {k}", round(rng.random(), 3), 0))
+    rows += [(90, "y1", "y2", "user", "a", 0.0, 0), (90, "y2", "y1", "user", "b", 0.0, 0), (90, "y3", "y1", "user", "c", 0.0, 0)] + rows[5:20]
+    messages = spark.createDataFrame(rows, MESSAGES).withColumns({c: F.lit("clash") for c in ("leaf", "branch", "pos", "hash", "root", "segments")})
+    got = formatted(chat.format_trees(messages, best=best))
+    text = {r[1]: r[4] for r in rows}
+    assert {leaf: [t["text"] for t in r["turns"]] for leaf, r in got.items()} == {leaf: [text[i] for i in path] for leaf, path in brute_paths(rows, best).items()}
+
+
 def test_control_strings_come_back(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "\\<|\\\\n", "a<", "<|im_end|>\n", "\n\n", "", None, "x" * 20000 + "<|" * 500]
     roles = ["user", "a\\nb", "a\nb", "<|im_start|>", "\\\n", None, "", "assistant", "assistant", "assistant"]
@@ -55,6 +87,20 @@ def test_bpe_is_the_library(spark):
         want = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == want and r["back"] == t.decode(want, skip_special_tokens=False)
     assert bpe.encode(docs.where("false"), tokenizer_path()).isEmpty()
+    own = spark.createDataFrame([([15496, None, 10**6, -1],), (None,), ([],)], "ids array<int>").select(bpe.decoder(tokenizer_path())("ids").alias("t"), bpe.digests(tokenizer_path())("ids").alias("d"))
+    assert [(r["t"], r["d"]["n_tokens"]) for r in own.collect()] == [(t.decode([15496]), 3), (None, 0), ("", 0)]
+
+
+def test_bpe_of_long_texts_in_pieces(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
+    rng = random.Random(5)
+    for _ in range(40):
+        text = "".join(rng.choices(["a", "é1", " ", "  ", "\n", "'s", "!", "\u3000", "<|endoftext|>", "中", "x9"], k=400))
+        assert bpe.encode_texts(tokenizer_path(), [text])[0].tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(
@@ -100,6 +146,34 @@ def test_html_what_is_visible(source, text):
     assert html_text.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tr><th colspan=2>Name<th>N<tr><td>ab<td>c<td>1<tr><td>d<td>efg<td>22</table>", "Name     N\nab  c    1\nd   efg  22"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td>a<td colspan='x'>b<tr><td rowspan=0>cc<td>d<tr><td>e</table>", "a   b\ncc  d\n    e"),
+        ("<table><tr><td colspan=3>wide heading<tr><td>a<td>b<td>c</table>", "wide heading\na  b  c"), ("<table><caption>about the table<tr><td>a<td>b</table>", "about the table\na  b"),
+        ("<table><tr><td>" + "x" * 300 + "<td>a<tr><td>y<td>b</table>", "x" * 300 + "  a\ny" + " " * 201 + "b"),
+        ("Size <select><option>S<option selected>M<optgroup label=x><option>L</select> left", "Size\nS\nM\nL\nleft"), ("<select hidden><option>S</select>a<datalist><option>b</datalist>", "a"),
+        ("<table><tr><td>a<table><b>x</b></td></tr><tr><td>y</table>b<td>c</table>", "a  c\n\nx\ny\n\nb"), ("<p>a<b>b</p>c", "ab\n\nc"), ("<div><table><tr><td><i>a</div>b</i></table>c</div>d", "ab\n\nc\nd"),
+    ],
+)
+def test_html_cells_and_choices(source, text):
+    assert html_text.render(source) == text
+
+
+def test_html_work_grows_with_the_page():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        assert html_text.render(page)
+        return time.process_time() - began
+
+    for page in (lambda n: "a" + "<span>" * n + "</p>" * n, lambda n: "a" + "<b>" * n + "<li>" * n, lambda n: "<table>" + "<tr><td>a<td rowspan=3>b" * n, lambda n: "<div>" * n + "x</i>" * n):
+        took(page(500))
+        assert took(page(20_000)) < 40 * took(page(2000)) + 0.2
+
+
 @pytest.mark.parametrize("depth", [0, 7, 8, 200])
 def test_html_blanks_deep_in_cells(depth):
     cell = lambda s: "<table><tr><td>" + "<div>" * depth + s + "</div>" * depth + "</td></tr></table>"
