@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
@@ -26,8 +27,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
-#: Bytes of text indexed at a time, and words remembered between blocks.
-BLOCK_BYTES, CACHE_WORDS = 4_000_000, 200_000
+#: Bytes of text indexed at a time, and words remembered between blocks; characters of a long text split at a time.
+BLOCK_BYTES, CACHE_WORDS, PIECE_CHARS = 4_000_000, 200_000, 1_000_000
+#: Where a text can be cut: no word has a space behind a letter or number.
+SEAM = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
 
 
 class Vocabulary:
@@ -40,9 +43,8 @@ class Vocabulary:
         raw = {c: b for b, c in shown.items()}
         vocab = spec["model"]["vocab"]
         self.byte_id = np.array([vocab[shown[b]] for b in range(256)])
-        self.bytes_of = {i: bytes(raw[c] for c in t) if all(c in raw for c in t) else t.encode() for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = {i: bytes(raw[c] for c in t) if all(c in raw for c in t) else t.encode() for t, i in (vocab | self.special).items()}
         # Pairs as left id << 32 | right id, ascending, with the rank and the merged id of each.
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
@@ -158,15 +160,28 @@ class Words(dict):
 _words: dict[str, Words] = {}
 
 
+def pieces(v: Vocabulary, text: str) -> Iterator[str]:
+    """A text in parts whose words, one part after another, are the words of the whole; a text without such places is one part."""
+    at = 0
+    if not any(" " in t for t in v.special):
+        while len(text) - at > PIECE_CHARS and (m := SEAM.search(text, at + PIECE_CHARS)):
+            yield text[at : m.start()]
+            at = m.start()
+    yield text[at:]
+
+
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after another, and how many each has."""
     words = _words.get(path)
     if words is None or len(words) > CACHE_WORDS:
         words = _words[path] = Words(vocabulary(path))
-    seen = []
+    seen, parts = [], []
     for t in texts:
-        found = words.v.words(t)
-        seen.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+        for part in pieces(words.v, t):
+            found = words.v.words(part)
+            parts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+        seen.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        parts.clear()
     if words.fresh:
         words.settle()
     w = np.concatenate(seen) if seen else np.zeros(0, np.int32)
@@ -202,28 +217,47 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
     return base.mapInArrow(run, schema)
 
 
+def own_ids(ids: np.ndarray) -> list[int]:
+    """The ids of a row without nulls."""
+    return ids.tolist() if ids.dtype.kind in "iu" else [int(i) for i in ids if i is not None and i == i]
+
+
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:
-    return b"".join(map(v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    """The text of the ids; one that is not in the vocabulary stands for nothing, as in the library."""
+    return b"".join(v.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
 
 
 def decoder(path: str):
-    """A function of an ids column: the decoded text, added tokens included, broken UTF-8 as U+FFFD."""
+    """A function of an ids column: the decoded text, added tokens included, broken UTF-8 as U+FFFD.
+
+    Null ids and ids outside the vocabulary give nothing; a null row stays null.
+    """
 
     def run(ids: pd.Series) -> pd.Series:
         v = vocabulary(path)
-        return ids.map(lambda x: decode_ids(v, x.tolist()), na_action="ignore")
+        return ids.map(lambda x: decode_ids(v, own_ids(x)), na_action="ignore")
 
     return F.pandas_udf(run, "string")
 
 
 def digests(path: str):
-    """A function of an ids column: struct of n_tokens, and SHA-256 of the ids joined by commas and of the decoded text."""
+    """A function of an ids column: struct of n_tokens, and SHA-256 of the ids joined by commas and of the decoded text.
+
+    Null ids do not count; a null row is one without ids.
+    """
 
     def run(ids: pd.Series) -> pd.DataFrame:
         v, out = vocabulary(path), []
         for x in ids:
-            own = x.tolist()
-            out.append((len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(decode_ids(v, own).encode()).hexdigest()))
+            n, named, text = 0, hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+            decoded = hashlib.sha256()
+            for s in range(0, len(x) if x is not None else 0, 100_000):
+                own = own_ids(x[s : s + 100_000])
+                named.update(("," * (n > 0 and bool(own)) + ",".join(map(str, own))).encode())
+                decoded.update(text.decode(b"".join(v.bytes_of.get(i, b"") for i in own)).encode())
+                n += len(own)
+            decoded.update(text.decode(b"", True).encode())
+            out.append((n, named.hexdigest(), decoded.hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
