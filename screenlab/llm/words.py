@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at a time; a longer text is a block of its own.
+#: Bytes of text hashed at a time; a longer text is a block of its own, hashed in pieces of so many bytes.
 BLOCK = 1 << 19
 #: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -30,18 +30,13 @@ def _lower() -> np.ndarray:
     return t
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, BLOCK + 1)
-        for i, b in enumerate((BASE, UNBASE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[i] = p
-    return _powers
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse."""
+    out = np.full((2, n), np.array([[BASE], [UNBASE]], np.uint64))
+    out[:, 0] = 1
+    np.multiply.accumulate(out, axis=1, out=out)
+    return out[0], out[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,25 +68,49 @@ def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the index of its first word (and the end)."""
+def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, starts, ends) of the words of at most BLOCK bytes; a word does not go on over a break."""
     b = _lower()[data]
     inside = b != 0
     edge = np.empty(len(b) + 1, bool)
-    edge[0] = True
+    edge[0] = edge[-1] = True
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    edge[-1] = True
-    first = offsets[:-1][offsets[:-1] < len(b)]
-    edge[first] = True
+    edge[breaks] = True
     at = np.flatnonzero(edge)
     starts, ends = at[:-1], at[1:]
     is_word = inside[starts] if len(starts) else np.zeros(0, bool)
     starts, ends = starts[is_word], ends[is_word]
-    power, inverse = _power(len(b) + 1)
+    power, inverse = _powers(BLOCK + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(b.astype(np.uint64) * power[: len(b)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return h, np.searchsorted(starts, offsets)
+    return (sums[ends] - sums[starts]) * inverse[starts], starts, ends
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text the index of its first word (and the end).
+
+    Besides the result, memory is that of a piece of BLOCK bytes: a word that goes on in the
+    next piece is put together from its parts.
+    """
+    hashes, first, n = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0
+    open_at, open_bytes = -1, 0  # where the last word would go on, and how much of it there is
+    for s in range(0, len(data), BLOCK):
+        part = data[s : s + BLOCK]
+        i, j = np.searchsorted(offsets, (s, s + len(part)))
+        h, starts, ends = _piece(part, offsets[i:j] - s)
+        goes_on = bool(len(h)) and open_at == s and starts[0] == 0 and not (i < j and offsets[i] == s)
+        if goes_on:
+            last = hashes[-1]
+            last[-1] = (int(last[-1]) + pow(BASE, open_bytes, 1 << 64) * int(h[0])) % (1 << 64)
+        size = int(ends[-1] - starts[-1]) if len(h) else 0
+        if len(h) and ends[-1] == len(part):
+            open_at, open_bytes = s + len(part), size + (open_bytes if goes_on and len(h) == 1 else 0)
+        first[i:j] = n + np.searchsorted(starts, offsets[i:j] - s) - goes_on
+        if len(h) > goes_on:
+            hashes.append(h[int(goes_on) :])
+        n += len(h) - goes_on
+    first[np.searchsorted(offsets, len(data)) :] = n
+    return mix(np.concatenate(hashes)), first
 
 
 def hash_string(words: list[str]) -> np.ndarray:
@@ -111,6 +130,13 @@ def shingles(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray,
     A text of fewer words, but not none, has one shingle of all of them.
     """
     count = np.diff(starts)
+    if len(count) == 1 and len(words) >= n:  # nothing to sort out: no more memory than the result and one step
+        run = words[: len(words) - n + 1] * np.uint64(0xD6E8FEB86659FD93)
+        for k in range(1, n):
+            run += words[k : len(words) - n + 1 + k]
+            if k < n - 1:
+                run *= np.uint64(0xD6E8FEB86659FD93)
+        return mix(run), np.array([0, len(run)])
     many = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     begins = np.concatenate(([0], np.cumsum(many)))
     out = np.empty(int(begins[-1]), np.uint64)
