@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,50 +10,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_rows
+from .common import cut, long_rows
 from .words import blocks, hash_words, text_buffer
 
 #: Bytes of benchmark text sent to the executors at once; a larger benchmark is taken in blocks.
-BENCHMARK_BYTES = 32_000_000
+BENCHMARK_BYTES = 16_000_000
+#: Words of a shard, which has an index of its own, and bytes of texts held at a time. Only runs of benchmark words are indexed.
+SHARD_WORDS, HELD_BYTES = 1_000_000, 32_000_000
 #: Every so manieth suffix position is kept for locating.
 SAMPLE = 16
+#: The words of ``words``, as a pattern for texts whose A-Z are lower-cased.
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass
 class Phrases:
-    """Windows of the benchmark as word numbers, by length: {length: (windows, item of each)}."""
+    """The benchmark's words as numbers, one item after another, and its windows as places in these."""
 
-    hashes: np.ndarray  # of the words, ascending; a word's number is its index + 1
-    windows: dict[int, tuple[np.ndarray, np.ndarray]]
+    hashes: np.ndarray  # of the different words, ascending; a word's number is its index + 1
+    names: list[str]  # the words themselves, in that order
+    stream: np.ndarray  # the numbers of all words
+    windows: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: where each begins in the stream, its item
     items: list[str]
     filter: np.ndarray  # a bit for the low bits of each hash
 
     @property
-    def shortest(self) -> int:
-        return min(self.windows, default=1)
+    def lengths(self) -> tuple[int, int]:
+        return min(self.windows, default=1), max(self.windows, default=1)
 
 
 def phrases(texts: list[tuple[str, str]], n: int) -> Phrases:
+    """Of (item, text) rows; about 12 bytes for each word, besides the different words."""
     items = sorted({i for i, _ in texts})
     number = {x: k for k, x in enumerate(items)}
     data, offsets = text_buffer(pa.array([t for _, t in texts], pa.string()))
     h, first = hash_words(data, offsets)
     own = np.unique(h)
-    ids = (np.searchsorted(own, h) + 1).astype(np.int64)
-    found: dict[int, list] = {}
-    for k, (item, _) in enumerate(texts):
-        w = ids[first[k] : first[k + 1]]
-        if len(w):
-            size = min(n, len(w))
-            rows = np.lib.stride_tricks.sliding_window_view(w, size)
-            found.setdefault(size, []).append((rows, np.full(len(rows), number[item])))
-    windows = {}
-    for size, parts in found.items():
-        both = np.unique(np.column_stack([np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])]), axis=0)
-        windows[size] = (both[:, :-1], both[:, -1])
+    stream = (np.searchsorted(own, h) + 1).astype(np.int32)
+    names = [""] * len(own)
+    found: dict[int, tuple[list, list]] = {}
+    for k, (item, text) in enumerate(texts):
+        words, ids = WORD.findall(text.translate(LOWER)), stream[first[k] : first[k + 1]].tolist()
+        for w, i in zip(words, ids, strict=True):
+            if not names[i - 1]:
+                names[i - 1] = w
+            elif names[i - 1] != w:
+                raise ValueError(f"two words of the benchmark have one hash: {w}, {names[i - 1]}")
+        if words:
+            size = min(n, len(words))
+            begins, of = found.setdefault(size, ([], []))
+            begins.append(np.arange(first[k], first[k + 1] - size + 1, dtype=np.int32))
+            of.append(np.full(len(begins[-1]), number[item], np.int32))
+    windows = {size: (np.concatenate(begins), np.concatenate(of)) for size, (begins, of) in found.items()}
     bits = np.zeros(1 << min(24, max(10, (64 * len(own)).bit_length())), bool)
     bits[own & np.uint64(len(bits) - 1)] = True
-    return Phrases(own, windows, items, bits)
+    return Phrases(own, names, stream, windows, items, bits)
 
 
 class Wavelet:
@@ -112,17 +125,16 @@ class Index:
         self.marks = np.concatenate(([0], np.cumsum(self.marked)))
         self.kept = order[self.marked]
 
-    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range of suffixes that begin with each window, backwards from its last word."""
-        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), self.n)
+    def search(self, stream: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of suffixes that begin with each window of ``size`` words of the stream, backwards from its last word."""
+        low, high = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
         there = np.diff(self.count) > 0  # most windows of a large benchmark have a word that the shard lacks
-        open_ = np.arange(len(windows))
-        for k in range(windows.shape[1]):
-            open_ = open_[there[windows[open_, k] + 1]]
-        high[:] = 0
+        open_ = np.arange(len(begins))
+        for k in range(size):
+            open_ = open_[there[stream[begins[open_] + k] + 1]]
         high[open_] = self.n
-        for k in range(windows.shape[1] - 1, -1, -1):
-            c = windows[open_, k] + 1
+        for k in range(size - 1, -1, -1):
+            c = stream[begins[open_] + k].astype(np.int64) + 1
             low[open_] = self.count[c] + self.text.rank(c, low[open_])
             high[open_] = self.count[c] + self.text.rank(c, high[open_])
             open_ = open_[low[open_] < high[open_]]
@@ -154,56 +166,94 @@ def known_runs(p: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     text = np.searchsorted(first, at, "right")
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(text) != 0)))) if len(at) else at
     size = np.diff(np.append(new, len(at)))
-    keep = np.repeat(size >= p.shortest, size)
+    keep = np.repeat(size >= p.lengths[0], size)
     return at[keep], number[keep]
 
 
-def find(p: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """For each text of a shard: words, words hit, merged spans of these (word indexes), items found."""
+def known(p: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each text has, and text, word index and number of its words in runs of benchmark words."""
     data, offsets = text_buffer(column)
-    n = len(offsets) - 1
-    words, wheres, numbers, docs, base = np.zeros(n, np.int64), [], [], [], 0
+    words, found = np.zeros(len(offsets) - 1, np.int64), [np.zeros((3, 0), np.int64)]
     for i, j in blocks(offsets):
         h, first = hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         words[i:j] = np.diff(first)
         if p.windows:
             at, number = known_runs(p, h, first)
             d = np.searchsorted(first, at, "right") - 1
-            wheres.append(at - first[d])
-            numbers.append(number)
-            docs.append(d + i)
-        base += len(h)
-    hit_words, spans, items = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
-    where, number, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (wheres, numbers, docs))
+            found.append(np.stack([d + i, at - first[d], number]))
+    return words, *np.concatenate(found, axis=1)
+
+
+def occurrences(p: Phrases, doc: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are inside a window's occurrence, and the different (text, item) of the occurrences.
+
+    The words are indexed a shard at a time; a shard goes on into the next one by the longest
+    window less a word.
+    """
+    hit, pairs = np.zeros(len(where), bool), [np.zeros((0, 2), np.int64)]
     if not len(where):
-        return words, hit_words, spans, items
+        return hit, pairs[0]
     # The runs one after another, 0 before each.
     new = np.concatenate(([True], (np.diff(where) != 1) | (np.diff(doc) != 0)))
     place = np.arange(len(where)) + np.cumsum(new)
-    s = np.zeros(int(place[-1]) + 1, np.int64)
+    s = np.zeros(int(place[-1]) + 1, np.int32)
     s[place] = number
     back = np.full(len(s), -1)
     back[place] = np.arange(len(where))
-    index = Index(s, len(p.hashes))
-    cover, pairs = np.zeros(len(s) + 1, np.int64), []
-    for size, (windows, item) in p.windows.items():
-        low, high = index.search(windows)
-        some = np.flatnonzero(high > low)
-        many = (high - low)[some]
-        rows = np.repeat(low[some] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        pos = index.locate(rows)
-        np.add.at(cover, pos, 1)
-        np.add.at(cover, pos + size, -1)
-        pairs.append(np.unique(np.column_stack([doc[back[pos]], np.repeat(item[some], many)]), axis=0))
-    hit = back[np.flatnonzero(np.cumsum(cover)[:-1] > 0)]
-    np.add.at(hit_words, doc[hit], 1)
-    if len(hit):
-        begin = np.flatnonzero(np.concatenate(([True], (np.diff(where[hit]) != 1) | (np.diff(doc[hit]) != 0))))
-        for a, b in zip(begin, np.append(begin[1:], len(hit)), strict=True):
-            spans[doc[hit[a]]].append({"start": int(where[hit[a]]), "end": int(where[hit[b - 1]]) + 1})
-    for d, k in np.unique(np.concatenate(pairs), axis=0):
+    cover = np.zeros(len(s) + 1, np.int64)
+    for t in range(0, len(s), SHARD_WORDS):
+        index = Index(s[t : t + SHARD_WORDS + p.lengths[1] - 1], len(p.hashes))
+        for size, (begins, item) in p.windows.items():
+            low, high = index.search(p.stream, begins, size)
+            some = np.flatnonzero(high > low)
+            # Equal windows have one range, which is located once.
+            low, at, window = np.unique(low[some], return_index=True, return_inverse=True)
+            many = high[some][at] - low
+            pos = t + index.locate(np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum())))
+            np.add.at(cover, pos, 1)
+            np.add.at(cover, pos + size, -1)
+            of = np.unique(np.column_stack([np.repeat(np.arange(len(low)), many), doc[back[pos]]]), axis=0)
+            items = np.unique(np.column_stack([window, item[some]]), axis=0)
+            n = np.bincount(items[:, 0], minlength=len(low))
+            each, start = n[of[:, 0]], (np.cumsum(n) - n)[of[:, 0]]
+            row = np.repeat(start - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+            pairs.append(np.column_stack([np.repeat(of[:, 1], each), items[row, 1]]))
+    hit[back[np.flatnonzero(np.cumsum(cover)[:-1] > 0)]] = True
+    return hit, np.unique(np.concatenate(pairs), axis=0)
+
+
+def mistaken(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, number: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Which of the words hit are other words than those of the benchmark that have their hash."""
+    wrong, at = [], np.flatnonzero(hit)
+    for i in np.split(at, np.flatnonzero(np.diff(doc[at])) + 1) if len(at) else []:
+        words = (m[0] for m in WORD.finditer(texts[int(doc[i[0]])].as_py().translate(LOWER)))
+        n = -1
+        for k in i:
+            while n < where[k]:
+                w, n = next(words), n + 1
+            if w != p.names[number[k] - 1]:
+                wrong.append(k)
+    return np.array(wrong, np.int64)
+
+
+def find(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """For each of ``texts``: words hit, merged spans of these (word indexes), items found."""
+    while True:
+        hit, pairs = occurrences(p, doc, where, number)
+        wrong = mistaken(p, texts, doc, where, number, hit)
+        if not len(wrong):
+            break
+        doc, where, number = (np.delete(x, wrong) for x in (doc, where, number))
+    n = len(texts)
+    spans, items = [[] for _ in range(n)], [[] for _ in range(n)]
+    doc, where = doc[hit], where[hit]
+    if len(doc):
+        begin = np.flatnonzero(np.concatenate(([True], (np.diff(where) != 1) | (np.diff(doc) != 0))))
+        for a, b in zip(begin, np.append(begin[1:], len(doc)), strict=True):
+            spans[doc[a]].append({"start": int(where[a]), "end": int(where[b - 1]) + 1})
+    for d, k in pairs:
         items[d].append(p.items[k])
-    return words, hit_words, spans, items
+    return np.bincount(doc, minlength=n), spans, items
 
 
 SPANS = "array<struct<start:long,end:long>>"
@@ -217,10 +267,11 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame
     inside an occurrence of a window is hit; ``spans`` are the merged hit words (word
     indexes, end exclusive), ``items`` the ids found, as strings in order.
 
-    Each Arrow batch of documents is a shard with an FM-index of its own: only runs of
-    benchmark words can hold a window, so these are indexed, at their full number. No
-    shuffle, and nothing of the documents leaves its task. A benchmark of over
-    BENCHMARK_BYTES is taken in blocks of items, each against all documents.
+    A task's documents make up shards of SHARD_WORDS words, each with an FM-index of its own:
+    only runs of benchmark words can hold a window, so these are indexed, at their full number.
+    Windows are found by the hashes of their words; the words of what is found are compared as
+    they are. No shuffle, and nothing of the documents leaves its task. A benchmark of over
+    BENCHMARK_BYTES is taken in blocks of items, each against all documents, one after another.
 
     Null and empty texts have no words. Items of the same id count as one; a null item_id
     is the empty string. Repeated rows stay repeated; other columns are ignored.
@@ -238,14 +289,30 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame
         sent = spark.sparkContext.broadcast(phrases([tuple(r) for r in block.collect()], window))
 
         def run(batches, sent=sent):
-            for batch in batches:
-                words, hits, spans, found = find(sent.value, batch.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(words), pa.array(hits), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))],
-                    names=["doc_id", "text_hash", "n_words", "n_hit", "spans", "items"],
-                )
+            p, held, size = sent.value, [], 0
+
+            def done():
+                ids, hashes, texts = (pa.concat_arrays([b.column(c) for b, _ in held]) for c in ("doc_id", "text_hash", "text"))
+                begins = np.cumsum([0] + [b.num_rows for b, _ in held])
+                doc = np.concatenate([k[1] + i for (_, k), i in zip(held, begins, strict=False)])
+                hits, spans, found = find(p, texts, doc, *(np.concatenate([k[c] for _, k in held]) for c in (2, 3)))
+                columns = [ids, hashes, pa.array(np.concatenate([k[0] for _, k in held])), pa.array(hits), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_words", "n_hit", "spans", "items"])
 
-        passes.append(base.mapInArrow(run, schema))
+            for batch in batches:
+                held.append((batch, known(p, batch.column("text"))))
+                size += batch.nbytes + len(held[-1][1][1]) * (HELD_BYTES // SHARD_WORDS)
+                if size >= HELD_BYTES:
+                    yield done()
+                    held, size = [], 0
+            if held:
+                yield done()
+
+        rows = base.mapInArrow(run, schema)
+        if n_blocks > 1:  # each pass is run on its own, so that one block is out at a time
+            rows = cut(rows)
+            sent.destroy()
+        passes.append(rows)
     if n_blocks == 1:
         return passes[0]
     rows = passes[0]
