@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut
@@ -50,23 +51,30 @@ def range_of(bounds: list[tuple[int, int]]):
     return F.pandas_udf(find, "long")
 
 
-def shard(docs: DataFrame, shards: int = 8, whole: float = 0.01, rounds: int = 4) -> DataFrame:
+def _number(docs: DataFrame) -> Column:
+    """doc_id as a number for the order within equal texts: itself, or a hash of what is no number."""
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    return F.coalesce(F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id"), F.lit(-1).cast("long"))
+
+
+def shard(docs: DataFrame, shards: int = 8, whole: float = 0.01, rounds: int = 12) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with its shard of near-equal bytes and a gapless slot.
 
     Size is the UTF-8 bytes of the text (null: none) plus 1. Keys are (hash of the text,
     doc_id), so equal texts are neighbours. A size-weighted sample of keys gives quantile
     boundaries; rows are dealt to these ranges, a range of over twice the aim is sampled
-    again and subdivided, inside a hot text by doc_id. Exact sums of the ranges then place
+    again and subdivided, inside a hot text by doc_id, until only rows of one key are left in it. Exact sums of the ranges then place
     every row on the line of all bytes, which is cut into ``shards`` equal parts. Equal texts
     of at most ``whole`` of a shard's bytes within a range stay together, so a shard's bytes
     are off by at most that share or its longest text; larger groups are split between rows.
 
     Result: doc_id, size, text_crc32, shard, slot (0.. within the shard, in key order).
-    Rows that repeat a doc_id and text are all kept. Other columns are ignored. An empty
-    table gives an empty result. Only ranges meet in one task, never a shard or a group.
+    Rows that repeat a doc_id and text are all kept. Ids may be of any type. Other columns are
+    ignored. An empty table gives an empty result. Only ranges meet in one task, never a shard
+    or a group; the driver holds the sample and the boundaries, 16 bytes for 16 MB of texts.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), _number(docs).alias("id"))
     rows = cut(rows)
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = max(LEAST_RANGES, -(-total // RANGE_BYTES))
