@@ -62,7 +62,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_cha
     none = base.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if not forms:
         return none
-    keys = base.distinct().select("*", F.explode(F.array_compact(F.array(*forms))).alias("digest")).withColumn("short", F.substring("digest", 1, prefix_chars))
+    # Only rows that some rule fits are aggregated; equal rows have one result, so pages need no numbers.
+    keys = base.select("*", F.explode(F.array_compact(F.array(*forms))).alias("digest")).withColumn("short", F.substring("digest", 1, prefix_chars))
     hit = keys.join(rules, "short").where("digest = r_digest")
     rank = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
     best = hit.groupBy("page_id", "host", "path").agg(F.max(rank).alias("best"))
