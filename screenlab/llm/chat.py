@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, join_frequent
 
 START, END, TAIL = "<|im_start|>", "<|im_end|>", "\n"
 
@@ -31,10 +31,11 @@ def unescape_role(role: Column) -> Column:
 
 
 def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Pointer tables to ancestors 1, 2, 4, ... up, and (id, root, depth, total) of every node that reaches a root.
+    """Pointer tables to ancestors 1, 2, 4, ... up, and (id, root, depth, score) of every node that reaches a root.
 
     ``nodes``: id, parent (null at a root), score. Each round joins the pointers with
-    themselves, so a tree of depth d takes log2(d) self-joins.
+    themselves, so a tree of depth d takes log2(d) self-joins. A node whose parent is absent
+    is a root; its pointers, and those past it, lead nowhere.
     """
     at = cut(nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("total"), F.col("id").alias("root")))
     tables: list[DataFrame] = []
@@ -49,6 +50,28 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return tables, at.where("up is null").select("id", "root", (F.col("n") - 1).alias("depth"), (F.col("total") / F.col("n")).alias("score"))
 
 
+def paths(nodes: DataFrame, best: int) -> DataFrame:
+    """(leaf, branch, id, pos): the messages of the ``best`` branches of each root, from the root down."""
+    tables, placed = jumps(nodes)
+    leaves = placed.join(nodes.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("many"))
+    ends = cut(leaves.groupBy("root").agg(F.count("*").alias("ends"), F.min("id").alias("leaf")).join(sizes, "root"))
+    # A tree of a single branch is that branch: its nodes need no search.
+    plain = ends.where("ends = 1").select("root", "leaf", "many")
+    one = join_frequent(placed.select("root", "id", F.col("depth").alias("pos")), plain, ["root"], "many", placed.count())
+    one = one.select("leaf", F.lit(1).alias("branch"), "id", "pos")
+    forks = ends.where("ends > 1").select("root")
+    if forks.isEmpty():
+        return one
+    order = Window.partitionBy("root").orderBy(F.desc("score"), "id")
+    chosen = leaves.join(forks, "root", "left_semi").withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
+    steps = cut(chosen.select(F.col("id").alias("leaf"), "branch", "id", F.col("depth").alias("pos")))
+    for k, up in enumerate(tables):
+        moved = steps.where(F.col("pos") >= 1 << k).join(up, "id")
+        steps = cut(steps.union(moved.select("leaf", "branch", F.col("up").alias("id"), (F.col("pos") - (1 << k)).alias("pos"))))
+    return one.union(steps)
+
+
 def format_trees(messages: DataFrame, best: int = 1, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """The ``best`` branches of each reply tree, each formatted as one conversation.
 
@@ -58,24 +81,17 @@ def format_trees(messages: DataFrame, best: int = 1, train_roles: tuple[str, ...
     branch (1 is best), n_turns, segments array<struct<text, loss>>; the conversation is
     the concatenation of its segments, and the loss mask covers those with ``loss``.
 
-    A message that is its own parent or whose parent is absent is a root. Repeated ids
-    count once (least parent, role, text). Messages whose chain of parents is a cycle have
-    no root and form no path. Null text or role is empty, null score 0. Further columns
-    are ignored; an empty table gives an empty result.
+    Edges alone are joined; texts are shuffled to be made distinct and to meet in their
+    conversation. A message that is its own parent or whose parent is absent is a root.
+    Repeated ids count once (least parent, role, hash of the text). Messages whose chain of
+    parents is a cycle have no root and form no path. Null text or role is empty, null score 0.
+    Further columns are ignored; an empty table gives an empty result.
     """
-    m = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    m = m.where("id is not null").groupBy("id").agg(F.min(F.struct("parent", "role", "text", "tree", "score")).alias("m")).select("id", "m.*")
-    m = cut(m)
-    ids = m.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    nodes = m.select("id", "tree", "score", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent")).join(ids, "parent", "left")
-    nodes = cut(nodes.select("id", "tree", "score", F.when(F.col("known"), F.col("parent")).alias("parent")))
-    tables, placed = jumps(nodes)
-    leaves = placed.join(nodes.select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
-    order = Window.partitionBy("root").orderBy(F.desc("score"), "id")
-    chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best).select(F.col("id").alias("leaf"), "branch", "depth")
-    steps = cut(chosen.select("leaf", "branch", F.col("leaf").alias("id"), F.col("depth").alias("pos")))
-    for k, up in enumerate(tables):
-        steps = cut(steps.union(steps.join(up, "id").select("leaf", "branch", F.col("up").alias("id"), (F.col("pos") - (1 << k)).alias("pos"))))
+    text = F.coalesce("text", F.lit(""))
+    m = messages.where("id is not null").select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), F.xxhash64(text).alias("hash"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    nodes = cut(m.groupBy("id").agg(F.min(F.struct("parent", "role", "hash", "tree", "score")).alias("m")).select("id", "m.*"))
+    steps = paths(nodes.select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent"), "score"), best)
+    steps = steps.join(nodes.select("id", "tree", "role", "hash"), "id")
     body = escape(F.col("text"))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     pieces = F.array(
@@ -84,7 +100,8 @@ def format_trees(messages: DataFrame, best: int = 1, train_roles: tuple[str, ...
         F.struct(F.lit(END + TAIL).alias("text"), F.lit(False).alias("loss")),
     )
     turn = F.struct("pos", pieces.alias("pieces"))
-    rows = steps.join(m.select("id", "tree", "role", "text"), "id")
+    said = m.groupBy("id", "role", "hash").agg(F.min("text").alias("text"))
+    rows = said.join(steps, ["id", "role", "hash"])
     out = rows.groupBy("leaf", "branch").agg(F.first("tree").alias("tree"), F.count("*").alias("n_turns"), F.sort_array(F.collect_list(turn)).alias("turns"))
     return out.select("tree", "leaf", "branch", "n_turns", F.flatten(F.transform("turns", lambda t: t["pieces"])).alias("segments"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe, chat, decontaminate, html_text, jaccard, quality, secret_scan, sharding, url_rules, vectors
-from .common import spread, table
+from .common import cut, spread, table
 
 def tokenizer_path() -> str:
     """Where the public vocabulary file is; a parameter of the tokenizer operators."""
@@ -21,11 +21,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "<|im_end|><|im_start|>assistant ok"
     rows = rows.union(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string"))
-    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
     rows = rows.withColumn("pos", pos)
     key = lambda p: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), p.cast("string"))
     tree = rows.select(F.col("conv_id").alias("tree"), key(F.col("pos")).alias("id"), F.when(F.col("pos") > 1, key(F.col("pos") - 1)).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
-    done = chat.format_trees(tree).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    done = chat.format_trees(cut(tree)).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
     done = done.withColumn("turns", chat.read_back(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
     return done.withColumn("loss", loss).select(
@@ -44,9 +44,9 @@ WITH r AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(24 + length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
 """
