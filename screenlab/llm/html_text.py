@@ -34,8 +34,9 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, set()),
 }
-#: A closing tag does not reach beyond these; those of a table's rows reach beyond cells.
-SCOPE, ROWS = frozenset("table td th".split()), frozenset("tr tbody thead tfoot".split())
+#: A closing tag does not reach beyond these; those of a table and of its rows reach beyond cells.
+SCOPE = ("table", "td", "th")
+REACH = {"table": ()} | dict.fromkeys("tr tbody thead tfoot".split(), ("table",))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 #: Attributes without any of these hide nothing.
 HIDING = re.compile("hidden|style", re.I)
@@ -187,7 +188,11 @@ def render(source: str) -> str:
 
     def nearest(tags) -> int:
         """The place of the last open one of these elements, or -1."""
-        return max((opened[t][-1] for t in tags if opened[t]), default=-1)
+        place = -1
+        for t in tags:
+            if (own := opened[t]) and own[-1] > place:
+                place = own[-1]
+        return place
 
     def veil() -> bool:
         return bool(stack) and stack[-1][2]
@@ -319,11 +324,12 @@ def render(source: str) -> str:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and not opened[tag]:
-                page.block(1 if tag == "br" else 2)
-                continue
-            i = nearest({tag})
-            if i > nearest(frozenset() if tag == "table" else {"table"} if tag in ROWS else SCOPE - {tag}):
+            own = opened[tag]
+            if not own:
+                if tag == "br" or tag == "p":
+                    page.block(1 if tag == "br" else 2)
+            elif own[-1] >= nearest(REACH.get(tag, SCOPE)):
+                i = own[-1]
                 while len(stack) > i:
                     leave()
             continue
