@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, long_rows
+from .common import bounded, components, cut, join_frequent, long_rows
 from .vectors import forest
 from .words import blocks, hash_words, mix, shingles, text_buffer
 
@@ -19,9 +19,7 @@ HASHES, ROWS = 128, 4
 #: Values compared at a time, and the posterior chance below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Members and bytes of shingles of a bucket compared at a time; a larger one is taken in pairs of such chunks.
-CHUNK, CHUNK_BYTES = 1024, 32_000_000
-#: Ids up to which the documents to verify are found by a broadcast join, else by a shuffled one.
-BROADCAST_IDS = 2_000_000
+CHUNK, CHUNK_BYTES = 512, 32_000_000
 
 
 @cache
@@ -54,14 +52,20 @@ def compared(m: np.ndarray) -> np.ndarray:
     return (m * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Different values in order; ``values`` is sorted in place."""
+    values.sort()
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct shingles of each text in order, where each text's begin) for blocks of rows."""
     data, offsets = text_buffer(column)
     for i, j in blocks(offsets):
         s, begins = shingles(*hash_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), n)
-        parts = [np.unique(s[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
+        parts = [distinct(s[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
         sizes = np.array([len(p) for p in parts])
-        yield i, np.concatenate(parts) if parts else s, np.concatenate(([0], np.cumsum(sizes)))
+        yield i, parts[0] if len(parts) == 1 else np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def set_ids(s: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -140,8 +144,29 @@ def similar(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, threshold: flo
     return both >= threshold * (size[p] + size[q] - both) - 1e-9
 
 
-def verify_bucket(key: int, rows: list[dict], threshold: float) -> tuple[list, list, list]:
-    """(a, b, links) of one pair of chunks of a bucket: counts of links, and edges that join the linked."""
+def linked(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, threshold: float, all_links: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that reach the threshold; if not ``all_links``, as many of them as join all that they join."""
+    if all_links:
+        ok = similar(sets, p, q, threshold)
+        return p[ok], q[ok]
+    n, found = len(sets), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for turn in range(5):  # a pair for each row that is not joined to its partner yet; at last all such pairs
+        up = np.arange(n)
+        for i, j in forest(*(np.concatenate(x) for x in zip(*found, strict=True)), n):
+            up[i] = j
+        apart = up[p] != up[q]
+        p, q = p[apart], q[apart]
+        if not len(p):
+            break
+        some = np.unique(q, return_index=True)[1] if turn < 4 else np.arange(len(p))
+        ok = similar(sets, p[some], q[some], threshold)
+        found.append((p[some][ok], q[some][ok]))
+        p, q = np.delete(p, some), np.delete(q, some)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def hopeful(key: int, rows: list[dict], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of one pair of chunks of a bucket that are neither pruned nor met in an earlier bucket."""
     one, two = rows[0]["one"], rows[0]["two"]
     chunk = np.array([r["chunk"] for r in rows])
     if one == two:
@@ -152,18 +177,58 @@ def verify_bucket(key: int, rows: list[dict], threshold: float) -> tuple[list, l
     if len(p):
         new = ~met_before([np.asarray(r["kept"]) for r in rows], key, p, q)
         p, q = p[new], q[new]
-    if not len(p):
-        return [], [], []
-    ok = similar([np.frombuffer(r["set"], np.uint64) for r in rows], p, q, threshold)
-    p, q = p[ok], q[ok]
-    copies = np.array([r["copies"] for r in rows])
+    return p, q
+
+
+def screened(rows: list[dict], threshold: float) -> list[tuple]:
+    """(key, one, two, chunk, c) of the rows of a pair of chunks that are in a hopeful pair."""
+    key, one, two = (rows[0][x] for x in ("key", "one", "two"))
+    some = np.unique(np.concatenate(hopeful(key, rows, threshold)))
+    return [(key, one, two, rows[i]["chunk"], rows[i]["c"]) for i in some]
+
+
+def verified(rows: list[dict], threshold: float, all_links: bool) -> list[tuple]:
+    """(a, b, links) of one pair of chunks of a bucket: counts of links, and edges that join the linked."""
+    p, q = hopeful(rows[0]["key"], rows, threshold)
+    p, q = linked([np.frombuffer(r["set"], np.uint64) for r in rows], p, q, threshold, all_links)
+    copies, ids = np.array([r["copies"] for r in rows]), [r["c"] for r in rows]
     links = np.bincount(p, copies[q], len(rows)) + np.bincount(q, copies[p], len(rows))
-    ids = [r["c"] for r in rows]
-    some, tree = np.flatnonzero(links), forest(p, q, len(rows))
-    return [*(ids[i] for i in some), *(ids[i] for i, _ in tree)], [*(ids[i] for i in some), *(ids[j] for _, j in tree)], [*(int(links[i]) for i in some), *[0] * len(tree)]
+    return [(ids[i], ids[i], int(links[i])) for i in np.flatnonzero(links)] + [(ids[i], ids[j], 0) for i, j in forest(p, q, len(rows))]
+
+
+def by_bucket(f, schema: pa.Schema):
+    """A function for mapInArrow over rows sorted by (key, one, two): ``f`` of the rows of each, as tuples."""
+
+    def run(batches):
+        held: list[dict] = []
+
+        def groups(last: bool):
+            """Whole groups of the rows held; the last one may go on in the next batch."""
+            nonlocal held
+            i = 0
+            for j in range(1, len(held) + 1):
+                if j == len(held) or any(held[j][x] != held[i][x] for x in ("key", "one", "two")):
+                    if j == len(held) and not last:
+                        break
+                    yield held[i:j]
+                    i = j
+            held = held[i:]
+
+        def done(last: bool):
+            out = [row for rows in groups(last) for row in f(rows)]
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                held += batch.slice(start, 512).to_pylist()
+                yield done(False)
+        yield done(True)
+
+    return run
 
 
-def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, parts_of: bool = False) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, parts_of: bool = False, all_links: bool = True) -> DataFrame:
     """(doc_id, class_id, n_links) for each row of ``docs`` (doc_id, text).
 
     Two documents are linked when the Jaccard similarity of their sets of ``n``-word
@@ -173,24 +238,28 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, parts_of: bool = F
 
     Documents of the same set are one class with a count. Classes meet in the buckets of
     MinHash bands; buckets of the same members are kept once. Within a bucket, values are
-    compared step by step, hopeless pairs dropped by their posterior, pairs that meet in an
-    earlier bucket left to it, and the rest verified on the whole sets. A bucket over CHUNK
-    is dealt out as pairs of chunks. Tasks return counts and spanning edges, never pairs.
+    compared step by step, hopeless pairs dropped by their posterior, and pairs that meet in an
+    earlier bucket left to it. Only the classes that are in a pair left, mostly in one bucket
+    each, get their whole sets, on which these pairs are verified. A bucket over CHUNK is
+    dealt out as pairs of chunks. Tasks return counts and spanning edges, never pairs.
+
+    Without ``all_links`` a pair is not verified once its two are joined by others: class_id is
+    the same, and n_links only tells whether there are any.
 
     Null and empty texts, and texts without words, link with nothing, and so do rows of a
-    null doc_id (class_id null). Other columns are ignored; repeated rows are copies.
+    null doc_id (class_id null). Other columns are ignored; repeated rows are copies. An empty
+    table gives an empty result.
 
     With ``parts_of`` come text_hash and ``part``, a number for what is linked: classes of
     different texts can have one class_id where a doc_id has several texts. It is null for
     rows that link with nothing by nature.
     """
-    found = _joined(docs, threshold, n)
+    found = _joined(docs, threshold, n, all_links)
     return found if parts_of else found.select("doc_id", "class_id", "n_links")
 
 
-def _joined(docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """All columns of join().
-    """
+def _joined(docs: DataFrame, threshold: float, n: int, all_links: bool) -> DataFrame:
+    """All columns of join()."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -218,11 +287,22 @@ def _joined(docs: DataFrame, threshold: float, n: int) -> DataFrame:
     classes = cut(signed.where(usable).groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("mh").alias("mh")))
     banded = classes.select("c", "size", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum("size").alias("shingles")).where("n > 1")
-    once = buckets.groupBy("n", "low", "high", "x", "shingles").agg(F.min("key").alias("key"))
-    once = once.select("key", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("shingles") * 8 / CHUNK_BYTES)).cast("int").alias("chunks"))
-    members = cut(banded.select("key", "c").join(once, "key"))
-    kept = members.groupBy("c").agg(F.sort_array(F.collect_list("key")).alias("kept"))
+    once = buckets.groupBy("n", "low", "high", "x", "shingles").agg(F.min("key").alias("key"), F.first("n").alias("many"))
+    once = cut(once.select("key", "many", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("shingles") * 8 / CHUNK_BYTES)).cast("int").alias("chunks")))
+    members = cut(join_frequent(banded.select("key", "c"), once, ["key"], "many", once.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]))
+    kept = members.groupBy("c").agg(F.sort_array(F.collect_list("key")).alias("kept"))  # at most one for each band
     needed = cut(classes.select("c", "rep", "copies", "mh").join(kept, "c"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = ["key", "one", "two"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, *by).sortWithinPartitions(*by)
+
+    chunked = members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunked = chunked.select("key", "c", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+    places = pa.schema([("key", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("chunk", pa.int32()), ("c", pa.int64())])
+    hope = dealt(chunked.join(needed.select("c", "mh", "kept"), "c")).mapInArrow(by_bucket(lambda rows: screened(rows, threshold), places), "key long, one int, two int, chunk int, c long")
+    hope = cut(hope)
 
     def whole(batches):
         for batch in batches:
@@ -233,51 +313,20 @@ def _joined(docs: DataFrame, threshold: float, n: int) -> DataFrame:
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)), pa.array(sets, pa.binary())], names=["c", "set"])
 
-    reps = needed.select(F.col("rep").alias("doc_id")).distinct()
-    if needed.count() <= BROADCAST_IDS:
-        reps = F.broadcast(reps)
+    wanted = needed.join(hope.select("c").distinct(), "c", "left_semi")
+    reps = bounded(wanted.select(F.col("rep").alias("doc_id")).distinct())
     sets = base.join(reps, "doc_id", "left_semi").select("text").mapInArrow(whole, "c long, set binary")
-    sets = needed.join(sets.groupBy("c").agg(F.first("set").alias("set")), "c")
-    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "c", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
-    dealt = dealt.join(sets, "c").select("key", "one", "two", "chunk", "c", "copies", "kept", "mh", "set")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "key", "one", "two").sortWithinPartitions("key", "one", "two")
-
-    def verify(batches):
-        held: list[dict] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-
-        def groups(last: bool):
-            """Whole groups of the rows held; the last one may go on in the next batch."""
-            nonlocal held
-            i = 0
-            for j in range(1, len(held) + 1):
-                if j == len(held) or any(held[j][x] != held[i][x] for x in ("key", "one", "two")):
-                    if j == len(held) and not last:
-                        break
-                    yield held[i:j]
-                    i = j
-            held = held[i:]
-
-        def done(last: bool):
-            a, b, links = [], [], []
-            for rows in groups(last):
-                for out, got in zip((a, b, links), verify_bucket(rows[0]["key"], rows, threshold), strict=True):
-                    out += got
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], schema=schema)
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                held += batch.slice(start, 512).to_pylist()
-                yield done(False)
-        yield done(True)
+    sets = wanted.join(sets.groupBy("c").agg(F.first("set").alias("set")), "c").drop("rep")
+    edges = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+    found = cut(dealt(hope.join(sets, "c")).mapInArrow(by_bucket(lambda rows: verified(rows, threshold, all_links), edges), "a long, b long, links long"))
 
-    found = cut(dealt.mapInArrow(verify, "a long, b long, links long"))
     top = components(found.where("a <> b").select("a", "b"))
-    named = top.join(classes.select(F.col("c").alias("id"), "rep"), "id")
-    named = named.select("id", "component").join(named.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select(F.col("id").alias("c"), "class_id", "component")
+    named = cut(top.join(classes.select(F.col("c").alias("id"), "rep"), "id"))
+    groups = cut(named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("many")))
+    named = join_frequent(named.select("id", "component"), groups, ["component"], "many", named.count()).select(F.col("id").alias("c"), "class_id", "component")
     links = found.where("links > 0").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
-    by_class = classes.select("c", "rep", "copies").join(links, "c", "left").join(named, "c", "left").select("c", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("component", "c").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = signed.where(usable).select("doc_id", "text_hash", "c").join(by_class, "c").select("doc_id", "class_id", "n_links", "text_hash", "part")
-    return linked.union(signed.where(~usable).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("part")))
+    by_class = classes.select("c", "rep", "copies").join(links, "c", "left").join(named, "c", "left")
+    by_class = cut(by_class.select("c", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("component", "c").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    rows = signed.where(usable).select("doc_id", "text_hash", "c")
+    done = join_frequent(rows, by_class, ["c"], "copies", by_class.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]).select("doc_id", "class_id", "n_links", "text_hash", "part")
+    return done.union(signed.where(~usable).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("part")))

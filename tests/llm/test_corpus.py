@@ -43,6 +43,17 @@ def test_word_hashes():
     assert (h == hash_string([w for t in texts for w in words(t)])).all()
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_word_hashes_in_pieces(monkeypatch, block):
+    rng = random.Random(block)
+    texts = ["".join(rng.choices("aB1 é.Ⅱ", k=rng.randrange(0, 40))) for _ in range(60)] + ["", "x" * 500, None, "", " " * 90, "y"]
+    data, offsets = text_buffer(pa.array(texts))
+    want = hash_string([w for t in texts for w in words(t)])
+    monkeypatch.setattr("screenlab.llm.words.BLOCK", block)
+    h, first = hash_words(data, offsets)
+    assert (h == want).all() and list(np.diff(first)) == [len(words(t)) for t in texts]
+
+
 def near_copies(rng, n=60):
     base = [rng.choice("alpha beta gamma delta eps zeta eta theta iota".split()) + str(rng.randrange(40)) for _ in range(n)]
     return base
@@ -90,9 +101,10 @@ def brute_hits(text, bench, n=13):
     return len(w), len(hit), sorted(items)
 
 
-@pytest.mark.parametrize("limit", [32_000_000, 300])
-def test_decontamination(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "shard"), [(16_000_000, 1_000_000), (16_000_000, 40), (300, 1_000_000)])
+def test_decontamination(spark, monkeypatch, limit, shard):
     monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", limit)  # the small one takes the benchmark in blocks
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(30)]
     bench = [(i, " ".join(rng.choices(vocab, k=rng.randrange(10, 25)))) for i in range(12)] + [(50, "The End"), (51, None), (52, "!"), (53, ""), (50, "the end"), (60, "w1 w1 w1")]
@@ -109,6 +121,33 @@ def test_decontamination(spark, monkeypatch, limit):
         assert decontaminate.search(docs, empty).where("n_hit > 0").isEmpty() and decontaminate.search(docs.where("false"), empty).isEmpty()
 
 
+def test_equal_hashes_of_different_words(monkeypatch):
+    one, other = hash_string(["w3", "zz"])
+
+    def weak(data, offsets):
+        h, first = hash_words(data, offsets)
+        return np.where(h == other, one, h), first
+
+    monkeypatch.setattr(decontaminate, "hash_words", weak)
+    bench = [("a", " ".join(f"w{i}" for i in range(20))), ("b", "w3 w4"), ("c", "w3 w3")]
+    texts = ["w1 w2 zz w4 w5", "x W3 w4 zz zz", " ".join(f"w{i}" for i in range(16)), " ".join(f"w{i}" for i in range(16)).replace("w3", "zz"), "w3 w3 w4"]
+    p, column = decontaminate.phrases(bench, 13), pa.array(texts)
+    words, *runs = decontaminate.known(p, column)
+    hits, _, items = decontaminate.find(p, column, *runs)
+    assert [(int(a), int(b), c) for a, b, c in zip(words, hits, items, strict=True)] == [brute_hits(t, bench) for t in texts]
+    with pytest.raises(ValueError, match="one hash"):
+        decontaminate.phrases([("a", "w3 zz")], 13)
+
+
+def test_features_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "C1", "é,", "dd\n"], k=k)) for k in (0, 1, 2, 3, 50, 400)]
+    want = quality.features(pa.array(texts))
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    monkeypatch.setattr("screenlab.llm.words.BLOCK", 64)
+    assert np.allclose(np.concatenate([quality.features(pa.array([t])) for t in texts]), want)
+
+
 def test_shards(spark):
     rng = random.Random(6)
     rows = [(i, "hot copy " * 9 if i % 3 == 0 else "x" * rng.randrange(300), 0) for i in range(1500)] + [(None, None, 0), (7, "x", 0), (7, "x", 0), (9, "long" * 900, 0)]
@@ -126,6 +165,8 @@ def test_shards(spark):
     again = sharding.shard(docs.repartition(3)).toPandas()
     key = ["doc_id", "size", "text_crc32", "shard", "slot"]
     assert sorted(map(repr, again[key].values.tolist())) == sorted(map(repr, got[key].values.tolist()))
+    named = sharding.shard(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()
+    assert sum(r["n"] for r in named) == len(rows) and all(r["top"] == r["n"] - 1 for r in named)
 
 
 def vector_links(rows, threshold=0.93):
@@ -195,6 +236,8 @@ def test_quality(spark):
     assert len(got) == 404 and all(0 <= r["score"] <= 1 for r in got)
     held = [r for r in got if r["held_out"] and r["doc_id"] < 400]
     assert held and all((r["score"] >= quality.CUT) == (r["doc_id"] % 4 > 0) for r in held)
+    again = quality.learn(docs.union(docs).union(docs.where("doc_id = 1").withColumn("text", F.lit("zz"))), labels, rows=200)
+    assert np.isfinite(again["w"]).all() and quality.learn(docs.union(docs), labels, rows=200)["cut"] == model["cut"]
     none = quality.learn(docs, labels.where("false"))
     assert quality.scored(docs.where("false"), none).isEmpty() and quality.scored(docs, none).where("score is null").isEmpty()
 
