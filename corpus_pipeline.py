@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlab.llm import bpe, decontaminate, jaccard, quality, secret_scan
-from screenlab.llm.common import bounded, cut, same_text, table, written
+from screenlab.llm.common import bounded, cut, join_frequent, same_text, table, written
 from screenlab.llm.queries import tokenizer_path
 
 #: No SQL: the quality model is fitted and the spans of secrets are linked by code.
@@ -14,7 +14,7 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose Bradley-Terry score reaches the cut. Empty texts are scored like others."""
+    """Documents whose Bradley-Terry score reaches the cut. Null and empty texts are scored like others, repeated rows each; of no documents none stays."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     name = "score_" + "".join(docs.columns)  # clashes with no column
     return quality.scored(docs, model, out=name).where(F.col(name) >= quality.CUT).drop(name)
@@ -25,10 +25,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without words and rows of a null doc_id stay.
     """
-    found = jaccard.join(docs.select("doc_id", "text"), parts_of=True)
+    found = jaccard.join(docs.select("doc_id", "text"), parts_of=True, all_links=False)
     found = cut(found.where("part is not null and n_links > 0").select("doc_id", "text_hash", "part").distinct())
-    first = bounded(found.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    gone = bounded(found.join(first, "part").where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash"))
+    first = cut(found.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("many")))
+    rest = join_frequent(found, first, ["part"], "many", found.count())
+    gone = bounded(rest.where(F.struct("doc_id", "text_hash") != F.col("first")).select("doc_id", "text_hash"))
     left = docs.alias("d").join(gone.alias("g"), same_text("d", "g"), "left_anti")
     again = bounded(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
@@ -39,16 +40,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    """Documents of which less than a twentieth of the words lies in benchmark windows.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike. An empty
+    benchmark takes nothing away.
+    """
     found = decontaminate.search(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     gone = bounded(found.where(decontaminate.contaminated()).select("doc_id", "text_hash").distinct())
     return docs.alias("d").join(gone.alias("g"), same_text("d", "g"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by the name of its kind and n_chars counted again."""
+    """All documents, with each secret replaced by the name of its kind and n_chars counted again.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, and of a doc_id
+    with several texts each is masked by its own spans.
+    """
     found = secret_scan.scan(docs.select("doc_id", "text")).where("size(spans) > 0").select("doc_id", "text_hash", "spans").distinct()
-    found = bounded(found, 200_000)
+    found = bounded(found)
     clean = docs.alias("d").join(found.alias("s"), same_text("d", "s"), "left_anti")
     name = "spans_" + "".join(docs.columns)  # clashes with no column
     masked = docs.alias("d").join(found.alias("s"), same_text("d", "s")).select("d.*", F.col("s.spans").alias(name))
@@ -59,7 +68,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
+    """doc_id, n_tokens and ids of each document, repeated rows each; null and empty texts have no ids."""
     coded = bpe.encode(docs.select("doc_id", "text"), tokenizer_path(), keep_text=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
