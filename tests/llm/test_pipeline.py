@@ -44,3 +44,24 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     got = [(r["doc_id"], r["text"]) for r in left.collect()]
     assert [x for x in got if x[0] is None] == [(None, a)] and {(1, a), (5, b), (1, d)} <= set(got)
     assert len([x for x in got if x[0] == 2]) == 1 and sorted(x[0] for x in got if x[0]) == [1, 1, 2, 5, 9, 9]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    secret = "token = abcdefgh"
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, secret, "en", "s", 16), (2, "other words " * 9, "en", "s", 5), (2, secret, "en", "s", 16), (3, "y" * 300_000, None, None, 1)]
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = sorted(map(tuple, out.collect()), key=repr)
+            if name == "encoding":
+                assert len(got) == len(rows) and {r[1] for r in got if r[0] == 1} <= {0}
+            elif name == "secrets":
+                assert len(got) == len(rows) and sum(r[1] == "[assign]" for r in got) == (2 if rows else 0)
+            elif name == "near_duplicates":
+                assert got == sorted(set(rows), key=repr)
+            else:
+                assert len(got) in (0, len(rows)) and (name == "quality" or got == sorted(rows, key=repr))
