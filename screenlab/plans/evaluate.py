@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, imaging, repair, text
+from ..functions.text import bind
 from ..operators import metrics, rank, relate
 from ..sources import schema
 
@@ -27,48 +28,55 @@ OPTIONS = ({"unclip": 3.5, "side": 800, "thresh": 0.4, "dilate": False}, {"uncli
 
 
 def boxes_of(make: Callable[[], Recognizer], **settings):
-    """A UDF from Spark's image struct to boxes; the model is made once in each worker."""
+    """A UDF from Spark's image struct to boxes; the model is made once in each worker, and a null image, which is not read, has null boxes.
+
+    It counts as non-deterministic, so Spark neither copies it into the expressions on its
+    result nor runs a model twice for one row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = make()
         for pdf in batches:
             out = []
             for h, w, c, data in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True):
-                found = model(imaging.from_image_row(h, w, c, data), **settings)
-                out.append([{"bbox": b, "text": t, "score": float(s)} for b, t, s in found])
+                found = None if data is None else model(imaging.from_image_row(int(h), int(w), int(c), data), **settings)
+                out.append(found if found is None else [{"bbox": b, "text": t, "score": float(s)} for b, t, s in found])
             yield pd.Series(out)
 
-    return F.pandas_udf(run, schema.BOXES)
+    return F.pandas_udf(run, schema.BOXES).asNondeterministic()
+
+
+IMAGE = ("height", "width", "nChannels", "data")
 
 
 def recognise(images: DataFrame, make: Callable[[], Recognizer], custom: bool = False) -> DataFrame:
     """Text, box count and mean score of each image; with a custom detector also the second readings.
 
-    A condition around a Python UDF does not skip it, so the rows that need a second reading
-    are filtered into a branch of their own and the rest passes it by.
+    A condition around a Python UDF does not skip it, so a row that needs no second reading
+    sends a null image, for which the UDF does nothing: the plan is one line of steps without
+    branches, and images travel only where they are read again.
     """
-    image = F.struct("height", "width", "nChannels", "data")
-    rows = images.withColumn("boxes", boxes_of(make)(image))
+    rows = images.withColumn("boxes", boxes_of(make)(F.struct(*IMAGE)))
     if custom:
-        rows = rows.withColumn("boxes", geometry.select_result(F.col("boxes"), boxes_of(make, unclip=3.0)(image)))
+        rows = rows.withColumn("boxes", geometry.select_result(F.col("boxes"), boxes_of(make, unclip=3.0)(F.struct(*IMAGE))))
     rows = rows.withColumn("n_boxes", F.size("boxes")).withColumn("read", geometry.boxes_to_text(F.col("boxes"))).select("*", "read.text", "read.mean_score").drop("read", "boxes")
     if custom:
-        rows = again(rows, repair.broken_timer_at(repair.full_lines(F.col("text"))) > 0, make, COMPACT, lambda t, c: repair.repair_timer(t, c))
+        rows = again(rows, lambda t: repair.broken_timer_at(repair.full_lines(t)) > 0, make, COMPACT, repair.repair_timer)
         for settings in OPTIONS:
-            better = lambda t, c: F.when(repair.recovers_option_tail(t, repair.known_tokens(c)), repair.known_tokens(c)).otherwise(t)
-            rows = again(rows, repair.misses_option_tail(F.col("text")), make, settings, better)
-        delayed = F.regexp_replace("text", repair.DELAY_WORDS, "El Inicio").rlike(repair.DELAY_ON)
+            better = lambda t, c: bind(repair.known_tokens(c), lambda k: F.when(repair.recovers_option_tail(t, k), k).otherwise(t))
+            rows = again(rows, repair.misses_option_tail, make, settings, better)
+        delayed = lambda t: F.regexp_replace(t, repair.DELAY_WORDS, "El Inicio").rlike(repair.DELAY_ON)
         rows = again(rows, delayed, make, COMPACT, repair.merge_delay)
     return repair.repaired(rows, "text", "text")
 
 
 def again(rows: DataFrame, need, make, settings: dict, merge) -> DataFrame:
-    """``rows``, with the text of those that ``need`` it merged with a second reading."""
-    need = F.coalesce(need, F.lit(False))
-    some, rest = rows.where(need), rows.where(~need)
-    second = boxes_of(make, **settings)(F.struct("height", "width", "nChannels", "data"))
-    some = some.withColumn("_second", geometry.boxes_to_text(second)["text"]).withColumn("text", merge(F.col("text"), F.col("_second"))).drop("_second")
-    return some.union(rest)
+    """``rows``, with the text of those that ``need`` it merged with a second reading; the text is used once, so the plan grows by a step."""
+    image = F.when(F.coalesce(bind(F.col("text"), need), F.lit(False)), F.struct(*IMAGE))
+    rows = rows.withColumn("_again", boxes_of(make, **settings)(image))
+    rows = rows.withColumn("_second", geometry.boxes_to_text(F.col("_again"))["text"]).drop("_again")
+    both = F.struct(F.col("text").alias("a"), F.col("_second").alias("b"))
+    return rows.withColumn("text", bind(both, lambda t: F.when(t["b"].isNotNull(), merge(t["a"], t["b"])).otherwise(t["a"]))).drop("_second")
 
 
 def scored(rows: DataFrame, ref: str = "ref", hyp: str = "hyp", unicode: bool = True) -> DataFrame:
