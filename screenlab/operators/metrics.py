@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .relate import fixed
+from .relate import in_ranges
 
 #: Ranges of code points by block, ends included.
 BLOCKS = {
@@ -44,23 +44,19 @@ def verdict_counts(rows: DataFrame, *keys: str) -> DataFrame:
 def nearest_ranks(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
     """Mean, greatest, and for each share q the value at place floor(n * q) from 0 in order.
 
-    Counts of equal values are summed first and ranked by a running total over their
-    partial sums by range, so no task sorts all rows: at most as many as there are values.
+    Counts of equal values are summed first, in one pass over the rows, and ranked by running
+    totals over ranges of values, so no task sorts all rows or values.
     """
-    n, mean, most = rows.agg(F.count(value), F.coalesce(F.avg(value), F.lit(0.0)), F.max(value)).first()
-    out = {"n": F.lit(n).cast("long"), "mean": F.lit(mean), "max": F.lit(most).cast("double")}
-    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    # Values are dealt to ranges; each range's total gives the place at which it begins.
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
-    # They are fixed before the totals are taken, which hold for no other ranges.
-    placed = fixed(placed.withColumn("low", F.min("v").over(Window.partitionBy("part"))))
-    sums = placed.groupBy("low").agg(F.sum("k").alias("total"))
-    starts = sums.withColumn("start", F.sum("total").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))).select("low", F.coalesce("start", F.lit(0)).alias("start"))
-    run = F.sum("k").over(Window.partitionBy("low").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ends = placed.withColumn("run", run).join(F.broadcast(starts), "low").select("v", "k", (F.col("start") + F.col("run")).alias("end"))
-    picks = [F.max(F.when((F.lit(int(n * q)) >= F.col("end") - F.col("k")) & (F.lit(int(n * q)) < F.col("end")), F.col("v"))).alias(f"p{round(q * 100)}") for q in shares]
-    return ends.agg(*picks).select(*[c.alias(k) for k, c in out.items()], *[f"p{round(q * 100)}" for q in shares])
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")).withColumn("_all", F.lit(0))
+    placed = in_ranges(counted, ["_all"], ["v"], {"_sum_before": F.sum("k")}, {"_sum_after": F.sum("k")})
+    part = Window.partitionBy("_part")
+    run = F.coalesce("_sum_before", F.lit(0)) + F.sum("k").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    n = F.coalesce("_sum_before", F.lit(0)) + F.sum("k").over(part) + F.coalesce("_sum_after", F.lit(0))
+    ends = placed.select("v", "k", run.alias("end"), n.alias("n"))
+    at = lambda q: F.floor(F.col("n") * q)
+    picks = [F.max(F.when((at(q) >= F.col("end") - F.col("k")) & (at(q) < F.col("end")), F.col("v"))).alias(f"p{round(q * 100)}") for q in shares]
+    mean = F.coalesce(F.sum(F.col("v") * F.col("k")) / F.sum("k"), F.lit(0.0)).alias("mean")
+    return ends.agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n"), mean, F.max("v").cast("double").alias("max"), *picks)
 
 
 def groupings(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,25 +74,55 @@ def block_counts(chars: DataFrame, column: str = "ch") -> DataFrame:
 
 
 def running_mean(rows: DataFrame, group: str, value: str, *order: str) -> DataFrame:
-    """Mean of the rows up to each one, within its group."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running_mean", F.avg(value).over(w))
+    """Mean of the rows up to each one, within its group; a group goes on from range to range with its sum and count."""
+    placed = in_ranges(rows, [group], list(order), {"_sum_before": F.sum(value), "_count_before": F.count(value)})
+    w = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.coalesce("_sum_before", F.lit(0.0)) + F.coalesce(F.sum(value).over(w), F.lit(0.0))
+    count = F.coalesce("_count_before", F.lit(0)) + F.count(value).over(w)
+    return placed.withColumn("running_mean", F.when(count > 0, total / count)).drop("_part", "_sum_before", "_count_before")
 
 
 def early_stop(rows: DataFrame, group: str, value: str, order: list[str], target: float = 0.95, patience: int = 2, epsilon: float = 0.001) -> DataFrame:
     """The state after each group's series: best, rounds without gain, why and where it stopped.
 
-    An ordered fold. A value gains if it exceeds the best by more than ``epsilon``; reaching
-    the target stops at once, ``patience`` rounds without gain stop too. The first value gains.
+    A value gains if it exceeds the best by more than ``epsilon``; reaching the target stops at
+    once, ``patience`` rounds without gain stop too. The first value gains. Only a value above
+    all before it can gain or be the first to reach the target, so a series is numbered in ranges, and its
+    records alone, few of a long series, are folded.
     """
-    series = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("v")))).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("stale"), F.lit(0).alias("seen"), F.lit(None).cast("string").alias("reason"))
+    placed = in_ranges(rows.select(group, *order, F.col(value).cast("double").alias("v")), [group], order, {"_count_before": F.count("*"), "_max_before": F.max("v")})
+    part = Window.partitionBy(group, "_part").orderBy(*order)
+    at = (F.coalesce("_count_before", F.lit(0)) + F.row_number().over(part)).cast("int")
+    top = F.greatest(F.col("_max_before"), F.max("v").over(part.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.select(group, at.alias("at"), "v", top.alias("top"))
+    record = F.when(F.col("top").isNull() | (F.col("v") > F.col("top")), F.struct("at", "v"))
+    series = placed.groupBy(group).agg(F.max("at").alias("n"), F.sort_array(F.collect_list(record)).alias("s"))
+    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("gained"), F.lit(0).alias("seen"), F.lit(None).cast("string").alias("reason"))
+
+    def stopped(acc, seen, why):
+        return F.struct(acc["best"].alias("best"), acc["gained"].alias("gained"), seen.alias("seen"), F.lit(why).alias("reason"))
 
     def step(acc, x):
+        late = (acc["gained"] > 0) & (x["at"] - acc["gained"] > patience)
         gain = acc["best"].isNull() | (x["v"] > acc["best"] + epsilon)
-        best, stale = F.when(gain, x["v"]).otherwise(acc["best"]), F.when(gain, 0).otherwise(acc["stale"] + 1)
-        why = F.when(x["v"] >= target, "target").when(stale >= patience, "no improvement")
-        new = F.struct(best.alias("best"), stale.alias("stale"), (acc["seen"] + 1).alias("seen"), why.alias("reason"))
-        return F.when(acc["reason"].isNotNull(), acc).otherwise(new)
+        best, gained = F.when(gain, x["v"]).otherwise(acc["best"]), F.when(gain, x["at"]).otherwise(acc["gained"])
+        why = F.when(x["v"] >= target, "target").when(x["at"] - gained >= patience, "no improvement")
+        new = F.struct(best.alias("best"), gained.alias("gained"), x["at"].alias("seen"), why.alias("reason"))
+        return F.when(acc["reason"].isNotNull(), acc).when(late, stopped(acc, acc["gained"] + patience, "no improvement")).otherwise(new)
 
-    return series.select(group, F.aggregate("s", zero, step).alias("f")).select(group, "f.best", "f.stale", "f.seen", "f.reason")
+    folded = series.select(group, "n", F.aggregate("s", zero, step).alias("f"))
+    over = F.col("f.reason").isNull() & (F.col("n") - F.col("f.gained") >= patience)
+    seen = F.when(F.col("f.reason").isNotNull(), F.col("f.seen")).when(over, F.col("f.gained") + patience).otherwise(F.col("n"))
+    return folded.select(group, "f.best", (seen - F.col("f.gained")).alias("stale"), seen.alias("seen"), F.when(over, "no improvement").otherwise(F.col("f.reason")).alias("reason"))
+
+
+def time_totals(rows: DataFrame, *keys: str) -> DataFrame:
+    """Number, mean and total of the time each row took, in milliseconds; 0 on no rows."""
+    grouped = rows.groupBy(*keys) if keys else rows
+    return grouped.agg(F.count("*").alias("n"), F.coalesce(F.avg("elapsed_ms"), F.lit(0.0)).alias("mean_ms"), F.coalesce(F.sum("elapsed_ms"), F.lit(0.0)).alias("total_ms"))
+
+
+def shares(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Counts with their share of the total in percent; 0 where there is nothing."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.when(F.col("_total") > 0, F.col(n) * 100.0 / F.col("_total")).otherwise(0.0)).drop("_total")

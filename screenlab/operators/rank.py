@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .relate import fixed
+from .relate import in_ranges
 
 
 def first_per_group(rows: DataFrame, group: str, order: str, groups: int = 4) -> DataFrame:
@@ -16,10 +16,12 @@ def first_per_group(rows: DataFrame, group: str, order: str, groups: int = 4) ->
 
 
 def upper_median(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
-    """The row at place n // 2 of each group."""
-    w = Window.partitionBy(group)
-    placed = rows.withColumn("_at", F.row_number().over(w.orderBy(value, tie))).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_at") == F.floor(F.col("_n") / 2) + 1).drop("_at", "_n")
+    """The row at place n // 2 of each group. Ranges of a group are numbered by themselves, so no task sorts a group."""
+    placed = in_ranges(rows, [group], [value, tie], {"_count_before": F.count("*")}, {"_count_after": F.count("*")})
+    part = Window.partitionBy(group, "_part")
+    before = F.coalesce("_count_before", F.lit(0))
+    placed = placed.withColumn("_at", before + F.row_number().over(part.orderBy(value, tie))).withColumn("_n", before + F.count("*").over(part) + F.coalesce("_count_after", F.lit(0)))
+    return placed.where(F.col("_at") == F.floor(F.col("_n") / 2) + 1).drop("_at", "_n", "_part", "_count_before", "_count_after")
 
 
 def best_per_group(rows: DataFrame, group: str, value: str, tie: str, most: int | None = 8) -> DataFrame:
@@ -49,15 +51,7 @@ def view(rows: DataFrame, verdicts: list[str], by: str = "worst") -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str, tie: str) -> DataFrame:
-    """Report row numbers by lower-cased name. Each range of names is numbered by itself and shifted.
-
-    The ranges are fixed before their sizes are counted: planned twice, they could be cut at other names.
-    """
-    key = F.lower(name)
-    parts = rows.withColumn("_k", key).repartitionByRange("_k", tie).withColumn("_p", F.spark_partition_id())
-    low = Window.partitionBy("_p")
-    parts = parts.withColumn("_low", F.min(F.struct("_k", tie)).over(low)).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k", tie)))
-    parts = fixed(parts)
-    sizes = parts.groupBy("_low").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return parts.join(F.broadcast(starts), "_low").withColumn("row", (F.col("_s") + F.col("_i")).cast("long")).drop("_k", "_p", "_low", "_i", "_s")
+    """Report row numbers by lower-cased name. Each range of names is numbered by itself and shifted."""
+    placed = in_ranges(rows.withColumn("_k", F.lower(name)).withColumn("_all", F.lit(0)), ["_all"], ["_k", tie], {"_count_before": F.count("*")})
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_k", tie))
+    return placed.withColumn("row", (F.coalesce("_count_before", F.lit(0)) + own).cast("long")).drop("_k", "_all", "_part", "_count_before")

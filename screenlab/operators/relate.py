@@ -3,28 +3,81 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows up to which a lookup table is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of values up to which a lookup table is broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a lookup table, if a count up to the bound confirms it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bytes_of(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes the values of a column take."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        own = F.octet_length(column)
+    elif isinstance(kind, T.StructType):
+        own = sum((bytes_of(column[f.name], f.dataType) for f in kind), F.lit(8))
+    elif isinstance(kind, T.ArrayType):
+        own = F.aggregate(column, F.lit(8).cast("long"), lambda n, x: n + bytes_of(x, kind.elementType))
+    else:
+        own = F.lit(8)
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a lookup table, if its values take at most ``most`` bytes; else joins shuffle it."""
+    size = df.agg(F.sum(sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; an error where none is set but in local mode."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def fixed(df: DataFrame) -> DataFrame:
     """``df``, checkpointed: what is derived from it twice sees the same rows in the same partitions."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def same(a: str, b: str, *columns: str) -> Column:
+    """Equality of columns of two aliases, nulls included."""
+    return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
+def in_ranges(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], after: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` in ranges of (group, order), with ``_part``, the range's number, and for each sum what the rows of its group in earlier ranges have.
+
+    ``sums`` are aggregates that add up or have extremes: name to aggregate over rows, taken again over
+    ranges by its own function (``sum`` for counts). ``after`` has the same for later ranges.
+    A group of any size is spread over tasks: in windows over (group, _part) only ranges meet,
+    and of each range and group one row is left for the running totals. The ranges are fixed
+    before they are counted: planned twice, they could be cut at other rows.
+    """
+    parts = fixed(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    after = after or {}
+    own = parts.groupBy(*group, "_part").agg(*[c.alias(n) for n, c in (sums | after).items()])
+    again = lambda n, c: {"max": F.max, "min": F.min}.get(n.split("_")[1], F.sum)(n)
+    w = Window.partitionBy(*group).orderBy("_part")
+    own = own.select(
+        *group, "_part",
+        *[again(n, c).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n, c in sums.items()],
+        *[again(n, c).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(n) for n, c in after.items()],
+    )
+    names = [*sums, *after]
+    return parts.alias("a").join(own.alias("b"), same("a", "b", *group, "_part")).select("a.*", *[F.col(f"b.{n}") for n in names])
+
+
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, at the place of the first (column ``place``)."""
     row = F.struct(*df.columns)
@@ -90,10 +143,28 @@ def near_in_group(rows: DataFrame, group: str, y: str, reach: float, test: Colum
     """J7, J8 on tables: rows with another row (passing ``test``) of the group within ``reach`` in ``y``.
 
     The nearest passing row before and after in the order of ``y`` decides, so a group is
-    sorted once instead of joined with itself.
+    sorted once, in ranges, instead of joined with itself.
     """
-    before = Window.partitionBy(group).orderBy(y, "id").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(group).orderBy(y, "id").rowsBetween(1, Window.unboundedFollowing)
     at = F.when(test, F.col(y))
-    low, high = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(after)
-    return rows.withColumn("near", F.coalesce(F.col(y) - low <= reach, F.lit(False)) | F.coalesce(high - F.col(y) <= reach, F.lit(False)))
+    placed = in_ranges(rows, [group], [y, "id"], {"_max_before": F.max(at)}, {"_min_after": F.min(at)})
+    own = Window.partitionBy(group, "_part").orderBy(y, "id")
+    low = F.coalesce(F.last(at, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_max_before"))
+    high = F.coalesce(F.first(at, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)), F.col("_min_after"))
+    near = F.coalesce(F.col(y) - low <= reach, F.lit(False)) | F.coalesce(high - F.col(y) <= reach, F.lit(False))
+    return placed.withColumn("near", near).drop("_part", "_max_before", "_min_after")
+
+
+def with_files(rows: DataFrame, listing: DataFrame, key: str = "image_path") -> DataFrame:
+    """The rows, whole, whose file ``listing`` (path) has; the others are left out. A repeated path counts once."""
+    return rows.join(listing.select(F.col("path").alias(key)), key, "left_semi")
+
+
+def two_runs(base: DataFrame, ours: DataFrame, key: str, value: str = "cer") -> DataFrame:
+    """(key, base, ours, delta) of the rows of two runs over the same files; a file of one run only is left out, the last row of a repeated one wins (by ``ord``)."""
+    sides = [r.groupBy(key).agg(F.max_by(value, "ord").alias(n)) for r, n in ((base, "base"), (ours, "ours"))]
+    return sides[0].join(sides[1], key).withColumn("delta", F.col("ours") - F.col("base"))
+
+
+def ordered_distinct(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Each different value once, at the place of its first row: (key, first)."""
+    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
