@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -93,6 +98,63 @@ def stages(image: np.ndarray, config: Preprocess = Preprocess()) -> list[tuple[s
     return out
 
 
+STAGES = "array<struct<stage:string,height:int,width:int,data:binary>>"
+
+
+def traced(config: Preprocess = Preprocess()):
+    """A UDF from Spark's image struct to the gray image after each stage that is on; a null image has none."""
+
+    def run(images: pd.DataFrame) -> pd.Series:
+        out = []
+        for h, w, c, data in zip(images["height"], images["width"], images["nChannels"], images["data"], strict=True):
+            done = [] if data is None else stages(from_image_row(int(h), int(w), int(c), data), config)
+            out.append([{"stage": n, "height": a.shape[0], "width": a.shape[1], "data": a.tobytes()} for n, a in done])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, STAGES)
+
+
+def last_stage(traces: Column) -> Column:
+    """The result of the stages: the image after the last one."""
+    return F.try_element_at(traces, F.lit(-1))
+
+
+def to_png(image: np.ndarray) -> bytes:
+    """An image (gray or BGR) as a PNG file."""
+    rows = image if image.ndim == 2 else image[..., ::-1]
+    h, w = rows.shape[:2]
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(rows).reshape(h, -1)], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def readable(data: bytes) -> bool:
+    """Whether a file is a whole image: a PNG with right checksums and pixels, or another type's signature and end."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at, pixels = 8, b""
+        while at + 12 <= len(data):
+            size, kind = struct.unpack(">I4s", data[at : at + 8])
+            body = data[at + 8 : at + 8 + size]
+            if data[at + 8 + size : at + 12 + size] != struct.pack(">I", zlib.crc32(kind + body)):
+                return False
+            pixels += body if kind == b"IDAT" else b""
+            at += 12 + size
+            if kind == b"IEND":
+                try:
+                    return bool(zlib.decompress(pixels))
+                except zlib.error:
+                    return False
+        return False
+    if data[:2] == b"\xff\xd8":
+        return data.rstrip(b"\x00")[-2:] == b"\xff\xd9"
+    if data[:2] == b"BM":
+        return len(data) >= 26 and struct.unpack("<I", data[10:14])[0] < len(data)
+    if data[:4] == b"RIFF":
+        return data[8:12] == b"WEBP" and len(data) >= struct.unpack("<I", data[4:8])[0]
+    return data[:4] in (b"II*\x00", b"MM\x00*") and len(data) > 8
+
+
 def crop(image: np.ndarray, box: list[int]) -> np.ndarray:
     """I9."""
     x1, y1, x2, y2 = box

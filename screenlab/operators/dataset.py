@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, imaging
 from ..functions.text import crop_name, strip, unicode_form
 from .rank import numbered
 from .relate import first_wins
@@ -68,36 +69,43 @@ def dictionary_column(chars: DataFrame, most: int = 100_000) -> Column:
     return F.array(*[F.lit(c) for c in known]) if known else F.array().cast("array<string>")
 
 
-def char_counts(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, ch, n) over whole texts, control characters left out.
+def char_counts(rows: DataFrame, text: str, *keys: str, order: str | None = None) -> DataFrame:
+    """(keys, ch, n) over whole texts, control characters left out; null and empty texts have none.
 
     Each batch counts its code points in one pass, so the shuffle carries a row for each
-    character and key of a task, whatever the length of the texts.
+    character and key of a task, whatever the length of the texts. With ``order``, a column
+    that numbers the rows, ``first`` tells where a character comes first: row, then place.
     """
     fields = [rows.schema[k] for k in keys]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ch string, n long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ch string, n long, row long, place long"])
 
     def run(batches):
         for batch in batches:
             groups: dict = {}
             names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
-            for t, k in zip(batch.column(text).to_pylist(), names, strict=True):
+            for t, k, o in zip(batch.column(text).to_pylist(), names, batch.column("_order").to_pylist(), strict=True):
                 if t:
-                    groups.setdefault(k, []).append(t)
+                    groups.setdefault(k, []).append((o, t))
             out: list[tuple] = []
             for k, ts in groups.items():
-                cps, n = np.unique(np.frombuffer("".join(ts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-                out += [(*k, chr(c), int(m)) for c, m in zip(cps.tolist(), n.tolist(), strict=True) if c >= 32]
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(len(keys) + 2)]
-            types = [*(batch.schema.field(k).type for k in keys), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "ch", "n"])
+                ts.sort(key=lambda x: x[0])
+                ends = np.cumsum([len(t) for _, t in ts])
+                cps, at, n = np.unique(np.frombuffer("".join(t for _, t in ts).encode("utf-32-le", "surrogatepass"), np.uint32), return_index=True, return_counts=True)
+                own = np.searchsorted(ends, at, "right")
+                place = at - np.where(own > 0, ends[own - 1], 0)
+                out += [(*k, chr(c), int(m), ts[r][0], int(p)) for c, m, r, p in zip(cps.tolist(), n.tolist(), own.tolist(), place.tolist(), strict=True) if c >= 32]
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(len(keys) + 4)]
+            types = [*(batch.schema.field(k).type for k in keys), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "ch", "n", "row", "place"])
 
-    return rows.select(*keys, text).mapInArrow(run, schema).groupBy(*keys, "ch").agg(F.sum("n").alias("n"))
+    some = rows.select(*keys, text, (F.col(order) if order else F.lit(0)).cast("long").alias("_order"))
+    first = [F.min(F.struct("row", "place")).alias("first")] if order else []
+    return some.mapInArrow(run, schema).groupBy(*keys, "ch").agg(F.sum("n").alias("n"), *first)
 
 
 def top_chars(counts: DataFrame, k: int = 50) -> DataFrame:
-    """T4; ties by code point."""
-    return counts.orderBy(F.desc("n"), "ch").limit(k)
+    """T4; ties by first appearance where ``counts`` tell it, else by code point."""
+    return counts.orderBy(F.desc("n"), "first" if "first" in counts.columns else "ch", "ch").limit(k)
 
 
 def order_key(seed: int, key: str) -> Column:
@@ -115,8 +123,11 @@ def exact_permutation(n: int, seed: int) -> list[int]:
 def split(rows: DataFrame, key: str, sizes: list[tuple[str, int | None]], seed: int) -> DataFrame:
     """Contiguous parts of a seeded order, as column ``split``; a size of None takes the rest.
 
-    Rows past the last fixed size are left out if no part takes the rest.
+    Rows past the last fixed size are left out if no part takes the rest. Negative sizes and
+    sizes after the one that takes the rest are errors.
     """
+    if any(n is not None and n < 0 for _, n in sizes) or any(n is None for _, n in sizes[:-1]):
+        raise ValueError(f"sizes: {sizes}")
     placed = numbered(rows.withColumn("_o", order_key(seed, key)), "_o", key).drop("_o")
     out = F.lit(None).cast("string")
     for name, n in reversed(list(_bounds(sizes))):
@@ -140,23 +151,67 @@ def disjoint(a: DataFrame, b: DataFrame, key: str) -> bool:
 
 def balanced(rows: DataFrame, key: str, items: list[str], seed: int) -> DataFrame:
     """U8: an item for each row, counts at most one apart: the place in a seeded order, modulo the items."""
-    order = items.copy()
+    order = list(dict.fromkeys(items))
+    if not order:
+        raise ValueError("no item to give")
     random.Random(seed).shuffle(order)
     placed = numbered(rows.withColumn("_o", order_key(seed, key)), "_o", key).drop("_o")
     names = F.array(*[F.lit(x) for x in order])
     return placed.withColumn("item", F.get(names, F.pmod(F.col("row") - 1, F.lit(len(order))).cast("int"))).drop("row")
 
 
-def recognition_list(labels: DataFrame, known: Column, folder: str = "crops") -> DataFrame:
-    """(crop_path, text, box, known) of every text element that is large enough.
+def crop_candidates(labels: DataFrame, known: Column, folder: str = "crops") -> DataFrame:
+    """(image_path, crop_path, text, box, fate) of every text element; fate: crop, oov, size or empty.
 
     Crops are numbered by the element's place among all elements, icons too; texts are NFC without white
     space at their ends.
     """
     e = labels.select("image_path", F.get("canvas_size", F.lit(0)).alias("w"), F.get("canvas_size", F.lit(1)).alias("h"), F.posexplode("elements").alias("i", "e")).where("e.type = 'text'")
     box = geometry.crop_box(F.col("e.bbox"), F.col("w"), F.col("h"))
-    rows = e.withColumn("text", strip(unicode_form("NFC")(F.coalesce("e.text", F.lit(""))))).withColumn("box", box).where("text <> '' and box is not null")
-    return rows.select(crop_name(F.lit(folder), F.col("image_path"), F.col("i")).alias("crop_path"), "text", "box", in_dictionary(F.col("text"), known).alias("known"))
+    rows = e.withColumn("text", strip(unicode_form("NFC")(F.coalesce("e.text", F.lit(""))))).withColumn("box", box)
+    fate = F.when(F.col("text") == "", "empty").when(F.col("box").isNull(), "size").when(in_dictionary(F.col("text"), known), "crop").otherwise("oov")
+    return rows.select("image_path", crop_name(F.lit(folder), F.col("image_path"), F.col("i")).alias("crop_path"), "text", "box", fate.alias("fate"))
+
+
+def recognition_list(labels: DataFrame, known: Column, folder: str = "crops") -> DataFrame:
+    """K5: (crop_path, text, box, known) of every text element that has a text and is large enough."""
+    rows = crop_candidates(labels, known, folder).where("fate in ('crop', 'oov')")
+    return rows.select("crop_path", "text", "box", (F.col("fate") == "crop").alias("known"))
+
+
+def crops(candidates: DataFrame, images: DataFrame) -> DataFrame:
+    """(crop_path, text, png) of the candidates that become crops, cut from ``images`` (image_path, height, width, nChannels, data).
+
+    A candidate whose image is missing is left out, as are boxes beyond the image. Images
+    travel once to the tasks that cut them: the boxes of an image are gathered first.
+    """
+    boxes = candidates.where("fate = 'crop'").groupBy("image_path").agg(F.collect_list(F.struct("crop_path", "text", "box")).alias("boxes"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for h, w, c, data, boxes in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], pdf["boxes"], strict=True):
+                image = imaging.from_image_row(h, w, c, data)
+                for b in boxes:
+                    cut = imaging.crop(image, list(b["box"]))
+                    if cut.size:
+                        out.append((b["crop_path"], b["text"], imaging.to_png(cut)))
+            yield pd.DataFrame(out, columns=["crop_path", "text", "png"])
+
+    return images.join(boxes, "image_path").mapInPandas(run, "crop_path string, text string, png binary")
+
+
+def watched(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``rows``, and counters that are there once an action has run on them: all rows, and those of each condition."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]), seen
+
+
+def row_counters(rows: DataFrame) -> DataFrame:
+    """(counter, key, n) over language rows: patterns, unknown characters (once a row), rows with a start key."""
+    pair = lambda name, value: F.struct(F.lit(name).alias("counter"), value.alias("key"))
+    marks = F.concat(F.array(pair("pattern", F.col("pattern"))), F.transform("bad", lambda c: pair("unknown", c)), F.when(F.col("start_key"), F.array(pair("start_key", F.lit("")))).otherwise(F.array().cast("array<struct<counter:string,key:string>>")))
+    return rows.select(F.explode(marks).alias("m")).groupBy("m.counter", "m.key").agg(F.count("*").alias("n"))
 
 
 def detection_list(labels: DataFrame) -> DataFrame:
