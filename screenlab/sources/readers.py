@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
+from ..functions.imaging import readable
 from ..functions.text import casefold, leaf, stem
 from . import schema
 
@@ -52,6 +54,28 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if path(p).getFileSystem(hadoop).globStatus(path(p))]
 
 
+def chunk_files(spark: SparkSession, folder: str, seed: str | None = None) -> list[str]:
+    """The label files of the seed folder, if any, and of the folders chunk_* in order of their names; folders without labels are left out."""
+    found = [f"{seed}/labels.jsonl"] if seed and existing(spark, [f"{seed}/labels.jsonl"]) else []
+    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunk_*/labels.jsonl")
+    found += sorted(str(f.getPath().toString()) for f in path.getFileSystem(hadoop).globStatus(path) or [])
+    if not found:
+        raise FileNotFoundError(f"no labels in {folder}")
+    return found
+
+
+def manifest_or_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a folder (its labels.jsonl, image paths relative to it) or of a manifest file (relative to the project)."""
+    rows = labels(spark, f"{path}/labels.jsonl" if not path.endswith((".jsonl", ".json")) else path)
+    return rows if path.endswith((".jsonl", ".json")) else rows.withColumn("image_path", F.concat(F.lit(f"{path}/"), "image_path"))
+
+
+def rejected(spark: SparkSession, paths: str | list[str], columns: str = schema.LABELS) -> int:
+    """S3: how many lines, blank ones aside, are malformed."""
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{columns}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r._bad is not null").count()
+
+
 def tagged_results(spark: SparkSession, folder: str) -> DataFrame:
     """Result files [<tag>_]raw|preprocessed_results.jsonl, with ``tag`` and ``mode``."""
     name = F.col("_metadata.file_name")
@@ -67,7 +91,8 @@ def is_image_entry(name: Column) -> Column:
 def archive_entries(spark: SparkSession, path: str) -> DataFrame:
     """(archive, ordinal, entry_path, display_name, stem, content) of the images in zip files.
 
-    Entries are read one after another, an archive at a time; unreadable ones are left out.
+    Entries are read one after another, an archive at a time; those that cannot be read, or
+    that are no whole image, are left out, so they pair with nothing.
     """
 
     def run(batches):
@@ -75,18 +100,18 @@ def archive_entries(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for k, info in enumerate(z.infolist()):
-                        own = info.filename.rsplit("/", 1)[-1]
-                        ext = own.rsplit(".", 1)[-1].lower() if "." in own else ""
-                        if info.is_dir() or not own or own[0] == "." or ext not in schema.IMAGE_TYPES:
+                        if info.is_dir():
                             continue
                         try:
                             data = z.read(info)
-                        except (zipfile.BadZipFile, OSError, RuntimeError):
+                        except (zipfile.BadZipFile, OSError, RuntimeError, zlib.error):
+                            continue
+                        if not readable(data):
                             continue
                         yield pa.RecordBatch.from_pydict({"archive": [name], "ordinal": pa.array([k], pa.int64()), "entry_path": [info.filename], "content": pa.array([data], pa.binary())})
 
     found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, ordinal long, entry_path string, content binary")
-    found = found.withColumn("display_name", leaf(F.col("entry_path")))
+    found = found.withColumn("display_name", leaf(F.col("entry_path"))).where(is_image_entry(F.col("display_name")))
     return found.withColumn("stem", casefold()(stem(F.col("display_name"))))
 
 

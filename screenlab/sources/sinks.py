@@ -4,23 +4,66 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relate import assert_present
+
 
 def json_lines(rows: DataFrame, path: str, mode: str = "errorifexists", files: int = 0) -> None:
     """UTF-8 as it is, null members left out; ``mode`` "append" resumes."""
     (rows.coalesce(files) if files else rows).write.mode(mode).json(path)
 
 
-def split_sets(rows: DataFrame, path: str) -> None:
-    """K4: a folder for each value of ``split``, image paths as images/<leaf>."""
+def resumed(spark: SparkSession, path: str, append: bool) -> str:
+    """The mode to write labels with; what is there already is only added to on demand."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and not append:
+        raise ValueError(f"{path} is there already: say append to go on with it")
+    return "append"
+
+
+def split_sets(rows: DataFrame, path: str, listing: DataFrame | None = None) -> None:
+    """K4: a folder for each value of ``split``, image paths as images/<leaf>.
+
+    With ``listing`` (path, content) an image that is missing is an error, and the images of
+    each set are copied to its folder.
+    """
     name = F.try_element_at(F.split("image_path", "/"), F.lit(-1))
-    rows.withColumn("image_path", F.concat(F.lit("images/"), name)).write.partitionBy("split").json(path)
+    if listing is not None:
+        files = assert_present(rows.select("split", "image_path"), listing.select(F.col("path").alias("image_path")), "image_path")
+        files = files.distinct().join(listing.withColumnRenamed("path", "image_path"), "image_path")
+        image_files(files.select(F.concat("split", F.lit("/images/"), name).alias("name"), "content"), path)
+    rows.withColumn("image_path", F.concat(F.lit("images/"), name)).write.mode("append").partitionBy("split").json(path)
+
+
+def image_files(rows: DataFrame, folder: str) -> int:
+    """Each (name, content) as a file below ``folder``, any that pyarrow's file systems know; how many there are.
+
+    A file is written beside its place and then moved, so a task that runs again leaves whole files.
+    """
+
+    def run(batches):
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for name, content in zip(names, batch.column("content").to_pylist(), strict=True):
+                target = f"{base}/{name}"
+                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content)
+                fs.move(part, target)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(names)], pa.int64())})
+
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def tab_list(rows: DataFrame, path: str, *columns: str) -> None:
@@ -52,7 +95,8 @@ def markdown(header: list[str], rows: Iterable[tuple]) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows])
 
 
-#: Fills of the verdicts in a workbook, and column widths.
+#: Rows of a sheet, fills of the verdicts in a workbook, and column widths.
+SHEET_ROWS = 1_048_576
 FILLS = {"PASS": "C6EFCE", "WARN": "FFEB9C", "FAIL": "FFC7CE"}
 COLUMNS = {"#": 6, "Filename": 32, "Test text": 44, "Reference text": 44, "CER": 10, "WER": 10, "Verdict": 10}
 
@@ -61,18 +105,26 @@ def workbook(rows: DataFrame, only_test: list[str] = (), only_reference: list[st
     """K8: results (header, frozen panes, coloured verdicts), summary and unmatched names as an .xlsx file.
 
     ``rows``: row, filename, test_text, ref_text, cer, wer, verdict in report order. They are
-    taken from Spark one partition at a time; a workbook holds a report, not a corpus.
+    taken from Spark one partition at a time and packed as they come; more rows than a sheet
+    can hold are an error.
     """
+    if (many := rows.count()) >= SHEET_ROWS:
+        raise ValueError(f"{many} rows are more than a sheet holds")
     cell = lambda v, style=0: f'<c s="{style}"><v>{v}</v></c>' if isinstance(v, int | float) else f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
     style = {v: k + 2 for k, v in enumerate(FILLS)}
-    body, n, cers, wers, counts = ["<row>" + "".join(cell(h, 1) for h in COLUMNS) + "</row>"], 0, 0.0, 0.0, dict.fromkeys(FILLS, 0)
-    for r in rows.orderBy("row").toLocalIterator():
-        n, cers, wers = n + 1, cers + r["cer"], wers + r["wer"]
-        counts[r["verdict"]] += 1
-        body.append("<row>" + "".join([cell(n), cell(r["filename"]), cell(r["test_text"] or ""), cell(r["ref_text"] or ""), cell(round(r["cer"] * 100, 2)), cell(round(r["wer"] * 100, 2)), cell(r["verdict"], style[r["verdict"]])]) + "</row>")
-    facts = [("Pairs", n), *counts.items(), ("Mean CER %", round(cers / n * 100, 2) if n else 0.0), ("Mean WER %", round(wers / n * 100, 2) if n else 0.0)]
-    facts += [("Only in test", x) for x in only_test] + [("Only in reference", x) for x in only_reference]
-    summary = "".join(f"<row>{cell(k, 1)}{cell(v)}</row>" for k, v in facts)
+    n, cers, wers, counts = 0, 0.0, 0.0, dict.fromkeys(FILLS, 0)
+
+    def sheet(out) -> None:
+        nonlocal n, cers, wers
+        out.write(f'{head}<worksheet {ns}><sheetViews><sheetView workbookViewId="0"><pane xSplit="2" ySplit="1" topLeftCell="C2" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData><row>'.encode())
+        out.write(("".join(cell(h, 1) for h in COLUMNS) + "</row>").encode())
+        for r in rows.orderBy("row").toLocalIterator():
+            n, cers, wers = n + 1, cers + r["cer"], wers + r["wer"]
+            counts[r["verdict"]] += 1
+            own = [cell(n), cell(r["filename"]), cell(r["test_text"] or ""), cell(r["ref_text"] or ""), cell(round(r["cer"] * 100, 2)), cell(round(r["wer"] * 100, 2)), cell(r["verdict"], style[r["verdict"]])]
+            out.write(f"<row>{''.join(own)}</row>".encode())
+        out.write(b"</sheetData></worksheet>")
+
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     widths = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(COLUMNS.values(), 1))
@@ -84,11 +136,15 @@ def workbook(rows: DataFrame, only_test: list[str] = (), only_reference: list[st
         "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Results" sheetId="1" r:id="r1"/><sheet name="Summary" sheetId="2" r:id="r2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/worksheet" Target="worksheets/sheet2.xml"/><Relationship Id="r3" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
         "xl/styles.xml": f'<styleSheet {ns}><fonts count="2"><font/><font><b/></font></fonts><fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5"><xf/><xf fontId="1" applyFont="1"/>{"".join(f"""<xf fillId="{k}" applyFill="1"/>""" for k in (2, 3, 4))}</cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet {ns}><sheetViews><sheetView workbookViewId="0"><pane xSplit="2" ySplit="1" topLeftCell="C2" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData>{"".join(body)}</sheetData></worksheet>',
-        "xl/worksheets/sheet2.xml": f'<worksheet {ns}><sheetData>{summary}</sheetData></worksheet>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        with z.open("xl/worksheets/sheet1.xml", "w") as first:
+            sheet(first)
+        facts = [("Pairs", n), *counts.items(), ("Mean CER %", round(cers / n * 100, 2) if n else 0.0), ("Mean WER %", round(wers / n * 100, 2) if n else 0.0)]
+        facts += [("Only in test", x) for x in only_test] + [("Only in reference", x) for x in only_reference]
+        summary = "".join(f"<row>{cell(k, 1)}{cell(v)}</row>" for k, v in facts)
+        parts["xl/worksheets/sheet2.xml"] = f"<worksheet {ns}><sheetData>{summary}</sheetData></worksheet>"
         for name, text in parts.items():
             z.writestr(name, head + text)
     return out.getvalue()
