@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.relate import shared_folder
 from ..plans.evaluate import scored
 
 STATE = "best double, stale int, seen int, reason string"
@@ -51,11 +52,39 @@ def early_stops(rows: DataFrame, group: str, seq: str, value: str, target: float
     return rows.select(group, seq, value).groupBy(group).applyInPandasWithState(step, f"`{group}` {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(rows: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    """All that is there now, into a memory table."""
-    writer = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if shared := rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
-    query = writer.start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name).select(*[F.col(c) for c in rows.columns])
+def run_available(rows: DataFrame, mode: str = "update") -> DataFrame:
+    """All that is there now, as a table: what each batch gives goes to a folder of its own in the shared folder and is read from there.
+
+    A batch that runs again after a failure writes its folder again, so nothing comes twice.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(f"{base}/out/batch=*")
+
+
+def run_until(query: StreamingQuery, seconds: float) -> bool:
+    """Waits for a stream up to a deadline and then stops it; its checkpoint lets a later run go on. Whether it ended by itself."""
+    ended = query.awaitTermination(max(1, int(seconds)))
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
+def after_marker(spark: SparkSession, marker: str, start: Callable[[], StreamingQuery], seconds: float, poll: float = 30.0) -> StreamingQuery:
+    """Starts a job once the file by which its producer says that it is done is there; an error if it does not come in time."""
+    path, ends = spark._jvm.org.apache.hadoop.fs.Path(marker), time.monotonic() + seconds
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    while not files.exists(path):
+        if time.monotonic() >= ends:
+            raise TimeoutError(f"{marker} did not come in {seconds} s")
+        time.sleep(min(poll, max(0.0, ends - time.monotonic())))
+    return start()
