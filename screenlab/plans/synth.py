@@ -12,7 +12,7 @@ from ..sources import schema
 
 PATTERNS = ("carousel", "message", "timer", "list_check", "toast", "title_subtitle")
 BACKGROUNDS = ("solid_black", "vignette", "gradient_vert")
-#: A small vocabulary of our own: words for each category and language.
+#: A small vocabulary of our own: words for each category and language. Others are given as a parameter.
 WORDS = {
     "en": {"options": "Soft Normal Heavy Quick Eco Delicate".split(), "title": ["Wash cycle", "Water level", "Spin speed"], "message": ["Close the door", "Add detergent", "Filter is full"], "toast": ["Saved", "Connected"], "hour": ["hr", "min"]},
     "fr": {"options": "Doux Normal Fort Rapide Éco Délicat".split(), "title": ["Cycle de lavage", "Niveau d'eau", "Essorage"], "message": ["Fermez la porte", "Ajoutez du savon", "Filtre plein"], "toast": ["Enregistré", "Connecté"], "hour": ["h", "min"]},
@@ -26,9 +26,14 @@ def width_of(text: str, px: int) -> int:
     return max(px // 2, round(0.6 * px * len(text)))
 
 
-def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int, int] = (320, 240)) -> dict:
+def words_of(words: dict, language: str) -> dict:
+    """The categories of a language; one that it lacks is taken from English."""
+    return WORDS["en"] | {k: v for k, v in words[language].items() if v}
+
+
+def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int, int] = (320, 240), vocabulary: dict = WORDS) -> dict:
     """The label of one index, drawn from ``seed`` + index alone."""
-    rng, words, (w, h) = random.Random(seed + index), WORDS[language], canvas
+    rng, words, (w, h) = random.Random(seed + index), words_of(vocabulary, language), canvas
     elements, raw = [], []
 
     def put(text: str, y: int, px: int, selected: bool | None = None, color: str = "white", x: int | None = None, truncated: bool | None = None) -> None:
@@ -52,9 +57,28 @@ def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int,
         put(rng.choice(words["message"]), 80, 22, True)
         put(rng.choice(words["message"]), 120, 18, False, "gray")
     elif pattern == "timer":
-        put(f"{rng.randrange(5)}:{rng.randrange(60):02d}", 80, 64)
-        put(" ".join(words["hour"]), 150, 18)
-        put(rng.choice(words["options"]), 190, 18, None, "gray")
+        put(rng.choice(words["title"]), 14, 17, False)
+        if language == "en" and rng.random() < 0.4:  # a time of day, its prefix in two lines beside it
+            clock = f"{rng.randint(1, 12)}:{rng.choice(('00', '15', '30', '45'))}"
+            put("Today", 64, 22, x=20)
+            put("AM", 88, 22, x=20)
+            put(clock, 64, 64, x=110)
+            raw[-3:] = [f"Today AM {clock}"]
+        else:
+            hours, minutes = rng.randint(0, 4), rng.choice((0, 15, 30, 45))
+            minutes = minutes if hours else rng.choice((15, 30, 45, 60, 90))
+            parts = [(str(hours), 64), (words["hour"][0], 22)] * (hours > 0) + [(str(minutes), 64), (words["hour"][1], 22)]
+            x = (w - sum(width_of(t, px) + 6 for t, px in parts)) // 2
+            for t, px in parts:  # on one base line
+                put(t, 64 + 64 - px, px, x=x)
+                x += width_of(t, px) + 6
+            raw[-len(parts) :] = [" ".join(t for t, _ in parts)]
+        put(rng.choice(words["options"]), 168, 17, False)
+        if language == "en" and rng.random() < 0.7:
+            put("Press", 206, 14, x=40)
+            icon("play_pause", 92, 206, 14)
+            put("to add garments.", 206, 14, x=122)
+            raw[-3:] = ["Press [PLAY_PAUSE] to add garments."]
     elif pattern == "list_check":
         put(rng.choice(words["title"]), 15, 16, False)
         for k, t in enumerate(rng.sample(words["options"], 3)):
@@ -69,11 +93,16 @@ def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int,
     return {"image_path": f"images/screen_{index:04d}_{pattern}_{language}.png", "pattern": pattern, "language": language, "background": background, "canvas_size": list(canvas), "elements": elements, "raw_text": "\n".join(raw)}
 
 
-def screens(spark: SparkSession, count: int, start: int = 0, seed: int = 42, languages: list[str] | None = None, patterns: list[str] | None = None, canvas: tuple[int, int] = (320, 240)) -> DataFrame:
-    """Labels of the indexes from ``start``; languages and patterns share them evenly."""
-    languages, patterns = list(dict.fromkeys(languages or WORDS)), list(patterns or PATTERNS)
-    if unknown := [x for x in languages if x not in WORDS] + [x for x in patterns if x not in PATTERNS]:
+def screens(spark: SparkSession, count: int, start: int = 0, seed: int = 42, languages: list[str] | None = None, patterns: list[str] | None = None, canvas: tuple[int, int] = (320, 240), vocabulary: dict = WORDS) -> DataFrame:
+    """Labels of the indexes from ``start``; languages and patterns share them evenly.
+
+    ``vocabulary`` has the words of each language by category: options, title, message, toast, hour.
+    """
+    languages, patterns = list(dict.fromkeys(vocabulary if languages is None else languages)), list(PATTERNS if patterns is None else patterns)
+    if unknown := [x for x in languages if x not in vocabulary] + [x for x in patterns if x not in PATTERNS]:
         raise ValueError(f"unknown: {unknown}")
+    if not languages or not patterns:
+        raise ValueError("at least one language and one pattern")
     if count < 0 or start < 0:
         raise ValueError("count and start must not be negative")
     order = [(p, l) for l in languages for p in patterns]
@@ -81,6 +110,6 @@ def screens(spark: SparkSession, count: int, start: int = 0, seed: int = 42, lan
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([label(int(i), *order[int(i) % len(order)], seed, canvas) for i in pdf["id"]], columns=["image_path", "pattern", "language", "background", "canvas_size", "elements", "raw_text"])
+            yield pd.DataFrame([label(int(i), *order[int(i) % len(order)], seed, canvas, vocabulary) for i in pdf["id"]], columns=["image_path", "pattern", "language", "background", "canvas_size", "elements", "raw_text"])
 
     return spark.range(start, start + count).mapInPandas(run, schema.LABELS).withColumn("elements", F.transform("elements", lambda e: e))
