@@ -79,11 +79,16 @@ def P1_score(spark, sf_dir):
     return scored(spark, sf_dir).select("id", r6("cer"), r6("wer"), "verdict")
 
 
-@query(SCREENS + f""", n AS (SELECT id, {norm_sql('ref')} AS r, {norm_sql('hyp')} AS h FROM s),
+WIDE = "".join(chr(0xFF10 + k) for k in range(10))
+
+
+@query(SCREENS + f""", w AS (SELECT id, ref, translate(replace(hyp, 'e', 'ﬃ'), '0123456789', '{WIDE}') AS hyp FROM s),
+n AS (SELECT id, {norm_sql('ref')} AS r, {norm_sql(f"replace(translate(hyp, '{WIDE}', '0123456789'), 'ﬃ', 'ffi')")} AS h FROM w),
 d AS (SELECT *, {dist_sql("string_split(r, '')", "string_split(h, '')")} AS d FROM n)
 SELECT id, round(d::DOUBLE / greatest(1, length(r)), 6) AS cer FROM d""")
 def F4_cer_nfkc(spark, sf_dir):
-    return evaluate.app_scored(screens(spark, sf_dir), "ref", "hyp").select("id", r6("cer"))
+    rows = screens(spark, sf_dir).withColumn("hyp", F.translate(F.replace("hyp", F.lit("e"), F.lit("ﬃ")), "0123456789", WIDE))
+    return evaluate.app_scored(rows, "ref", "hyp").select("id", r6("cer"))
 
 
 for _name, _key in (("A1_by_language", "language"), ("A2_by_background", "background"), ("A4_by_script", "script")):
@@ -148,9 +153,9 @@ def A12_blocks(spark, sf_dir):
     return metrics.block_counts(dataset.char_counts(table(spark, sf_dir, "documents"), "text"))
 
 
-@query(f"WITH c AS ({CHARS}) SELECT ch, count(*)::BIGINT AS n FROM c WHERE ord(ch) >= 32 GROUP BY 1 ORDER BY n DESC, ch LIMIT 50")
+@query("WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) SELECT ch, count(*)::BIGINT AS n FROM c WHERE ord(ch) >= 32 GROUP BY 1 ORDER BY n DESC, min((doc_id, i)) LIMIT 50")
 def T4_top_chars(spark, sf_dir):
-    return dataset.top_chars(dataset.char_counts(table(spark, sf_dir, "documents"), "text"))
+    return dataset.top_chars(dataset.char_counts(table(spark, sf_dir, "documents"), "text", order="doc_id")).select("ch", "n")
 
 
 def known_chars(spark, sf_dir) -> Column:
@@ -213,10 +218,45 @@ def J10_delta(spark, sf_dir):
     return relate.with_baseline(rows.where("pattern = 'toast'"), runs, "cer").select("pattern", r6("cer"), r6("baseline"), r6("delta"))
 
 
-@query(SCORED + ", o AS (SELECT id, cer AS cer_base FROM scored), t AS (SELECT id, CASE WHEN id % 2 = 0 THEN cer ELSE cer / 2 END AS cer_ours FROM scored) SELECT round(avg(cer_base), 6) AS mean_cer_base, round(avg(cer_ours), 6) AS mean_cer_ours FROM o JOIN t USING (id)")
+TWO_RUNS = ", o AS (SELECT background || '/' || id AS file, cer FROM scored WHERE id % 3 <> 0), t AS (SELECT background || '/' || id AS file, CASE WHEN id % 2 = 0 THEN cer ELSE cer / 2 END AS cer FROM scored WHERE id % 5 <> 0) "
+
+
+def two_runs(spark, sf_dir) -> DataFrame:
+    rows = scored(spark, sf_dir).select(F.concat_ws("/", "background", F.col("id").cast("string")).alias("file"), "id", F.col("id").alias("ord"), "cer")
+    ours = rows.where("id % 5 <> 0").withColumn("cer", F.when(F.col("id") % 2 == 0, F.col("cer")).otherwise(F.col("cer") / 2))
+    return relate.two_runs(rows.where("id % 3 <> 0"), ours, "file")
+
+
+@query(SCORED + TWO_RUNS + "SELECT file, round(o.cer, 6) AS base, round(t.cer, 6) AS ours, round(t.cer - o.cer, 6) AS delta FROM o JOIN t USING (file)")
+def J11_two_runs(spark, sf_dir):
+    return two_runs(spark, sf_dir).select("file", r6("base"), r6("ours"), r6("delta"))
+
+
+@query(SCORED + TWO_RUNS + "SELECT round(avg(o.cer), 6) AS mean_base, round(avg(t.cer), 6) AS mean_ours FROM o JOIN t USING (file)")
 def A18_two_models(spark, sf_dir):
-    rows = scored(spark, sf_dir).select("id", F.col("cer").alias("cer_base"), F.when(F.col("id") % 2 == 0, F.col("cer")).otherwise(F.col("cer") / 2).alias("cer_ours"))
-    return metrics.overall(rows, "cer_base", "cer_ours").select(r6("mean_cer_base"), r6("mean_cer_ours"))
+    return metrics.overall(two_runs(spark, sf_dir), "base", "ours").select(r6("mean_base"), r6("mean_ours"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean_ms, round(sum(value), 4) AS total_ms FROM events GROUP BY 1")
+def A19_time_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("elapsed_ms", F.col("value"))
+    return metrics.time_totals(rows, "event_type").select("event_type", "n", r6("mean_ms"), F.round("total_ms", 4).alias("total_ms"))
+
+
+@query("SELECT source, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM documents), 6) AS pct FROM documents GROUP BY 1")
+def A21_shares(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return metrics.shares(counts).select("source", "n", r6("pct"))
+
+
+@query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
+def J4_with_files(spark, sf_dir):
+    return relate.with_files(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path")), "doc_id")
+
+
+@query("SELECT source AS key, min(doc_id) AS first FROM documents GROUP BY 1")
+def U6_ordered_distinct(spark, sf_dir):
+    return relate.ordered_distinct(table(spark, sf_dir, "documents"), "source", "doc_id").select(F.col("source").alias("key"), F.col("first.doc_id").alias("first"))
 
 
 @query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 ORDER BY doc_id LIMIT 4")
@@ -268,16 +308,27 @@ def J7_neighbour_exists(spark, sf_dir):
     return relate.near_in_group(rows, "user_id", "value", 0.05, F.col("event_type") == "error").select(F.col("id").alias("event_id"), "near")
 
 
-@query()
+def early_stop_sql(series: str, target: float, patience: int, epsilon: float) -> str:
+    """The fold over ``series`` (user_id, i from 1, v), a round at a time."""
+    state = f"CASE WHEN v >= {target} THEN 'target' WHEN stale >= {patience} THEN 'no improvement' END"
+    return f"""
+WITH RECURSIVE s AS ({series}),
+f AS (SELECT user_id, i, best, stale, {state} AS reason FROM (SELECT user_id, i, v, v AS best, 0 AS stale FROM s WHERE i = 1)
+  UNION ALL SELECT user_id, i, best, stale, {state} FROM (SELECT s.user_id, s.i, v, CASE WHEN v > best + {epsilon} THEN v ELSE best END AS best, CASE WHEN v > best + {epsilon} THEN 0 ELSE stale + 1 END AS stale
+    FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1 WHERE f.reason IS NULL))
+SELECT user_id, best, stale::INT AS stale, i::INT AS seen, reason FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"""
+
+
+@query(early_stop_sql("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, v FROM (SELECT user_id, date_trunc('hour', ts) AS day, max(value) AS v FROM events GROUP BY 1, 2)", 60.0, 6, 0.5))
 def W9_early_stop(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("v"))
-    return metrics.early_stop(rows, "user_id", "v", ["day"], target=200.0, patience=3, epsilon=0.5)
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("day")).agg(F.max("value").alias("v"))
+    return metrics.early_stop(rows, "user_id", "v", ["day"], target=60.0, patience=6, epsilon=0.5)
 
 
-@query()
+@query(early_stop_sql("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, value AS v FROM events", 60.0, 9, 0.5))
 def X3_early_stop_stream(spark, sf_dir):
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    return jobs.run_available(jobs.early_stops(rows, "user_id", "event_id", "value", target=200.0, patience=3, epsilon=0.5), f"x3_{abs(hash(sf_dir))}")
+    return jobs.run_available(jobs.early_stops(rows, "user_id", "event_id", "value", target=60.0, patience=9, epsilon=0.5))
 
 
 @query("SELECT id, split FROM (SELECT p_partkey AS id, row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) AS i FROM part), (SELECT 1), LATERAL (SELECT CASE WHEN i <= 9 THEN 'demo' WHEN i <= 159 THEN 'test' ELSE 'train' END AS split)")
@@ -293,10 +344,12 @@ def U8_balanced(spark, sf_dir):
     return counts.agg(F.count("*").alias("n_items"), (F.max("count") - F.min("count") <= 1).alias("even"), F.sum("count").alias("n"))
 
 
-@query("SELECT 0::BIGINT AS n FROM (SELECT 1)")
+@query("SELECT 'labelled' AS pair, count(*) = 0 AS disjoint FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT 'halves', count(*) = 0 FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM documents WHERE doc_id % 2 = 1) UNION ALL SELECT 'hosts', count(*) = 0 FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 2 = 1)")
 def U5_disjoint(spark, sf_dir):
-    rows = U7_split(spark, sf_dir)
-    return rows.groupBy("id").agg(F.count_distinct("split").alias("k")).where("k > 1").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    pairs = [("labelled", dataset.disjoint(docs, table(spark, sf_dir, "labels"), "doc_id")), ("halves", dataset.disjoint(even, odd, "doc_id")), ("hosts", dataset.disjoint(even, odd, "source"))]
+    return spark.createDataFrame(pairs, "pair string, disjoint boolean")
 
 
 @query(SCORED + "SELECT id, round(cer, 6) AS cer FROM scored ORDER BY scored.cer DESC, id LIMIT 20")
@@ -346,36 +399,117 @@ def P10_polygon(spark, sf_dir):
     return c.select("id", F.array_join(F.col("c").cast("array<string>"), ",").alias("box"))
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y, x, text) AS i FROM (SELECT l_orderkey AS k, l_quantity * 3 AS y, (l_partkey % 320)::DOUBLE AS x, l_linenumber::VARCHAR AS text FROM lineitem)),
+f AS (SELECT k, i, x, text, y AS anchor, 1 AS line FROM r WHERE i = 1
+  UNION ALL SELECT r.k, r.i, r.x, r.text, CASE WHEN abs(r.y - f.anchor) <= 12 THEN (f.anchor + r.y) / 2 ELSE r.y END, f.line + (abs(r.y - f.anchor) > 12)::INT FROM f JOIN r ON r.k = f.k AND r.i = f.i + 1),
+l AS (SELECT k, line, string_agg(text, ' ' ORDER BY x, text) AS s FROM f GROUP BY 1, 2)
+SELECT k, string_agg(s, chr(10) ORDER BY line) AS text FROM l GROUP BY 1""")
 def L3_line_fold(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct((F.col("l_quantity") * 3).alias("y"), (F.col("l_partkey") % 320).cast("double").alias("x"), F.col("l_linenumber").cast("string").alias("text")).alias("item"))
     return rows.groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("items")).select("k", geometry.text_of(geometry.lines(F.col("items"))).alias("text"))
 
 
-@query("SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'LG ThinQ' || chr(10) || coalesce(text, '') WHEN 1 THEN 'ThinQ AI' WHEN 2 THEN 'Extra Rinse' || chr(10) || '+1' || chr(10) || '0' ELSE 'UP' || chr(10) || 'Updating' || chr(10) || '100%' END AS text FROM conversations WHERE true")
+#: Recognised texts and what the rules make of them, R1 to R8.
+REPAIRS = [
+    ("Thind", "ThinQ AI"), ("Extra Rinse\n+ - 1\nO", "Extra Rinse\n+1\n0"), ("XX\nUpdating\n1oo%", "UP\nUpdating\n100%"), ("Press ▶fl to start\n\nEco", "Press ▶Ⅱ to start\nEco"),
+    ("Appuyez   ™l   pour   lancer", "Appuyez ▶Ⅱ pour lancer"), ("a ▶II b", "a ▶Ⅱ b"), ("MAli. 8:00", "MAÑ. 8:00"), ("Ellnicio retardado", "El Inicio retardado"), ("<PROC_W_S0AKING_PRC", "<PROC_W_SOAKING_PRC"),
+    ("thin.", "ThinQ AI"), ("Start at 1230 pm", "Start at 12:30 pm"), ("Iniciar a lás 12 Oo a.m.", "Iniciar a las 12:00 a.m."), ("at 1230 pm", "at 1230 pm"), ("Dry Time\n4\n35 min\n3O nin", "Dry Time\n40\n35 min\n30 min"),
+    ("Dry Time\n1O\n95 min", "Dry Time\n100\n95 min"), ("Enjuague extra\n+1\n+2\nD", "Enjuague extra\n+1\n+2\n0"), ("abc Actualizar", "Actualizar"), ("XX\nRestableciendo\n7o%", "Restableciendo\n70%"), ("LG  Thing x", "LG ThinQ x"),
+]
+
+
+def cases(pairs: list, k: Column, at: int = 0) -> Column:
+    return F.get(F.array(*[F.lit(p[at]) for p in pairs]), k.cast("int"))
+
+
+def cases_sql(pairs: list, k: str, at: int) -> str:
+    quoted = ["'" + p[at].replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for p in pairs]
+    return f"[{', '.join(quoted)}][{k} + 1]"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN k = 0 THEN 'LG ThinQ' || chr(10) || coalesce(text, '') ELSE {cases_sql(REPAIRS, '(k - 1)', 1)} END AS text FROM (SELECT *, (conv_id + turn) % {len(REPAIRS) + 1} AS k FROM conversations)")
 def R16_repair(spark, sf_dir):
-    k = (F.col("conv_id") + F.col("turn")) % 4
-    plain = F.coalesce("text", F.lit(""))
-    raw = F.when(k == 0, F.concat(F.lit("LG Thino\n"), plain)).when(k == 1, F.lit("Thind")).when(k == 2, F.lit("Extra Rinse\n+ - 1\nO")).otherwise(F.lit("XX\nUpdating\n1oo%"))
+    k = (F.col("conv_id") + F.col("turn")) % (len(REPAIRS) + 1)
+    raw = F.when(k == 0, F.concat(F.lit("LG Thino\n"), F.coalesce("text", F.lit("")))).otherwise(cases(REPAIRS, k - 1))
     return repair.repaired(table(spark, sf_dir, "conversations").withColumn("raw", raw), "raw", "fixed").select("conv_id", "turn", F.col("fixed").alias("text"))
 
 
+#: First and second readings and what is made of both, R9 to R15: timers, then option tails, then delays.
+SECOND = [
+    ("Eco\n1h3om", "1:30", "Eco\n1 hr 30 min"), ("Eco\n1h3om", "l2 . 05", "Eco\n1h3om"), ("Eco", "1:30", "Eco"), ("2 h m\nx", "a\n 2l:45 \n3:15", "2 hr 45 min\nx"),
+    ("Extra Rinse\n+1", "Extra Rinse\n+1\n+2\nO", "Extra Rinse\n+1\n+2\nO"), ("Extra Rinse\n+1\n+3", "Extra Rinse\n+1\n+2\n+3\n0", "Extra Rinse\n+1\n+3"), ("Extra Rinse\n+1\n+2", "Extra Rinse\n+1\nx\n0", "Extra Rinse\n+1\n+2"),
+    ("El l nicio retardado\nAM", "12.30", "El l nicio retardado\nAM"), ("El Inicio retardado\nAM", "x\n12.30", "El Inicio retardado\nAM 12:30"), ("Delay Start is on\np.m.", "1200", "Delay Start is on\np.m. 12:00"), ("Delay\np.m.", "1200", "Delay\np.m."),
+]
+
+
+@query(f"SELECT p_partkey AS id, {cases_sql(SECOND, f'(p_partkey % {len(SECOND)})', 2)} AS text FROM part")
+def R11_second_readings(spark, sf_dir):
+    rows, k = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), F.col("id") % len(SECOND)
+    rows, a, b = rows.select("id", cases(SECOND, k).alias("a"), cases(SECOND, k, 1).alias("b")), F.col("a"), F.col("b")
+    tail = F.when(repair.misses_option_tail(a) & repair.recovers_option_tail(a, b), b).otherwise(a)
+    made = F.when(k < 4, repair.repair_timer(a, b)).when(k < 7, tail).otherwise(repair.merge_delay(a, b))
+    return rows.select("id", made.alias("text"))
+
+
 @query()
 def S14_synthetic_labels(spark, sf_dir):
-    rows = synth.screens(spark, 600)
+    rows = synth.screens(spark, table(spark, sf_dir, "part").count())
     return rows.withColumn("truth", geometry.truth_of(F.col("elements"))).withColumn("name", F.struct(text.filename_parts(F.col("image_path")).alias("f"))).select("image_path", "pattern", "language", "background", "raw_text", "truth", F.size("elements").alias("n_elements"), F.col("name.f.screen_type").alias("screen_type"))
 
 
-@query()
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a screen, its lines as elements: icons, texts with marks and letters to be composed, empty and null ones, some beyond the canvas."""
+    q, i = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    words = F.when(q % 11 == 0, None).when(q % 11 == 1, " ").when(q % 11 == 2, F.concat(F.lit(" Ré "), "l_linestatus", F.lit("\t"))).when(q % 11 == 3, "Ⅱ start").otherwise(F.concat(F.lit("Qty "), q.cast("string"), F.lit(" "), "l_returnflag"))
+    x, y = (F.col("l_partkey") % 330 - 5).cast("int"), (F.col("l_suppkey") * 7 % 250 - 5).cast("int")
+    box = F.array(x, y, x + q % 40, y + i * 9 % 40)
+    one = F.struct(F.when(i % 4 == 3, "icon").otherwise("text").alias("type"), box.alias("bbox"), words.alias("text"))
+    row = F.struct(i.alias("i"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag", one.alias("e"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["e"]).alias("elements"))
+    o = F.col("l_orderkey")
+    name = F.concat(F.lit("images/screen_"), o.cast("string"), F.lit(".x.png"))
+    return rows.select(name.alias("image_path"), F.get(F.array(*map(F.lit, ("en", "fr", "ru"))), (o % 3).cast("int")).alias("language"), F.get(F.array(*map(F.lit, synth.PATTERNS)), (o % 6).cast("int")).alias("pattern"), F.array(F.lit(320), F.lit(240)).alias("canvas_size"), "elements")
+
+
+LABELS = """
+WITH q AS (SELECT *, l_quantity::INT AS q, l_linenumber AS i, (l_partkey % 330 - 5)::INT AS x, (l_suppkey * 7 % 250 - 5)::INT AS y FROM lineitem),
+e AS (SELECT l_orderkey AS o, 'images/screen_' || l_orderkey || '.x.png' AS image_path, 'screen_' || l_orderkey || '.x' AS stem, ['en', 'fr', 'ru'][l_orderkey % 3 + 1] AS language, ['carousel', 'message', 'timer', 'list_check', 'toast', 'title_subtitle'][l_orderkey % 6 + 1] AS pattern,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY i, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linestatus, l_returnflag) - 1 AS idx, i % 4 = 3 AS icon,
+  CASE q % 11 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN ' Re' || chr(769) || ' ' || l_linestatus || chr(9) WHEN 3 THEN 'Ⅱ start' ELSE 'Qty ' || q || ' ' || l_returnflag END AS text, x AS x1, y AS y1, x + q % 40 AS x2, (y + i * 9 % 40)::INT AS y2 FROM q),
+k AS (SELECT list(DISTINCT ch) AS known FROM (SELECT unnest(string_split(text, '')) AS ch FROM benchmark) WHERE ord(ch) >= 32),
+c AS (SELECT *, greatest(0, x1 - 4) AS cx1, greatest(0, y1 - 4) AS cy1, least(320, x2 + 4) AS cx2, least(240, y2 + 4) AS cy2, trim(nfc_normalize(coalesce(text, '')), ' ' || chr(9)) AS t FROM e WHERE NOT icon),
+d AS (SELECT *, len(list_filter(list_distinct(string_split(t, '')), lambda x: x <> ' ' AND NOT list_contains(known, x))) = 0 AS ok FROM c, k)
+"""
+
+
+@query(LABELS + "SELECT 'crops/' || stem || '__' || lpad(idx::VARCHAR, 2, '0') || '.png' AS crop_path, t AS text, cx1 || ',' || cy1 || ',' || cx2 || ',' || cy2 AS box, ok AS known FROM d WHERE t <> '' AND cx2 - cx1 >= 8 AND cy2 - cy1 >= 8")
 def K5_recognition_list(spark, sf_dir):
-    return dataset.recognition_list(synth.screens(spark, 600), known_chars(spark, sf_dir))
+    rows = dataset.recognition_list(labels(spark, sf_dir), known_chars(spark, sf_dir))
+    return rows.select("crop_path", "text", F.array_join(F.col("box").cast("array<string>"), ",").alias("box"), "known")
 
 
-@query()
+@query(LABELS + "SELECT CASE WHEN t = '' THEN 'empty' WHEN cx2 - cx1 < 8 OR cy2 - cy1 < 8 THEN 'size' WHEN ok THEN 'crop' ELSE 'oov' END AS fate, count(*)::BIGINT AS n FROM d GROUP BY 1")
+def A17_crop_counters(spark, sf_dir):
+    return dataset.crop_candidates(labels(spark, sf_dir), known_chars(spark, sf_dir)).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query(LABELS + """, p AS (SELECT *, greatest(0, least(320, x1)) AS a, greatest(0, least(240, y1)) AS b, greatest(0, least(320, x2)) AS c, greatest(0, least(240, y2)) AS d FROM e WHERE NOT icon)
+SELECT image_path, to_json(list({'transcription': coalesce(text, ''), 'points': [[a, b], [c, b], [c, d], [a, d]]} ORDER BY idx))::VARCHAR AS polygons FROM p WHERE c > a AND d > b AND (c - a) * (d - b) >= 16 AND least(c - a, d - b) >= 3 GROUP BY image_path""")
 def K6_detection_list(spark, sf_dir):
-    return dataset.detection_list(synth.screens(spark, 600))
+    return dataset.detection_list(labels(spark, sf_dir))
 
 
-@query()
+LANGUAGE = LABELS + """, r AS (SELECT image_path, pattern, string_agg(text, chr(10) ORDER BY idx) AS raw_text FROM e WHERE NOT icon AND text <> '' AND language = 'fr' GROUP BY 1, 2),
+b AS (SELECT 'synthetic/' || image_path AS image_path, pattern, raw_text, list_sort(list_filter(list_distinct(string_split(raw_text, '')), lambda x: x NOT IN (' ', chr(10)) AND NOT list_contains(known, x))) AS bad, raw_text LIKE '%▶%' OR raw_text LIKE '%Ⅱ%' OR raw_text LIKE '%II%' AS start_key FROM r, k)
+"""
+
+
+@query(LANGUAGE + "SELECT image_path, raw_text, array_to_string(bad, '') AS bad, start_key FROM b")
 def P6_language_rows(spark, sf_dir):
-    return dataset.language_rows(synth.screens(spark, 600), "fr", known_chars(spark, sf_dir), "synthetic").select("image_path", "raw_text", F.array_join("bad", "").alias("bad"), "start_key")
+    return dataset.language_rows(labels(spark, sf_dir), "fr", known_chars(spark, sf_dir), "synthetic").select("image_path", "raw_text", F.array_join("bad", "").alias("bad"), "start_key")
+
+
+@query(LANGUAGE + "SELECT 'pattern' AS counter, pattern AS key, count(*)::BIGINT AS n FROM b GROUP BY 2 UNION ALL SELECT 'unknown', ch, count(*) FROM (SELECT unnest(bad) AS ch FROM b) GROUP BY 2 UNION ALL SELECT 'start_key', '', count(*) FROM b WHERE start_key HAVING count(*) > 0")
+def A13_row_counters(spark, sf_dir):
+    return dataset.row_counters(dataset.language_rows(labels(spark, sf_dir), "fr", known_chars(spark, sf_dir)))
