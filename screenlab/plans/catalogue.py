@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, repair, text
 from ..operators import dataset, metrics, rank, relate
+from ..sources import readers
 from ..streaming import jobs
 from . import evaluate, synth
 
@@ -32,16 +33,20 @@ def query(sql: str | None = None):
     return add
 
 
-def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def screens_of(parts: DataFrame) -> DataFrame:
     ref = F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_partkey").cast("string"))
     k = F.col("p_partkey") % 4
     hyp = F.when(k == 0, ref).when(k == 1, F.replace(ref, F.lit("i"), F.lit("l"))).when(k == 2, F.translate(ref, "aeo", "430")).otherwise(F.col("p_name"))
     langs, pats = F.array(*map(F.lit, ("en", "fr", "ru", "ar", "xx"))), F.array(*map(F.lit, synth.PATTERNS))
-    return table(spark, sf_dir, "part").select(
+    return parts.select(
         F.col("p_partkey").alias("id"), ref.alias("ref"), hyp.alias("hyp"), F.get(langs, (F.col("p_size") % 5)).alias("language"), F.get(pats, (F.col("p_partkey") % 6).cast("int")).alias("pattern"), F.col("p_brand").alias("background")
     )
 
 
+def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screens_of(table(spark, sf_dir, "part"))
+
+
 SCREENS = """
 WITH s0 AS (SELECT *, p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_partkey AS ref FROM part),
 s AS (SELECT p_partkey AS id, ref, CASE p_partkey % 4 WHEN 0 THEN ref WHEN 1 THEN replace(ref, 'i', 'l') WHEN 2 THEN translate(ref, 'aeo', '430') ELSE p_name END AS hyp,
@@ -513,3 +518,138 @@ def P6_language_rows(spark, sf_dir):
 @query(LANGUAGE + "SELECT 'pattern' AS counter, pattern AS key, count(*)::BIGINT AS n FROM b GROUP BY 2 UNION ALL SELECT 'unknown', ch, count(*) FROM (SELECT unnest(bad) AS ch FROM b) GROUP BY 2 UNION ALL SELECT 'start_key', '', count(*) FROM b WHERE start_key HAVING count(*) > 0")
 def A13_row_counters(spark, sf_dir):
     return dataset.row_counters(dataset.language_rows(labels(spark, sf_dir), "fr", known_chars(spark, sf_dir)))
+
+
+@query(SCORED + "SELECT 'chosen' AS side, id, round(cer, 6) AS cer FROM scored WHERE verdict IN ('FAIL', 'WARN') UNION ALL SELECT 'all', id, round(cer, 6) FROM scored")
+def P8_verdict_filter(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("ord", F.col("id"))
+    sides = [rank.view(rows, chosen, by).select(F.lit(name).alias("side"), "id", r6("cer")) for name, chosen, by in (("chosen", ["FAIL", "WARN"], "worst"), ("all", [], "best"))]
+    return sides[0].union(sides[1])
+
+
+@query("SELECT page_id, url FROM pages ORDER BY lower(url), page_id LIMIT 30")
+def O1_by_name(spark, sf_dir):
+    return rank.top(table(spark, sf_dir, "pages").select("page_id", "url"), 30, F.lower("url"), "page_id")
+
+
+@query(SCORED + "SELECT language AS key, count(*)::BIGINT AS n, round(avg(cer), 6) AS mean_cer FROM scored GROUP BY 1 ORDER BY avg(cer) DESC, 1 LIMIT 3")
+def T2_worst_languages(spark, sf_dir):
+    return rank.top(metrics.by_group(scored(spark, sf_dir), "language"), 3, F.desc("mean_cer"), "key").select("key", "n", r6("mean_cer"))
+
+
+@query("SELECT url AS image_path FROM pages WHERE url IS NOT NULL ORDER BY url LIMIT 25")
+def T5_caps(spark, sf_dir):
+    paths = table(spark, sf_dir, "pages").where("url is not null").select(F.col("url").alias("image_path"))
+    return rank.top(rank.top(paths, 0, "image_path"), 25, "image_path")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size < 18 THEN 'small' WHEN p_size < 32 THEN 'medium' WHEN p_size < 60 THEN 'large' ELSE 'xl' END AS size_class, CASE WHEN p_size / 100.0 < 0.2 THEN 'green' WHEN p_size / 100.0 < 0.5 THEN 'orange' ELSE 'red' END AS severity, printf('%.1f%%', p_size::DOUBLE / 7 * 100) AS pct, printf('%+.2f pp', (p_size - 20)::DOUBLE / 7 * 100) AS points FROM part")
+def F11_formats(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.size_class(size).alias("size_class"), text.severity(size / 100).alias("severity"), text.percent(size / 7).alias("pct"), text.points((size - 20) / 7).alias("points"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, replace(text, chr(10), ' | ') AS one FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN length(one) > 140 THEN left(one, 140) || '...' ELSE one END AS one_line, array_to_string(list_transform(range(0, (length(text) + 49) // 50), lambda i: substr(text, i * 50 + 1, 50)), chr(10)) AS wrapped FROM t""")
+def F14_report_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", text.one_line(F.col("text")).alias("one_line"), text.wrapped(F.col("text")).alias("wrapped"))
+
+
+NAMES = "['.hidden', 'a.b.png', 'no_type', 'x.', 'archive.tar']"
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS id, 'd.x/' || p_brand || '/' || {NAMES}[p_partkey % 5 + 1] AS path FROM part), l AS (SELECT *, {NAMES}[id % 5 + 1] AS leaf FROM n)
+SELECT id, CASE id % 5 WHEN 0 THEN '.hidden' WHEN 1 THEN 'a.b' WHEN 2 THEN 'no_type' WHEN 3 THEN 'x' ELSE 'archive' END AS stem, CASE id % 5 WHEN 1 THEN '.png' WHEN 3 THEN '.' WHEN 4 THEN '.tar' ELSE '' END AS suffix, leaf FROM l""")
+def F10_stem_suffix(spark, sf_dir):
+    leaf = F.get(F.array(*map(F.lit, (".hidden", "a.b.png", "no_type", "x.", "archive.tar"))), (F.col("p_partkey") % 5).cast("int"))
+    path = F.concat(F.lit("d.x/"), "p_brand", F.lit("/"), leaf)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.stem(path).alias("stem"), text.suffix(path).alias("suffix"), text.leaf(path).alias("leaf"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'a/' || p_partkey WHEN p_partkey % 2 = 0 THEN 'b/' || p_partkey WHEN p_partkey % 5 = 0 THEN 'c/' || p_partkey ELSE 'a/' || p_partkey END AS path FROM part")
+def J9_candidate_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    name = lambda d: F.concat(F.lit(f"{d}/"), F.col("id").cast("string"))
+    there = [rows.where(F.col("id") % n == 0).select(name(d).alias("path")) for d, n in (("a", 3), ("b", 2), ("c", 5))]
+    return relate.resolve(rows, there[0].union(there[1]).union(there[2]), [name(d) for d in "abc"])
+
+
+@query(SCORED + "SELECT id, round(cer, 6) AS cer, round(wer, 6) AS wer, verdict FROM scored")
+def X2_score_stream(spark, sf_dir):
+    rows = spark.readStream.schema(table(spark, sf_dir, "part").schema).parquet(f"{sf_dir}/part.parquet*")
+    return jobs.run_available(evaluate.scored(screens_of(rows)).select("id", "cer", "wer", "verdict"), "append").select("id", r6("cer"), r6("wer"), "verdict")
+
+
+def read_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a screen with recognised boxes: marks in the left gutter, status icons above, words."""
+    q, i = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    x = F.when(q % 4 == 0, F.lit(5)).otherwise((F.col("l_partkey") % 200).cast("int") + 40)
+    y = F.when(q % 9 == 0, F.lit(8)).otherwise((F.col("l_suppkey") * 3 % 60).cast("int") + 40)
+    w, h = F.when(q % 4 == 0, q % 40 + 2).otherwise(q + 10), q % 18 + 8
+    words = F.when(q % 9 == 0, F.when(i % 2 == 0, "P").otherwise("up")).when(q % 4 == 0, F.when(i % 3 == 0, "b0-").otherwise("Bold")).when(q % 7 == 0, "OK").otherwise(F.concat(F.lit("Word"), i.cast("string")))
+    at = lambda a, b: F.array(a.cast("double"), b.cast("double"))
+    box = F.struct(F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)).alias("bbox"), words.alias("text"), (F.round(F.col("l_discount") * 100) / 128).alias("score"))
+    row = F.struct(i.alias("i"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", box.alias("b"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["b"]).alias("boxes"))
+
+
+READ = """
+WITH RECURSIVE q AS (SELECT *, l_quantity::INT AS q, l_linenumber AS i FROM lineitem),
+b0 AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY i, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS j, round(l_discount * 100) / 128 AS score,
+  CASE WHEN q % 4 = 0 THEN 5 ELSE (l_partkey % 200)::INT + 40 END AS x1, CASE WHEN q % 9 = 0 THEN 8 ELSE (l_suppkey * 3 % 60)::INT + 40 END AS y1, CASE WHEN q % 4 = 0 THEN q % 40 + 2 ELSE q + 10 END AS w, q % 18 + 8 AS h,
+  CASE WHEN q % 9 = 0 THEN CASE WHEN i % 2 = 0 THEN 'P' ELSE 'up' END WHEN q % 4 = 0 THEN CASE WHEN i % 3 = 0 THEN 'b0-' ELSE 'Bold' END WHEN q % 7 = 0 THEN 'OK' ELSE 'Word' || i END AS text FROM q),
+b AS (SELECT *, x1 + w AS x2, y1 + h AS y2, x1 + w / 2.0 AS x, y1 + h / 2.0 AS y, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 3 AS word FROM b0),
+kept AS (SELECT * FROM b WHERE NOT (
+  (x2 <= 45 AND w <= 35 AND h <= 24 AND regexp_full_match(text, '(?i)[-\\sbcilmopu0-9]+') AND EXISTS (SELECT 1 FROM b o WHERE o.k = b.k AND o.j <> b.j AND abs(b.y - o.y) <= 12 AND o.x1 >= b.x1 AND o.x2 > 45 AND o.word))
+  OR (y1 <= 35 AND y2 <= 65 AND w <= 70 AND h <= 55 AND lower(text) IN ('p', 'up') AND EXISTS (SELECT 1 FROM b o WHERE o.k = b.k AND o.j <> b.j AND o.y1 > b.y2 AND o.word)))),
+"""
+FOLD = """
+f AS (SELECT k, n, x, text, y AS anchor, 1 AS line FROM r WHERE n = 1
+  UNION ALL SELECT r.k, r.n, r.x, r.text, CASE WHEN abs(r.y - f.anchor) <= 12 THEN (f.anchor + r.y) / 2 ELSE r.y END, f.line + (abs(r.y - f.anchor) > 12)::INT FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1),
+l AS (SELECT k, line, string_agg(text, ' ' ORDER BY x, text) AS s FROM f GROUP BY 1, 2),
+t AS (SELECT k, string_agg(s, chr(10) ORDER BY line) AS text FROM l GROUP BY 1)
+"""
+
+
+@query(READ + "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y, x, text) AS n FROM b)," + FOLD + "SELECT k, text FROM t")
+def L1_corner_lines(spark, sf_dir):
+    return read_boxes(spark, sf_dir).select("k", geometry.corners_to_text(F.col("boxes")).alias("text"))
+
+
+@query(READ + "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y, x, j) AS n FROM kept)," + FOLD + ", s AS (SELECT k, avg(score) AS mean_score FROM kept GROUP BY 1) SELECT o.k, coalesce(text, '') AS text, round(coalesce(mean_score, 0.0), 6) AS mean_score FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN t USING (k) LEFT JOIN s USING (k)")
+def L2_read_boxes(spark, sf_dir):
+    return read_boxes(spark, sf_dir).select("k", geometry.boxes_to_text(F.col("boxes")).alias("r")).select("k", "r.text", F.round("r.mean_score", 6).alias("mean_score"))
+
+
+@query(READ + "g AS (SELECT k, string_agg(text, '|' ORDER BY j) AS kept FROM kept GROUP BY 1) SELECT o.k, coalesce(kept, '') AS kept FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN g USING (k)")
+def L6_drop_icons(spark, sf_dir):
+    kept = geometry.drop_gutter_icons(geometry.boxed(F.col("boxes")))
+    return read_boxes(spark, sf_dir).select("k", F.array_join(F.transform(kept, lambda b: b["text"]), "|").alias("kept"))
+
+
+@query(READ + """s AS (SELECT k, count(*) FILTER (j % 2 = 1 AND k % 4 > 0) AS np, coalesce(avg(score) FILTER (j % 2 = 1 AND k % 4 > 0), 0) AS mp, count(*) FILTER (j % 3 > 0) AS nf, coalesce(avg(score) FILTER (j % 3 > 0), 0) AS mf FROM b GROUP BY 1)
+SELECT k, CASE WHEN np = 0 OR (nf > np AND mf >= mp) THEN nf ELSE np END AS n_boxes FROM s""")
+def J15_choose_reading(spark, sf_dir):
+    rows = read_boxes(spark, sf_dir)
+    primary = F.filter("boxes", lambda b, j: (j % 2 == 0) & (F.col("k") % 4 > 0))
+    fallback = F.filter("boxes", lambda b, j: (j + 1) % 3 > 0)
+    return rows.select("k", F.size(geometry.select_result(primary, fallback)).cast("long").alias("n_boxes"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS p, CASE WHEN l_linenumber % 2 = 0 THEN 'short ' || l_returnflag ELSE 'long' END AS truth, CASE WHEN l_linenumber % 2 = 0 THEN 'i.png' ELSE 'p.png' END AS image_path FROM lineitem")
+def P19_either_record(spark, sf_dir):
+    even = F.col("l_linenumber") % 2 == 0
+    element = F.struct(F.lit("text").alias("type"), F.array(*map(F.lit, (1, 2, 30, 12))).alias("bbox"), F.lit("long").alias("text"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), F.when(~even, F.array(element)).alias("elements"), F.when(even, F.concat(F.lit("short "), "l_returnflag")).alias("text"),
+        F.when(~even, "p.png").alias("image_path"), F.when(even, "i.png").alias("image"),
+    )
+    return readers.truth(rows).select("k", "i", "p", "truth", "image_path")
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN coalesce(lang, '') ELSE source END AS text FROM documents")
+def P18_texts_or_raw(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    elements = F.array(F.struct(F.lit("icon").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("source").alias("text")))
+    return rows.select("doc_id", F.get(dataset.texts_or_raw(elements, F.col("lang")), F.lit(0)).alias("text"))
