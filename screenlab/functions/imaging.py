@@ -155,6 +155,56 @@ def readable(data: bytes) -> bool:
     return data[:4] in (b"II*\x00", b"MM\x00*") and len(data) > 8
 
 
+def thumbnail(image: np.ndarray, width: int = 260, height: int = 160) -> np.ndarray:
+    """I8: the image within a frame, its sides in proportion, each pixel the mean of what it stands for; never enlarged."""
+    h, w = image.shape[:2]
+    scale = min(1.0, width / w, height / h)
+    if scale == 1.0:
+        return image
+    rows, columns = (np.linspace(0, n, max(1, round(n * scale)) + 1).astype(int) for n in (h, w))
+    sums = np.add.reduceat(np.add.reduceat(image.astype(np.float64), rows[:-1], axis=0), columns[:-1], axis=1)
+    area = np.diff(rows)[:, None] * np.diff(columns)[None, :]
+    return np.rint(sums / area.reshape(area.shape + (1,) * (image.ndim - 2))).astype(np.uint8)
+
+
+def thumbnails(width: int = 260, height: int = 160):
+    """I8: a UDF from Spark's image struct to a thumbnail as PNG; a null image has none."""
+
+    def run(images: pd.DataFrame) -> pd.Series:
+        rows = zip(images["height"], images["width"], images["nChannels"], images["data"], strict=True)
+        return pd.Series([None if d is None else to_png(thumbnail(from_image_row(int(h), int(w), int(c), d), width, height)) for h, w, c, d in rows], dtype=object)
+
+    return F.pandas_udf(run, "binary")
+
+
+def background(kind: str, width: int, height: int, shade: int = 45) -> np.ndarray:
+    """A gray ground: plain, lighter to the middle or to the edges, or with a bar below."""
+    y, x = np.mgrid[:height, :width].astype(np.float64)
+    if kind == "solid_gray":
+        return np.full((height, width), shade, np.uint8)
+    if kind == "vignette":
+        far = np.hypot(x - width / 2, y - height / 2) / np.hypot(width / 2, height / 2)
+        return (45 * (1 - np.minimum(far, 1)) ** 1.5).astype(np.uint8)
+    if kind in ("gradient_horiz", "gradient_vert"):
+        at, size = (x, width) if kind == "gradient_horiz" else (y, height)
+        return (50 * np.abs(at - size / 2) / (size / 2)).astype(np.uint8)
+    out = np.zeros((height, width), np.uint8)
+    if kind == "toast_bottom":
+        out[height - height // 3 :] = 60
+    return out
+
+
+def icon(name: str, width: int, height: int) -> np.ndarray:
+    """Where an icon has ink, as a share of white: a disc, a triangle, or a triangle before two bars."""
+    y, x = (np.mgrid[:height, :width] + 0.5) / np.array([height, width])[:, None, None]
+    if name == "check":
+        return np.where(np.hypot(x - 0.5, y - 0.5) <= 0.5, 0.6, 0.0)
+    if name == "warning":
+        return np.where(np.abs(x - 0.5) <= y / 2, 0.8, 0.0)
+    bars = ((x >= 0.55) & (x < 0.7)) | (x >= 0.85)
+    return np.where((x / 0.45 <= 1 - np.abs(2 * y - 1)) | bars, 1.0, 0.0)
+
+
 def crop(image: np.ndarray, box: list[int]) -> np.ndarray:
     """I9."""
     x1, y1, x2, y2 = box

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import imaging
 from ..sources import schema
 
 PATTERNS = ("carousel", "message", "timer", "list_check", "toast", "title_subtitle")
@@ -113,3 +115,32 @@ def screens(spark: SparkSession, count: int, start: int = 0, seed: int = 42, lan
             yield pd.DataFrame([label(int(i), *order[int(i) % len(order)], seed, canvas, vocabulary) for i in pdf["id"]], columns=["image_path", "pattern", "language", "background", "canvas_size", "elements", "raw_text"])
 
     return spark.range(start, start + count).mapInPandas(run, schema.LABELS).withColumn("elements", F.transform("elements", lambda e: e))
+
+
+def drawn(row) -> bytes:
+    """A label's screen as PNG. There are no fonts: a text is a row of bars, one for each character, in its box and colour."""
+    w, h = (int(v) for v in row["canvas_size"])
+    page = imaging.background(row["background"], w, h).astype(np.float64)
+    for e in row["elements"]:
+        x1, y1, x2, y2 = (int(v) for v in e["bbox"])
+        clip = (slice(max(0, y1), min(h, y2)), slice(max(0, x1), min(w, x2)))
+        if clip[0].start >= clip[0].stop or clip[1].start >= clip[1].stop:
+            continue
+        if e["type"] == "icon":
+            ink = imaging.icon(e["icon_name"], x2 - x1, y2 - y1)
+        else:
+            bars = np.frombuffer("".join("0" if c.isspace() else "1" for c in e["text"]).encode(), np.uint8) - 48
+            ink = np.tile(bars[np.arange(x2 - x1) * len(bars) // (x2 - x1)] * (np.arange(x2 - x1) % 3 > 0), (y2 - y1, 1)) * (0.6 if e["color_class"] == "gray" else 1.0)
+        part = ink[clip[0].start - y1 : clip[0].stop - y1, clip[1].start - x1 : clip[1].stop - x1]
+        page[clip] = page[clip] * (1 - part) + 255 * part
+    return imaging.to_png(np.rint(page).astype(np.uint8))
+
+
+def pictures(labels: DataFrame) -> DataFrame:
+    """(name, content) of the screens of ``labels``, for ``sinks.image_files``."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"name": pdf["image_path"], "content": [drawn(r) for r in pdf.to_dict("records")]})
+
+    return labels.select("image_path", "background", "canvas_size", "elements").mapInPandas(run, "name string, content binary")

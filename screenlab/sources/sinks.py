@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import uuid
 import zipfile
 from collections.abc import Iterable
@@ -95,56 +96,109 @@ def markdown(header: list[str], rows: Iterable[tuple]) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows])
 
 
-#: Rows of a sheet, fills of the verdicts in a workbook, and column widths.
+#: Rows of a sheet, fills of the verdicts in a workbook, columns and their widths, and the height of a row with pictures.
 SHEET_ROWS = 1_048_576
 FILLS = {"PASS": "C6EFCE", "WARN": "FFEB9C", "FAIL": "FFC7CE"}
-COLUMNS = {"#": 6, "Filename": 32, "Test text": 44, "Reference text": 44, "CER": 10, "WER": 10, "Verdict": 10}
+COLUMNS = {"#": 5, "Filename": 30, "Test image": 38, "Test text": 42, "Reference image": 38, "Reference text": 42, "CER": 10, "WER": 10, "Verdict": 12}
+ROW_POINTS = 125
+#: English metric units in a pixel.
+EMU = 9525
+HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
+TYPE = "application/vnd.openxmlformats-officedocument"
+
+
+def cell(value, style: int = 0) -> str:
+    if isinstance(value, int | float):
+        return f'<c s="{style}"><v>{value}</v></c>'
+    return f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+
+def relations(*pairs: tuple[str, str]) -> str:
+    """A part's relations r1, r2, ... to (kind, target)."""
+    items = "".join(f'<Relationship Id="r{k}" Type="{REL}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate(pairs, 1))
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{items}</Relationships>'
+
+
+def picture(number: int, column: int, row: int, png: bytes) -> str:
+    """A picture at the corner of a cell, in its own size."""
+    w, h = struct.unpack(">II", png[16:24])
+    at = f"<xdr:from><xdr:col>{column}</xdr:col><xdr:colOff>0</xdr:colOff><xdr:row>{row}</xdr:row><xdr:rowOff>0</xdr:rowOff></xdr:from>"
+    size = f'cx="{w * EMU}" cy="{h * EMU}"'
+    fill = f'<xdr:blipFill><a:blip r:embed="r{number}"/><a:stretch><a:fillRect/></a:stretch></xdr:blipFill>'
+    shape = f'<xdr:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></xdr:spPr>'
+    name = f'<xdr:nvPicPr><xdr:cNvPr id="{number}" name="p{number}"/><xdr:cNvPicPr/></xdr:nvPicPr>'
+    return f"<xdr:oneCellAnchor>{at}<xdr:ext {size}/><xdr:pic>{name}{fill}{shape}</xdr:pic><xdr:clientData/></xdr:oneCellAnchor>"
 
 
 def workbook(rows: DataFrame, only_test: list[str] = (), only_reference: list[str] = ()) -> bytes:
-    """K8: results (header, frozen panes, coloured verdicts), summary and unmatched names as an .xlsx file.
+    """K8: results (header, frozen panes, coloured verdicts, thumbnails), summary and unmatched names as an .xlsx file.
 
-    ``rows``: row, filename, test_text, ref_text, cer, wer, verdict in report order. They are
-    taken from Spark one partition at a time and packed as they come; more rows than a sheet
-    can hold are an error.
+    ``rows``: row, filename, test_text, ref_text, cer, wer, verdict in report order, and
+    maybe test_png and ref_png (``imaging.thumbnails``). They are taken from Spark one
+    partition at a time and packed as they come; more rows than a sheet can hold are an error.
     """
     if (many := rows.count()) >= SHEET_ROWS:
         raise ValueError(f"{many} rows are more than a sheet holds")
-    cell = lambda v, style=0: f'<c s="{style}"><v>{v}</v></c>' if isinstance(v, int | float) else f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    images = [c for c in ("test_png", "ref_png") if c in rows.columns]
     style = {v: k + 2 for k, v in enumerate(FILLS)}
     n, cers, wers, counts = 0, 0.0, 0.0, dict.fromkeys(FILLS, 0)
-
-    def sheet(out) -> None:
-        nonlocal n, cers, wers
-        out.write(f'{head}<worksheet {ns}><sheetViews><sheetView workbookViewId="0"><pane xSplit="2" ySplit="1" topLeftCell="C2" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData><row>'.encode())
-        out.write(("".join(cell(h, 1) for h in COLUMNS) + "</row>").encode())
-        for r in rows.orderBy("row").toLocalIterator():
-            n, cers, wers = n + 1, cers + r["cer"], wers + r["wer"]
-            counts[r["verdict"]] += 1
-            own = [cell(n), cell(r["filename"]), cell(r["test_text"] or ""), cell(r["ref_text"] or ""), cell(round(r["cer"] * 100, 2)), cell(round(r["wer"] * 100, 2)), cell(r["verdict"], style[r["verdict"]])]
-            out.write(f"<row>{''.join(own)}</row>".encode())
-        out.write(b"</sheetData></worksheet>")
-
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     widths = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(COLUMNS.values(), 1))
-    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in FILLS.values())
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/worksheets/sheet2.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Results" sheetId="1" r:id="r1"/><sheet name="Summary" sheetId="2" r:id="r2"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/worksheet" Target="worksheets/sheet2.xml"/><Relationship Id="r3" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet {ns}><fonts count="2"><font/><font><b/></font></fonts><fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5"><xf/><xf fontId="1" applyFont="1"/>{"".join(f"""<xf fillId="{k}" applyFill="1"/>""" for k in (2, 3, 4))}</cellXfs></styleSheet>',
-    }
+    tall = f' ht="{ROW_POINTS}" customHeight="1"' if images else ""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        with z.open("xl/worksheets/sheet1.xml", "w") as first:
-            sheet(first)
-        facts = [("Pairs", n), *counts.items(), ("Mean CER %", round(cers / n * 100, 2) if n else 0.0), ("Mean WER %", round(wers / n * 100, 2) if n else 0.0)]
+        with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            panes = '<sheetViews><sheetView workbookViewId="0"><pane xSplit="2" ySplit="1" topLeftCell="C2" state="frozen"/></sheetView></sheetViews>'
+            sheet.write(f'{HEAD}<worksheet xmlns="{MAIN}" xmlns:r="{REL}">{panes}<cols>{widths}</cols><sheetData><row>{"".join(cell(h, 1) for h in COLUMNS)}</row>'.encode())
+            for r in rows.drop(*images).orderBy("row").toLocalIterator():
+                n, cers, wers = n + 1, cers + r["cer"], wers + r["wer"]
+                counts[r["verdict"]] += 1
+                values = [n, r["filename"], "", r["test_text"] or "", "", r["ref_text"] or "", round(r["cer"], 4), round(r["wer"], 4)]
+                sheet.write(f"<row{tall}>{''.join(map(cell, values))}{cell(r['verdict'], style[r['verdict']])}</row>".encode())
+            sheet.write(("</sheetData>" + '<drawing r:id="r1"/>' * bool(images) + "</worksheet>").encode())
+        anchors, files = [], []
+        for at, r in enumerate(rows.select("row", *images).orderBy("row").toLocalIterator() if images else (), 1):
+            for column, png in ((COLUMN_OF[c], r[c]) for c in images):
+                if png:
+                    files.append(("image", f"../media/p{len(files) + 1}.png"))
+                    anchors.append(picture(len(files), column, at, bytes(png)))
+                    z.writestr(f"xl/media/p{len(files)}.png", bytes(png), zipfile.ZIP_STORED)
+        facts = [("Pairs", n), *counts.items(), ("Mean CER", round(cers / n, 4) if n else 0.0), ("Mean WER", round(wers / n, 4) if n else 0.0), ("Only in test", len(only_test)), ("Only in reference", len(only_reference))]
         facts += [("Only in test", x) for x in only_test] + [("Only in reference", x) for x in only_reference]
-        summary = "".join(f"<row>{cell(k, 1)}{cell(v)}</row>" for k, v in facts)
-        parts["xl/worksheets/sheet2.xml"] = f"<worksheet {ns}><sheetData>{summary}</sheetData></worksheet>"
+        parts = {
+            "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{"".join(f"<row>{cell(k, 1)}{cell(v)}</row>" for k, v in facts)}</sheetData></worksheet>',
+            "_rels/.rels": relations(("officeDocument", "xl/workbook.xml")),
+            "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets><sheet name="Results" sheetId="1" r:id="r1"/><sheet name="Summary" sheetId="2" r:id="r2"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": relations(("worksheet", "worksheets/sheet1.xml"), ("worksheet", "worksheets/sheet2.xml"), ("styles", "styles.xml")),
+            "xl/styles.xml": styles(),
+        }
+        types = {"xl/workbook.xml": "sheet.main", "xl/styles.xml": "styles", "xl/worksheets/sheet1.xml": "worksheet", "xl/worksheets/sheet2.xml": "worksheet"}
+        named = {k: f"{TYPE}.spreadsheetml.{v}+xml" for k, v in types.items()}
+        if images:
+            parts |= {
+                "xl/worksheets/_rels/sheet1.xml.rels": relations(("drawing", "../drawings/drawing1.xml")),
+                "xl/drawings/_rels/drawing1.xml.rels": relations(*files),
+                "xl/drawings/drawing1.xml": f'<xdr:wsDr xmlns:xdr="{DRAWING}/spreadsheetDrawing" xmlns:a="{DRAWING}/main" xmlns:r="{REL}">{"".join(anchors)}</xdr:wsDr>',
+            }
+            named["xl/drawings/drawing1.xml"] = f"{TYPE}.drawing+xml"
+        known = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="png" ContentType="image/png"/>'
+        parts["[Content_Types].xml"] = f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">{known}{"".join(f"""<Override PartName="/{k}" ContentType="{v}"/>""" for k, v in named.items())}</Types>'
         for name, text in parts.items():
-            z.writestr(name, head + text)
+            z.writestr(name, HEAD + text)
     return out.getvalue()
+
+
+#: Where the pictures stand.
+COLUMN_OF = {"test_png": 2, "ref_png": 4}
+
+
+def styles() -> str:
+    """Plain cells, bold heads, and a fill for each verdict."""
+    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in FILLS.values())
+    own = "".join(f'<xf fillId="{k}" applyFill="1"/>' for k in range(2, 2 + len(FILLS)))
+    return (
+        f'<styleSheet xmlns="{MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="{2 + len(FILLS)}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
+        f'<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{2 + len(FILLS)}"><xf/><xf fontId="1" applyFont="1"/>{own}</cellXfs></styleSheet>'
+    )

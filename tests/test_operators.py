@@ -2,6 +2,7 @@
 
 import json
 import random
+import xml.etree.ElementTree
 import zipfile
 
 import numpy as np
@@ -171,6 +172,32 @@ def test_images_and_crops(spark, tmp_path):
         sinks.split_sets(labels.withColumn("split", F.lit("test")), f"{tmp_path}/more", files)
 
 
+def test_pictures_and_thumbnails(spark, tmp_path):
+    labels = synth.screens(spark, 24, seed=3)
+    assert sinks.image_files(synth.pictures(labels), str(tmp_path)) == 24
+    images = readers.images(spark, f"{tmp_path}/images/*.png")
+    first = images.first()
+    assert images.count() == 24 and (first["height"], first["width"]) == (240, 320)
+    gray = imaging.from_image_row(first["height"], first["width"], first["nChannels"], first["data"])
+    assert gray.max() > 100
+    for kind in ("solid_gray", "vignette", "gradient_horiz", "gradient_vert", "toast_bottom", "solid_black"):
+        assert imaging.background(kind, 32, 20).shape == (20, 32)
+    assert imaging.background("vignette", 32, 20)[10, 16] == 45 and imaging.background("toast_bottom", 32, 20)[-1, 0] == 60
+    assert imaging.thumbnail(np.tile([0, 100], (320, 260)).astype(np.uint8)).tolist() == np.full((160, 260), 50).tolist()
+    assert imaging.thumbnail(np.zeros((1000, 10, 3), np.uint8)).shape == (160, 2, 3) and imaging.thumbnail(np.ones((5, 5), np.uint8)).shape == (5, 5)
+    small = images.select(imaging.thumbnails()(F.struct("height", "width", "nChannels", "data")).alias("png")).limit(2).collect()
+    rows = spark.createDataFrame([(1, "a", "t", "r", 0.5, 1.0, "FAIL", bytearray(small[0]["png"]), None), (2, "b", "t", "r", 0.0, 0.0, "PASS", bytearray(small[1]["png"]), bytearray(small[0]["png"]))], "row int, filename string, test_text string, ref_text string, cer double, wer double, verdict string, test_png binary, ref_png binary")
+    import io
+
+    with zipfile.ZipFile(io.BytesIO(sinks.workbook(rows))) as z:
+        assert sorted(n for n in z.namelist() if "media" in n) == [f"xl/media/p{k}.png" for k in (1, 2, 3)] and z.read("xl/media/p2.png") == small[1]["png"]
+        drawing = z.read("xl/drawings/drawing1.xml").decode()
+        assert drawing.count("<xdr:pic>") == 3 and '<drawing r:id="r1"/>' in z.read("xl/worksheets/sheet1.xml").decode()
+        for name in z.namelist():
+            if name.endswith((".xml", ".rels")):
+                xml.etree.ElementTree.fromstring(z.read(name))
+
+
 def test_label_sources(spark, tmp_path):
     for name in ("seed", "chunk_02", "chunk_01", "chunk_03"):
         (tmp_path / name).mkdir()
