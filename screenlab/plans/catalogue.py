@@ -617,9 +617,9 @@ def L1_corner_lines(spark, sf_dir):
     return read_boxes(spark, sf_dir).select("k", geometry.corners_to_text(F.col("boxes")).alias("text"))
 
 
-@query(READ + "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y, x, j) AS n FROM kept)," + FOLD + ", s AS (SELECT k, avg(score) AS mean_score FROM kept GROUP BY 1) SELECT o.k, coalesce(text, '') AS text, round(coalesce(mean_score, 0.0), 6) AS mean_score FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN t USING (k) LEFT JOIN s USING (k)")
+@query(READ + "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y, x, j) AS n FROM kept)," + FOLD + ", s AS (SELECT k, avg(score) AS mean_score FROM kept GROUP BY 1) SELECT o.k, coalesce(text, '') AS text, round(coalesce(mean_score, 0.0) + 1e-9, 6) AS mean_score FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN t USING (k) LEFT JOIN s USING (k)")
 def L2_read_boxes(spark, sf_dir):
-    return read_boxes(spark, sf_dir).select("k", geometry.boxes_to_text(F.col("boxes")).alias("r")).select("k", "r.text", F.round("r.mean_score", 6).alias("mean_score"))
+    return read_boxes(spark, sf_dir).select("k", geometry.boxes_to_text(F.col("boxes")).alias("r")).select("k", "r.text", F.round(F.col("r.mean_score") + 1e-9, 6).alias("mean_score"))
 
 
 @query(READ + "g AS (SELECT k, string_agg(text, '|' ORDER BY j) AS kept FROM kept GROUP BY 1) SELECT o.k, coalesce(kept, '') AS kept FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN g USING (k)")
