@@ -106,11 +106,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return found.union(e.select("a").distinct().select("a", "a"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir, read again."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the folder of spark.checkpoint.dir, read again, and the table's path; the table ``before``, of which it was made, is dropped."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if before:
+        old = spark._jvm.org.apache.hadoop.fs.Path(before)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.parquet(path), path
 
 
 #: Bytes of values up to which a table is broadcast.

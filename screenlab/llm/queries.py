@@ -114,6 +114,17 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE n AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS s FROM n WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, l.b FROM reach JOIN l ON l.a = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1),
+d AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)
+"""
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
@@ -145,4 +156,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_near_vectors": OP6_SQL, "op8_url_filter": OP8_SQL}
