@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from screenlab.llm import decontaminate, jaccard, quality, secret_scan, sharding, vectors
+from screenlab.llm import common, decontaminate, jaccard, quality, secret_scan, sharding, vectors
 from screenlab.llm.words import hash_string, hash_words, text_buffer
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -86,6 +86,9 @@ def test_jaccard_join(spark, monkeypatch):
     assert [(r["doc_id"], r["class_id"], r["n_links"]) for r in got if r["doc_id"] is not None and (r["class_id"], r["n_links"]) != (own[r["doc_id"]], n[r["doc_id"]])] == []
     assert [(r["class_id"], r["n_links"]) for r in got if r["doc_id"] is None] == [(None, 0)]
     assert jaccard.join(docs.where("false")).isEmpty()
+    same = jaccard.join(docs, parts_of=True, all_links=False).collect()  # what is linked, without how often
+    assert [(r["doc_id"], r["class_id"], r["n_links"] > 0) for r in same if r["doc_id"] is not None and (r["class_id"], r["n_links"] > 0) != (own[r["doc_id"]], n[r["doc_id"]] > 0)] == []
+    assert len(same) == len(rows) and jaccard.join(docs.where("false"), all_links=False).isEmpty()
 
 
 def brute_hits(text, bench, n=13):
@@ -286,6 +289,28 @@ def test_secrets_after_equals_signs(spark):
     assert masked[1] == "client_id=[linked_id] client_secret_key=[linked_secret]&x=1" and masked[4] == texts[4]
 
 
+def test_components_of_stars_and_chains(spark):
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(4000, 4070)] + [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(150)] + [(7, 7), (4070, 3999)]
+    ids = {x for e in edges if e[0] != e[1] for x in e}
+    got = common.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["id"]: r["component"] for r in got.collect()} == roots(sorted(ids), edges)
+    assert common.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_join_of_frequent_keys(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("many"), F.max("id").alias("top"))
+    got = common.join_frequent(rows, table, ["k"], "many", 4000)
+    assert got.count() == 4000 and got.where("k = 1 and top = 3998").count() == 2666 and got.columns == ["k", "id", "top"]
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([("x" * 1000, [("a", "b" * 500)], None)], "s string, l array<struct<a:string,b:string>>, d double")
+    hinted = lambda most: "broadcast" in common.bounded(rows, most).join(rows, "s")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert hinted(2000) and not hinted(1500) and common.bounded(rows.where("false"), 0).count() == 0
+
+
 def test_unrelated_long_texts_are_pruned():
     rng, vocab = np.random.default_rng(4), np.array([f"w{i}" for i in range(5000)])
     own = [rng.choice(vocab, 2000).tolist() for _ in range(40)]
