@@ -123,7 +123,7 @@ def resolve(rows: DataFrame, listing: DataFrame, candidates: list[Column], out:
     tried = keyed.select("_row", F.posexplode("_c").alias("_rank", "path"))
     there = tried.join(listing.select("path").distinct(), "path", "left_semi")
     best = there.groupBy("_row").agg(F.min_by("path", "_rank").alias(out))
-    done = keyed.select("_row", F.col("_c")[0].alias("_first")).distinct().join(best, "_row", "left")
+    done = keyed.select("_row", F.col("_c")[0].alias("_first")).join(best, "_row", "left")  # repeated rows stay
     return done.select("_row.*", F.coalesce(out, "_first").alias(out))
 
 
