@@ -222,9 +222,17 @@ def own_ids(ids: np.ndarray) -> list[int]:
     return ids.tolist() if ids.dtype.kind in "iu" else [int(i) for i in ids if i is not None and i == i]
 
 
+def bytes_for(v: Vocabulary, ids: list[int]) -> bytes:
+    """The bytes of the ids; one that is not in the vocabulary stands for nothing, as in the library."""
+    try:
+        return b"".join(map(v.bytes_of.__getitem__, ids))
+    except KeyError:
+        return b"".join(v.bytes_of.get(i, b"") for i in ids)
+
+
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:
-    """The text of the ids; one that is not in the vocabulary stands for nothing, as in the library."""
-    return b"".join(v.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+    """The text of the ids."""
+    return bytes_for(v, ids).decode("utf-8", "replace")
 
 
 def decoder(path: str):
@@ -254,7 +262,7 @@ def digests(path: str):
             for s in range(0, len(x) if x is not None else 0, 100_000):
                 own = own_ids(x[s : s + 100_000])
                 named.update(("," * (n > 0 and bool(own)) + ",".join(map(str, own))).encode())
-                decoded.update(text.decode(b"".join(v.bytes_of.get(i, b"") for i in own)).encode())
+                decoded.update(text.decode(bytes_for(v, own)).encode())
                 n += len(own)
             decoded.update(text.decode(b"", True).encode())
             out.append((n, named.hexdigest(), decoded.hexdigest()))
