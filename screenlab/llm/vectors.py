@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import bounded, components, cut, join_frequent
 
 #: Rows of a label or cell compared at a time; a fuller one is taken in pairs of such chunks.
-CHUNK = 4096
+CHUNK = 8192
 #: Rows of a large label by which its selectivity is measured, and coordinates of a block that cells may use.
 SAMPLE, MOST_COORDINATES = 384, 3
 #: What it costs to send a row to a task, in differences of coordinates.
@@ -53,11 +53,12 @@ def gaps(x: np.ndarray, p: np.ndarray, q: np.ndarray, block: slice) -> np.ndarra
     return (d * d).sum(1)
 
 
-def meet(x: np.ndarray, home: np.ndarray, other: np.ndarray | None, block: slice, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meet(x: np.ndarray, home: np.ndarray, other: np.ndarray | None, block: slice, budget: float, met=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (row numbers) of ``home`` and ``other``, or within ``home``, that are within the budget in a block.
 
     Both sides are ordered by the block's first coordinate, so a slab of one is compared with
-    the band of the other that it can reach. Each pair comes once.
+    the band of the other that it can reach. Each pair comes once; those that ``met`` (a
+    function of two lists of rows) knows are left out.
     """
     home = home[np.argsort(x[home, block.start])]
     other, alone = (home, True) if other is None else (other[np.argsort(x[other, block.start])], False)
@@ -68,7 +69,8 @@ def meet(x: np.ndarray, home: np.ndarray, other: np.ndarray | None, block: slice
         j = other[low : np.searchsorted(first, x[i[-1], block.start] + reach, "right")]
         a, b = x[i, block], x[j, block]
         # The expanded square picks, with room for its rounding; the difference decides.
-        p, q = np.nonzero((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T) <= budget + 1e-9)
+        near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T) <= budget + 1e-9
+        p, q = np.nonzero(near & ~met(i, j) if met else near)
         if alone:
             p, q = p[p < q], q[p < q]
         p, q = i[p], j[q]
@@ -83,8 +85,8 @@ def verified(unit: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -
     return p[keep], q[keep]
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges that join the same of ``n`` rows as the links (a, b) do."""
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the smallest that the links (a, b) join it to."""
     up = np.arange(n)
     while True:  # each row hangs on the smallest it is linked to, then paths are shortened
         low = up.copy()
@@ -93,17 +95,35 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
         while (low != low[low]).any():
             low = low[low]
         if (low[up] == up).all():
-            break
+            return up
         up = low[up]
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges that join the same of ``n`` rows as the links (a, b) do."""
+    up = joined(a, b, n)
     return [(int(i), int(up[i])) for i in np.flatnonzero(up != np.arange(n))]
 
 
-def summary(ids: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-    """(a, b, links): the links of each row, weighted by copies, and edges of a spanning forest."""
-    links = np.bincount(p, n[q], len(ids)) + np.bincount(q, n[p], len(ids))
-    some, tree = np.flatnonzero(links), forest(p, q, len(ids))
-    a, b = np.array([i for i, _ in tree], int), np.array([j for _, j in tree], int)
-    return pd.DataFrame({"a": np.concatenate([ids[some], ids[a]]), "b": np.concatenate([ids[some], ids[b]]), "links": np.concatenate([links[some], np.zeros(len(tree))]).astype(np.int64)})
+class Links:
+    """What a task keeps of its links: how many each row has, weighted by copies, and which rows they join."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray):
+        self.ids, self.copies = ids, copies
+        self.count, self.up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        for i, j in ((p, q), (q, p)):
+            self.count += np.bincount(i, self.copies[j], len(self.ids)).astype(np.int64)
+        a, b = self.up[p], self.up[q]
+        if (apart := a != b).any():
+            self.up = joined(a[apart], b[apart], len(self.up))[self.up]
+
+    def table(self) -> pd.DataFrame:
+        """(a, b, links): a row with itself and its links, and edges of a spanning forest."""
+        some, tree = np.flatnonzero(self.count), np.flatnonzero(self.up != np.arange(len(self.up)))
+        links = np.concatenate([self.count[some], np.zeros(len(tree), np.int64)])
+        return pd.DataFrame({"a": self.ids[np.concatenate([some, tree])], "b": self.ids[np.concatenate([some, self.up[tree]])], "links": links})
 
 
 def cells_of(x: np.ndarray, block: slice, budget: float, coordinates: int) -> np.ndarray:
@@ -122,17 +142,18 @@ def cheapest(x: np.ndarray, n: int, width: int, threshold: float) -> int:
     Dealt whole, every pair of rows meets once and a row is sent to as many tasks as there are
     chunks. In cells, only rows of neighbouring cells are compared, block by block.
     """
-    dim = x.shape[1]
-    blocks, budgets = subspaces(dim, width, threshold)
-    cost = [n * n / 2 * dim + n * -(-n // CHUNK) * ROW_COST]
+    blocks, budgets = subspaces(x.shape[1], width, threshold)
     p, q = np.triu_indices(len(x), 1)
-    for m in range(1, MOST_COORDINATES + 1):
-        work, copies = 0.0, 0
+    cost = []
+    for m in range(MOST_COORDINATES + 1):
+        work, copies = 0.0, 0 if m else -(-n // CHUNK)
         for b, budget in zip(blocks, budgets, strict=True):
-            c = cells_of(x, b, budget, m)
-            near = (np.abs(c[p] - c[q]) <= 1).all(1).mean() if len(p) else 1.0
-            work += near * (b.stop - b.start)
-            copies += len(steps(c.shape[1]))
+            near = np.abs(x[p, b.start] - x[q, b.start]) <= np.sqrt(budget)  # the band, in cells or not
+            if m:
+                c = cells_of(x, b, budget, m)
+                near &= (np.abs(c[p] - c[q]) <= 1).all(1)
+                copies += len(steps(c.shape[1]))
+            work += (near.mean() if len(p) else 1.0) * (b.stop - b.start)
         cost.append(n * n / 2 * work + n * copies * ROW_COST)
     return int(np.argmin(cost))
 
@@ -206,11 +227,21 @@ def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_ty
         place[two] = np.arange(len(two))
         met = np.zeros((len(one), len(two)), bool)  # the union over the blocks
         for b, budget in zip(*subspaces(x.shape[1], width, threshold), strict=True):
-            for p, q in meet(x, one, None if same else two, b, budget):
-                p, q = (np.minimum(p, q), np.maximum(p, q)) if same else (p, q)
+            for p, q in meet(x, one, None if same else two, b, budget, lambda i, j: met[np.ix_(place[i], place[j])]):
                 met[place[p], place[q]] = True
-        p, q = np.nonzero(met)
-        return summary(pdf["id"].to_numpy(), pdf["n"].to_numpy(), *verified(unit, one[p], two[q], threshold))
+                if same:
+                    met[place[q], place[p]] = True
+        found = Links(pdf["id"].to_numpy(), pdf["n"].to_numpy())
+        for s in range(0, len(one), 64):
+            part = met[s : s + 64]
+            if part.mean() < 0.05:
+                p, q = np.nonzero(part)
+                p, q = verified(unit, one[s + p], two[q], threshold)
+            else:  # most of them meet: the cosines of all at once
+                p, q = np.nonzero(part & (unit[one[s : s + 64]] @ unit[two].T >= threshold))
+                p, q = one[s + p], two[q]
+            found.add(p[p < q] if same else p, q[p < q] if same else q)
+        return found.table()
 
     plain = groups.where(F.col("rows") <= CHUNK)
     large = groups.where(F.col("rows") > CHUNK)
@@ -256,11 +287,8 @@ def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_ty
                 for e in range(k):  # a pair that meets in an earlier block belongs to it
                     later = gaps(x, p, q, blocks[e]) > budgets[e]
                     p, q = p[later], q[later]
-                p, q = verified(unit, p, q, threshold)
-                ps.append(p)
-                qs.append(q)
-        none = np.zeros(0, np.int64)
-        return summary(pdf["id"].to_numpy(), pdf["n"].to_numpy(), np.concatenate([none, *ps]), np.concatenate([none, *qs]))
+                found.add(*verified(unit, p, q, threshold))
+        return found.table()
 
     return done.union(_in_pairs(cells.join(full, by), by).groupBy(*by, "one", "two").applyInPandas(in_cell, schema))
 
