@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..operators.relate import BROADCAST_BYTES, fixed, shared_folder, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,21 +35,8 @@ def long_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; an error where none is set but in local mode."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: checkpointed in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: ``df`` without its lineage: checkpointed in the shared folder.
+cut = fixed
 
 
 def join_frequent(rows: DataFrame, table: DataFrame, key: list[str], many: str, count: int) -> DataFrame:
@@ -68,7 +55,7 @@ def join_frequent(rows: DataFrame, table: DataFrame, key: list[str], many: str,
 
 def with_least(edges: DataFrame, key: str, value: str, count: int) -> DataFrame:
     """``edges`` with ``m``, the least ``value`` of each ``key``."""
-    low = cut(edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n_")))
+    low = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n_"))  # one shuffle, which both sides read
     return join_frequent(edges, low, [key], "n_", count)
 
 
@@ -109,7 +96,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the folder of spark.checkpoint.dir, read again, and the table's path; the table ``before``, of which it was made, is dropped."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if before:
         old = spark._jvm.org.apache.hadoop.fs.Path(before)
@@ -117,28 +104,9 @@ def written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
-#: Bytes of values up to which a table is broadcast.
-BROADCAST_BYTES = 64_000_000
-
-
-def bytes_of(column: Column, kind: T.DataType) -> Column:
-    """About how many bytes the values of a column take."""
-    if isinstance(kind, T.StringType | T.BinaryType):
-        own = F.octet_length(column)
-    elif isinstance(kind, T.StructType):
-        own = sum((bytes_of(column[f.name], f.dataType) for f in kind), F.lit(8))
-    elif isinstance(kind, T.ArrayType):
-        own = F.aggregate(column, F.lit(8).cast("long"), lambda n, x: n + bytes_of(x, kind.elementType))
-    else:
-        own = F.lit(8)
-    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
-
-
 def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, checkpointed, with a broadcast hint if its values take at most ``most`` bytes; else joins shuffle it."""
-    df = cut(df)
-    size = df.agg(F.sum(sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32)))).first()[0]
-    return F.broadcast(df) if (size or 0) <= most else df
+    return small(cut(df), most)
 
 
 def same_text(docs: str, found: str) -> Column:
