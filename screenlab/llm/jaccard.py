@@ -7,7 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, components, cut, join_frequent, long_rows
@@ -243,8 +243,10 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, parts_of: bool = F
     each, get their whole sets, on which these pairs are verified. A bucket over CHUNK is
     dealt out as pairs of chunks. Tasks return counts and spanning edges, never pairs.
 
-    Without ``all_links`` a pair is not verified once its two are joined by others: class_id is
-    the same, and n_links only tells whether there are any.
+    Without ``all_links`` a pair is not verified once its two are joined by others, and the chunks
+    of a bucket meet the first and then only those that have something left to join: class_id is
+    the same, n_links only tells whether there are any, and a bucket of near copies of one
+    text is work in proportion to it, not to its square.
 
     Null and empty texts, and texts without words, link with nothing, and so do rows of a
     null doc_id (class_id null). Other columns are ignored; repeated rows are copies. An empty
@@ -289,7 +291,7 @@ def _joined(docs: DataFrame, threshold: float, n: int, all_links: bool) -> DataF
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum("size").alias("shingles")).where("n > 1")
     once = buckets.groupBy("n", "low", "high", "x", "shingles").agg(F.min("key").alias("key"), F.first("n").alias("many"))
     once = cut(once.select("key", "many", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("shingles") * 8 / CHUNK_BYTES)).cast("int").alias("chunks")))
-    members = cut(join_frequent(banded.select("key", "c"), once, ["key"], "many", once.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]))
+    members = cut(join_frequent(banded.select("key", "c"), once, ["key"], "many", once.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]).select("key", "c", "chunks"))
     kept = members.groupBy("c").agg(F.sort_array(F.collect_list("key")).alias("kept"))  # at most one for each band
     needed = cut(classes.select("c", "rep", "copies", "mh").join(kept, "c"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -298,11 +300,10 @@ def _joined(docs: DataFrame, threshold: float, n: int, all_links: bool) -> DataF
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, *by).sortWithinPartitions(*by)
 
-    chunked = members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    chunked = chunked.select("key", "c", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("chunks") - 1)
     places = pa.schema([("key", pa.int64()), ("one", pa.int32()), ("two", pa.int32()), ("chunk", pa.int32()), ("c", pa.int64())])
-    hope = dealt(chunked.join(needed.select("c", "mh", "kept"), "c")).mapInArrow(by_bucket(lambda rows: screened(rows, threshold), places), "key long, one int, two int, chunk int, c long")
-    hope = cut(hope)
+    edges = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def whole(batches):
         for batch in batches:
@@ -313,16 +314,25 @@ def _joined(docs: DataFrame, threshold: float, n: int, all_links: bool) -> DataF
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)), pa.array(sets, pa.binary())], names=["c", "set"])
 
-    wanted = needed.join(hope.select("c").distinct(), "c", "left_semi")
-    reps = bounded(wanted.select(F.col("rep").alias("doc_id")).distinct())
-    sets = base.join(reps, "doc_id", "left_semi").select("text").mapInArrow(whole, "c long, set binary")
-    sets = wanted.join(sets.groupBy("c").agg(F.first("set").alias("set")), "c").drop("rep")
-    edges = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-    found = cut(dealt(hope.join(sets, "c")).mapInArrow(by_bucket(lambda rows: verified(rows, threshold, all_links), edges), "a long, b long, links long"))
-
+    def compared_in(chunk_pairs: DataFrame) -> DataFrame:
+        """(a, b, links) of pairs of chunks: screened by MinHash, then verified on the sets."""
+        hope = dealt(chunk_pairs.join(needed.select("c", "mh", "kept"), "c")).mapInArrow(by_bucket(lambda rows: screened(rows, threshold), places), "key long, one int, two int, chunk int, c long")
+        hope = cut(hope)
+        wanted = needed.join(hope.select("c").distinct(), "c", "left_semi")
+        reps = bounded(wanted.select(F.col("rep").alias("doc_id")).distinct())
+        sets = base.join(reps, "doc_id", "left_semi").select("text").mapInArrow(whole, "c long, set binary")
+        sets = wanted.join(sets.groupBy("c").agg(F.first("set").alias("set")), "c").drop("rep")
+        return cut(dealt(hope.join(sets, "c")).mapInArrow(by_bucket(lambda rows: verified(rows, threshold, all_links), edges), "a long, b long, links long"))
+
+    if all_links or once.where("chunks > 2").isEmpty():
+        found = compared_in(_in_pairs(members, each))
+    else:
+        # Each chunk with itself and with the first; of the other pairs of chunks those that may join something yet.
+        found = compared_in(_in_pairs(members, F.when(F.col("chunk") == 0, each).otherwise(F.array(F.lit(0), "chunk"))))
+        found = found.union(compared_in(_unsettled(members, found)))
     top = components(found.where("a <> b").select("a", "b"))
     named = cut(top.join(classes.select(F.col("c").alias("id"), "rep"), "id"))
-    groups = cut(named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("many")))
+    groups = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("many"))
     named = join_frequent(named.select("id", "component"), groups, ["component"], "many", named.count()).select(F.col("id").alias("c"), "class_id", "component")
     links = found.where("links > 0").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     by_class = classes.select("c", "rep", "copies").join(links, "c", "left").join(named, "c", "left")
@@ -330,3 +340,26 @@ def _joined(docs: DataFrame, threshold: float, n: int, all_links: bool) -> DataF
     rows = signed.where(usable).select("doc_id", "text_hash", "c")
     done = join_frequent(rows, by_class, ["c"], "copies", by_class.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]).select("doc_id", "class_id", "n_links", "text_hash", "part")
     return done.union(signed.where(~usable).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("part")))
+
+
+def _in_pairs(members: DataFrame, others: Column) -> DataFrame:
+    """Members of buckets once for each of the chunks in ``others``: rows of the pairs of chunks (one, two)."""
+    rows = members.withColumn("other", F.explode(others))
+    return rows.select("key", "c", "chunk", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"))
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the pairs of chunks, the first aside, that do not lie wholly in the largest component of their bucket.
+
+    So a bucket of near copies of one text, whose chunks the first has joined, asks for no more
+    work: it grows with the bucket instead of its square.
+    """
+    members = members.where("chunks > 2")
+    top = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "c")
+    rows = members.join(top, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    # A row for each bucket of over two chunks: few beside the members.
+    most = bounded(rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("largest")))
+    mixed = rows.join(most, "key").where(F.col("component") != F.col("largest")).groupBy("key").agg(F.collect_set("chunk").alias("mixed"))
+    later = members.where("chunk > 0").join(bounded(mixed), "key")
+    others = F.when(F.array_contains("mixed", F.col("chunk")), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.filter("mixed", lambda o: o > 0))
+    return _in_pairs(later, F.filter(others, lambda o: o != F.col("chunk")))

@@ -86,9 +86,12 @@ def test_jaccard_join(spark, monkeypatch):
     assert [(r["doc_id"], r["class_id"], r["n_links"]) for r in got if r["doc_id"] is not None and (r["class_id"], r["n_links"]) != (own[r["doc_id"]], n[r["doc_id"]])] == []
     assert [(r["class_id"], r["n_links"]) for r in got if r["doc_id"] is None] == [(None, 0)]
     assert jaccard.join(docs.where("false")).isEmpty()
-    same = jaccard.join(docs, parts_of=True, all_links=False).collect()  # what is linked, without how often
-    assert [(r["doc_id"], r["class_id"], r["n_links"] > 0) for r in same if r["doc_id"] is not None and (r["class_id"], r["n_links"] > 0) != (own[r["doc_id"]], n[r["doc_id"]] > 0)] == []
-    assert len(same) == len(rows) and jaccard.join(docs.where("false"), all_links=False).isEmpty()
+    for chunk in (6, 2):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        same = jaccard.join(docs, parts_of=True, all_links=False).collect()  # what is linked, without how often
+        assert [(r["doc_id"], r["class_id"], r["n_links"] > 0) for r in same if r["doc_id"] is not None and (r["class_id"], r["n_links"] > 0) != (own[r["doc_id"]], n[r["doc_id"]] > 0)] == []
+        assert len(same) == len(rows)
+    assert jaccard.join(docs.where("false"), all_links=False).isEmpty()
 
 
 def brute_hits(text, bench, n=13):
