@@ -58,8 +58,8 @@ def same(a: str, b: str, *columns: str) -> Column:
 def in_ranges(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], after: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` in ranges of (group, order), with ``_part``, the range's number, and for each sum what the rows of its group in earlier ranges have.
 
-    ``sums`` are aggregates that add up or have extremes: name to aggregate over rows, taken again over
-    ranges by its own function (``sum`` for counts). ``after`` has the same for later ranges.
+    ``sums`` are aggregates over rows by names like _sum_x, _count_x, _max_x: over ranges, what the
+    name says is taken again (sums for counts). ``after`` has the same for later ranges.
     A group of any size is spread over tasks: in windows over (group, _part) only ranges meet,
     and of each range and group one row is left for the running totals. The ranges are fixed
     before they are counted: planned twice, they could be cut at other rows.
@@ -67,12 +67,12 @@ def in_ranges(rows: DataFrame, group: list[str], order: list[str], sums: dict[st
     parts = fixed(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
     after = after or {}
     own = parts.groupBy(*group, "_part").agg(*[c.alias(n) for n, c in (sums | after).items()])
-    again = lambda n, c: {"max": F.max, "min": F.min}.get(n.split("_")[1], F.sum)(n)
-    w = Window.partitionBy(*group).orderBy("_part")
+    again = lambda n: {"max": F.max, "min": F.min}.get(n.split("_")[1], F.sum)(n)
+    before, later = (Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in ("_part", F.desc("_part")))
     own = own.select(
         *group, "_part",
-        *[again(n, c).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n, c in sums.items()],
-        *[again(n, c).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(n) for n, c in after.items()],
+        *[again(n).over(before).alias(n) for n in sums],
+        *[again(n).over(later).alias(n) for n in after],
     )
     names = [*sums, *after]
     return parts.alias("a").join(own.alias("b"), same("a", "b", *group, "_part")).select("a.*", *[F.col(f"b.{n}") for n in names])
@@ -147,9 +147,10 @@ def near_in_group(rows: DataFrame, group: str, y: str, reach: float, test: Colum
     """
     at = F.when(test, F.col(y))
     placed = in_ranges(rows, [group], [y, "id"], {"_max_before": F.max(at)}, {"_min_after": F.min(at)})
-    own = Window.partitionBy(group, "_part").orderBy(y, "id")
-    low = F.coalesce(F.last(at, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_max_before"))
-    high = F.coalesce(F.first(at, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)), F.col("_min_after"))
+    up, down = (Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in ((y, "id"), (F.desc(y), F.desc("id"))))
+    # What follows is what comes before in the other order: a frame to the end would be gone through for each row.
+    low = F.coalesce(F.last(at, ignorenulls=True).over(up), F.col("_max_before"))
+    high = F.coalesce(F.last(at, ignorenulls=True).over(down), F.col("_min_after"))
     near = F.coalesce(F.col(y) - low <= reach, F.lit(False)) | F.coalesce(high - F.col(y) <= reach, F.lit(False))
     return placed.withColumn("near", near).drop("_part", "_max_before", "_min_after")
 
