@@ -19,8 +19,8 @@ BENCHMARK_BYTES = 16_000_000
 SHARD_WORDS, HELD_BYTES = 1_000_000, 32_000_000
 #: Every so manieth suffix position is kept for locating.
 SAMPLE = 16
-#: The words of ``words``, as a pattern for texts whose A-Z are lower-cased.
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: The words of ``words``, as a pattern, and what lower-cases their A-Z.
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -51,7 +51,7 @@ def phrases(texts: list[tuple[str, str]], n: int) -> Phrases:
     names = [""] * len(own)
     found: dict[int, tuple[list, list]] = {}
     for k, (item, text) in enumerate(texts):
-        words, ids = WORD.findall(text.translate(LOWER)), stream[first[k] : first[k + 1]].tolist()
+        words, ids = [w.translate(LOWER) for w in WORD.findall(text)], stream[first[k] : first[k + 1]].tolist()
         for w, i in zip(words, ids, strict=True):
             if not names[i - 1]:
                 names[i - 1] = w
@@ -226,12 +226,11 @@ def mistaken(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, nu
     """Which of the words hit are other words than those of the benchmark that have their hash."""
     wrong, at = [], np.flatnonzero(hit)
     for i in np.split(at, np.flatnonzero(np.diff(doc[at])) + 1) if len(at) else []:
-        words = (m[0] for m in WORD.finditer(texts[int(doc[i[0]])].as_py().translate(LOWER)))
-        n = -1
-        for k in i:
-            while n < where[k]:
-                w, n = next(words), n + 1
-            if w != p.names[number[k] - 1]:
+        words, n = WORD.finditer(texts[int(doc[i[0]])].as_py()), -1
+        for k, at_word, name in zip(i.tolist(), where[i].tolist(), number[i].tolist(), strict=True):
+            while n < at_word:
+                word, n = next(words), n + 1
+            if word[0].translate(LOWER) != p.names[name - 1]:
                 wrong.append(k)
     return np.array(wrong, np.int64)
 

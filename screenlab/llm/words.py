@@ -39,6 +39,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@cache
+def _work(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Space that every piece is worked in, kept by the process: fresh pages would cost as much as the work. The second begins with 0."""
+    return np.zeros(n, np.uint64), np.zeros(n + 1, np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,9 +86,9 @@ def _piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends = at[:-1], at[1:]
     is_word = inside[starts] if len(starts) else np.zeros(0, bool)
     starts, ends = starts[is_word], ends[is_word]
-    power, inverse = _powers(BLOCK + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(b.astype(np.uint64) * power[: len(b)], out=sums[1:])
+    (power, inverse), (part, sums) = _powers(BLOCK + 1), _work(BLOCK + 1)
+    np.multiply(b, power[: len(b)], out=part[: len(b)])
+    np.cumsum(part[: len(b)], out=sums[1 : len(b) + 1])
     return (sums[ends] - sums[starts]) * inverse[starts], starts, ends
 
 
