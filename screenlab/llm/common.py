@@ -69,9 +69,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = cut(e)
-    for _ in range(rounds):
-        if not (count := e.count()):
-            break
+    count = e.count()  # no round has more
+    for _ in range(rounds if count else 0):
         # Large star: what is larger than a node hangs on the smallest of its neighbours and itself.
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_least(both, "a", "b", 2 * count).where("b > a")
@@ -88,7 +87,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if open_.isEmpty():
             break
     else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
+        if count:
+            raise RuntimeError(f"components: not settled after {rounds} rounds")
     found = e.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return found.union(e.select("a").distinct().select("a", "a"))
 
