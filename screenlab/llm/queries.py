@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, chat, decontaminate, html_text, jaccard, quality, secret_scan, sharding, url_rules, vectors
+from . import bpe, chat, decontaminate, html_text, jaccard, quality, repeats, secret_scan, sharding, url_rules, vectors
 from .common import cut, spread, table
 
 def tokenizer_path() -> str:
@@ -144,6 +144,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", many(0).alias("n_assign"), many(1).alias("n_access"), many(2).alias("n_hex"), F.sha2(secret_scan.named(base), 256).alias("base_sha256"), secret_scan.named(F.col("spans")).alias("spans"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
@@ -155,5 +160,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_near_vectors": OP6_SQL, "op8_url_filter": OP8_SQL}
