@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import bpe, chat, decontaminate, html_text, jaccard, quality, repeats, secret_scan, sharding, url_rules, vectors
+from . import bpe, chat, collocations, decontaminate, html_text, importance, jaccard, quality, repeats, secret_scan, sharding, url_rules, vectors
 from .common import cut, spread, table
 
 def tokenizer_path() -> str:
@@ -144,6 +144,61 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", many(0).alias("n_assign"), many(1).alias("n_access"), many(2).alias("n_hex"), F.sha2(secret_scan.named(base), 256).alias("base_sha256"), secret_scan.named(F.col("spans")).alias("spans"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE step = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM b),
+v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+h AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) + 1, 2), lambda p: ('0x' || substr(x, p, 2))::BIGINT)),
+    lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN h USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN h USING (word) GROUP BY 1),
+g AS (SELECT k.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) k(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS total FROM dw JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_features, CASE WHEN coalesce(len(d.w), 0) = 0 THEN 0 ELSE floor(total / len(d.w))::BIGINT END AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS u FROM d LEFT JOIN w USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM r),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS p, count(*) OVER () AS many FROM z WHERE n_features >= 20)
+SELECT z.*, (CASE WHEN p <= 10 * many // 100 THEN p END)::BIGINT AS rank FROM z LEFT JOIN o USING (doc_id)
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+c AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w[i : i + k - 1] AS ws
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 4) s(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, any_value(ws) AS ws, count(*)::HUGEINT AS f FROM c GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+a AS MATERIALIZED (SELECT lang, k, phrase, ws, f AS a FROM f WHERE k > 1 AND f >= 10),
+y AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(ws[1 : j], ' ') AS lp, array_to_string(ws[j + 1 : k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM a)),
+o1 AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+x AS (SELECT y.lang, y.phrase, y.k, y.a, j, l.f AS l, r.f AS r, (1000000::HUGEINT * y.a * y.a) // (l.f * r.f) AS score
+  FROM y JOIN o1 l ON l.lang = y.lang AND l.phrase = y.lp JOIN o1 r ON r.lang = y.lang AND r.phrase = y.rp),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+b AS (SELECT lang, phrase, max(a) AS a FROM (
+  SELECT lang, a, array_to_string(ws[1 : k - 1], ' ') AS phrase FROM a WHERE k > 2 UNION ALL SELECT lang, a, array_to_string(ws[2 : k], ' ') FROM a WHERE k > 2) GROUP BY ALL),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, m.a DESC, encode(m.phrase)) AS rank
+  FROM m LEFT JOIN b ON m.lang = b.lang AND m.phrase = b.phrase WHERE b.a IS NULL OR 100 * b.a < 50 * m.a)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeats.remove(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -160,6 +215,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance": op11_importance,
+    "op12_collocations": op12_collocations,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_near_vectors": OP6_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op6_near_vectors": OP6_SQL, "op8_url_filter": OP8_SQL, "op11_importance": OP11_SQL, "op12_collocations": OP12_SQL}
