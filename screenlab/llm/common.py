@@ -104,6 +104,17 @@ def written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table and read again; the shuffle files it was made of go at once, as nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df)[0]
+    finally:
+        conf.set(key, before)
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, checkpointed, with a broadcast hint if its values take at most ``most`` bytes; else joins shuffle it."""
     return small(cut(df), most)

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, join_frequent, long_rows
+from .common import bounded, cut, join_frequent, long_rows, saved
 from .suffixes import suffix_orders
 from .words import BLOCK, _powers, mix, text_buffer
 
@@ -27,8 +28,8 @@ from .words import BLOCK, _powers, mix, text_buffer
 WIDTH = 50
 #: Lengths of the grams by which strings are grouped, one after the other for groups that stay too large.
 GRAMS = (16, 34)
-#: Rows of a group beyond which it is cut by the next gram at once, and its different stretches beyond which it is.
-GROUP_ROWS, GROUP_PARTS = 512, 31
+#: Documents of a gram beyond which its stretches are cut into strings at once, and different stretches of a gram beyond which they are cut by the next gram.
+GROUP_ROWS, GROUP_PARTS = 5000, 31
 #: Strings of a stretch (a mask of them is a long), symbols of a lane that is full, and bytes of stretches that a task sorts at a time.
 RUN, LANE, LANES = 32, 2048, 1 << 22
 #: Stands for two or more documents.
@@ -51,18 +52,21 @@ def stretches(data: np.ndarray, offsets: np.ndarray, gram: int, width: int) -> I
         while 2 * size <= span:
             low, size = np.minimum(low[:-size], low[size:]), 2 * size
         low = np.minimum(low[: len(h) - span + 1], low[span - size :])
-        text = np.searchsorted(offsets, np.arange(s, s + len(low)), "right") - 1 if len(low) else np.zeros(0, np.int64)
-        whole = offsets[text + 1] - np.arange(s, s + len(low)) >= width
-        edge = np.concatenate(([True], (low[1:] != low[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])))
+        edge = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=edge[1:])
+        i, j = np.searchsorted(offsets, (s, s + len(low) + width))
+        for at in (offsets[i:j] - s, offsets[i:j] - s - width + 1):  # where a text's strings begin and end
+            edge[at[(at >= 0) & (at < len(low))]] = True
         starts = np.flatnonzero(edge)
         many = np.diff(np.append(starts, len(low)))
         pieces = -(-many // RUN)
         if len(pieces) and pieces.max() > 1:
             k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             starts, many = np.repeat(starts, pieces) + RUN * k, np.minimum(np.repeat(many, pieces) - RUN * k, RUN)
-        keep = whole[starts]
-        starts, many = starts[keep], many[keep]
-        yield text[starts], starts + s, many, low[starts].view(np.int64)
+        text = np.searchsorted(offsets, starts + s, "right") - 1
+        keep = offsets[text + 1] - s - starts >= width
+        text, starts, many = text[keep], starts[keep], many[keep]
+        yield text, starts + s, many, low[starts].view(np.int64)
 
 
 def named(content: bytes) -> int:
@@ -75,7 +79,7 @@ def _docs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams_shared(docs: DataFrame, groups: int, gram: int, width: int) -> DataFrame:
-    """(doc_id, grams): the least grams of each document that another has too. ``docs`` have ids.
+    """(doc_id, gram): the least grams of each document that another has too. ``docs`` have ids.
 
     A batch names each gram once, with its document or as one of many; the documents of grams
     that a batch itself has twice need no answer, and go along as they are.
@@ -117,14 +121,12 @@ def grams_shared(docs: DataFrame, groups: int, gram: int, width: int) -> DataFra
         return pa.table({"doc_id": np.concatenate((doc[sure], d[both])), "gram": np.concatenate((h[sure], g[both]))})
 
     dealt = docs.mapInArrow(batch_grams, "part long, sure boolean, docs array<long>, grams array<long>")
-    found = dealt.groupBy("part").applyInArrow(shared, "doc_id long, gram long")
-    return found.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    return dealt.groupBy("part").applyInArrow(shared, "doc_id long, gram long")
 
 
 #: Of a stretch: its group, its content by name and as bytes, the document, and to which bits of which stretch of the document its strings belong.
-PART = "gram long, name long, content binary, doc_id long, root long, shift int"
-#: Strings of a document's stretch that occur in a smaller doc_id.
-REPLY = "doc_id long, root long, mask long"
+#: A mask instead tells which strings of the document's stretch ``root`` occur in a smaller doc_id.
+ROWS = "gram long, name long, content binary, doc_id long, root long, shift int, mask long"
 
 
 def _bits(many: np.ndarray) -> np.ndarray:
@@ -132,7 +134,7 @@ def _bits(many: np.ndarray) -> np.ndarray:
 
 
 def _settled(rows: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
-    """(replies, rest) of rows of PART: of equal stretches only the rows of the smallest doc_id are left to look at, one for each root."""
+    """(replies, rest) of rows: of equal stretches only the rows of the smallest doc_id are left to look at, one for each root."""
     if not rows.num_rows:
         return pa.table({c: [] for c in ("doc_id", "root", "mask")}), rows
     gram, name, doc, shift = (rows.column(c).to_numpy() for c in ("gram", "name", "doc_id", "shift"))
@@ -215,47 +217,57 @@ def sorted_out(rows: pa.Table, width: int, most: int) -> tuple[pa.Table, pa.Tabl
     return pa.concat_tables([replies.cast(more.schema), more]), left
 
 
-def _both(replies: pa.Table, rows: pa.Table) -> pa.Table:
-    """One table of replies and of rows that are left, told apart by null columns."""
-    fields = [("gram", pa.int64()), ("name", pa.int64()), ("content", pa.binary()), ("doc_id", pa.int64()), ("root", pa.int64()), ("shift", pa.int32()), ("mask", pa.int64())]
-    out = [pa.table({n: t.column(n).cast(k) if n in t.column_names else pa.nulls(t.num_rows, k) for n, k in fields}) for t in (replies, rows)]
-    return pa.concat_tables(out)
+_FIELDS = pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("content", pa.binary()), ("doc_id", pa.int64()), ("root", pa.int64()), ("shift", pa.int32()), ("mask", pa.int64())])
+
+
+def _both(replies: pa.Table, rows: pa.Table) -> list[pa.RecordBatch]:
+    """Replies and rows that are left in one form: a reply has a mask, and a string that is known by its name has no content."""
+    out = [pa.table({f.name: t.column(f.name).cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in _FIELDS}) for t in (replies, rows)]
+    return [b for t in out for b in t.to_batches()]
 
 
 def first_parts(docs: DataFrame, gram: int, width: int) -> DataFrame:
-    """Stretches of documents (doc_id, text, grams) whose gram is among ``grams``; equal ones of a batch are settled at once."""
+    """Stretches of documents (doc_id, text, grams) whose gram is among ``grams``; equal ones of a batch are settled at once.
+
+    Those of frequent grams are cut into their strings, which go on by name alone.
+    """
 
     def cut_out(batches):
         for batch in batches:
             ids, data, offsets = _docs(batch)
             rows = []
-            for t, s, n, g in _wanted(batch, data, offsets, gram, width):
+            for t, s, n, g, hot in _wanted(batch, data, offsets, gram, width):
                 contents = [data[i:j].tobytes() for i, j in zip(s.tolist(), (s + n + width - 1).tolist(), strict=True)]
                 names = np.fromiter(map(named, contents), np.int64, len(contents))
-                rows.append(pa.table({"gram": g, "name": names, "content": pa.array(contents, pa.binary()), "doc_id": ids[t], "root": names, "shift": np.zeros(len(t), np.int32)}))
+                rows.append(pa.table({"gram": g, "name": names, "content": pa.array(contents, pa.binary()), "doc_id": ids[t], "root": names, "shift": np.zeros(len(t), np.int32), "hot": hot}))
             if rows:
-                yield from _both(*_settled(_unique(pa.concat_tables(rows)), width)).to_batches()
+                replies, rows = _settled(_unique(pa.concat_tables(rows)), width)
+                yield from _both(replies, rows.filter(pa.compute.invert(rows.column("hot"))))
+                yield from _finer(rows.filter(rows.column("hot")), width, width)
 
-    return docs.mapInArrow(cut_out, f"{PART}, mask long")
+    return docs.mapInArrow(cut_out, ROWS)
 
 
 def _wanted(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, gram: int, width: int):
-    """``stretches`` of a batch's texts, those whose gram is in the row's ``grams``."""
+    """``stretches`` of a batch's texts, those whose gram is in the row's ``grams``, and whether it is a frequent one."""
     lists = batch.column("grams")
-    of, grams = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten().to_numpy()
+    of, values = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten()
+    grams, hot = values.field("gram").to_numpy(), values.field("hot").to_numpy(zero_copy_only=False)
     order = np.lexsort((grams, of))
-    of, grams = of[order], grams[order]
+    of, grams, hot = of[order], grams[order], hot[order]
     begin = np.searchsorted(of, np.arange(len(lists) + 1))
     known = np.unique(grams)
     for t, s, n, g in stretches(data, offsets, gram, width):
-        keep = np.flatnonzero(np.isin(g, known))
+        keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g) if len(known) else np.zeros(0, np.int64)
         t, s, n, g = t[keep], s[keep], n[keep], g[keep]
-        keep = np.zeros(len(t), bool)
+        at = np.full(len(t), -1)
         for i in np.unique(t):
             a, b = np.searchsorted(t, (i, i + 1))
-            own = grams[begin[i] : begin[i + 1]]
-            keep[a:b] = own[np.minimum(np.searchsorted(own, g[a:b]), len(own) - 1)] == g[a:b] if len(own) else False
-        yield t[keep], s[keep], n[keep], g[keep]
+            if begin[i + 1] > begin[i]:
+                found = begin[i] + np.minimum(np.searchsorted(grams[begin[i] : begin[i + 1]], g[a:b]), begin[i + 1] - begin[i] - 1)
+                at[a:b] = np.where(grams[found] == g[a:b], found, -1)
+        keep = at >= 0
+        yield t[keep], s[keep], n[keep], g[keep], hot[at[keep]]
 
 
 def _unique(rows: pa.Table) -> pa.Table:
@@ -266,57 +278,48 @@ def _unique(rows: pa.Table) -> pa.Table:
     return rows.take(order[np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])))[: len(d)]])
 
 
-def finer_parts(parts: DataFrame, gram: int, width: int) -> DataFrame:
-    """Stretches cut by longer grams; of length ``width``, into their strings. Equal ones of a batch are settled at once."""
+def _finer(rows: pa.Table, gram: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Stretches cut by longer grams; of length ``width``, into their strings, by name alone. Equal ones of ``rows`` are settled at once."""
+    contents = rows.column("content").to_pylist()
+    data, offsets = np.frombuffer(b"".join(contents), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, contents))))).astype(np.int64)
+    doc, root, shift = (rows.column(c).to_numpy() for c in ("doc_id", "root", "shift"))
+    for t, s, n, g in stretches(data, offsets, gram, width):
+        if gram == width:
+            of, k = np.repeat(np.arange(len(t)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            t, s, g, n = t[of], s[of] + k, g[of], np.ones(len(of), np.int64)
+        parts = [data[i:j].tobytes() for i, j in zip(s.tolist(), (s + n + width - 1).tolist(), strict=True)]
+        names = np.fromiter(map(named, parts), np.int64, len(parts))
+        found = pa.table({"gram": g, "name": names, "content": pa.array(parts, pa.binary()), "doc_id": doc[t], "root": root[t], "shift": (shift[t] + s - offsets[t]).astype(np.int32)})
+        replies, found = _settled(found, width)
+        yield from _both(replies, found.drop_columns(["content"]) if gram == width else found)
 
-    def cut_finer(batches):
-        for batch in batches:
-            contents = batch.column("content").to_pylist()
-            data, offsets = np.frombuffer(b"".join(contents), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, contents))))).astype(np.int64)
-            doc, root, shift = (batch.column(c).to_numpy() for c in ("doc_id", "root", "shift"))
-            rows = []
-            for t, s, n, g in stretches(data, offsets, gram, width):
-                if gram == width:  # strings alone
-                    of, k = np.repeat(np.arange(len(t)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    t, s, g, n = t[of], s[of] + k, g[of], np.ones(len(of), np.int64)
-                parts = [data[i:j].tobytes() for i, j in zip(s.tolist(), (s + n + width - 1).tolist(), strict=True)]
-                names = np.fromiter(map(named, parts), np.int64, len(parts))
-                rows.append(pa.table({"gram": g, "name": names, "content": pa.array(parts, pa.binary()), "doc_id": doc[t], "root": root[t], "shift": (shift[t] + s - offsets[t]).astype(np.int32)}))
-            if rows:
-                yield from _both(*_settled(pa.concat_tables(rows), width)).to_batches()
 
-    return parts.mapInArrow(cut_finer, f"{PART}, mask long")
+def finer_parts(parts: DataFrame, gram: int, width: int) -> DataFrame:
+    return parts.mapInArrow(lambda batches: (x for b in batches for x in _finer(pa.table(b), gram, width)), ROWS)
 
 
-def repeated(docs: DataFrame, groups: int, width: int, group_rows: int, group_parts: int) -> DataFrame:
+def repeated(docs: DataFrame, groups: int, width: int, group_parts: int) -> DataFrame:
     """(doc_id, root, mask): strings of ``docs`` (doc_id, text, grams) that a smaller doc_id holds, by the stretches they lie in."""
 
     def sort_group(table: pa.Table) -> pa.Table:
-        return _both(*sorted_out(table.drop_columns(["part"]), width, group_parts))
+        ready = pa.compute.is_null(table.column("content"))
+        done, found = table.filter(ready), table.filter(pa.compute.invert(ready))
+        return pa.concat_tables([done.select(_FIELDS.names).cast(_FIELDS), pa.Table.from_batches(_both(*sorted_out(found, width, group_parts)), _FIELDS)])
 
-    found, replies = first_parts(docs, GRAMS[0], width), []
+    found, tables = first_parts(docs, GRAMS[0], width), []
     for level in range(len(GRAMS)):
-        found = cut(found)
-        replies.append(found.where("mask is not null").select("doc_id", "root", "mask"))
-        rows = found.where("mask is null").drop("mask")
-        hot = bounded(rows.groupBy("gram").count().where(f"count > {group_rows}").select("gram"))
-        dealt = rows.join(hot, "gram", "left_anti").withColumn("part", F.pmod("gram", F.lit(groups)))
-        done = cut(dealt.groupBy("part").applyInArrow(sort_group, f"{PART}, mask long"))
-        replies.append(done.where("mask is not null").select("doc_id", "root", "mask"))
-        left = done.where("mask is null").drop("mask").unionByName(rows.join(hot, "gram", "left_semi").select(*done.drop("mask").columns))
-        found = finer_parts(left, GRAMS[level + 1] if level + 1 < len(GRAMS) else width, width)
-    # Strings of their own: those of a group are equal.
-    found = cut(found.drop("content"))
-    replies.append(found.where("mask is not null").select("doc_id", "root", "mask"))
-    rows = found.where("mask is null").select("gram", "name", "doc_id", "root", "shift")
+        part = F.pmod(F.when(F.col("content").isNull(), F.xxhash64("doc_id", "root", "shift")).otherwise(F.col("gram")), F.lit(groups))
+        done = saved(found.withColumn("part", part).groupBy("part").applyInArrow(sort_group, ROWS))
+        tables.append(done.where("content is null"))
+        found = finer_parts(done.where("content is not null"), GRAMS[level + 1] if level + 1 < len(GRAMS) else width, width)
+    tables.append(saved(found))
+    settled = reduce(DataFrame.unionByName, tables)
+    # Strings of their own: those of a name are equal.
+    rows = settled.where("mask is null").select("gram", "name", "doc_id", "root", "shift")
     least = cut(rows.groupBy("gram", "name").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")))
     total = least.agg(F.sum("many")).first()[0] or 0
     over = join_frequent(rows, least, ["gram", "name"], "many", total).where("doc_id > least")
-    replies.append(over.selectExpr("doc_id", "root", "shiftleft(1L, shift) as mask"))
-    out = replies[0]
-    for r in replies[1:]:
-        out = out.unionByName(r)
-    return out
+    return settled.where("mask is not null").select("doc_id", "root", "mask").unionByName(over.selectExpr("doc_id", "root", "shiftleft(1L, shift) as mask"))
 
 
 #: What ``cleaned`` gives of each row.
@@ -333,7 +336,7 @@ def cleaned(docs: DataFrame, gram: int, width: int) -> DataFrame:
             answers.append({})
             for x in reply or ():
                 answers[-1][x["root"]] = answers[-1].get(x["root"], 0) | x["mask"]
-        for t, s, n, _ in _wanted(batch, data, offsets, gram, width):
+        for t, s, n, _, _ in _wanted(batch, data, offsets, gram, width):
             for i, at, many in zip(t.tolist(), s.tolist(), n.tolist(), strict=True):
                 if answers[i] and (mask := answers[i].get(named(data[at : at + many + width - 1].tobytes()))):
                     hit = at + np.flatnonzero(mask >> np.arange(many) & 1)
@@ -369,7 +372,7 @@ def remove(docs: DataFrame, width: int = WIDTH, group_rows: int = GROUP_ROWS, gr
     one doc_id with several texts, are kept beside each other: only a smaller id takes bytes
     away. Rows of a null doc_id take and lose none. Further columns are ignored, an empty table
     gives an empty one. ``width`` is over the last of GRAMS. Groups of
-    over ``group_rows`` rows or ``group_parts`` different stretches are cut by longer grams.
+    over ``group_parts`` different stretches are cut by longer grams, those of over ``group_rows`` documents into strings.
     """
     docs = long_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -383,16 +386,17 @@ def remove(docs: DataFrame, width: int = WIDTH, group_rows: int = GROUP_ROWS, gr
     named_docs = docs.withColumn("name", name)
     whole = named_docs.join(gone, ["doc_id", "name"], "left_semi")
     rest = named_docs.join(gone, ["doc_id", "name"], "left_anti").drop("name")
-    # Those that share a gram with another document.
+    # What shares a gram with another document.
     groups = max((total or 0) >> 22, 2 * parts)
-    shared = cut(grams_shared(rest.where("doc_id is not null"), groups, GRAMS[0], width))
-    ids = bounded(shared.select("doc_id"))
-    some = cut(rest.join(ids, "doc_id", "left_semi").join(shared, "doc_id").select("doc_id", "text", "grams"))
-    replies = repeated(some, groups, width, group_rows, group_parts)
+    pairs = saved(grams_shared(rest.where("doc_id is not null"), groups, GRAMS[0], width))
+    hot = bounded(pairs.groupBy("gram").count().where(f"count > {group_rows}").select("gram", F.lit(True).alias("hot")))
+    shared = pairs.join(hot, "gram", "left").groupBy("doc_id").agg(F.collect_set(F.struct("gram", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("grams"))
+    some = rest.join(shared, "doc_id")
+    replies = repeated(some, groups, width, group_parts)
     replies = replies.groupBy("doc_id").agg(F.collect_list(F.struct("root", "mask")).alias("replies"))
-    done = cleaned(some.join(replies, "doc_id", "left"), GRAMS[0], width)
+    done = cleaned(rest.where("doc_id is not null").join(shared.join(replies, "doc_id"), "doc_id", "left"), GRAMS[0], width)
     none = F.array().cast("array<struct<start:long,end:long>>")
     size = F.octet_length("text").cast("long")
-    as_is = rest.join(ids, "doc_id", "left_anti").select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.col("text").cast("binary").alias("kept"))
+    as_is = rest.where("doc_id is null").select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.col("text").cast("binary").alias("kept"))
     out = whole.select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))).alias("spans"), F.lit(b"").alias("kept"))
     return as_is.unionByName(out).unionByName(done)
