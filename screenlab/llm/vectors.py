@@ -136,7 +136,7 @@ def steps(coordinates: int) -> list[tuple[int, ...]]:
     return [o for o in itertools.product((-1, 0, 1), repeat=coordinates) if o >= (0,) * coordinates]
 
 
-def cheapest(x: np.ndarray, n: int, width: int, threshold: float) -> int:
+def cheapest(x: np.ndarray, n: int, width: int, threshold: float, chunk: int = CHUNK, row_cost: float = ROW_COST) -> int:
     """On how many coordinates of each block a label of ``n`` rows, of which ``x`` is a sample, is best dealt to cells; 0: on none.
 
     Dealt whole, every pair of rows meets once and a row is sent to as many tasks as there are
@@ -146,7 +146,7 @@ def cheapest(x: np.ndarray, n: int, width: int, threshold: float) -> int:
     p, q = np.triu_indices(len(x), 1)
     cost = []
     for m in range(MOST_COORDINATES + 1):
-        work, copies = 0.0, 0 if m else -(-n // CHUNK)
+        work, copies = 0.0, 0 if m else -(-n // chunk)
         for b, budget in zip(blocks, budgets, strict=True):
             near = np.abs(x[p, b.start] - x[q, b.start]) <= np.sqrt(budget)  # the band, in cells or not
             if m:
@@ -154,11 +154,11 @@ def cheapest(x: np.ndarray, n: int, width: int, threshold: float) -> int:
                 near &= (np.abs(c[p] - c[q]) <= 1).all(1)
                 copies += len(steps(c.shape[1]))
             work += (near.mean() if len(p) else 1.0) * (b.stop - b.start)
-        cost.append(n * n / 2 * work + n * copies * ROW_COST)
+        cost.append(n * n / 2 * work + n * copies * row_cost)
     return int(np.argmin(cost))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, width: int = 8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, width: int = 8, chunk: int = CHUNK, row_cost: float = ROW_COST) -> DataFrame:
     """(vec_id, n_links, component_id) for each row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors of the same label are linked when their cosine is at least ``threshold``.
@@ -167,12 +167,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, width: int = 8)
     of it in some block. So each block is range-joined under its budget, and the union of
     the pairs is verified in double precision.
 
-    Labels of up to CHUNK different vectors are joined in one task, block after block, each as
+    Labels of up to ``chunk`` different vectors are joined in one task, block after block, each as
     a band join on the block's first coordinate. Of a larger label a sample tells what cells
-    on one to three coordinates of each block would spare: where that outweighs the copies,
+    on one to three coordinates of each block would spare: where that outweighs the copies (at ``row_cost`` each),
     a vector is at home in its cell of each block and visits half of the neighbours, and a pair
     is verified in the first block that it meets in; else the label is dealt as pairs of
-    chunks, in which each pair of vectors meets once. Cells of over CHUNK vectors are dealt as
+    chunks, in which each pair of vectors meets once. Cells of over ``chunk`` vectors are dealt as
     chunks too. Each task returns counts and a spanning forest, so neither pairs nor a label's
     or cell's rows meet in one place.
 
@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, width: int = 8)
     packed = rows.mapInArrow(pack, f"vec_id {id_type}, label {label_type}, v binary")
     # One row for each different vector of a label: copies are counted, the smallest id stands for them.
     classes = cut(packed.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", (F.octet_length("v") / kind.itemsize).cast("int")))
-    found = cut(_met(classes, kind, threshold, width, id_type, label_type))
+    found = cut(_met(classes, kind, threshold, width, chunk, row_cost, id_type, label_type))
     top = components(found.where("a <> b").select("a", "b"))
     links = found.where("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     got = classes.join(links, "id", "left").join(top, "id", "left")
@@ -210,16 +210,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, width: int = 8)
     return linked.union(packed.where("v is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
 
 
-def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_type: str, label_type: str) -> DataFrame:
+def _vectors(pdf: pd.DataFrame, kind: np.dtype) -> np.ndarray:
+    return units(np.frombuffer(b"".join(pdf["v"]), kind).reshape(len(pdf), -1))
+
+
+def layout(classes: DataFrame, kind: np.dtype, threshold: float, width: int, chunk: int, row_cost: float) -> DataFrame:
+    """(label, dim, rows, coordinates) of labels of several vectors: on how many coordinates of its blocks each is dealt to cells, 0 for whole."""
+    key, label_type = ["label", "dim"], classes.schema["label"].dataType.simpleString()
+    groups = bounded(classes.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1"))
+    large = groups.where(F.col("rows") > chunk)
+    if large.isEmpty():
+        return groups.withColumn("coordinates", F.lit(0))
+
+    # Larger labels: their selectivity is measured on about SAMPLE rows of the least hashes.
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = _vectors(pdf, kind)
+        m = cheapest(unit @ rotation(unit.shape[1]), int(pdf["rows"].iloc[0]), width, threshold, chunk, row_cost)
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "coordinates": [m]})
+
+    some = classes.join(large, key).where((F.xxhash64("v").cast("double") / F.lit(2.0**64) + 0.5) * F.col("rows") < SAMPLE)
+    chosen = some.groupBy(*key).applyInPandas(measure, f"label {label_type}, dim int, coordinates int")
+    return bounded(groups.join(chosen, key, "left").select(*key, "rows", F.coalesce("coordinates", F.lit(0)).alias("coordinates")))
+
+
+def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, chunk_rows: int, row_cost: float, id_type: str, label_type: str) -> DataFrame:
     """(a, b, links) of all tasks: a = b with the links that a task found, and edges of spanning forests."""
-    groups = bounded(classes.groupBy("label", "dim").agg(F.count("*").alias("rows")).where("rows > 1"))
     schema, key = f"a {id_type}, b {id_type}, links long", ["label", "dim"]
-
-    def vectors_of(pdf: pd.DataFrame) -> np.ndarray:
-        return units(np.frombuffer(b"".join(pdf["v"]), kind).reshape(len(pdf), -1))
+    dealt = layout(classes, kind, threshold, width, chunk_rows, row_cost)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = vectors_of(pdf)
+        unit = _vectors(pdf, kind)
         x, chunk = unit @ rotation(unit.shape[1]), pdf["chunk"].to_numpy()
         one, two = np.flatnonzero(chunk == pdf["one"].iloc[0]), np.flatnonzero(chunk == pdf["two"].iloc[0])
         same, place = pdf["one"].iloc[0] == pdf["two"].iloc[0], np.empty(len(pdf), np.int64)
@@ -237,32 +257,23 @@ def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_ty
             if part.mean() < 0.05:
                 p, q = np.nonzero(part)
                 p, q = verified(unit, one[s + p], two[q], threshold)
-            else:  # most of them meet: the cosines of all at once
-                p, q = np.nonzero(part & (unit[one[s : s + 64]] @ unit[two].T >= threshold))
-                p, q = one[s + p], two[q]
+            else:  # most of them meet: the cosines of all at once, but for those too near the threshold
+                product = unit[one[s : s + 64]] @ unit[two].T
+                p, q = np.nonzero(part & (product >= threshold + 1e-9))
+                i, j = np.nonzero(part & (np.abs(product - threshold) < 1e-9))
+                i, j = verified(unit, one[s + i], two[j], threshold)
+                p, q = np.concatenate((one[s + p], i)), np.concatenate((two[q], j))
             found.add(p[p < q] if same else p, q[p < q] if same else q)
         return found.table()
 
-    plain = groups.where(F.col("rows") <= CHUNK)
-    large = groups.where(F.col("rows") > CHUNK)
-    if large.isEmpty():
-        return _in_pairs(classes.join(plain, key), key).groupBy("label", "dim", "one", "two").applyInPandas(whole, schema)
-
-    # Larger labels: their selectivity is measured on about SAMPLE rows of the least hashes.
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = vectors_of(pdf)
-        m = cheapest(unit @ rotation(unit.shape[1]), int(pdf["rows"].iloc[0]), width, threshold)
-        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "coordinates": [m]})
-
-    some = classes.join(large, key).where((F.xxhash64("v").cast("double") / F.lit(2.0**64) + 0.5) * F.col("rows") < SAMPLE)
-    chosen = some.groupBy(*key).applyInPandas(measure, f"label {label_type}, dim int, coordinates int")
-    dealt = bounded(groups.join(chosen, key, "left").select(*key, "rows", F.coalesce("coordinates", F.lit(0)).alias("coordinates")))
-    done = _in_pairs(classes.join(dealt.where("coordinates = 0"), key), key).groupBy("label", "dim", "one", "two").applyInPandas(whole, schema)
+    done = _in_pairs(classes.join(dealt.where("coordinates = 0"), key), key, chunk_rows).groupBy("label", "dim", "one", "two").applyInPandas(whole, schema)
+    if dealt.where("coordinates > 0").isEmpty():
+        return done
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (dim, m), part in pdf.groupby(["dim", "coordinates"]):
-                x = (vectors_of(part) @ rotation(dim)).astype(np.float32)
+                x = (_vectors(part, kind) @ rotation(dim)).astype(np.float32)
                 sent = part[["label", "dim", "id", "n", "v"]].assign(x=[r.tobytes() for r in x])
                 for k, (b, budget) in enumerate(zip(*subspaces(dim, width, threshold), strict=True)):
                     cell = cells_of(x.astype(np.float64), b, budget, m)
@@ -275,13 +286,12 @@ def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_ty
     full = cells.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(1 - F.col("visit")).alias("homes")).where("homes > 0 and rows > 1").drop("homes")
 
     def in_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, k = vectors_of(pdf), int(pdf["block"].iloc[0])
+        unit, k, found = _vectors(pdf, kind), int(pdf["block"].iloc[0]), Links(pdf["id"].to_numpy(), pdf["n"].to_numpy())
         x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1).astype(np.float64)
         blocks, budgets = subspaces(x.shape[1], width, threshold)
         chunk, visit, one, two = pdf["chunk"].to_numpy(), pdf["visit"].to_numpy(), pdf["one"].iloc[0], pdf["two"].iloc[0]
         at = lambda c, v: np.flatnonzero((chunk == c) & (visit == v))
         jobs = [(at(one, 0), None), (at(one, 0), at(one, 1))] if one == two else [(at(one, 0), at(two, 0)), (at(one, 0), at(two, 1)), (at(two, 0), at(one, 1))]
-        ps, qs = [], []
         for i, j in jobs:
             for p, q in meet(x, i, j, blocks[k], budgets[k]):
                 for e in range(k):  # a pair that meets in an earlier block belongs to it
@@ -290,11 +300,11 @@ def _met(classes: DataFrame, kind: np.dtype, threshold: float, width: int, id_ty
                 found.add(*verified(unit, p, q, threshold))
         return found.table()
 
-    return done.union(_in_pairs(cells.join(full, by), by).groupBy(*by, "one", "two").applyInPandas(in_cell, schema))
+    return done.union(_in_pairs(cells.join(full, by), by, chunk_rows).groupBy(*by, "one", "two").applyInPandas(in_cell, schema))
 
 
-def _in_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
+def _in_pairs(rows: DataFrame, key: list[str], chunk: int) -> DataFrame:
     """Rows of groups of ``rows`` rows dealt to chunks, each as often as there are pairs of chunks with its own: (one, two)."""
-    chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("rows") / chunk).cast("int")
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     return dealt.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other")).drop("rows", "other")

@@ -182,9 +182,8 @@ def vector_links(rows, threshold=0.93):
 
 
 @pytest.mark.parametrize(("chunk", "cost", "kind"), [(4096, 20_000, "long"), (16, 20_000, "long"), (16, 0, "string"), (4, 0, "long")])
-def test_vector_links(spark, monkeypatch, chunk, cost, kind):
-    monkeypatch.setattr(vectors, "CHUNK", chunk)  # in one task, in pairs of chunks, in cells, in chunks of cells
-    monkeypatch.setattr(vectors, "ROW_COST", cost)
+def test_vector_links(spark, chunk, cost, kind):
+    """In one task, in pairs of chunks, in cells, in chunks of cells."""
     rng = np.random.default_rng(8)
     base = rng.standard_normal((12, 24)) * ([4.0] * 3 + [1.0] * 21 if not cost else 1.0)
     vs = [(base[i % 12] + rng.standard_normal(24) * rng.choice([0.0, 0.15, 0.25, 0.3])).tolist() for i in range(150)]
@@ -204,7 +203,11 @@ def test_vector_links(spark, monkeypatch, chunk, cost, kind):
         for x in pair:
             n[x] += 1
     own = roots([r[0] for r in rows], links)
-    got = vectors.near_duplicates(table).collect()
+    got = vectors.near_duplicates(table, chunk=chunk, row_cost=cost).collect()
+    packed = table.where("embedding is not null and size(embedding) = 24 and label is not null and not exists(embedding, x -> x is null)")
+    classes = packed.select("label", F.udf(lambda v: np.array(v).tobytes(), "binary")("embedding").alias("v"), F.lit(24).alias("dim"))
+    cells = {r["coordinates"] > 0 for r in vectors.layout(classes, np.dtype("float64"), 0.93, 8, chunk, cost).collect()}
+    assert cells == {cost == 0}  # what is named above has happened
     assert len(got) == len(rows) and len(links) > 100
     assert [r for r in got if (r["n_links"], r["component_id"]) != (n[r["vec_id"]], own[r["vec_id"]])] == []
     assert vectors.near_duplicates(table.where("false")).isEmpty()
