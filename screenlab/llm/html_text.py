@@ -16,10 +16,10 @@ from .common import long_rows
 
 #: Fixed values of HTML: elements by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp plaintext".split())
 #: Of these, what browsers show.
-PLAIN = frozenset("textarea xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+PLAIN = frozenset("textarea xmp plaintext".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist rp".split())
 #: Within drawings and formulas: what is not drawn where it stands, and what stands apart from its neighbours.
 FOREIGN = frozenset("svg math".split())
 UNDRAWN = frozenset("title desc metadata defs symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
@@ -37,14 +37,17 @@ CLOSES = {
 #: A closing tag does not reach beyond these; those of a table and of its rows reach beyond cells.
 SCOPE = ("table", "td", "th")
 REACH = {"table": ()} | dict.fromkeys("tr tbody thead tfoot".split(), ("table",))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: Attributes as HTML reads them: a quote opens a value only right behind "=", anywhere else it is a character like others.
+ATTRIBUTES = r"""(?>[ \t\n\r\f/]+|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ \t\n\r\f>"'][^ \t\n\r\f>]*|(?=>|\Z)))?)*+"""
+#: Comments, which "<!-->", "<!--->", "-->" and "--!>" end; what HTML takes for comments; tags.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</>|</[^A-Za-z>][^>]*>?|<(/?)([A-Za-z][^ \t\n\r\f/>]*)(" + ATTRIBUTES + r")(?:>|\Z)", re.S)
 #: Attributes without any of these hide nothing.
 HIDING = re.compile("hidden|style", re.I)
 ATTR = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*("[^"]*"|'[^']*'|[^ \t\n\r\f>]+))?""")
 #: What separates no declarations of a style: comments, strings, arguments.
 ENCLOSED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
 SELF_CLOSED = re.compile(r"""(?:^|[ \t\n\r\f"']|=[ \t\n\r\f]*(?:"[^"]*"|'[^']*')|(?:^|[ \t\n\r\f/"'])[^ \t\n\r\f/>="']+)/$""")
-START = re.compile(r"""start\s*=\s*["']?(\d+)""", re.I)
+NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?\d{1,9})", re.A)
 SPACE = " \t\n\r\f"
 #: Greatest spans of cells; and characters up to which a column, and a line's columns together, are padded: one long cell widens no other row.
 MOST_COLUMNS, MOST_ROWS, PAD, LINE = 1000, 65534, 200, 1000
@@ -81,12 +84,38 @@ def visibility(source: str) -> tuple[bool, bool | None]:
     return gone, True if seen in ("hidden", "collapse") else False if seen in ("visible", "initial") else None
 
 
+class Numbers:
+    """The numbers of a list's items. Those of a reversed one without a start are known at its end: until then they count from 0 down."""
+
+    def __init__(self, named: dict[str, str]):
+        start = NUMBER.match(named.get("start", ""))
+        self.step = -1 if "reversed" in named else 1
+        self.from_end = self.step < 0 and not start
+        self.next = int(start[1]) if start else 0 if self.from_end else 1
+        self.now = 0
+        self.items, self.places = 0, []
+
+    def item(self, value: str | None) -> int | None:
+        """The number of the next item, None if it is known later."""
+        self.items += 1
+        if own := NUMBER.match(value or ""):
+            self.next, self.from_end = int(own[1]), False
+        late = self.from_end
+        self.now, self.next = self.next, self.next + self.step
+        return None if late else self.now
+
+    def end(self) -> None:
+        for out, at, mark, now in self.places:
+            out[at] = f"{mark}{self.items + now}. "
+
+
 class Page:
     """Lines of text being laid out: pending spacing is written before the next visible text."""
 
     def __init__(self, indent: str = ""):
         self.out: list[str] = []
         self.line, self.space, self.indent, self.mark = 0, False, indent, ""
+        self.item: Numbers | None = None  # whose number the mark is to get
 
     def block(self, lines: int) -> None:
         self.line, self.space = max(self.line, lines), False
@@ -95,8 +124,10 @@ class Page:
         if self.line and self.out:
             self.out.append("\n" * self.line)
         if self.line or not self.out:
+            if self.item:
+                self.item.places.append((self.out, len(self.out), self.mark, self.item.now))
             self.out.append(self.mark or self.indent)
-            self.mark, self.space = "", False
+            self.mark, self.space, self.item = "", False, None
         elif self.space:
             self.out.append(" ")
         self.line, self.space = 0, False
@@ -171,16 +202,18 @@ def render(source: str) -> str:
     """All visible text of a page.
 
     Tags open and close elements on a stack, with those that HTML implies. Text in hidden
-    elements is left out: by their kind, the attribute ``hidden`` or their own style. Blocks begin on lines of their own, paragraphs, headings, lists,
-    tables and quotes with an empty line between; list items carry "- " or their number,
+    elements is left out: by their kind, the attribute ``hidden`` or their own style. Blocks
+    begin on lines of their own, paragraphs, headings, lists, tables and quotes with an empty line between; list items carry "- " or their number,
     indented by depth; the cells of a table stand in aligned columns, spans counted. Text in a
     table but in no cell stands before its rows, where browsers show it. The options of a
-    choice are lines of their own. Values of input fields are no text of the page. A tag costs
+    choice are lines of their own. Tags are read by HTML's states, so a stray quote is part of a
+    name or value and takes no text with it; a tag or comment that the page breaks off in holds
+    its rest; a ``dialog`` is seen if it is open. Values of input fields are no text of the page. A tag costs
     the same however deep it stands, and padding is bounded, so work and output grow in
     proportion to the page.
     """
     page, stack, at, hidden = Page(), [], 0, 0
-    lists: list[list] = []  # [next number or None]
+    lists: list[Numbers | None] = []  # of the open lists, those that count
     tables: list[tuple[Page, list[list[tuple[str, int, int]]], list[str]]] = []  # the page around, rows, texts in no cell
     cells: list[list[tuple[int, int]]] = []  # spans of the open cells of each table
     opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
@@ -229,7 +262,8 @@ def render(source: str) -> str:
                 page.verbatim("\n".join(lines))
             page.block(2)
         elif tag in ("ul", "ol") and lists:
-            lists.pop()
+            if numbers := lists.pop():
+                numbers.end()
             page.indent = page.indent[:-2]
             page.block(1 if lists else 2)
         elif tag == "pre":
@@ -246,7 +280,7 @@ def render(source: str) -> str:
     def enter(tag: str, attrs: str) -> None:
         nonlocal page, hidden, pre, foreign
         unseen, veiled = visibility(attrs)
-        unseen = unseen or tag in HIDDEN or (foreign > 0 and tag in UNDRAWN)
+        unseen = unseen or tag in HIDDEN or (foreign > 0 and tag in UNDRAWN) or (tag == "dialog" and "open" not in attributes(attrs))
         opened[tag].append(len(stack))
         stack.append((tag, unseen, veil() if veiled is None else veiled))
         foreign += tag in FOREIGN
@@ -267,15 +301,18 @@ def render(source: str) -> str:
             page = Page()
         elif tag in ("ul", "ol"):
             page.block(1 if lists else 2)
-            number = START.search(attrs)
-            lists.append([int(number[1]) if number else 1] if tag == "ol" else [None])
+            lists.append(Numbers(attributes(attrs)) if tag == "ol" else None)
             page.indent += "  "
         elif tag == "li":
             page.block(1)
-            own = lists[-1] if lists else [None]
-            page.mark = (page.indent[:-2] if lists else page.indent) + ("- " if own[0] is None else f"{own[0]}. ")
-            if own[0] is not None:
-                own[0] += 1
+            own = lists[-1] if lists else None
+            page.mark, page.item = page.indent[:-2] if lists else page.indent, None
+            if own is None:
+                page.mark += "- "
+            elif (number := own.item(attributes(attrs).get("value"))) is None:
+                page.item = own
+            else:
+                page.mark += f"{number}. "
         elif tag == "pre":
             pre += 1
             page.block(2)
@@ -301,7 +338,7 @@ def render(source: str) -> str:
         s = html.unescape(s) if tag == "textarea" else s
         if s.strip() and not hidden and not unseen and not (veil() if veiled is None else veiled):
             s = s.removeprefix("\r").removeprefix("\n") if tag == "textarea" else s
-            apart = tag == "xmp" or "\n" in s
+            apart = tag != "textarea" or "\n" in s
             if apart:
                 page.block(1)
             else:
@@ -351,7 +388,7 @@ def render(source: str) -> str:
         elif (foreign or tag in FOREIGN) and m[3].endswith("/") and SELF_CLOSED.search(m[3]):
             continue
         elif tag in RAW and not (foreign and tag in UNDRAWN):
-            end = closing(tag).search(source, at)
+            end = closing(tag).search(source, at) if tag != "plaintext" else None  # nothing ends that one
             end = end.start() if end else len(source)
             if tag in PLAIN:
                 plain(tag, m[3], source[at:end])
