@@ -69,36 +69,67 @@ def dictionary_column(chars: DataFrame, most: int = 100_000) -> Column:
     return F.array(*[F.lit(c) for c in known]) if known else F.array().cast("array<string>")
 
 
+#: Characters counted at a time.
+COUNT_CHARS = 1 << 20
+
+
 def char_counts(rows: DataFrame, text: str, *keys: str, order: str | None = None) -> DataFrame:
     """(keys, ch, n) over whole texts, control characters left out; null and empty texts have none.
 
-    Each batch counts its code points in one pass, so the shuffle carries a row for each
+    Each batch counts its code points, COUNT_CHARS at a time, so the shuffle carries a row for each
     character and key of a task, whatever the length of the texts. With ``order``, a column
     that numbers the rows, ``first`` tells where a character comes first: row, then place.
     """
     fields = [rows.schema[k] for k in keys]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ch string, n long, row long, place long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ch string, n long", *(["row long, place long"] if order else [])])
+
+    def code_points(texts):
+        """Pieces of the texts, at most COUNT_CHARS characters long, several short texts together."""
+        held, size = [], 0
+        for t in texts:
+            for k in range(0, len(t), COUNT_CHARS):
+                held.append(t[k : k + COUNT_CHARS])
+                size += len(held[-1])
+                if size >= COUNT_CHARS:
+                    yield np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+                    held, size = [], 0
+        if held:
+            yield np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def counted(ts):
+        total = np.zeros(0, np.int64)
+        for cps in code_points(t for _, t in ts):
+            n = np.bincount(cps, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+        return [(chr(c), int(total[c])) for c in np.flatnonzero(total).tolist() if c >= 32]
+
+    def placed(ts):
+        found = {}
+        for o, t in sorted(ts, key=lambda x: x[0]):
+            start = 0
+            for cps in code_points([t]):
+                for c, at, n in zip(*(x.tolist() for x in np.unique(cps, return_index=True, return_counts=True)), strict=True):
+                    if c >= 32:
+                        m, *first = found.get(c, (0, o, start + at))
+                        found[c] = (m + n, *first)
+                start += len(cps)
+        return [(chr(c), *x) for c, x in found.items()]
 
     def run(batches):
         for batch in batches:
             groups: dict = {}
             names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
-            for t, k, o in zip(batch.column(text).to_pylist(), names, batch.column("_order").to_pylist(), strict=True):
+            orders = batch.column("_order").to_pylist() if order else [0] * batch.num_rows
+            for t, k, o in zip(batch.column(text).to_pylist(), names, orders, strict=True):
                 if t:
                     groups.setdefault(k, []).append((o, t))
-            out: list[tuple] = []
-            for k, ts in groups.items():
-                ts.sort(key=lambda x: x[0])
-                ends = np.cumsum([len(t) for _, t in ts])
-                cps, at, n = np.unique(np.frombuffer("".join(t for _, t in ts).encode("utf-32-le", "surrogatepass"), np.uint32), return_index=True, return_counts=True)
-                own = np.searchsorted(ends, at, "right")
-                place = at - np.where(own > 0, ends[own - 1], 0)
-                out += [(*k, chr(c), int(m), ts[r][0], int(p)) for c, m, r, p in zip(cps.tolist(), n.tolist(), own.tolist(), place.tolist(), strict=True) if c >= 32]
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(len(keys) + 4)]
-            types = [*(batch.schema.field(k).type for k in keys), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "ch", "n", "row", "place"])
-
-    some = rows.select(*keys, text, (F.col(order) if order else F.lit(0)).cast("long").alias("_order"))
+            out = [(*k, *row) for k, ts in groups.items() for row in (placed(ts) if order else counted(ts))]
+            types = [*(batch.schema.field(k).type for k in keys), pa.string(), *[pa.int64()] * (3 if order else 1)]
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*keys, "ch", "n", *(["row", "place"] if order else [])])
+
+    some = rows.select(*keys, text, *([F.col(order).cast("long").alias("_order")] if order else []))
     first = [F.min(F.struct("row", "place")).alias("first")] if order else []
     return some.mapInArrow(run, schema).groupBy(*keys, "ch").agg(F.sum("n").alias("n"), *first)
 

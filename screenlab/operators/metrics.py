@@ -82,38 +82,53 @@ def running_mean(rows: DataFrame, group: str, value: str, *order: str) -> DataFr
     return placed.withColumn("running_mean", F.when(count > 0, total / count)).drop("_part", "_sum_before", "_count_before")
 
 
-def early_stop(rows: DataFrame, group: str, value: str, order: list[str], target: float = 0.95, patience: int = 2, epsilon: float = 0.001) -> DataFrame:
+#: Rows of a series that are folded at a time.
+SERIES_BLOCK = 1024
+
+
+def early_stop(rows: DataFrame, group: str, value: str, order: list[str], target: float = 0.95, patience: int = 2, epsilon: float = 0.001, block: int = SERIES_BLOCK) -> DataFrame:
     """The state after each group's series: best, rounds without gain, why and where it stopped.
 
-    A value gains if it exceeds the best by more than ``epsilon``; reaching the target stops at
-    once, ``patience`` rounds without gain stop too. The first value gains. Only a value above
-    all before it can gain or be the first to reach the target, so a series is numbered in ranges, and its
-    records alone, few of a long series, are folded.
+    A value gains if it reaches the best plus ``epsilon``; a best that reaches the target stops at
+    once, ``patience`` rounds without gain stop too. The first value gains; a null never does.
+
+    A gain lies at most ``patience`` rows behind the one before, else the series has stopped. So
+    each row points to the gain that would follow it, over a few rows ahead; blocks of ``block``
+    rows are folded into tables of where each of their first ``patience`` rows leads to, and a
+    group's blocks are passed table by table. No task holds a series.
     """
-    placed = in_ranges(rows.select(group, *order, F.col(value).cast("double").alias("v")), [group], order, {"_count_before": F.count("*"), "_max_before": F.max("v")})
+    size = max(block, 4 * patience)
+    narrow = rows.select(group, *order, F.col(value).cast("double").alias("v"))
+    placed = in_ranges(narrow, [group], order, {"_count_before": F.count("*")})
     part = Window.partitionBy(group, "_part").orderBy(*order)
-    at = (F.coalesce("_count_before", F.lit(0)) + F.row_number().over(part)).cast("int")
-    top = F.greatest(F.col("_max_before"), F.max("v").over(part.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.select(group, at.alias("at"), "v", top.alias("top"))
-    record = F.when(F.col("top").isNull() | (F.col("v") > F.col("top")), F.struct("at", "v"))
-    series = placed.groupBy(group).agg(F.max("at").alias("n"), F.sort_array(F.collect_list(record)).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("gained"), F.lit(0).alias("seen"), F.lit(None).cast("string").alias("reason"))
-
-    def stopped(acc, seen, why):
-        return F.struct(acc["best"].alias("best"), acc["gained"].alias("gained"), seen.alias("seen"), F.lit(why).alias("reason"))
-
-    def step(acc, x):
-        late = (acc["gained"] > 0) & (x["at"] - acc["gained"] > patience)
-        gain = acc["best"].isNull() | (x["v"] > acc["best"] + epsilon)
-        best, gained = F.when(gain, x["v"]).otherwise(acc["best"]), F.when(gain, x["at"]).otherwise(acc["gained"])
-        why = F.when(x["v"] >= target, "target").when(x["at"] - gained >= patience, "no improvement")
-        new = F.struct(best.alias("best"), gained.alias("gained"), x["at"].alias("seen"), why.alias("reason"))
-        return F.when(acc["reason"].isNotNull(), acc).when(late, stopped(acc, acc["gained"] + patience, "no improvement")).otherwise(new)
-
-    folded = series.select(group, "n", F.aggregate("s", zero, step).alias("f"))
-    over = F.col("f.reason").isNull() & (F.col("n") - F.col("f.gained") >= patience)
-    seen = F.when(F.col("f.reason").isNotNull(), F.col("f.seen")).when(over, F.col("f.gained") + patience).otherwise(F.col("n"))
-    return folded.select(group, "f.best", (seen - F.col("f.gained")).alias("stale"), seen.alias("seen"), F.when(over, "no improvement").otherwise(F.col("f.reason")).alias("reason"))
+    at = F.coalesce("_count_before", F.lit(0)) + F.row_number().over(part) - 1
+    placed = placed.select(group, at.alias("at"), "v")
+    # The first rows of a block are also seen from the one before.
+    own = F.floor(F.col("at") / size)
+    seen_from = F.when((F.col("at") % size < patience) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    ahead = Window.partitionBy(group, "b").orderBy("at")
+    later = [F.lead("v", k).over(ahead) for k in range(1, patience + 1)]
+    gain = F.coalesce(*[F.when(v >= F.col("v") + epsilon, F.lit(k)) for k, v in enumerate(later, 1)], F.lit(0))
+    step = F.when(F.col("v").isNull(), 1).when(F.col("v") >= target, 0).otherwise(gain)  # nulls only before the first value
+    linked = placed.withColumn("b", F.explode(seen_from)).withColumn("step", step).where(F.floor(F.col("at") / size) == F.col("b"))
+    blocks = linked.groupBy(group, "b").agg(F.sort_array(F.collect_list(F.struct("at", "step", "v"))).alias("rows"))
+    # From the block's row k on: the row that is reached, and the best when it is known.
+    spot = lambda p, v: F.struct(p.cast("long").alias("at"), v.cast("double").alias("v"))
+    begin = F.transform(F.sequence(F.lit(0), F.lit(patience - 1)), lambda k: spot(F.col("b") * size + k, F.lit(None)))
+    move = lambda acc, r: F.transform(acc, lambda x: F.when(x["at"] == r["at"], spot(r["at"] + r["step"], r["v"])).otherwise(x))
+    tables = blocks.select(group, "b", F.aggregate("rows", begin, move).alias("ends"), F.size("rows").alias("n"))
+    series = tables.groupBy(group).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("b", "ends"))).alias("blocks"))
+
+    def through(acc, x):
+        k = acc["at"] - x["b"] * size
+        return F.when((k >= 0) & (k < patience), F.get(x["ends"], k.cast("int"))).otherwise(acc)
+
+    last = series.select(group, "n", F.aggregate("blocks", spot(F.lit(0), F.lit(None)), through).alias("f"))
+    found = F.col("f.v").isNotNull()
+    gained = F.when(found, F.col("f.at") + 1).otherwise(0)
+    seen = F.when(F.col("f.v") >= target, gained).otherwise(F.least("n", gained + patience))
+    reason = F.when(F.col("f.v") >= target, "target").when(F.col("n") - gained >= patience, "no improvement")
+    return last.select(group, F.col("f.v").alias("best"), (seen - gained).cast("int").alias("stale"), seen.cast("int").alias("seen"), reason.alias("reason"))
 
 
 def time_totals(rows: DataFrame, *keys: str) -> DataFrame:

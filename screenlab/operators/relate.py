@@ -155,6 +155,32 @@ def near_in_group(rows: DataFrame, group: str, y: str, reach: float, test: Colum
     return placed.withColumn("near", near).drop("_part", "_max_before", "_min_after")
 
 
+def right_neighbour(rows: DataFrame, group: str, y: str, x: str, reach: float, test: Column, key: str = "id") -> DataFrame:
+    """J7 on tables, whole: ``rows`` with ``near``, whether another row of the group that passes ``test`` is within ``reach`` in ``y`` and not left of it in ``x``.
+
+    Bands of ``y`` as high as the reach: all of a row's own band is within it, of the next band
+    the beginning and of the one before the end. So running maxima of ``x`` from either side of
+    a band answer, and a row asks its neighbours' bands by a row of its own among theirs. Bands
+    are swept in ranges, so neither a group nor a band meets in one task, and no pairs are made.
+    A null group, ``y`` or ``x`` is near nothing; ``key`` names a row, and rows of one key count as
+    one another's neighbours but share one answer: true if it is for one of them.
+    """
+    at = F.when(test, F.col(x))
+    some = rows.where(F.col(group).isNotNull() & F.col(y).isNotNull() & F.col(x).isNotNull())
+    some = some.select(F.col(group).alias("_g"), F.col(y).cast("double").alias("_y"), F.col(x).alias("_x"), at.alias("_at"), F.col(key).alias("_key"))
+    band = F.floor(F.col("_y") / reach)
+    asks = lambda step, kind: F.struct((band + step).alias("_b"), (F.col("_y") + step * reach).alias("_p"), F.lit(kind).alias("_kind"))
+    # At one height: who asks back, the rows themselves, who asks ahead, so that the reach is included.
+    swept = some.select("_g", "_key", "_x", "_at", F.explode(F.array(asks(-1, 0), asks(0, 1), asks(1, 2))).alias("_q")).select("_g", "_key", "_x", F.when(F.col("_q._kind") == 1, F.col("_at")).alias("_at"), "_q.*")
+    order = ["_p", "_kind", "_key"]
+    placed = in_ranges(swept, ["_g", "_b"], order, {"_max_before": F.max("_at")}, {"_max_after": F.max("_at")})
+    up, down = (Window.partitionBy("_g", "_b", "_part").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, [F.desc(c) for c in order]))
+    below, above = F.greatest("_max_before", F.max("_at").over(up)), F.greatest("_max_after", F.max("_at").over(down))
+    best = F.when(F.col("_kind") == 0, above).when(F.col("_kind") == 2, below).otherwise(F.greatest(below, above))
+    found = placed.select("_key", (best >= F.col("_x")).alias("_hit")).groupBy("_key").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("near"))
+    return rows.alias("r").join(found.alias("f"), F.col(f"r.{key}") == F.col("f._key"), "left").select("r.*", F.coalesce("f.near", F.lit(False)).alias("near"))
+
+
 def with_files(rows: DataFrame, listing: DataFrame, key: str = "image_path") -> DataFrame:
     """The rows, whole, whose file ``listing`` (path) has; the others are left out. A repeated path counts once."""
     return rows.join(listing.select(F.col("path").alias(key)), key, "left_semi")

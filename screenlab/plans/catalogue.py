@@ -313,13 +313,48 @@ def J7_neighbour_exists(spark, sf_dir):
     return relate.near_in_group(rows, "user_id", "value", 0.05, F.col("event_type") == "error").select(F.col("id").alias("event_id"), "near")
 
 
+@query("SELECT event_id, EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id AND o.event_id <> e.event_id AND abs(e.value - o.value) <= 12 AND o.event_id % 320 >= e.event_id % 320 AND o.event_id % 320 + o.event_id % 41 > 45 AND length(regexp_replace(o.event_type, '[^a-z]', '', 'g')) >= 5) AS near FROM events e")
+def J7_right_neighbour(spark, sf_dir):
+    left = F.col("event_id") % 320
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", left.alias("left"), (left + F.col("event_id") % 41).alias("right"), "event_type")
+    words = F.length(F.regexp_replace("event_type", r"[^\p{L}]", "")) >= 5
+    return relate.right_neighbour(rows, "user_id", "value", "left", 12, (F.col("right") > 45) & words, "event_id").select("event_id", "near")
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """A training log for each user: most name the current metric, every third names none, and some lines hold two values."""
+    shown = F.round("value", 3).cast("string")
+    named = F.concat(F.lit("cur metric, precision: 0.5, hmean: "), shown, F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(" cur metric, hmean: "), shown)).otherwise(""))
+    plain = F.concat(F.lit("best metric, hmean : "), shown)
+    return events.select("user_id", "event_id", F.when((F.col("event_id") % 2 == 0) & (F.col("user_id") % 3 > 0), named).otherwise(plain).alias("value"))
+
+
+LOG_SQL = """l AS (SELECT user_id, event_id, round(value, 3) AS v, event_id % 2 = 0 AND user_id % 3 > 0 AS named FROM events),
+h AS (SELECT user_id, event_id, seq, v FROM (SELECT *, bool_or(named) OVER (PARTITION BY user_id) AS has, unnest(range(CASE WHEN named AND event_id % 5 = 0 THEN 2 ELSE 1 END))::INT AS seq FROM l) WHERE named = has)"""
+
+
+@query(f"WITH {LOG_SQL} SELECT user_id, event_id, seq, v AS hmean FROM h")
+def S18_metric_log(spark, sf_dir):
+    return readers.metric_values(log_lines(table(spark, sf_dir, "events")), "event_id", source="user_id")
+
+
+@query(f"""WITH RECURSIVE {LOG_SQL},
+s AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY event_id, seq) AS i FROM h),
+f AS (SELECT user_id, i, v AS best, 0 AS stale FROM s WHERE i = 1
+  UNION ALL SELECT s.user_id, s.i, CASE WHEN v >= best + 0.5 THEN v ELSE best END, CASE WHEN v >= best + 0.5 THEN 0 ELSE stale + 1 END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
+SELECT user_id, best, stale::INT AS stale, i AS seen, CASE WHEN best >= 60 THEN 'target' WHEN stale >= 40 THEN 'no improvement' END AS reason FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
+def X3_log_watch(spark, sf_dir):
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    return jobs.run_available(jobs.watch_logs(log_lines(rows), "user_id", "event_id", target=60.0, patience=40, epsilon=0.5))
+
+
 def early_stop_sql(series: str, target: float, patience: int, epsilon: float) -> str:
     """The fold over ``series`` (user_id, i from 1, v), a round at a time."""
-    state = f"CASE WHEN v >= {target} THEN 'target' WHEN stale >= {patience} THEN 'no improvement' END"
+    state = f"CASE WHEN best >= {target} THEN 'target' WHEN stale >= {patience} THEN 'no improvement' END"
     return f"""
 WITH RECURSIVE s AS ({series}),
 f AS (SELECT user_id, i, best, stale, {state} AS reason FROM (SELECT user_id, i, v, v AS best, 0 AS stale FROM s WHERE i = 1)
-  UNION ALL SELECT user_id, i, best, stale, {state} FROM (SELECT s.user_id, s.i, v, CASE WHEN v > best + {epsilon} THEN v ELSE best END AS best, CASE WHEN v > best + {epsilon} THEN 0 ELSE stale + 1 END AS stale
+  UNION ALL SELECT user_id, i, best, stale, {state} FROM (SELECT s.user_id, s.i, v, CASE WHEN v >= best + {epsilon} THEN v ELSE best END AS best, CASE WHEN v >= best + {epsilon} THEN 0 ELSE stale + 1 END AS stale
     FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1 WHERE f.reason IS NULL))
 SELECT user_id, best, stale::INT AS stale, i::INT AS seen, reason FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"""
 

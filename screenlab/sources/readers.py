@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry
 from ..functions.imaging import readable
 from ..functions.text import casefold, leaf, stem
+from ..operators.relate import small
 from . import schema
 
 MODES = {"skip": "PERMISSIVE", "strict": "FAILFAST", "tolerant": "DROPMALFORMED"}
@@ -139,12 +140,29 @@ def detection_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(parts[0].alias("image_path"), F.from_json(parts[1], schema.POLYGONS).alias("polygons"))
 
 
-def metric_values(lines: DataFrame) -> DataFrame:
-    """(seq, hmean) from a log's lines; works on streams as well."""
-    found = F.regexp_extract(F.col("value"), r"cur metric,.*?hmean:\s*([0-9.]+)", 1)
-    plain = F.regexp_extract(F.col("value"), r"hmean:\s*([0-9.]+)", 1)
-    value = F.coalesce(F.nullif(found, F.lit("")), F.nullif(plain, F.lit("")))
-    return lines.withColumn("hmean", value.try_cast("double")).where("hmean is not null")
+def metric_hits(line: Column) -> Column:
+    """All values of a log line: (named, plain), those of lines that name the current metric, and those of any line."""
+    numbers = lambda pattern: F.transform(F.regexp_extract_all(line, F.lit(pattern), 1), lambda x: x.try_cast("double"))
+    found = lambda c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast("array<double>"))
+    return F.struct(found(numbers(r"cur metric,.*?hmean:\s*([0-9.]+)")).alias("named"), found(numbers(r"hmean\s*:\s*([0-9.]+)")).alias("plain"))
+
+
+def metric_values(lines: DataFrame, *order: str, source: str | None = None) -> DataFrame:
+    """``lines`` (value) with (seq, hmean), a row for each value of a log, ``seq`` being its place in the line.
+
+    Values of lines that name the current metric count; only a log (all lines, or those of one
+    ``source``) without any gives those of its other lines. A number that begins on the next line
+    is not seen. Further columns stay; ``order`` names those to keep if not all.
+    """
+    keep = [*order, *([source] if source else [])] or lines.columns
+    hit = lines.select(*keep, metric_hits(F.col("value")).alias("_hits")).where("size(_hits.plain) > 0 or size(_hits.named) > 0")
+    has = F.coalesce(F.bool_or(F.size("_hits.named") > 0), F.lit(False)).alias("_named")
+    if source:
+        told = small(hit.groupBy(source).agg(has))
+        hit = hit.alias("h").join(told.alias("t"), F.col(f"h.{source}").eqNullSafe(F.col(f"t.{source}"))).select("h.*", "t._named")
+    else:
+        hit = hit.crossJoin(F.broadcast(hit.agg(has)))  # one row
+    return hit.select(*keep, F.posexplode(F.when(F.col("_named"), F.col("_hits.named")).otherwise(F.col("_hits.plain"))).alias("seq", "hmean"))
 
 
 def line_count(spark: SparkSession, path: str) -> int:

@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.relate import shared_folder
 from ..plans.evaluate import scored
+from ..sources.readers import metric_hits
 
 STATE = "best double, stale int, seen int, reason string"
 
@@ -41,17 +44,85 @@ def early_stops(rows: DataFrame, group: str, seq: str, value: str, target: float
             if reason:
                 break
             seen += 1
-            if best is None or v > best + epsilon:
+            if best is None or v >= best + epsilon:
                 best, stale = float(v), 0
             else:
                 stale += 1
-            reason = "target" if v >= target else "no improvement" if stale >= patience else None
+            reason = "target" if best >= target else "no improvement" if stale >= patience else None
         state.update((best, stale, seen, reason))
         yield pd.DataFrame({group: [key[0]], "best": [best], "stale": [stale], "seen": [seen], "reason": [reason]})
 
     return rows.select(group, seq, value).groupBy(group).applyInPandasWithState(step, f"`{group}` {kind}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+class MetricWatch(StatefulProcessor):
+    """One log's watch: which pattern has matched, how many values each has given, and the series so far.
+
+    A trigger is one look at the log. It takes the values that are new since the last look, and
+    only then asks whether the series has ended, as a watch that wakes from time to time does.
+    Once a line names the current metric, only such lines count, and places already looked at
+    stay looked at. A timer ends a watch at its deadline.
+    """
+
+    def __init__(self, key: str, target: float, patience: int, epsilon: float, deadline_ms: int | None) -> None:
+        self.key, self.target, self.patience, self.epsilon, self.deadline_ms = key, target, patience, epsilon, deadline_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("watch", WATCH)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            named, plain, looked, best, stale, reason = self.state.get()
+        else:
+            named, plain, looked, best, stale, reason = 0, 0, 0, None, 0, None
+            if self.deadline_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.deadline_ms)
+        lines = pd.concat(list(rows)).sort_values("place")
+        kept = []  # (place among its kind, value), of either kind
+        for own, all_ in zip(lines["named"], lines["plain"], strict=True):
+            for kind, values in ((True, own), (False, all_)):
+                for v in values:
+                    kept.append((kind, named if kind else plain, float(v)))
+                    named, plain = named + kind, plain + (not kind)
+        if not reason:
+            for _, place, v in sorted(k for k in kept if k[0] == (named > 0)):
+                if place < looked:
+                    continue
+                looked = place + 1
+                best, stale = (v, 0) if best is None or v >= best + self.epsilon else (best, stale + 1)
+            reason = "target" if best is not None and best >= self.target else "no improvement" if stale >= self.patience else None
+        self.state.update((named, plain, looked, best, stale, reason))
+        yield pd.DataFrame({self.key: [key[0]], "best": [best], "stale": [stale], "seen": [looked], "reason": [reason]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        named, plain, looked, best, stale, reason = self.state.get()
+        if reason:
+            return
+        self.state.update((named, plain, looked, best, stale, "deadline"))
+        yield pd.DataFrame({self.key: [key[0]], "best": [best], "stale": [stale], "seen": [looked], "reason": ["deadline"]})
+
+    def close(self) -> None:
+        pass
+
+
+WATCH = "named long, plain long, looked long, best double, stale int, reason string"
+
+
+def watch_logs(lines: DataFrame, source: str, order: str, target: float = 0.95, patience: int = 2, epsilon: float = 0.001, deadline: float | None = None) -> DataFrame:
+    """The state of the watch over each log of a stream of ``lines`` (value), after each trigger that has lines of it.
+
+    ``order`` gives the order of a log's lines within a trigger; ``deadline`` are the seconds after
+    the first line at which a watch ends. The state store is RocksDB's, which this kind of state needs.
+    """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = lines.schema[source].dataType.simpleString()
+    hits = lines.select(source, F.col(order).alias("place"), metric_hits(F.col("value")).alias("h")).select(source, "place", "h.named", "h.plain")
+    watch = MetricWatch(source, target, patience, epsilon, None if deadline is None else int(deadline * 1000))
+    schema = f"`{source}` {kind}, best double, stale int, seen long, reason string"
+    return hits.groupBy(source).transformWithStateInPandas(watch, schema, "update", "None" if deadline is None else "ProcessingTime")
+
+
 def run_available(rows: DataFrame, mode: str = "update") -> DataFrame:
     """All that is there now, as a table: what each batch gives goes to a folder of its own in the shared folder and is read from there.
 
