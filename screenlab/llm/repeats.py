@@ -27,7 +27,7 @@ from .words import BLOCK, _powers, mix, text_buffer
 #: Bytes of a string that counts as repeated.
 WIDTH = 50
 #: Lengths of the grams by which strings are grouped, one after the other for groups that stay too large.
-GRAMS = (16, 34)
+GRAMS = (24, 38)
 #: Documents of a gram beyond which its stretches are cut into strings at once, and different stretches of a gram beyond which they are cut by the next gram.
 GROUP_ROWS, GROUP_PARTS = 5000, 31
 #: Strings of a stretch (a mask of them is a long), symbols of a lane that is full, and bytes of stretches that a task sorts at a time.
