@@ -130,7 +130,7 @@ def to_png(image: np.ndarray) -> bytes:
 
 
 def readable(data: bytes) -> bool:
-    """Whether a file is a whole image: a PNG with right checksums and pixels, or another type's signature and end."""
+    """Whether a file is a whole image: a PNG with right checksums and pixels, or another type whose parts a walk over them finds complete."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         at, pixels = 8, b""
         while at + 12 <= len(data):
@@ -147,12 +147,97 @@ def readable(data: bytes) -> bool:
                     return False
         return False
     if data[:2] == b"\xff\xd8":
-        return data.rstrip(b"\x00")[-2:] == b"\xff\xd9"
+        return _whole_jpeg(data)
     if data[:2] == b"BM":
-        return len(data) >= 26 and struct.unpack("<I", data[10:14])[0] < len(data)
-    if data[:4] == b"RIFF":
-        return data[8:12] == b"WEBP" and len(data) >= struct.unpack("<I", data[4:8])[0]
-    return data[:4] in (b"II*\x00", b"MM\x00*") and len(data) > 8
+        return _whole_bmp(data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _whole_webp(data)
+    return data[:4] in (b"II*\x00", b"MM\x00*") and _whole_tiff(data)
+
+
+def _whole_jpeg(data: bytes) -> bool:
+    """A walk over the markers: a frame of some size, a scan, and the end, every segment within the file."""
+    at, frame, scan = 2, False, False
+    while at + 1 < len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xFF:  # filling
+            at += 1
+        elif kind == 0xD9:
+            return frame and scan
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD8:
+            at += 2
+        else:
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            if size < 2 or at + 2 + size > len(data):
+                return False
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                parts = data[at + 9] if size > 7 else 0
+                frame = parts > 0 and size == 8 + 3 * parts and int.from_bytes(data[at + 7 : at + 9], "big") > 0
+            at += 2 + size
+            if kind == 0xDA:  # up to the next marker that is neither a stuffed byte nor a restart
+                scan, begin = True, at
+                while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data) and (data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7):
+                    at += 2
+                if at < 0 or at == begin:
+                    return False
+    return False
+
+
+def _whole_bmp(data: bytes) -> bool:
+    """Header and, where the pixels are not packed, all their rows."""
+    if len(data) < 26:
+        return False
+    begin, head = struct.unpack("<2L", data[10:18])
+    if head == 12:
+        (width, height, _, bits), packing = struct.unpack("<4H", data[18:26]), 0
+    elif head >= 40 and len(data) >= 34:
+        width, height, _, bits, packing = struct.unpack("<2l2HL", data[18:34])
+    else:
+        return False
+    rows = (width * bits + 31) // 32 * 4 * abs(height)
+    return width > 0 and height != 0 and 14 + head <= begin < len(data) and (packing not in (0, 3) or begin + rows <= len(data))
+
+
+def _whole_webp(data: bytes) -> bool:
+    """A walk over the chunks: one holds a picture that begins as such, all lie within the file."""
+    end, at, picture = 8 + int.from_bytes(data[4:8], "little"), 12, False
+    if end > len(data):
+        return False
+    while at + 8 <= end:
+        kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if at + 8 + size > end:
+            return False
+        if kind == b"ANMF":
+            at += 8 + 16  # its chunks follow
+            continue
+        body = data[at + 8 : at + 18]
+        picture |= (kind == b"VP8 " and size >= 10 and body[3:6] == b"\x9d\x01\x2a") or (kind == b"VP8L" and size >= 5 and body[:1] == b"\x2f")
+        at += 8 + size + size % 2
+    return picture
+
+
+def _whole_tiff(data: bytes) -> bool:
+    """The first directory: sizes, and strips or tiles that lie within the file."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(order + "L", data[4:8])[0] if len(data) >= 8 else 0
+    if at < 8 or at + 2 > len(data):
+        return False
+    found = {}
+    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        field = data[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(field) < 12:
+            return False
+        tag, kind, many = struct.unpack(order + "2HL", field[:8])
+        size = {3: 2, 4: 4}.get(kind)
+        if size:
+            where = field[8:] if many * size <= 4 else data[(p := struct.unpack(order + "L", field[8:])[0]) : p + many * size]
+            if len(where) < many * size:
+                return False
+            found[tag] = struct.unpack(f"{order}{many}{'H' if size == 2 else 'L'}", where[: many * size])
+    for begins, sizes in ((273, 279), (324, 325)):
+        if found.get(begins) and len(found[begins]) == len(found.get(sizes, ())):
+            return all(found.get(t, (0,))[0] > 0 for t in (256, 257)) and all(a + n <= len(data) for a, n in zip(found[begins], found[sizes], strict=True))
+    return False
 
 
 def thumbnail(image: np.ndarray, width: int = 260, height: int = 160) -> np.ndarray:

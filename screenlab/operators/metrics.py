@@ -90,7 +90,7 @@ def early_stop(rows: DataFrame, group: str, value: str, order: list[str], target
     """The state after each group's series: best, rounds without gain, why and where it stopped.
 
     A value gains if it reaches the best plus ``epsilon``; a best that reaches the target stops at
-    once, ``patience`` rounds without gain stop too. The first value gains; a null never does.
+    once, ``patience`` rounds without gain stop too. The first value gains; a null never does, nor does one before it count as a round.
 
     A gain lies at most ``patience`` rows behind the one before, else the series has stopped. So
     each row points to the gain that would follow it, over a few rows ahead; blocks of ``block``
@@ -125,7 +125,7 @@ def early_stop(rows: DataFrame, group: str, value: str, order: list[str], target
 
     last = series.select(group, "n", F.aggregate("blocks", spot(F.lit(0), F.lit(None)), through).alias("f"))
     found = F.col("f.v").isNotNull()
-    gained = F.when(found, F.col("f.at") + 1).otherwise(0)
+    gained = F.when(found, F.col("f.at") + 1).otherwise(F.col("n"))  # without any value nothing is lost either
     seen = F.when(F.col("f.v") >= target, gained).otherwise(F.least("n", gained + patience))
     reason = F.when(F.col("f.v") >= target, "target").when(F.col("n") - gained >= patience, "no improvement")
     return last.select(group, F.col("f.v").alias("best"), (seen - gained).cast("int").alias("stale"), seen.cast("int").alias("seen"), reason.alias("reason"))

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry
-from ..functions.imaging import readable
-from ..functions.text import casefold, leaf, stem
 from ..operators.relate import small
 from . import schema
+from .archives import archive_entries, is_image_entry  # noqa: F401
 
 MODES = {"skip": "PERMISSIVE", "strict": "FAILFAST", "tolerant": "DROPMALFORMED"}
 
@@ -84,38 +78,6 @@ def tagged_results(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", F.regexp_extract(name, r"^(?:(.*)_)?(raw|preprocessed)_results\.jsonl$", 1).alias("tag"), F.regexp_extract(name, r"^(?:.*_)?(raw|preprocessed)_results\.jsonl$", 1).alias("mode"))
 
 
-def is_image_entry(name: Column) -> Column:
-    """A leaf that is no dot-file and has the extension of an image."""
-    return (name != "") & ~name.startswith(".") & F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*schema.IMAGE_TYPES)
-
-
-def archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, ordinal, entry_path, display_name, stem, content) of the images in zip files.
-
-    Entries are read one after another, an archive at a time; those that cannot be read, or
-    that are no whole image, are left out, so they pair with nothing.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for k, info in enumerate(z.infolist()):
-                        if info.is_dir():
-                            continue
-                        try:
-                            data = z.read(info)
-                        except (zipfile.BadZipFile, OSError, RuntimeError, zlib.error):
-                            continue
-                        if not readable(data):
-                            continue
-                        yield pa.RecordBatch.from_pydict({"archive": [name], "ordinal": pa.array([k], pa.int64()), "entry_path": [info.filename], "content": pa.array([data], pa.binary())})
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, ordinal long, entry_path string, content binary")
-    found = found.withColumn("display_name", leaf(F.col("entry_path"))).where(is_image_entry(F.col("display_name")))
-    return found.withColumn("stem", casefold()(stem(F.col("display_name"))))
-
-
 def images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
     """Decoded images (BGR bytes) by Spark's image source; unreadable ones are dropped on demand."""
     return spark.read.format("image").option("dropInvalid", drop_invalid).load(path).select("image.*")

@@ -20,7 +20,7 @@ def loop(vs, target, patience, epsilon):
             stale += 1
         if best is not None and best >= target:
             return best, stale, seen, "target"
-        if stale >= patience and best is not None or best is None and seen >= patience and all(x is None for x in vs):
+        if stale >= patience:
             return best, stale, seen, "no improvement"
     return best, stale, seen, None
 
@@ -30,9 +30,9 @@ def test_early_stop_in_blocks_is_the_loop(spark, block):
     rng, series = random.Random(block), {}
     for g in range(40):
         vs = [round(0.3 + k * rng.choice([0, 0.01, 0.011]), 3) if rng.random() < 0.9 else None for k in range(rng.randrange(1, 90))]
-        series[g] = vs if any(v is not None for v in vs) else [0.5]
-        while series[g][0] is None:
-            series[g] = series[g][1:]
+        series[g] = vs
+    series[49] = [None] * 9
+    series[48] = [None] * 9 + [0.5, None, 0.6]
     series[50] = [0.5, 0.501, 0.502, 0.5029, 0.503]  # exactly the least gain counts
     series[51] = [0.5] * 7
     series[52] = [0.001 * k for k in range(700)]
