@@ -240,6 +240,34 @@ def _whole_tiff(data: bytes) -> bool:
     return False
 
 
+def filled(polygons: list[list], width: int, height: int) -> np.ndarray:
+    """A mask of the pixels whose centres lie in one of the polygons (points, even-odd rule), a scan line at a time.
+
+    A line through the centres of a row crosses an edge if its ends lie on different sides, the
+    upper end included; pixels between crossings one and two, three and four and so on are in.
+    """
+    mask = np.zeros((height, width), bool)
+    for points in polygons:
+        p = np.asarray(points, np.float64).reshape(-1, 2)
+        if len(p) < 3 or not np.isfinite(p).all():
+            continue
+        (left, low), (right, high) = np.clip(np.floor(p.min(0)), 0, (width, height)).astype(int), np.clip(np.ceil(p.max(0)), 0, (width, height)).astype(int)
+        if left >= right or low >= high:
+            continue
+        (x1, y1), (x2, y2) = p.T, np.roll(p, -1, 0).T
+        y = np.arange(low, high)[:, None] + 0.5
+        cut = (y1 <= y) != (y2 <= y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.sort(np.where(cut, x1 + (y - y1) * (x2 - x1) / (y2 - y1), np.inf), 1)
+        first = np.clip(np.ceil(np.minimum(x, right) - 0.5), left, right).astype(int) - left
+        own, rows = np.zeros((high - low, right - left + 1), np.int32), np.arange(high - low)
+        for k in range(0, int(cut.sum(1).max()), 2):  # changes along a row
+            own[rows, first[:, k]] += 1
+            own[rows, first[:, k + 1]] -= 1
+        mask[low:high, left:right] |= np.cumsum(own, 1)[:, :-1] > 0
+    return mask
+
+
 def thumbnail(image: np.ndarray, width: int = 260, height: int = 160) -> np.ndarray:
     """I8: the image within a frame, its sides in proportion, each pixel the mean of what it stands for; never enlarged."""
     h, w = image.shape[:2]

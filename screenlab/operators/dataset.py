@@ -258,3 +258,42 @@ def language_rows(labels: DataFrame, language: str, known: Column, prefix: str =
     rows = rows.withColumn("raw_text", F.array_join("texts", "\n")).withColumn("bad", bad_chars(F.col("raw_text"), F.array_union(known, F.array(F.lit(" "), F.lit("\n")))))
     path = F.concat_ws("/", F.lit(prefix), "image_path") if prefix else F.col("image_path")
     return rows.withColumn("image_path", path).withColumn("start_key", start_key(F.col("texts")))
+
+
+def polygon_coverage(rows: DataFrame, polygons: str = "polygons", canvas: str = "canvas_size") -> DataFrame:
+    """``rows`` with ``n_positive``, the pixels of the canvas (width, height) that their polygons cover, each once.
+
+    Null or empty polygons and canvases cover nothing; polygons of under three points neither.
+    """
+
+    def pixels(shapes: list[list], width: int, height: int) -> int:
+        """Of the polygons moved to the corner of what they may cover, so that no more of the canvas is drawn."""
+        points = [np.asarray(s, np.float64) for s in shapes if len(s) > 2]
+        points = [p for p in points if np.isfinite(p).all()]
+        if not points or width <= 0 or height <= 0:
+            return 0
+        low = np.clip(np.floor(np.min([p.min(0) for p in points], 0)), 0, (width, height))
+        high = np.clip(np.ceil(np.max([p.max(0) for p in points], 0)), 0, (width, height))
+        return int(imaging.filled([p - low for p in points], *(high - low).astype(int)).sum())
+
+    @F.pandas_udf("long")
+    def covered(shapes: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for s, c in zip(shapes, sizes, strict=True):
+            usable = s is not None and c is not None and len(c) == 2
+            out.append(pixels([[list(p) for p in x if p is not None and len(p) == 2] for x in s if x is not None], int(c[0]), int(c[1])) if usable else 0)
+        return pd.Series(out, dtype="int64")
+
+    return rows.withColumn("n_positive", covered(polygons, canvas))
+
+
+def coverage_totals(rows: DataFrame, *keys: str) -> DataFrame:
+    """Samples, those with any covered pixel, covered pixels and their mean over all samples; 0 on no rows."""
+    grouped = rows.groupBy(*keys) if keys else rows
+    pixels = F.coalesce(F.sum("n_positive"), F.lit(0))
+    return grouped.agg(F.count("*").alias("n"), F.count_if(F.col("n_positive") > 0).alias("n_positive"), pixels.alias("pixels"), (pixels / F.greatest(F.count("*"), F.lit(1))).alias("mean_pixels"))
+
+
+def sampled(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """The first ``n`` rows of a seeded order; any partitioning gives the same ones."""
+    return rows.orderBy(order_key(seed, key), key).limit(n)

@@ -492,6 +492,30 @@ def R11_second_readings(spark, sf_dir):
     return rows.select("id", made.alias("text"))
 
 
+#: Texts and icons of a pattern that hang on no draw.
+@query("""WITH p AS (SELECT p_partkey AS i, ['carousel', 'message', 'timer', 'list_check', 'toast', 'title_subtitle'][p_size % 6 + 1] AS pattern, ['fr', 'el', 'bg'][p_partkey % 3 + 1] AS language FROM part)
+SELECT 'images/screen_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END || '_' || pattern || '_' || language || '.png' AS image_path, pattern, language,
+  (CASE pattern WHEN 'carousel' THEN 4 WHEN 'message' THEN 2 WHEN 'list_check' THEN 4 WHEN 'toast' THEN 1 WHEN 'title_subtitle' THEN 2 END)::INT AS n_texts,
+  (CASE pattern WHEN 'list_check' THEN 3 WHEN 'message' THEN NULL ELSE 0 END)::INT AS n_icons, CASE pattern WHEN 'toast' THEN 'toast_bottom' END AS background, true AS inside FROM p""")
+def S14_planned_labels(spark, sf_dir):
+    """A plan taken from a table: a label for each part."""
+    i, of = F.col("p_partkey"), lambda words, k: F.get(F.array(*map(F.lit, words)), k.cast("int"))
+    rows = synth.planned(table(spark, sf_dir, "part").select(i.alias("index"), of(synth.PATTERNS, F.col("p_size") % 6).alias("pattern"), of(("fr", "el", "bg"), i % 3).alias("language")))
+    many = lambda kind: F.size(F.filter("elements", lambda e: e["type"] == kind))
+    inside = F.forall("elements", lambda e: (e["bbox"][1] >= 0) & (e["bbox"][3] <= 240) & (e["bbox"][0] < e["bbox"][2]))
+    return rows.select("image_path", "pattern", "language", F.when(F.col("pattern") != "timer", many("text")).alias("n_texts"), F.when(F.col("pattern") != "message", many("icon")).alias("n_icons"), F.when(F.col("pattern") == "toast", F.col("background")).alias("background"), inside.alias("inside"))
+
+
+@query("""WITH b AS (SELECT l_linenumber AS g, l_orderkey % 300 - 20 AS x, l_partkey % 230 - 10 AS y, (l_quantity::INT % 60) AS w, l_suppkey % 40 AS h FROM lineitem)
+SELECT g, count(*)::BIGINT AS n, count_if(a > 0)::BIGINT AS n_positive, coalesce(sum(a), 0)::BIGINT AS pixels, round(avg(a) + 1e-9, 6) AS mean_pixels FROM (SELECT g, greatest(0, least(320, x + w) - greatest(0, x)) * greatest(0, least(240, y + h) - greatest(0, y)) AS a FROM b) GROUP BY g""")
+def A20_coverage(spark, sf_dir):
+    x, y, w, h = F.col("l_orderkey") % 300 - 20, F.col("l_partkey") % 230 - 10, F.col("l_quantity").cast("int") % 60, F.col("l_suppkey") % 40
+    corner = lambda a, b: F.array(a.cast("double"), b.cast("double"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("g"), F.array(F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h))).alias("polygons"), F.array(F.lit(320), F.lit(240)).alias("canvas_size"))
+    found = dataset.coverage_totals(dataset.polygon_coverage(rows), "g")
+    return found.withColumn("mean_pixels", F.round(F.col("mean_pixels") + 1e-9, 6))
+
+
 @query()
 def S14_synthetic_labels(spark, sf_dir):
     rows = synth.screens(spark, table(spark, sf_dir, "part").count())

@@ -33,6 +33,12 @@ def words_of(words: dict, language: str) -> dict:
     return WORDS["en"] | {k: v for k, v in words[language].items() if v}
 
 
+def three(rng: random.Random, options: list[str]) -> list[str]:
+    """Three options: different ones as far as there are, then any of them again."""
+    chosen = rng.sample(options, min(3, len(options)))
+    return chosen + [rng.choice(options) for _ in range(3 - len(chosen))]
+
+
 def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int, int] = (320, 240), vocabulary: dict = WORDS) -> dict:
     """The label of one index, drawn from ``seed`` + index alone."""
     rng, words, (w, h) = random.Random(seed + index), words_of(vocabulary, language), canvas
@@ -51,7 +57,7 @@ def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int,
 
     if pattern == "carousel":
         put(rng.choice(words["title"]), 15, 16, False)
-        for k, t in enumerate(rng.sample(words["options"], 3)):
+        for k, t in enumerate(three(rng, words["options"])):
             put(t, 72 + 45 * k, 28 if k == 1 else 20, k == 1, "white" if k == 1 else "gray")
     elif pattern == "message":
         if rng.random() < 0.35:
@@ -83,7 +89,7 @@ def label(index: int, pattern: str, language: str, seed: int, canvas: tuple[int,
             raw[-3:] = ["Press [PLAY_PAUSE] to add garments."]
     elif pattern == "list_check":
         put(rng.choice(words["title"]), 15, 16, False)
-        for k, t in enumerate(rng.sample(words["options"], 3)):
+        for k, t in enumerate(three(rng, words["options"])):
             icon("check", 20, 70 + 45 * k)
             put(t, 68 + 45 * k, 22, k == 0, x=50)
     elif pattern == "toast":
@@ -100,21 +106,42 @@ def screens(spark: SparkSession, count: int, start: int = 0, seed: int = 42, lan
 
     ``vocabulary`` has the words of each language by category: options, title, message, toast, hour.
     """
+    order = schedule(seed, languages, patterns, vocabulary)
+    if count < 0 or start < 0:
+        raise ValueError("count and start must not be negative")
+    at = (F.col("id") % len(order)).cast("int")
+    pick = lambda k: F.get(F.array(*[F.lit(o[k]) for o in order]), at)
+    return planned(spark.range(start, start + count).select(F.col("id").alias("index"), pick(0).alias("pattern"), pick(1).alias("language")), seed, canvas, vocabulary)
+
+
+def schedule(seed: int, languages: list[str] | None = None, patterns: list[str] | None = None, vocabulary: dict = WORDS) -> list[tuple[str, str]]:
+    """All (pattern, language) in a seeded order, which indexes go through again and again, so none gets over one row more than another."""
     languages, patterns = list(dict.fromkeys(vocabulary if languages is None else languages)), list(PATTERNS if patterns is None else patterns)
     if unknown := [x for x in languages if x not in vocabulary] + [x for x in patterns if x not in PATTERNS]:
         raise ValueError(f"unknown: {unknown}")
     if not languages or not patterns:
         raise ValueError("at least one language and one pattern")
-    if count < 0 or start < 0:
-        raise ValueError("count and start must not be negative")
     order = [(p, l) for l in languages for p in patterns]
     random.Random(seed).shuffle(order)
+    return order
+
+
+def planned(plan: DataFrame, seed: int = 42, canvas: tuple[int, int] = (320, 240), vocabulary: dict = WORDS) -> DataFrame:
+    """The label of each row of ``plan`` (index, pattern, language), drawn from seed and index alone: any partitioning gives the same rows.
+
+    Rows of an unknown pattern or language, or with a null, are an error when they are reached.
+    """
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([label(int(i), *order[int(i) % len(order)], seed, canvas, vocabulary) for i in pdf["id"]], columns=["image_path", "pattern", "language", "background", "canvas_size", "elements", "raw_text"])
-
-    return spark.range(start, start + count).mapInPandas(run, schema.LABELS).withColumn("elements", F.transform("elements", lambda e: e))
+            rows = []
+            for i, pattern, language in pdf.itertuples(index=False):
+                if pattern not in PATTERNS or language not in vocabulary or i is None:
+                    raise ValueError(f"unknown: {i}, {pattern}, {language}")
+                rows.append(label(int(i), pattern, language, seed, canvas, vocabulary))
+            yield pd.DataFrame(rows, columns=["image_path", "pattern", "language", "background", "canvas_size", "elements", "raw_text"])
+
+    return plan.select("index", "pattern", "language").mapInPandas(run, schema.LABELS).withColumn("elements", F.transform("elements", lambda e: e))
 
 
 def drawn(row) -> bytes:

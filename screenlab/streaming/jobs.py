@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -123,6 +125,81 @@ def watch_logs(lines: DataFrame, source: str, order: str, target: float = 0.95,
     return hits.groupBy(source).transformWithStateInPandas(watch, schema, "update", "None" if deadline is None else "ProcessingTime")
 
 
+class FirstWins(StatefulProcessor):
+    """Of each key the order of the row that leads; a row is passed on when it takes the lead."""
+
+    def __init__(self, names: list[str], order: list[str], state: str) -> None:
+        self.names, self.order, self.schema = names, order, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("lead", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        place = tuple(x.item() if hasattr(x, "item") else x for x in batch[self.order].iloc[0])
+        if not self.state.exists() or place < tuple(self.state.get()):
+            self.state.update(place)
+            yield batch[self.names].iloc[:1]
+
+    def close(self) -> None:
+        pass
+
+
+def first_wins_stream(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """W5 on chunks as they arrive: a key's row whenever it is earlier in ``order`` than all of the key before.
+
+    The state is a key's order alone. Whatever the order of arrival, of all rows passed on the
+    earliest of each key (``relate.first_wins``) are those of the batch manifest. Names begin with
+    no underscore; ``order`` has no nulls; rows of a null key are one key's.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    state = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in order)
+    return rows.groupBy(key).transformWithStateInPandas(FirstWins(rows.columns, order, state), rows.schema, "update", "None")
+
+
+class StatusFiles(StreamingQueryListener):
+    """The state of each streaming query as a JSON file of its name, or its id, and a marker when it has ended.
+
+    The file has when it began, the last batch, rows in all, observed counters, whether it runs,
+    ended or failed, and why. Files are written whole by Spark's file system, from the driver; a
+    reader sees the state before or after, as they are renamed into place.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.jvm, self.hadoop, self.folder, self.now = spark._jvm, spark._jsc.hadoopConfiguration(), folder, {}
+
+    def _write(self, name: str, text: str) -> None:
+        path = self.jvm.org.apache.hadoop.fs.Path
+        files, part, to = path(self.folder).getFileSystem(self.hadoop), path(f"{self.folder}/.{name}.part"), path(f"{self.folder}/{name}")
+        out = files.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        files.delete(to, False)
+        files.rename(part, to)
+
+    def _update(self, key: str, **more) -> dict:
+        state = self.now.setdefault(key, {"rows": 0})
+        state |= more
+        self._write(f"{state.get('name') or state['id']}.json", json.dumps(state, default=str))
+        return state
+
+    def onQueryStarted(self, event) -> None:
+        self._update(str(event.runId), id=str(event.id), run=str(event.runId), name=event.name, state="running", began=event.timestamp)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = self.now.get(str(p.runId), {}).get("rows", 0) + max(0, p.numInputRows)
+        observed = {k: v.asDict() for k, v in (p.observedMetrics or {}).items()}
+        self._update(str(p.runId), id=str(p.id), name=p.name, batch=p.batchId, rows=rows, seen=p.timestamp, observed=observed)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        state = self._update(str(event.runId), id=str(event.id), state="failed" if event.exception else "ended", reason=event.exception, ended=time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))
+        self._write(f"{state.get('name') or state['id']}.done", f"{state['state']} {state['ended']}\n")
+
+
 def run_available(rows: DataFrame, mode: str = "update") -> DataFrame:
     """All that is there now, as a table: what each batch gives goes to a folder of its own in the shared folder and is read from there.
 
