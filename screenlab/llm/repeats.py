@@ -11,7 +11,6 @@ is shuffled, so no task holds all rows of a frequent passage.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, join_frequent, long_rows, saved
-from .suffixes import suffix_orders
+from .suffixes import _ranges, suffix_orders
 from .words import BLOCK, _powers, mix, text_buffer
 
 #: Bytes of a string that counts as repeated.
@@ -36,10 +35,11 @@ RUN, LANE, LANES = 32, 2048, 1 << 22
 MANY = -(2**63)
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, gram: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, start, strings, gram hash) of runs of strings of ``width`` bytes that have one least gram, piece by piece.
+def stretches(data: np.ndarray, offsets: np.ndarray, gram: int, width: int, single: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, start, strings, gram hash, name) of runs of strings of ``width`` bytes that have one least gram, piece by piece.
 
-    A run has at most RUN strings. Starts are bytes of ``data``.
+    A run has at most RUN strings, with ``single`` one. Starts are bytes of ``data``; a name is
+    another hash, of the whole run: with the gram's, equal runs share 128 bits.
     """
     span = width - gram + 1
     for s in range(0, max(len(data) - width + 1, 0), BLOCK - width + 1):
@@ -66,11 +66,19 @@ def stretches(data: np.ndarray, offsets: np.ndarray, gram: int, width: int) -> I
         text = np.searchsorted(offsets, starts + s, "right") - 1
         keep = offsets[text + 1] - s - starts >= width
         text, starts, many = text[keep], starts[keep], many[keep]
-        yield text, starts + s, many, low[starts].view(np.int64)
+        if single:
+            starts, text = _ranges(starts, many), np.repeat(text, many)
+            many = np.ones(len(starts), np.int64)
+        name = mix((sums[starts + many + width - 1] - sums[starts]) * inverse[starts] * np.uint64(0xD6E8FEB86659FD93) + many.astype(np.uint64))
+        yield text, starts + s, many, low[starts].view(np.int64), name.view(np.int64)
 
 
-def named(content: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+def contents(data: np.ndarray, starts: np.ndarray, many: np.ndarray, width: int) -> pa.Array:
+    """The bytes of runs of ``many`` strings."""
+    size = many + width - 1
+    at = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    whole = data[_ranges(starts, size)] if len(size) else data[:0]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(whole))]).cast(pa.binary())
 
 
 def _docs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +96,7 @@ def grams_shared(docs: DataFrame, groups: int, gram: int, width: int) -> DataFra
     def batch_grams(batches):
         for batch in batches:
             ids, data, offsets = _docs(batch)
-            found = [(t, g) for t, _, _, g in stretches(data, offsets, gram, width)]
+            found = [(t, g) for t, _, _, g, _ in stretches(data, offsets, gram, width)]
             if not found:
                 continue
             doc, h = ids[np.concatenate([t for t, _ in found])], np.concatenate([g for _, g in found])
@@ -236,10 +244,8 @@ def first_parts(docs: DataFrame, gram: int, width: int) -> DataFrame:
         for batch in batches:
             ids, data, offsets = _docs(batch)
             rows = []
-            for t, s, n, g, hot in _wanted(batch, data, offsets, gram, width):
-                contents = [data[i:j].tobytes() for i, j in zip(s.tolist(), (s + n + width - 1).tolist(), strict=True)]
-                names = np.fromiter(map(named, contents), np.int64, len(contents))
-                rows.append(pa.table({"gram": g, "name": names, "content": pa.array(contents, pa.binary()), "doc_id": ids[t], "root": names, "shift": np.zeros(len(t), np.int32), "hot": hot}))
+            for t, s, n, g, names, hot in _wanted(batch, data, offsets, gram, width):
+                rows.append(pa.table({"gram": g, "name": names, "content": contents(data, s, n, width), "doc_id": ids[t], "root": names, "shift": np.zeros(len(t), np.int32), "hot": hot}))
             if rows:
                 replies, rows = _settled(_unique(pa.concat_tables(rows)), width)
                 yield from _both(replies, rows.filter(pa.compute.invert(rows.column("hot"))))
@@ -257,9 +263,9 @@ def _wanted(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, gram:
     of, grams, hot = of[order], grams[order], hot[order]
     begin = np.searchsorted(of, np.arange(len(lists) + 1))
     known = np.unique(grams)
-    for t, s, n, g in stretches(data, offsets, gram, width):
+    for t, s, n, g, name in stretches(data, offsets, gram, width):
         keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g) if len(known) else np.zeros(0, np.int64)
-        t, s, n, g = t[keep], s[keep], n[keep], g[keep]
+        t, s, n, g, name = t[keep], s[keep], n[keep], g[keep], name[keep]
         at = np.full(len(t), -1)
         for i in np.unique(t):
             a, b = np.searchsorted(t, (i, i + 1))
@@ -267,7 +273,7 @@ def _wanted(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, gram:
                 found = begin[i] + np.minimum(np.searchsorted(grams[begin[i] : begin[i + 1]], g[a:b]), begin[i + 1] - begin[i] - 1)
                 at[a:b] = np.where(grams[found] == g[a:b], found, -1)
         keep = at >= 0
-        yield t[keep], s[keep], n[keep], g[keep], hot[at[keep]]
+        yield t[keep], s[keep], n[keep], g[keep], name[keep], hot[at[keep]]
 
 
 def _unique(rows: pa.Table) -> pa.Table:
@@ -280,16 +286,12 @@ def _unique(rows: pa.Table) -> pa.Table:
 
 def _finer(rows: pa.Table, gram: int, width: int) -> Iterator[pa.RecordBatch]:
     """Stretches cut by longer grams; of length ``width``, into their strings, by name alone. Equal ones of ``rows`` are settled at once."""
-    contents = rows.column("content").to_pylist()
-    data, offsets = np.frombuffer(b"".join(contents), np.uint8), np.concatenate(([0], np.cumsum(list(map(len, contents))))).astype(np.int64)
+    content = rows.column("content").combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
+    data, offsets = np.frombuffer(content.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
     doc, root, shift = (rows.column(c).to_numpy() for c in ("doc_id", "root", "shift"))
-    for t, s, n, g in stretches(data, offsets, gram, width):
-        if gram == width:
-            of, k = np.repeat(np.arange(len(t)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            t, s, g, n = t[of], s[of] + k, g[of], np.ones(len(of), np.int64)
-        parts = [data[i:j].tobytes() for i, j in zip(s.tolist(), (s + n + width - 1).tolist(), strict=True)]
-        names = np.fromiter(map(named, parts), np.int64, len(parts))
-        found = pa.table({"gram": g, "name": names, "content": pa.array(parts, pa.binary()), "doc_id": doc[t], "root": root[t], "shift": (shift[t] + s - offsets[t]).astype(np.int32)})
+    for t, s, n, g, names in stretches(data, offsets, gram, width, single=gram == width):
+        found = pa.table({"gram": g, "name": names, "content": contents(data, s, n, width), "doc_id": doc[t], "root": root[t], "shift": (shift[t] + s - offsets[t]).astype(np.int32)})
         replies, found = _settled(found, width)
         yield from _both(replies, found.drop_columns(["content"]) if gram == width else found)
 
@@ -331,17 +333,27 @@ def cleaned(docs: DataFrame, gram: int, width: int) -> DataFrame:
 
     def spans_of(data, offsets, batch):
         gone = np.zeros(len(data) + 1, np.int32)
-        answers = []
-        for reply in batch.column("replies").to_pylist():
-            answers.append({})
-            for x in reply or ():
-                answers[-1][x["root"]] = answers[-1].get(x["root"], 0) | x["mask"]
-        for t, s, n, _, _ in _wanted(batch, data, offsets, gram, width):
-            for i, at, many in zip(t.tolist(), s.tolist(), n.tolist(), strict=True):
-                if answers[i] and (mask := answers[i].get(named(data[at : at + many + width - 1].tobytes()))):
-                    hit = at + np.flatnonzero(mask >> np.arange(many) & 1)
-                    gone[hit] += 1
-                    gone[hit + width] -= 1
+        lists = batch.column("replies")
+        of, values = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten()
+        root, mask = values.field("root").to_numpy(), values.field("mask").to_numpy()
+        order = np.lexsort((root, of))
+        of, root, mask = of[order], root[order], mask[order]
+        first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (root[1:] != root[:-1])))[: len(of)])
+        if len(first):
+            of, root, mask = of[first], root[first], np.bitwise_or.reduceat(mask, first)
+        begin = np.searchsorted(of, np.arange(len(lists) + 1))
+        for t, s, n, _, name, _ in _wanted(batch, data, offsets, gram, width):
+            own = np.zeros(len(t), np.int64)
+            for i in np.unique(t):
+                a, b = np.searchsorted(t, (i, i + 1))
+                names = root[begin[i] : begin[i + 1]]
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, name[a:b]), len(names) - 1)
+                    own[a:b] = np.where(names[at] == name[a:b], mask[begin[i] + at], 0)
+            for k in range(RUN):
+                hit = s[(own >> k) & 1 == 1] + k
+                gone[hit] += 1
+                gone[hit + width] -= 1
         covered = np.zeros(len(data) + 2, bool)
         covered[1:-1] = np.cumsum(gone[:-1]) > 0
         return covered
