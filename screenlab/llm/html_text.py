@@ -51,6 +51,8 @@ NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?\d{1,9})", re.A)
 SPACE = " \t\n\r\f"
 #: Greatest spans of cells; and characters up to which a column, and a line's columns together, are padded: one long cell widens no other row.
 MOST_COLUMNS, MOST_ROWS, PAD, LINE = 1000, 65534, 200, 1000
+#: Levels up to which lists and quotes are indented: the lines of ever deeper ones would grow with the square of the page.
+MOST_INDENT = 50
 
 
 @cache
@@ -112,11 +114,20 @@ class Numbers:
 class Page:
     """Lines of text being laid out: pending spacing is written before the next visible text."""
 
-    def __init__(self, indent: str = ""):
+    def __init__(self):
         self.out: list[str] = []
-        self.line, self.space, self.indent, self.mark = 0, False, indent, ""
+        self.line, self.space, self.depth, self.mark = 0, False, 0, ""
         self.item: Numbers | None = None  # whose number the mark is to get
 
+    @property
+    def indent(self) -> str:
+        return "  " * min(self.depth, MOST_INDENT)
+
+    @property
+    def outer(self) -> str:
+        """The indent around the innermost list."""
+        return "  " * min(self.depth - 1, MOST_INDENT)
+
     def block(self, lines: int) -> None:
         self.line, self.space = max(self.line, lines), False
 
@@ -209,7 +220,7 @@ def render(source: str) -> str:
     choice are lines of their own. Tags are read by HTML's states, so a stray quote is part of a
     name or value and takes no text with it; a tag or comment that the page breaks off in holds
     its rest; a ``dialog`` is seen if it is open. Values of input fields are no text of the page. A tag costs
-    the same however deep it stands, and padding is bounded, so work and output grow in
+    the same however deep it stands, and padding and indents are bounded, so work and output grow in
     proportion to the page.
     """
     page, stack, at, hidden = Page(), [], 0, 0
@@ -264,13 +275,13 @@ def render(source: str) -> str:
         elif tag in ("ul", "ol") and lists:
             if numbers := lists.pop():
                 numbers.end()
-            page.indent = page.indent[:-2]
+            page.depth -= 1
             page.block(1 if lists else 2)
         elif tag == "pre":
             pre -= 1
             page.block(2)
         elif tag == "blockquote":
-            page.indent = page.indent[:-2]
+            page.depth -= 1
             page.block(2)
         elif foreign and tag in APART:
             page.space = True
@@ -302,11 +313,11 @@ def render(source: str) -> str:
         elif tag in ("ul", "ol"):
             page.block(1 if lists else 2)
             lists.append(Numbers(attributes(attrs)) if tag == "ol" else None)
-            page.indent += "  "
+            page.depth += 1
         elif tag == "li":
             page.block(1)
             own = lists[-1] if lists else None
-            page.mark, page.item = page.indent[:-2] if lists else page.indent, None
+            page.mark, page.item = page.outer if lists else page.indent, None
             if own is None:
                 page.mark += "- "
             elif (number := own.item(attributes(attrs).get("value"))) is None:
@@ -318,7 +329,7 @@ def render(source: str) -> str:
             page.block(2)
         elif tag == "blockquote":
             page.block(2)
-            page.indent += "  "
+            page.depth += 1
         elif foreign and tag in APART:
             page.space = True
         elif tag in BLOCKS:
