@@ -28,13 +28,19 @@ def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(F.length(host).cast("string"), F.lit(":"), host, path), 256)
 
 
+#: Of the shapes that a URL has room for: the host suffix with its path lengths, then the digest of each expression.
+SUFFIXES = "transform(filter(shapes, s -> s.labels <= size(split(host, '[.]'))), s -> struct(substring_index(host, '.', -s.labels) AS host, filter(s.lengths, k -> k <= length(path)) AS lengths))"
+EXPRESSIONS = "flatten(transform(hosts, s -> transform(s.lengths, k -> sha2(concat(length(s.host), ':', s.host, substring(path, 1, k)), 256))))"
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_chars: int = 8) -> DataFrame:
     """Verdict of ``rules`` (host, path, verdict) for each row of ``pages`` (page_id, url).
 
     A rule fits its host and every subdomain, when the URL's path starts with the rule's.
     Each URL is expanded into the host suffixes and path prefixes of the shapes (labels in
     the host, characters in the path) that occur among the rules; expressions meet rules on
-    the first ``prefix_chars`` hex digits of a SHA-256, and the whole digest confirms.
+    the first ``prefix_chars`` hex digits of a SHA-256, and the whole digest confirms. The shapes
+    are one broadcast row of two numbers each, so lists of thousands of shapes plan like short ones.
     The longest rule (host plus path) wins, then the longer host, then ``block``.
 
     Null URLs and those without "://" have an empty host and path and get the default.
@@ -45,8 +51,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_cha
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null and r_verdict is not null").distinct()
     shaped = rules.withColumn("labels", F.size(F.split("r_host", r"\."))).withColumn("chars", F.length("r_path"))
-    # One row per shape, not per rule: host depths times path lengths.
-    shapes = [(r["labels"], r["chars"]) for r in shaped.select("labels", "chars").distinct().collect()]
+    # One row in all: the depths of hosts, each with the lengths of its paths.
+    shapes = shaped.groupBy("labels").agg(F.collect_set("chars").alias("lengths")).agg(F.collect_list(F.struct("labels", "lengths")).alias("shapes"))
     rules = rules.withColumn("r_digest", digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("r_digest", 1, prefix_chars))
     n_bytes = rules.agg(F.coalesce(F.sum(F.octet_length("r_host") + F.octet_length("r_path")), F.lit(0))).first()[0]
     if n_bytes <= BROADCAST_BYTES:
@@ -54,16 +60,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_cha
 
     url = F.col("url")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    deep = F.size(F.split("host", r"\."))
-    forms = [
-        F.when((F.col("host") != "") & (deep >= n) & (F.length("path") >= k), digest(F.substring_index("host", ".", -n), F.substring("path", 1, k)))
-        for n, k in shapes
-    ]
-    none = base.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    if not forms:
-        return none
     # Only rows that some rule fits are aggregated; equal rows have one result, so pages need no numbers.
-    keys = base.select("*", F.explode(F.array_compact(F.array(*forms))).alias("digest")).withColumn("short", F.substring("digest", 1, prefix_chars))
+    asked = base.where("host <> ''").crossJoin(F.broadcast(shapes)).withColumn("hosts", F.expr(SUFFIXES))
+    keys = asked.select("page_id", "host", "path", F.explode(F.expr(EXPRESSIONS)).alias("digest")).withColumn("short", F.substring("digest", 1, prefix_chars))
     hit = keys.join(rules, "short").where("digest = r_digest")
     rank = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
     best = hit.groupBy("page_id", "host", "path").agg(F.max(rank).alias("best"))
