@@ -492,6 +492,22 @@ def R11_second_readings(spark, sf_dir):
     return rows.select("id", made.alias("text"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 5 AS k, p_name, p_size, p_size % 9 + 1 AS d, p_partkey % 5 + p_size % 3 AS h, p_size % 60 AS m FROM part)
+SELECT id, CASE k WHEN 0 THEN 'Extra Rinse' || chr(10) || '+' || p_size || chr(10) || '0' WHEN 1 THEN p_name || chr(10) || '+' || d WHEN 2 THEN 'Dry Time' || chr(10) || CASE WHEN d = 1 THEN 1 ELSE 10 * d END || chr(10) || (10 * d - 5) || ' min'
+  WHEN 3 THEN p_name || chr(10) || h % 10 || ' hr ' || lpad(m::VARCHAR, 2, '0') || ' min' || chr(10) || p_size ELSE 'Delay Start is on' || chr(10) || 'AM 12:' || CASE WHEN p_size % 2 = 0 THEN '30' ELSE '00' END END AS text FROM p""")
+def R_table_repairs(spark, sf_dir):
+    """Misread screens whose numbers and names are those of the parts: option tails, signs, dry times, timers and delays."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).alias("k"), "p_name", "p_size", (F.col("p_size") % 9 + 1).alias("d"), ((F.col("p_partkey") % 5 + F.col("p_size") % 3) % 10).alias("h"), F.lpad((F.col("p_size") % 60).cast("string"), 2, "0").alias("m"))
+    k, lines = F.col("k"), lambda *parts: F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    raw = F.when(k == 0, lines("Extra Rinse", F.concat(F.lit("+"), "p_size"), "O")).when(k == 1, lines(F.col("p_name"), F.concat(F.lit("+ - "), "d")))
+    raw = raw.when(k == 2, lines("Dry Time", F.col("d").cast("string"), F.concat((10 * F.col("d") - 5).cast("string"), F.lit(" min"))))
+    raw = raw.when(k == 3, lines(F.col("p_name"), "1h3om", F.col("p_size").cast("string"))).otherwise(lines("Delay Start is on", "AM"))
+    second = F.when(k == 3, lines("x", F.concat("h", F.lit(":"), "m"))).otherwise(F.when(F.col("p_size") % 2 == 0, "12.30").otherwise("1200"))
+    rows = repair.repaired(rows.withColumn("raw", raw).withColumn("second", second), "raw", "fixed")
+    made = F.when(k == 3, repair.repair_timer(F.col("raw"), F.col("second"))).when(k == 4, repair.merge_delay(F.col("fixed"), F.col("second"))).otherwise(F.col("fixed"))
+    return rows.select("id", made.alias("text"))
+
+
 #: Texts and icons of a pattern that hang on no draw.
 @query("""WITH p AS (SELECT p_partkey AS i, ['carousel', 'message', 'timer', 'list_check', 'toast', 'title_subtitle'][p_size % 6 + 1] AS pattern, ['fr', 'el', 'bg'][p_partkey % 3 + 1] AS language FROM part)
 SELECT 'images/screen_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END || '_' || pattern || '_' || language || '.png' AS image_path, pattern, language,
