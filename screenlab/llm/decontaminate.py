@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ class Phrases:
 
     hashes: np.ndarray  # of the different words, ascending; a word's number is its index + 1
     names: list[str]  # the words themselves, in that order
+    twins: dict[str, int]  # numbers of the words that share their hash with others
     stream: np.ndarray  # the numbers of all words
     windows: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: where each begins in the stream, its item
     items: list[str]
@@ -48,24 +50,43 @@ def phrases(texts: list[tuple[str, str]], n: int) -> Phrases:
     h, first = hash_words(data, offsets)
     own = np.unique(h)
     stream = (np.searchsorted(own, h) + 1).astype(np.int32)
-    names = [""] * len(own)
+    names, others = [""] * len(own), {}
     found: dict[int, tuple[list, list]] = {}
     for k, (item, text) in enumerate(texts):
         words, ids = [w.translate(LOWER) for w in WORD.findall(text)], stream[first[k] : first[k + 1]].tolist()
-        for w, i in zip(words, ids, strict=True):
+        for at, (w, i) in enumerate(zip(words, ids, strict=True), int(first[k])):
             if not names[i - 1]:
                 names[i - 1] = w
             elif names[i - 1] != w:
-                raise ValueError(f"two words of the benchmark have one hash: {w}, {names[i - 1]}")
+                others.setdefault((i, w), []).append(at)
         if words:
             size = min(n, len(words))
             begins, of = found.setdefault(size, ([], []))
             begins.append(np.arange(first[k], first[k + 1] - size + 1, dtype=np.int32))
             of.append(np.full(len(begins[-1]), number[item], np.int32))
     windows = {size: (np.concatenate(begins), np.concatenate(of)) for size, (begins, of) in found.items()}
+    own, names, twins = numbered_apart(own, names, stream, others)
     bits = np.zeros(1 << min(24, max(10, (64 * len(own)).bit_length())), bool)
     bits[own & np.uint64(len(bits) - 1)] = True
-    return Phrases(own, names, stream, windows, items, bits)
+    return Phrases(own, names, twins, stream, windows, items, bits)
+
+
+def numbered_apart(hashes: np.ndarray, names: list[str], stream: np.ndarray, others: dict[tuple[int, str], list[int]]) -> tuple[np.ndarray, list[str], dict[str, int]]:
+    """Hashes, names and twins when ``others``, (number, word) with places in the stream, get numbers of their own beside the word that has their hash; the stream is changed to these."""
+    if not others:
+        return hashes, names, {}
+    more = np.bincount([i for i, _ in others], minlength=len(hashes) + 1)
+    begin = np.arange(len(hashes) + 1) + np.cumsum(more) - more
+    stream[:] = begin[stream]
+    named, twins, n = [""] * (len(hashes) + len(others)), {}, begin.copy()
+    for i, w in enumerate(names, 1):
+        named[begin[i] - 1] = w
+        if more[i]:
+            twins[w] = int(begin[i])
+    for (i, w), places in sorted(others.items()):
+        n[i] += 1
+        named[n[i] - 1], twins[w], stream[places] = w, int(n[i]), n[i]
+    return np.repeat(hashes, 1 + more[1:]), named, twins
 
 
 class Wavelet:
@@ -184,10 +205,10 @@ def known(p: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     return words, *np.concatenate(found, axis=1)
 
 
-def occurrences(p: Phrases, doc: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(p: Phrases, doc: np.ndarray, where: np.ndarray, number: np.ndarray, shard: int = SHARD_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Which of the words are inside a window's occurrence, and the different (text, item) of the occurrences.
 
-    The words are indexed a shard at a time; a shard goes on into the next one by the longest
+    The words are indexed a shard of ``shard`` words at a time; a shard goes on into the next one by the longest
     window less a word.
     """
     hit, pairs = np.zeros(len(where), bool), [np.zeros((0, 2), np.int64)]
@@ -201,8 +222,8 @@ def occurrences(p: Phrases, doc: np.ndarray, where: np.ndarray, number: np.ndarr
     back = np.full(len(s), -1)
     back[place] = np.arange(len(where))
     cover = np.zeros(len(s) + 1, np.int64)
-    for t in range(0, len(s), SHARD_WORDS):
-        index = Index(s[t : t + SHARD_WORDS + p.lengths[1] - 1], len(p.hashes))
+    for t in range(0, len(s), shard):
+        index = Index(s[t : t + shard + p.lengths[1] - 1], len(p.hashes))
         for size, (begins, item) in p.windows.items():
             low, high = index.search(p.stream, begins, size)
             some = np.flatnonzero(high > low)
@@ -222,25 +243,31 @@ def occurrences(p: Phrases, doc: np.ndarray, where: np.ndarray, number: np.ndarr
     return hit, np.unique(np.concatenate(pairs), axis=0)
 
 
-def mistaken(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, number: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """Which of the words hit are other words than those of the benchmark that have their hash."""
-    wrong, at = [], np.flatnonzero(hit)
+def spelled(texts: pa.Array, doc: np.ndarray, where: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, str]]:
+    """Each of ``at``, which are places in (text, word index), with its word in lower case."""
     for i in np.split(at, np.flatnonzero(np.diff(doc[at])) + 1) if len(at) else []:
         words, n = WORD.finditer(texts[int(doc[i[0]])].as_py()), -1
-        for k, at_word, name in zip(i.tolist(), where[i].tolist(), number[i].tolist(), strict=True):
+        for k, at_word in zip(i.tolist(), where[i].tolist(), strict=True):
             while n < at_word:
                 word, n = next(words), n + 1
-            if word[0].translate(LOWER) != p.names[name - 1]:
-                wrong.append(k)
-    return np.array(wrong, np.int64)
+            yield k, word[0].translate(LOWER)
 
 
-def find(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, list, list]:
-    """For each of ``texts``: words hit, merged spans of these (word indexes), items found."""
+def find(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, number: np.ndarray, shard: int = SHARD_WORDS) -> tuple[np.ndarray, list, list]:
+    """For each of ``texts``: words hit, merged spans of these (word indexes), items found.
+
+    Benchmark words of one hash are told apart by their spelling before the search, and what is
+    hit is compared as it is spelled afterwards: words that only share a hash are taken out.
+    """
+    if p.twins:
+        twin, number = np.isin(number, list(p.twins.values())), number.copy()
+        for k, word in spelled(texts, doc, where, np.flatnonzero(twin)):
+            number[k] = p.twins.get(word, 0)
+        doc, where, number = (x[number > 0] for x in (doc, where, number))
     while True:
-        hit, pairs = occurrences(p, doc, where, number)
-        wrong = mistaken(p, texts, doc, where, number, hit)
-        if not len(wrong):
+        hit, pairs = occurrences(p, doc, where, number, shard)
+        wrong = [k for k, word in spelled(texts, doc, where, np.flatnonzero(hit)) if word != p.names[number[k] - 1]]
+        if not wrong:
             break
         doc, where, number = (np.delete(x, wrong) for x in (doc, where, number))
     n = len(texts)
@@ -258,7 +285,7 @@ def find(p: Phrases, texts: pa.Array, doc: np.ndarray, where: np.ndarray, number
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, spans, items) for each row of ``docs`` (doc_id, text).
 
     Words are lower-cased runs as in ``words``. A window is ``window`` consecutive words of
@@ -266,10 +293,11 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame
     inside an occurrence of a window is hit; ``spans`` are the merged hit words (word
     indexes, end exclusive), ``items`` the ids found, as strings in order.
 
-    A task's documents make up shards of SHARD_WORDS words, each with an FM-index of its own:
+    A task's documents make up shards of ``shard_words`` words, each with an FM-index of its own:
     only runs of benchmark words can hold a window, so these are indexed, at their full number.
     Windows are found by the hashes of their words; the words of what is found are compared as
-    they are. No shuffle, and nothing of the documents leaves its task. A benchmark of over
+    they are, and words of the benchmark that share a hash have numbers of their own. A task holds
+    about ``held_bytes`` of texts at a time. No shuffle, and nothing of the documents leaves its task. A benchmark of over
     BENCHMARK_BYTES is taken in blocks of items, each against all documents, one after another.
 
     Null and empty texts have no words. Items of the same id count as one; a null item_id
@@ -294,14 +322,14 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame
                 ids, hashes, texts = (pa.concat_arrays([b.column(c) for b, _ in held]) for c in ("doc_id", "text_hash", "text"))
                 begins = np.cumsum([0] + [b.num_rows for b, _ in held])
                 doc = np.concatenate([k[1] + i for (_, k), i in zip(held, begins, strict=False)])
-                hits, spans, found = find(p, texts, doc, *(np.concatenate([k[c] for _, k in held]) for c in (2, 3)))
+                hits, spans, found = find(p, texts, doc, *(np.concatenate([k[c] for _, k in held]) for c in (2, 3)), shard_words)
                 columns = [ids, hashes, pa.array(np.concatenate([k[0] for _, k in held])), pa.array(hits), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))]
                 return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_words", "n_hit", "spans", "items"])
 
             for batch in batches:
                 held.append((batch, known(p, batch.column("text"))))
-                size += batch.nbytes + len(held[-1][1][1]) * (HELD_BYTES // SHARD_WORDS)
-                if size >= HELD_BYTES:
+                size += batch.nbytes + len(held[-1][1][1]) * (held_bytes // shard_words)
+                if size >= held_bytes:
                     yield done()
                     held, size = [], 0
             if held:

@@ -110,14 +110,13 @@ def brute_hits(text, bench, n=13):
 @pytest.mark.parametrize(("limit", "shard"), [(16_000_000, 1_000_000), (16_000_000, 40), (300, 1_000_000)])
 def test_decontamination(spark, monkeypatch, limit, shard):
     monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", limit)  # the small one takes the benchmark in blocks
-    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(30)]
     bench = [(i, " ".join(rng.choices(vocab, k=rng.randrange(10, 25)))) for i in range(12)] + [(50, "The End"), (51, None), (52, "!"), (53, ""), (50, "the end"), (60, "w1 w1 w1")]
     texts = [" ".join(rng.choices(vocab, k=rng.randrange(0, 60))) for _ in range(30)]
     texts += [f"{a} {t.upper()}, {b}" for (_, t), a, b in zip(bench[:12], texts, texts[1:], strict=False)] + [None, "", "the END the end", "w1 " * 50, texts[3], texts[3], bench[0][1] + " x " + bench[0][1]]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(5, texts[5], 1)], "doc_id long, text string, items int")
-    found = decontaminate.search(docs, spark.createDataFrame(bench, "item_id int, text string")).collect()
+    found = decontaminate.search(docs, spark.createDataFrame(bench, "item_id int, text string"), shard_words=shard).collect()
     assert len(found) == len(texts) + 1
     for r in found:
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[r["doc_id"]], bench), r
@@ -141,8 +140,42 @@ def test_equal_hashes_of_different_words(monkeypatch):
     words, *runs = decontaminate.known(p, column)
     hits, _, items = decontaminate.find(p, column, *runs)
     assert [(int(a), int(b), c) for a, b, c in zip(words, hits, items, strict=True)] == [brute_hits(t, bench) for t in texts]
-    with pytest.raises(ValueError, match="one hash"):
-        decontaminate.phrases([("a", "w3 zz")], 13)
+    # Both words in the benchmark: each has its own number.
+    bench += [("d", "zz w4"), ("e", "w9 zz w9"), ("f", " ".join(f"w{i}" for i in range(16)).replace("w3", "zz"))]
+    p = decontaminate.phrases(bench, 13)
+    assert sorted(p.twins) == ["w3", "zz"] and [p.names[n - 1] for n in p.stream[20:24].tolist()] == ["w3", "w4", "w3", "w3"]
+    texts += ["w9 zz w9 w9 W3 w9", "ZZ w4", "zz zz w3 w3 w4 w5 zz w4"]
+    words, *runs = decontaminate.known(p, pa.array(texts))
+    for shard in (1_000_000, 5):
+        hits, _, items = decontaminate.find(p, pa.array(texts), *runs, shard)
+        assert [(int(a), int(b), c) for a, b, c in zip(words, hits, items, strict=True)] == [brute_hits(t, bench) for t in texts]
+
+
+def test_a_benchmark_of_colliding_words(spark):
+    """Words made to collide: the polynomial hash of these two is equal whatever its odd multiplier."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    assert len(set(hash_string([one, other]).tolist())) == 1
+    bench = [("a", f"x {one} y"), ("b", f"{other} z"), ("c", f"{one} {other}")]
+    texts = [f"w x {one} y w", f"x {other} y", f"{other.upper()} z {one} z", f"{one} {other} {one}", "x y z", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.search(docs, spark.createDataFrame(bench, "item_id string, text string")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[r["doc_id"]], bench)
+
+
+def test_shards_go_on_into_the_next(monkeypatch):
+    made, own = [], decontaminate.Index
+    monkeypatch.setattr(decontaminate, "Index", lambda s, most: made.append(len(s)) or own(s, most))
+    rng = random.Random(8)
+    bench = [(str(i), " ".join(rng.choices("abcdef", k=15))) for i in range(5)]
+    texts = [" ".join(rng.choices("abcdef", k=20)) + " " + bench[i % 5][1] + " " + " ".join(rng.choices("abcdef", k=20)) for i in range(8)]
+    p = decontaminate.phrases(bench, 13)
+    words, *runs = decontaminate.known(p, pa.array(texts))
+    hits, _, items = decontaminate.find(p, pa.array(texts), *runs, 40)
+    assert len(made) > 5  # several shards, most windows of which begin in one and end in another
+    assert [(int(a), int(b), c) for a, b, c in zip(words, hits, items, strict=True)] == [brute_hits(t, bench) for t in texts]
 
 
 def test_features_of_long_texts(monkeypatch):
