@@ -27,10 +27,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 BEYOND = re.compile("[^\x00-\x1b\x20-\xff]")
-#: Bytes of text indexed at a time, and words remembered between blocks; characters of a long text split at a time.
-BLOCK_BYTES, CACHE_WORDS, PIECE_CHARS = 4_000_000, 200_000, 1_000_000
-#: Where a text can be cut: no word has a space behind a letter or number.
-SEAM = regex.compile(r"(?<=[\p{L}\p{N}])(?= )")
+#: Bytes of text taken at a time, and words and their characters remembered between blocks; characters of a long text split at a time.
+BLOCK_BYTES, CACHE_WORDS, CACHE_CHARS, PIECE_CHARS = 4_000_000, 200_000, 8_000_000, 1_000_000
+#: Bytes of words indexed at once, and tokens by which a stretch of a longer word reaches back into the one before.
+MERGE_BYTES, OVERLAP = 1_000_000, 64
+#: Where a text can be cut: a word ends wherever letters, numbers or signs end, but between an apostrophe and a letter.
+SEAM = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
 
 
 class Vocabulary:
@@ -42,9 +44,11 @@ class Vocabulary:
         shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in printable)}
         raw = {c: b for b, c in shown.items()}
         vocab = spec["model"]["vocab"]
-        self.byte_id = np.array([vocab[shown[b]] for b in range(256)])
+        self.byte_id = np.array([vocab[shown[b]] for b in range(256)], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(raw[c] for c in t) if all(c in raw for c in t) else t.encode() for t, i in (vocab | self.special).items()}
+        self.size = np.zeros(max(self.bytes_of) + 1, np.int32)  # bytes of each id
+        self.size[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         # Pairs as left id << 32 | right id, ascending, with the rank and the merged id of each.
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
@@ -70,18 +74,22 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of ids as one number each."""
+    return a.astype(np.int64) << 32 | b
+
+
+def merge_words(v: Vocabulary, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, one after another, and how many each has.
 
     The index maps each pair to all its positions in the words of a block. Active ranks are
     taken in ascending order; a rank's pair is merged at every position still valid, from the
     left, and the lists of the neighbouring pairs get the new positions.
     """
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
     size = np.array([len(r) for r in raw], np.int64)
-    sym = np.append(v.byte_id[np.frombuffer(b"".join(raw), np.uint8)], -1)
+    sym = np.append(v.byte_id[np.frombuffer(b"".join(raw), np.uint8)], np.int32(-1))
     n, ends = len(sym) - 1, np.cumsum(size)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[ends - 1] = n  # a slot of its own, where no symbol is
     before[ends - size] = -1
     index: dict[int, list[np.ndarray]] = {}
@@ -102,8 +110,8 @@ def merge_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
                 index[k] = [pos[i:j]]
                 heapq.heappush(active, (int(v.ranks[k]), k))
 
-    pos = np.flatnonzero(after[:n] < n)
-    file(sym[pos] << 32 | sym[pos + 1], pos)
+    pos = np.flatnonzero(after[:n] < n).astype(np.int32)
+    file(paired(sym[pos], sym[pos + 1]), pos)
     while active:
         _, k = heapq.heappop(active)
         a, b, new = int(v.keys[k]) >> 32, int(v.keys[k]) & 0xFFFFFFFF, v.merged[k]
@@ -124,28 +132,85 @@ def merge_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
         after[p], before[r] = r, p
         o = before[p]
         right, left = r < n, o >= 0
-        file(np.concatenate((new << 32 | sym[r[right]], sym[o[left]] << 32 | new)), np.concatenate((p[right], o[left])))
+        file(np.concatenate((new << 32 | sym[r[right]], paired(sym[o[left]], new))), np.concatenate((p[right], o[left])))
     live = sym[:n] >= 0
     count = np.add.reduceat(live.astype(np.int64), ends - size) if len(size) else size
-    return sym[:n][live].astype(np.int32), count
+    return sym[:n][live], count
+
+
+def merge_long(v: Vocabulary, raw: bytes, most: int = MERGE_BYTES, overlap: int = OVERLAP) -> np.ndarray:
+    """Ids of one long word, indexed in stretches of about ``most`` bytes.
+
+    A stretch begins at a token of the one before, ``overlap`` tokens before its end. At a token that
+    both have at the same place the first is left and the second goes on. Tokens are side by side in a
+    whole word just when each two neighbours stay apart as merged on their own, as a merge over a border
+    would have to be the first over it in these two as well; and each two were neighbours in a stretch.
+    Without such a token the stretch begins four times as many tokens before, at last with the word, so
+    only a word that never settles takes more memory.
+    """
+    parts, begin, end = [], 0, min(most, len(raw))  # what is settled, and where the open ids begin and end
+    ids = merge_words(v, [raw[:end]])[0]
+    sizes = lambda x: v.size[x].astype(np.int64)
+    while end < len(raw):
+        back, goal = overlap, None
+        while True:
+            while back > len(ids) and parts:
+                ids = np.concatenate((parts.pop(), ids))
+                begin = end - int(sizes(ids).sum())
+            tail = max(0, len(ids) - back)
+            at = begin + int(sizes(ids[:tail]).sum())
+            goal = goal or min(len(raw), at + most if at + most > end else end + most)
+            further = merge_words(v, [raw[at:goal]])[0]
+            if at == 0:
+                ids = further
+                break
+            starts, heads = (at + np.cumsum(sizes(x)) - sizes(x) for x in (ids[tail:], further))
+            _, i, j = np.intersect1d(starts, heads, assume_unique=True, return_indices=True)
+            same = np.flatnonzero(ids[tail + i] == further[j])
+            if len(same):
+                i, j = tail + int(i[same[0]]), int(j[same[0]])
+                if i:
+                    parts.append(ids[:i])
+                ids, begin = further[j:], int(heads[j])
+                break
+            back *= 4
+        end = goal
+    return np.concatenate([*parts, ids])
+
+
+def merge_all(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, one after another, and how many each has; about MERGE_BYTES of them are indexed at once."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+    flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i, j in blocks(offsets, MERGE_BYTES):
+        if offsets[j] - offsets[i] > MERGE_BYTES:
+            ids = merge_long(v, raw[i], MERGE_BYTES)
+            n = np.array([len(ids)])
+        else:
+            ids, n = merge_words(v, raw[i:j])
+        flat.append(ids)
+        count.append(n)
+    return np.concatenate(flat), np.concatenate(count)
 
 
 class Words(dict):
     """Word -> number; a new word gets the next one. Ids of word i: flat[start[i] : start[i] + count[i]]."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.fresh = v, []
+        self.v, self.fresh, self.chars = v, [], 0
         self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word):
         self.fresh.append(word)
+        self.chars += len(word) if type(word) is str else 1
         self[word] = n = len(self)
         return n
 
     def settle(self) -> None:
         """Ids of the words that are new since the last call."""
         texts = [w for w in self.fresh if type(w) is str]
-        flat, count = merge_words(self.v, texts)
+        flat, count = merge_all(self.v, texts)
         if len(texts) < len(self.fresh):  # added tokens among them
             own, parts = iter(np.split(flat, np.cumsum(count)[:-1]) if texts else []), []
             for w in self.fresh:
@@ -161,19 +226,23 @@ _words: dict[str, Words] = {}
 
 
 def pieces(v: Vocabulary, text: str) -> Iterator[str]:
-    """A text in parts whose words, one part after another, are the words of the whole; a text without such places is one part."""
+    """A text in parts whose words, one part after another, are the words of the whole; text without a seam is one word."""
     at = 0
-    if not any(" " in t for t in v.special):
-        while len(text) - at > PIECE_CHARS and (m := SEAM.search(text, at + PIECE_CHARS)):
-            yield text[at : m.start()]
-            at = m.start()
+    while len(text) - at > PIECE_CHARS:
+        seams = (m.start() for m in SEAM.finditer(text, at + PIECE_CHARS))
+        # An added token is not cut.
+        end = next((e for e in seams if not any(text.find(t, max(at, e - len(t) + 1), e + len(t) - 1) >= 0 for t in v.special)), None)
+        if end is None:
+            break
+        yield text[at:end]
+        at = end
     yield text[at:]
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, one after another, and how many each has."""
     words = _words.get(path)
-    if words is None or len(words) > CACHE_WORDS:
+    if words is None or len(words) > CACHE_WORDS or words.chars > CACHE_CHARS:
         words = _words[path] = Words(vocabulary(path))
     seen, parts = [], []
     for t in texts:
@@ -199,7 +268,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
 
     Added tokens in a text become their ids; nothing is added, cut or padded. Null and empty
     texts have no ids. Any other columns stay, except one named ``ids``, which is replaced;
-    repeated rows stay repeated. Memory holds a block of texts and a bounded cache of words.
+    repeated rows stay repeated. Memory holds a block of texts, a bounded cache of words and the
+    index of a stretch. Texts of any length are encoded whole, also those without any blanks:
+    a run of letters, of numbers or of signs is one word, and long words are merged in stretches.
     """
     base = long_rows(docs).drop(ids)
     keep = [c for c in base.columns if keep_text or c != text]

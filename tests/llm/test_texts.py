@@ -99,8 +99,34 @@ def test_bpe_of_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
     rng = random.Random(5)
     for _ in range(40):
-        text = "".join(rng.choices(["a", "é1", " ", "  ", "\n", "'s", "!", "\u3000", "<|endoftext|>", "中", "x9"], k=400))
+        text = "".join(rng.choices(["a", "é1", " ", "  ", "\n", "'s", "!", "\u3000", "<|endoftext|>", "中", "x9", "'", "l", "e\u0301", "..'", "<|", "7"], k=400))
         assert bpe.encode_texts(tokenizer_path(), [text])[0].tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+        assert max(map(len, bpe.pieces(bpe.vocabulary(tokenizer_path()), text))) < 120
+
+
+def test_bpe_of_long_words_in_stretches(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, t, v = random.Random(6), Tokenizer.from_file(tokenizer_path()), bpe.vocabulary(tokenizer_path())
+    made, own = [], bpe.merge_words
+    monkeypatch.setattr(bpe, "merge_words", lambda v, raw: made.append(sum(map(len, raw))) or own(v, raw))
+    alphabets = ["ab", "a", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "é中文字ж", "the an ing er tion".split()]
+    for k in range(18):
+        word = "".join(rng.choices(alphabets[k % len(alphabets)], k=3000)) if k % 2 else "".join(rng.choice("ab") * rng.randrange(1, 300) for _ in range(20))
+        for most, overlap in ((400, 16), (150, 1), (30, 2)):
+            made.clear()
+            ids = bpe.merge_long(v, word.encode(), most, overlap)
+            assert ids.tolist() == t.encode(word, add_special_tokens=False).ids
+            assert len(made) > 1
+            if most == 400:
+                assert max(made) < 2500  # hardly ever more than a stretch
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 300)
+    texts = ["a" * 1000 + " bc " + "x1" * 500 + "!" * 800, "\n" * 2000, "<|endoftext|>" + "q" * 400, "", "z" * 299]
+    flat, count = bpe.encode_texts(tokenizer_path(), texts)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert flat.tolist() == sum(want, []) and count.tolist() == list(map(len, want))
 
 
 @pytest.mark.parametrize(
