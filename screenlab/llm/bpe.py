@@ -240,25 +240,36 @@ def pieces(v: Vocabulary, text: str) -> Iterator[str]:
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one after another, and how many each has."""
-    words = _words.get(path)
-    if words is None or len(words) > CACHE_WORDS or words.chars > CACHE_CHARS:
-        words = _words[path] = Words(vocabulary(path))
-    seen, parts = [], []
-    for t in texts:
+    """The ids of all texts, one after another, and how many each has; besides these, memory holds the words of some pieces."""
+    words = _words.get(path) or Words(vocabulary(path))
+    count, done = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+    open_, of = [], []  # the words of pieces, and whose they are
+
+    def settle() -> None:
+        if words.fresh:
+            words.settle()
+        w = np.concatenate(open_)
+        each = words.count[w]
+        total = np.cumsum(each)
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(words.start[w] - total + each, each)
+        done.append(words.flat[at])
+        bounds = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum([len(x) for x in open_])))]
+        np.add.at(count, of, np.diff(bounds))
+        open_.clear()
+        of.clear()
+
+    for k, t in enumerate(texts):
         for part in pieces(words.v, t):
             found = words.v.words(part)
-            parts.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-        seen.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
-        parts.clear()
-    if words.fresh:
-        words.settle()
-    w = np.concatenate(seen) if seen else np.zeros(0, np.int32)
-    count = words.count[w]
-    total = np.cumsum(count)
-    at = np.arange(total[-1] if len(total) else 0) + np.repeat(words.start[w] - total + count, count)
-    bounds = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum([len(x) for x in seen]))).astype(np.int64)]
-    return words.flat[at], np.diff(bounds)
+            open_.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+            of.append(k)
+            if len(words) > CACHE_WORDS or words.chars > CACHE_CHARS:
+                settle()
+                words = Words(words.v)
+    if open_:
+        settle()
+    _words[path] = words
+    return np.concatenate(done), count
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
