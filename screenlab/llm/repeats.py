@@ -29,8 +29,10 @@ WIDTH = 50
 GRAMS = (24, 38)
 #: Documents of a gram beyond which its stretches are cut into strings at once, and different stretches of a gram beyond which they are cut by the next gram.
 GROUP_ROWS, GROUP_PARTS = 5000, 31
-#: Strings of a stretch (a mask of them is a long), symbols of a lane that is full, and bytes of stretches that a task sorts at a time.
-RUN, LANE, LANES = 32, 2048, 1 << 22
+#: Strings of a stretch (a mask of them is a long), symbols of a lane that is full, and bytes of stretches that a task sorts at a time; each takes some 70 bytes of memory.
+RUN, LANE, LANES = 32, 512, 1 << 20
+#: Stretches whose bytes are cut out at a time, and rows of a batch that goes back to Spark.
+PIECE = 1 << 15
 #: Stands for two or more documents.
 MANY = -(2**63)
 
@@ -126,7 +128,8 @@ def grams_shared(docs: DataFrame, groups: int, gram: int, width: int) -> DataFra
         begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
         end = np.append(begin[1:], len(g)) - 1
         both = np.repeat((d[begin] != d[end]) | (d[begin] == MANY), end - begin + 1) & (d != MANY) if len(g) else np.zeros(0, bool)
-        return pa.table({"doc_id": np.concatenate((doc[sure], d[both])), "gram": np.concatenate((h[sure], g[both]))})
+        found = pa.table({"doc_id": np.concatenate((doc[sure], d[both])), "gram": np.concatenate((h[sure], g[both]))})
+        return pa.Table.from_batches(found.to_batches(PIECE), found.schema)
 
     dealt = docs.mapInArrow(batch_grams, "part long, sure boolean, docs array<long>, grams array<long>")
     return dealt.groupBy("part").applyInArrow(shared, "doc_id long, gram long")
@@ -141,19 +144,26 @@ def _bits(many: np.ndarray) -> np.ndarray:
     return (np.int64(1) << many.astype(np.int64)) - 1
 
 
+def _order(gram: np.ndarray, name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, over): an order in which equal stretches follow each other by doc_id, and whether there is one of a smaller doc_id."""
+    order = np.lexsort((doc, name, gram))
+    gram, name, doc = gram[order], name[order], doc[order]
+    begin = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])))[: len(doc)])
+    return order, doc > np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
+
+
+def _replies(doc: np.ndarray, root: np.ndarray, shift: np.ndarray, many: np.ndarray) -> pa.Table:
+    """Replies that all ``many`` strings of stretches occur in a smaller doc_id."""
+    return pa.table({"doc_id": doc, "root": root, "mask": _bits(many) << shift.astype(np.int64)})
+
+
 def _settled(rows: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
     """(replies, rest) of rows: of equal stretches only the rows of the smallest doc_id are left to look at, one for each root."""
-    if not rows.num_rows:
-        return pa.table({c: [] for c in ("doc_id", "root", "mask")}), rows
-    gram, name, doc, shift = (rows.column(c).to_numpy() for c in ("gram", "name", "doc_id", "shift"))
-    order = np.lexsort((doc, name, gram))
-    gram, name, doc, shift = gram[order], name[order], doc[order], shift[order]
-    begin = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1]))))
-    least = np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
-    rows, over = rows.take(order), doc > least
-    sizes = np.array(pa.compute.binary_length(rows.column("content").combine_chunks()), np.int64) - width + 1
-    gone = rows.filter(pa.array(over))
-    return pa.table({"doc_id": gone.column("doc_id"), "root": gone.column("root"), "mask": pa.array((_bits(sizes) << shift.astype(np.int64))[over])}), rows.filter(pa.array(~over))
+    gram, name, doc, root, shift = (rows.column(c).to_numpy() for c in ("gram", "name", "doc_id", "root", "shift"))
+    order, over = _order(gram, name, doc)
+    gone = order[over]
+    many = pa.compute.binary_length(rows.column("content")).to_numpy()[gone] - width + 1
+    return _replies(doc[gone], root[gone], shift[gone], many), rows.take(order[~over])
 
 
 def _equal_strings(contents: list[bytes], docs: np.ndarray, lanes: np.ndarray, width: int) -> np.ndarray:
@@ -231,7 +241,7 @@ _FIELDS = pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("content", pa.
 def _both(replies: pa.Table, rows: pa.Table) -> list[pa.RecordBatch]:
     """Replies and rows that are left in one form: a reply has a mask, and a string that is known by its name has no content."""
     out = [pa.table({f.name: t.column(f.name).cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in _FIELDS}) for t in (replies, rows)]
-    return [b for t in out for b in t.to_batches()]
+    return [b for t in out for b in t.to_batches(PIECE)]
 
 
 def first_parts(docs: DataFrame, gram: int, width: int) -> DataFrame:
@@ -242,18 +252,33 @@ def first_parts(docs: DataFrame, gram: int, width: int) -> DataFrame:
 
     def cut_out(batches):
         for batch in batches:
-            ids, data, offsets = _docs(batch)
-            rows = []
-            for t, s, n, g, names, hot in _wanted(batch, data, offsets, gram, width):
-                rows.append(pa.table({"gram": g, "name": names, "content": contents(data, s, n, width), "doc_id": ids[t], "root": names, "shift": np.zeros(len(t), np.int32), "hot": hot}))
-            if rows:
-                replies, rows = _settled(_unique(pa.concat_tables(rows)), width)
-                yield from _both(replies, rows.filter(pa.compute.invert(rows.column("hot"))))
-                yield from _finer(rows.filter(rows.column("hot")), width, width)
+            yield from _cut_out(batch, gram, width)
 
     return docs.mapInArrow(cut_out, ROWS)
 
 
+def _cut_out(batch: pa.RecordBatch, gram: int, width: int) -> Iterator[pa.RecordBatch]:
+    """``first_parts`` of a batch. Bytes are copied last, of those stretches that are left, some at a time."""
+    ids, data, offsets = _docs(batch)
+    found = list(_wanted(batch, data, offsets, gram, width))
+    if not found:
+        return
+    text, start, many, own, name, hot = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = ids[text]
+    order, over = _order(own, name, doc)
+    d, g, n = doc[order], own[order], name[order]
+    once = np.concatenate(([True], (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])))[: len(d)]
+    gone = order[once & over]
+    yield from _both(_replies(doc[gone], name[gone], np.zeros(len(gone), np.int32), many[gone]), _FIELDS.empty_table())
+    left = order[once & ~over]
+    for i in range(0, len(left), PIECE):
+        at = left[i : i + PIECE]
+        rows = pa.table({"gram": own[at], "name": name[at], "content": contents(data, start[at], many[at], width), "doc_id": doc[at], "root": name[at], "shift": np.zeros(len(at), np.int32)})
+        frequent = pa.array(hot[at])
+        yield from _both(_FIELDS.empty_table(), rows.filter(pa.compute.invert(frequent)))
+        yield from _finer(rows.filter(frequent), width, width)
+
+
 def _wanted(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, gram: int, width: int):
     """``stretches`` of a batch's texts, those whose gram is in the row's ``grams``, and whether it is a frequent one."""
     lists = batch.column("grams")
@@ -276,14 +301,6 @@ def _wanted(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, gram:
         yield t[keep], s[keep], n[keep], g[keep], name[keep], hot[at[keep]]
 
 
-def _unique(rows: pa.Table) -> pa.Table:
-    """One row of each document, root and place in it."""
-    doc, root, shift, name = (rows.column(c).to_numpy() for c in ("doc_id", "root", "shift", "name"))
-    order = np.lexsort((name, shift, root, doc))
-    d, r, s, n = doc[order], root[order], shift[order], name[order]
-    return rows.take(order[np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])))[: len(d)]])
-
-
 def _finer(rows: pa.Table, gram: int, width: int) -> Iterator[pa.RecordBatch]:
     """Stretches cut by longer grams; of length ``width``, into their strings, by name alone. Equal ones of ``rows`` are settled at once."""
     content = rows.column("content").combine_chunks().cast(pa.large_binary())
@@ -291,9 +308,13 @@ def _finer(rows: pa.Table, gram: int, width: int) -> Iterator[pa.RecordBatch]:
     data, offsets = np.frombuffer(content.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
     doc, root, shift = (rows.column(c).to_numpy() for c in ("doc_id", "root", "shift"))
     for t, s, n, g, names in stretches(data, offsets, gram, width, single=gram == width):
-        found = pa.table({"gram": g, "name": names, "content": contents(data, s, n, width), "doc_id": doc[t], "root": root[t], "shift": (shift[t] + s - offsets[t]).astype(np.int32)})
-        replies, found = _settled(found, width)
-        yield from _both(replies, found.drop_columns(["content"]) if gram == width else found)
+        place = (shift[t] + s - offsets[t]).astype(np.int32)
+        order, over = _order(g, names, doc[t])
+        gone, left = order[over], order[~over]
+        found = {"gram": g[left], "name": names[left], "doc_id": doc[t[left]], "root": root[t[left]], "shift": place[left]}
+        if gram < width:
+            found["content"] = contents(data, s[left], n[left], width)
+        yield from _both(_replies(doc[t[gone]], root[t[gone]], place[gone], n[gone]), pa.table(found))
 
 
 def finer_parts(parts: DataFrame, gram: int, width: int) -> DataFrame:
@@ -355,7 +376,8 @@ def cleaned(docs: DataFrame, gram: int, width: int) -> DataFrame:
                 gone[hit] += 1
                 gone[hit + width] -= 1
         covered = np.zeros(len(data) + 2, bool)
-        covered[1:-1] = np.cumsum(gone[:-1]) > 0
+        np.cumsum(gone, out=gone)
+        covered[1:-1] = gone[:-1] > 0
         return covered
 
     def clean(batches):

@@ -198,3 +198,25 @@ def test_groups_are_cut_where_the_parameters_say():
 
 def test_repeats_of_an_empty_table(spark):
     assert repeats.remove(table(spark, [])).count() == 0
+
+
+def test_a_large_part_is_sorted_in_bounded_memory():
+    """4 MB of stretches in groups of three, which took some 300 MB to sort at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 20_000
+    words = rng.integers(97, 123, (n, 90), dtype=np.uint8)
+    contents = [w[a : a + 70].tobytes() for w in words for a in (0, 10, 20)]
+    rows = pa.table({"gram": np.repeat(np.arange(n), 3), "name": np.arange(3 * n), "content": contents, "doc_id": np.tile(np.arange(3), n), "root": np.arange(3 * n), "shift": np.zeros(3 * n, np.int32)})
+    tracemalloc.start()
+    try:
+        replies, left = repeats.sorted_out(rows, 50, 31)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    masks = dict(zip(replies.column("root").to_pylist(), replies.column("mask").to_pylist(), strict=True))
+    assert not left.num_rows and masks == {3 * k + i: (1 << 11) - 1 for k in range(n) for i in (1, 2)}
+    assert peak < 150e6
