@@ -266,23 +266,9 @@ def polygon_coverage(rows: DataFrame, polygons: str = "polygons", canvas: str =
     Null or empty polygons and canvases cover nothing; polygons of under three points neither.
     """
 
-    def pixels(shapes: list[list], width: int, height: int) -> int:
-        """Of the polygons moved to the corner of what they may cover, so that no more of the canvas is drawn."""
-        points = [np.asarray(s, np.float64) for s in shapes if len(s) > 2]
-        points = [p for p in points if np.isfinite(p).all()]
-        if not points or width <= 0 or height <= 0:
-            return 0
-        low = np.clip(np.floor(np.min([p.min(0) for p in points], 0)), 0, (width, height))
-        high = np.clip(np.ceil(np.max([p.max(0) for p in points], 0)), 0, (width, height))
-        return int(imaging.filled([p - low for p in points], *(high - low).astype(int)).sum())
-
-    @F.pandas_udf("long")
-    def covered(shapes: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for s, c in zip(shapes, sizes, strict=True):
-            usable = s is not None and c is not None and len(c) == 2
-            out.append(pixels([[list(p) for p in x if p is not None and len(p) == 2] for x in s if x is not None], int(c[0]), int(c[1])) if usable else 0)
-        return pd.Series(out, dtype="int64")
+    @F.arrow_udf("long")
+    def covered(shapes: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array(imaging.covered(shapes, sizes))
 
     return rows.withColumn("n_positive", covered(polygons, canvas))
 
