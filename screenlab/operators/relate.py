@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from functools import reduce
 
@@ -155,30 +156,86 @@ def near_in_group(rows: DataFrame, group: str, y: str, reach: float, test: Colum
     return placed.withColumn("near", near).drop("_part", "_max_before", "_min_after")
 
 
+def farthest(y: Column, reach: float) -> Column:
+    """The largest double whose distance from ``y``, rounded as a difference of doubles is, is at most ``reach``.
+
+    Sums round otherwise than differences: 13.13 - 1.13 is 12, but 1.13 + 12 is less than 13.13. So the sum, its
+    rounding error and half a unit of the reach give a double at most one off, and differences decide.
+    """
+    most = y + reach
+    back = most - y
+    most = most + ((y - (most - back)) + (F.lit(reach) - back) + math.ulp(reach) / 2)
+    step = F.abs(most) * (2.0**-53 + 2.0**-105) + 5e-324  # leads to the next double
+    return F.when(most + step - y <= reach, most + step).when(most - y <= reach, most).otherwise(most - step)
+
+
+def band(y: Column, reach: float) -> Column:
+    """Number of the stretch of about ``reach`` in which ``y`` is: any two in one are within the reach, as rounded.
+
+    Counted away from 0 on both sides, as rounding makes stretches shorter in that direction, never longer. Numbers
+    beyond all fractions are stretches of their own.
+    """
+    steps = F.abs(y) / reach
+    counted = F.when(y < 0, -1 - F.floor(steps)).otherwise(F.floor(steps)).cast("double")
+    return F.when(steps < 2.0**52, counted).otherwise(y * 2.0 ** max(0, math.ceil(-math.log2(reach))))
+
+
+def running_best(rows: DataFrame, window, out: str, first: str, second: Column | None) -> DataFrame:
+    """``rows`` with the greatest ``first`` in the window, ``out``1; if there is a ``second``, values are (x, key), and ``out``2 is the greatest of any other key, ``out``_lost what that is made of.
+
+    What comes and what was best: if their keys differ, the lesser is the best of another key, unless one before was better.
+    """
+    rows = rows.withColumn(f"{out}1", F.max(first).over(window))
+    if second is None:
+        return rows
+    lesser = F.when(F.col(f"{first}.key") != F.col(f"{out}1.key"), F.least(first, f"{out}1"))
+    return rows.withColumn(f"{out}_lost", F.greatest(second, lesser)).withColumn(f"{out}2", F.max(f"{out}_lost").over(window))
+
+
 def right_neighbour(rows: DataFrame, group: str, y: str, x: str, reach: float, test: Column, key: str = "id") -> DataFrame:
-    """J7 on tables, whole: ``rows`` with ``near``, whether another row of the group that passes ``test`` is within ``reach`` in ``y`` and not left of it in ``x``.
+    """J7 on tables, whole: ``rows`` with ``near``, whether a row of another key and the same group that passes ``test`` is within ``reach`` in ``y`` and not left of it in ``x``.
 
     Bands of ``y`` as high as the reach: all of a row's own band is within it, of the next band
     the beginning and of the one before the end. So running maxima of ``x`` from either side of
     a band answer, and a row asks its neighbours' bands by a row of its own among theirs. Bands
     are swept in ranges, so neither a group nor a band meets in one task, and no pairs are made.
-    A null group, ``y`` or ``x`` is near nothing; ``key`` names a row, and rows of one key count as
-    one another's neighbours but share one answer: true if it is for one of them.
+    Where keys repeat, maxima are kept with the best of a second key, as a key's own rows are no
+    neighbours. "Within" is what the rounded difference of doubles says. A row without group, ``y``,
+    ``x`` or key, or whose ``y`` is not finite, is near nothing.
     """
-    at = F.when(test, F.col(x))
-    some = rows.where(F.col(group).isNotNull() & F.col(y).isNotNull() & F.col(x).isNotNull())
-    some = some.select(F.col(group).alias("_g"), F.col(y).cast("double").alias("_y"), F.col(x).alias("_x"), at.alias("_at"), F.col(key).alias("_key"))
-    band = F.floor(F.col("_y") / reach)
-    asks = lambda step, kind: F.struct((band + step).alias("_b"), (F.col("_y") + step * reach).alias("_p"), F.lit(kind).alias("_kind"))
+    height = F.col(y).cast("double")
+    some = rows.where(F.col(group).isNotNull() & F.col(x).isNotNull() & F.col(key).isNotNull() & (F.abs(height) < float("inf")))
+    some = some.select(F.col(group).alias("_g"), height.alias("_y"), F.col(x).alias("_x"), F.col(key).alias("_key"), test.alias("_test"))
+    repeated = not some.groupBy("_key").count().where("count > 1").isEmpty()
+    some = some.withColumns({"_b": band(F.col("_y"), reach), "_low": -farthest(-F.col("_y"), reach), "_high": farthest(F.col("_y"), reach)})
+    some = some.withColumns({"_first": band(F.col("_low"), reach), "_last": band(F.col("_high"), reach)})
+    b, first, last = F.col("_b"), F.col("_first"), F.col("_last")
     # At one height: who asks back, the rows themselves, who asks ahead, so that the reach is included.
-    swept = some.select("_g", "_key", "_x", "_at", F.explode(F.array(asks(-1, 0), asks(0, 1), asks(1, 2))).alias("_q")).select("_g", "_key", "_x", F.when(F.col("_q._kind") == 1, F.col("_at")).alias("_at"), "_q.*")
-    order = ["_p", "_kind", "_key"]
-    placed = in_ranges(swept, ["_g", "_b"], order, {"_max_before": F.max("_at")}, {"_max_after": F.max("_at")})
-    up, down = (Window.partitionBy("_g", "_b", "_part").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (order, [F.desc(c) for c in order]))
-    below, above = F.greatest("_max_before", F.max("_at").over(up)), F.greatest("_max_after", F.max("_at").over(down))
-    best = F.when(F.col("_kind") == 0, above).when(F.col("_kind") == 2, below).otherwise(F.greatest(below, above))
-    found = placed.select("_key", (best >= F.col("_x")).alias("_hit")).groupBy("_key").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("near"))
-    return rows.alias("r").join(found.alias("f"), F.col(f"r.{key}") == F.col("f._key"), "left").select("r.*", F.coalesce("f.near", F.lit(False)).alias("near"))
+    asks = lambda at, p, kind: F.struct(at.alias("_b"), F.col(p).alias("_p"), F.lit(kind).alias("_kind"))
+    places = [asks(b, "_y", 1), F.when((b - 1 >= first) & (b - 1 < b), asks(b - 1, "_low", 0)), F.when((b + 1 <= last) & (b + 1 > b), asks(b + 1, "_high", 2))]
+    places += [F.when(b - 1 > first, asks(first, "_low", 0)), F.when(b + 1 < last, asks(last, "_high", 2))]  # by the rounding, or where 1 is none of their units
+    own_row = ["_key", "_g", "_y", "_x"] if repeated else ["_key"]
+    value = F.struct(F.col("_x").alias("x"), F.col("_key").alias("key")) if repeated else F.col("_x")
+    swept = some.select(*{*own_row, "_g", "_x"}, "_test", F.explode(F.array_compact(F.array(*places))).alias("_q"))
+    swept = swept.select("*", "_q.*").withColumn("_at", F.when((F.col("_kind") == 1) & F.col("_test"), value)).drop("_q", "_test")
+    order, within = ["_p", "_kind", "_key"], ["_g", "_b", "_part"]
+    placed = fixed(swept.repartitionByRange("_g", "_b", *order).withColumn("_part", F.spark_partition_id()))
+    before = lambda keys, *o: Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    placed = running_best(placed, before(within, *order), "_up", "_at", F.lit(None) if repeated else None)
+    seconds, two = ([F.max("_up_lost").alias("_two")], F.col("_two")) if repeated else ([], None)
+    own = placed.groupBy(*within).agg(F.max("_at").alias("_one"), *seconds)
+    own = running_best(own, before(within[:2], "_part"), "_under", "_one", two)
+    own = running_best(own, before(within[:2], F.desc("_part")), "_over", "_one", two)
+    placed = running_best(placed, before(within, *[F.desc(c) for c in order]), "_down", "_at", F.lit(None) if repeated else None)
+    others = [f"b.{n}{k}" for n in ("_under", "_over") for k in ((1, 2) if repeated else (1,))]
+    placed = placed.alias("a").join(own.alias("b"), same("a", "b", *within)).select("a.*", *others)
+    best = lambda n: F.when(F.col(f"{n}1.key") != F.col("_key"), F.col(f"{n}1.x")).otherwise(F.col(f"{n}2.x")) if repeated else F.col(f"{n}1")
+    hit = lambda *names: F.greatest(*map(best, names)) >= F.col("_x")
+    seen = F.when(F.col("_kind") == 0, hit("_down", "_over")).when(F.col("_kind") == 2, hit("_up", "_under")).otherwise(hit("_up", "_under", "_down", "_over"))
+    found = placed.groupBy(*own_row).agg(F.coalesce(F.bool_or(seen), F.lit(False)).alias("near"))
+    names = {"_key": F.col(f"r.{key}"), "_g": F.col(f"r.{group}"), "_y": F.col(f"r.{y}").cast("double"), "_x": F.col(f"r.{x}")}
+    is_row = reduce(Column.__and__, [names[c] == F.col(f"f.{c}") for c in own_row])
+    return rows.alias("r").join(found.alias("f"), is_row, "left").select("r.*", F.coalesce("f.near", F.lit(False)).alias("near"))
 
 
 def with_files(rows: DataFrame, listing: DataFrame, key: str = "image_path") -> DataFrame:
